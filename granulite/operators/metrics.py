@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from granulite.operators.planes import line_histogram
 from granulite.operators.stencils import gaussian, sobel
 
-FRAME = Window.partitionBy("frame_id")
+def by_frame():
+    return Window.partitionBy("frame_id")
 
 
 def pct(v: str, p: float, n: str | None = "n") -> Column:
@@ -24,7 +25,7 @@ def pct(v: str, p: float, n: str | None = "n") -> Column:
 def gray_stats(hist: DataFrame) -> DataFrame:
     """A1: mean, population spread, mean absolute deviation, least and greatest gray value."""
     n, v = F.col("n"), F.col("v")
-    mean = F.sum(v * n).over(FRAME) / F.sum(n).over(FRAME)
+    mean = F.sum(v * n).over(by_frame()) / F.sum(n).over(by_frame())
     d = hist.withColumn("_m", mean)
     return d.groupBy("frame_id").agg(
         F.max("_m").alias("mean_gray"),
@@ -44,7 +45,7 @@ def exposure_metrics(hist: DataFrame, white_thr: float = 250.0) -> DataFrame:
 def histogram_metrics(hist: DataFrame, white_thr: float = 250.0) -> DataFrame:
     """A1 and A2 in one pass over the histogram."""
     n, v = F.col("n"), F.col("v")
-    d = hist.withColumn("_m", F.sum(v * n).over(FRAME) / F.sum(n).over(FRAME))
+    d = hist.withColumn("_m", F.sum(v * n).over(by_frame()) / F.sum(n).over(by_frame()))
     p = F.percentile("v", F.array(F.lit(0.01), F.lit(0.95), F.lit(0.99)), F.col("n"))
     return d.groupBy("frame_id").agg(
         F.sqrt(F.sum(n * (v - F.col("_m")) * (v - F.col("_m"))) / F.sum(n)).alias("std_gray"),
@@ -65,9 +66,9 @@ def percentile_span(hist: DataFrame) -> DataFrame:
 
 def _mad(d: DataFrame, v: str, med: str) -> DataFrame:
     """Weighted median of ``v`` into ``med`` and of the distance to it into ``med + '_mad'``."""
-    return d.withColumn(med, pct(v, 0.5).over(FRAME)) \
+    return d.withColumn(med, pct(v, 0.5).over(by_frame())) \
         .withColumn("_dev", F.abs(F.col(v) - F.col(med))) \
-        .withColumn(med + "_mad", pct("_dev", 0.5).over(FRAME)).drop("_dev")
+        .withColumn(med + "_mad", pct("_dev", 0.5).over(by_frame())).drop("_dev")
 
 
 def robust_std(lines: DataFrame, sigma: float = 12.0, clip=(0.05, 0.95)) -> DataFrame:
@@ -76,7 +77,7 @@ def robust_std(lines: DataFrame, sigma: float = 12.0, clip=(0.05, 0.95)) -> Data
     hp = lines.join(low.withColumnRenamed("vals", "low").drop("height"), ["frame_id", "y"]) \
         .select("frame_id", F.zip_with("vals", "low", lambda a, b: a - b).alias("vals"))
     d = line_histogram(hp) \
-        .withColumns({"_lo": pct("v", clip[0]).over(FRAME), "_hi": pct("v", clip[1]).over(FRAME)}) \
+        .withColumns({"_lo": pct("v", clip[0]).over(by_frame()), "_hi": pct("v", clip[1]).over(by_frame())}) \
         .withColumn("v", F.least(F.greatest("v", "_lo"), F.col("_hi")))
     return _mad(d, "v", "_med").groupBy("frame_id") \
         .agg((F.lit(1.4826) * F.max("_med_mad")).alias("hp_rstd"))
@@ -128,7 +129,7 @@ def vignette(profile: DataFrame, bins: int = 24) -> DataFrame:
 
     A flat profile has no correlation; it is null here.
     """
-    d = F.col("mean") - F.lag("mean").over(FRAME.orderBy("ring"))
+    d = F.col("mean") - F.lag("mean").over(by_frame().orderBy("ring"))
     r = F.col("ring") / (bins - 1.0)
     m = F.col("mean")
     a = profile.withColumn("_d", d).groupBy("frame_id").agg(
@@ -149,7 +150,7 @@ def topk_gradient(lines: DataFrame, k: int = 500) -> DataFrame:
     Equal gradients are counted first; the rank of a count row is the running count.
     """
     h = line_histogram(sobel(gaussian(lines, 5)))
-    run = F.sum("n").over(FRAME.orderBy(F.col("v").desc())
+    run = F.sum("n").over(by_frame().orderBy(F.col("v").desc())
                           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     take = F.greatest(F.least(F.col("n"), F.lit(max(1, k)) - (F.col("run") - F.col("n"))), F.lit(0))
     return h.withColumn("run", run).withColumn("take", take).filter("take > 0") \

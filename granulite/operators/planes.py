@@ -40,20 +40,19 @@ def gray(pixels: DataFrame, err: str = "E2005") -> DataFrame:
     })
 
 
-@F.pandas_udf("array<double>")
-def _gray_line(line: pd.Series, channels: pd.Series) -> pd.Series:
-    def one(raw, c):
-        px = np.frombuffer(raw, np.uint8).reshape(-1, c).astype(np.int64)
-        if c == 1:
-            return px[:, 0].astype(float)
-        s = px[:, 0] * LUMA_B + px[:, 1] * LUMA_G + px[:, 2] * LUMA_R + (1 << (LUMA_SHIFT - 1))
-        return (s >> LUMA_SHIFT).astype(float)
-    return pd.Series([one(r, c) for r, c in zip(line, channels)])
-
-
 def to_lines(frames: DataFrame) -> DataFrame:
     """Gray lines of ``frames`` (row-major bytes). Frames with a bad channel count or no
     bytes give no lines. Lines are cut in the JVM, so Python sees one line at a time."""
+    @F.pandas_udf("array<double>")
+    def gray_line(line: pd.Series, channels: pd.Series) -> pd.Series:
+        def one(raw, c):
+            px = np.frombuffer(raw, np.uint8).reshape(-1, c).astype(np.int64)
+            if c == 1:
+                return px[:, 0].astype(float)
+            s = px[:, 0] * LUMA_B + px[:, 1] * LUMA_G + px[:, 2] * LUMA_R + (1 << (LUMA_SHIFT - 1))
+            return (s >> LUMA_SHIFT).astype(float)
+        return pd.Series([one(r, c) for r, c in zip(line, channels)])
+
     stride = F.col("width") * F.col("n_channels")
     good = frames.filter(F.col("n_channels").isin(*GRAY_CHANNELS) & (F.col("height") > 0)
                          & (F.col("width") > 0))
@@ -61,7 +60,7 @@ def to_lines(frames: DataFrame) -> DataFrame:
                       F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y"))
     raw = cut.select("frame_id", "height", "y", "n_channels",
                      F.substring(F.col("data"), F.col("y") * F.col("_s") + 1, F.col("_s")).alias("_b"))
-    return raw.select("frame_id", "height", "y", _gray_line("_b", "n_channels").alias("vals"))
+    return raw.select("frame_id", "height", "y", gray_line("_b", "n_channels").alias("vals"))
 
 
 def to_pixels(lines: DataFrame) -> DataFrame:

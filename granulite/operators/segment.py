@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from granulite.operators.metrics import FRAME
+from granulite.operators.metrics import by_frame
 from granulite.operators.planes import frame_sizes, let, line_histogram, pad_box
 from granulite.operators.stencils import gaussian
 
@@ -38,10 +38,10 @@ def otsu(hist: DataFrame) -> DataFrame:
 
     Works on at most 256 histogram rows per frame.
     """
-    run = FRAME.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = by_frame().orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     n, v = F.col("n").cast("double"), F.col("v")
     d = hist.withColumns({"n1": F.sum(n).over(run), "s1": F.sum(n * v).over(run),
-                          "nt": F.sum(n).over(FRAME), "st": F.sum(n * v).over(FRAME)})
+                          "nt": F.sum(n).over(by_frame()), "st": F.sum(n * v).over(by_frame())})
     gap = F.col("nt") * F.col("s1") - F.col("n1") * F.col("st")
     var = F.try_divide(gap * gap, F.col("n1") * (F.col("nt") - F.col("n1")))
     best = d.withColumn("var", var).groupBy("frame_id").agg(
@@ -91,8 +91,9 @@ def connected(nodes: DataFrame, edges: DataFrame, jumps: int = 3) -> DataFrame:
 
     Every round hooks each component onto its least neighbour, shortens the hook chains by
     doubling, and contracts the edges, so components shrink geometrically; all frames go
-    together and keys are spread by ``(frame_id, label)``. Lineage is cut by a reliable
-    checkpoint each round, so a lost executor repeats one round at most.
+    together and keys are spread by ``(frame_id, label)``. Hooks and edges are cut by a reliable
+    checkpoint each round, so a lost executor repeats one round at most; labels are one
+    join per round on those tables.
     """
     spark = nodes.sparkSession
     ensure_checkpoint_dir(spark)
@@ -107,7 +108,7 @@ def connected(nodes: DataFrame, edges: DataFrame, jumps: int = 3) -> DataFrame:
                 .select("frame_id", "label", F.coalesce("to2", "to").alias("to"))
         hook = hook.checkpoint()
         lab = lab.join(hook, ["frame_id", "label"], "left") \
-            .select("frame_id", "rid", F.coalesce("to", "label").alias("label")).checkpoint()
+            .select("frame_id", "rid", F.coalesce("to", "label").alias("label"))
         for side in ("a", "b"):
             h = hook.select("frame_id", F.col("label").alias(side), "to")
             other = "b" if side == "a" else "a"
@@ -213,32 +214,30 @@ def scale_contour(points: DataFrame, sizes: DataFrame) -> DataFrame:
         moved.withColumn("code", F.lit(None).cast("string")))
 
 
-def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Corner points of the convex hull of integer points, counter-clockwise in x, y."""
-    p = np.unique(pdf[["x", "y"]].to_numpy(np.int64), axis=0)
-
-    def half(seq):
-        out = []
-        for q in seq:
-            while len(out) > 1 and ((out[-1][0] - out[-2][0]) * (q[1] - out[-2][1])
-                                    <= (out[-1][1] - out[-2][1]) * (q[0] - out[-2][0])):
-                out.pop()
-            out.append(q)
-        return out
-    ring = [tuple(q) for q in p] if len(p) < 3 else [tuple(q) for q in half(p)[:-1] + half(p[::-1])[:-1]]
-    return pd.DataFrame({"frame_id": pdf["frame_id"].iloc[0], "i": range(len(ring)),
-                         "x": [int(q[0]) for q in ring], "y": [int(q[1]) for q in ring]})
-
-
 def hull(points: DataFrame) -> DataFrame:
     """Convex hull corners ``(frame_id, i, x, y)``.
 
     Only the top and bottom point of each column can be a corner, so those are picked first,
     map-side; what reaches Python is at most two points per image column.
     """
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        p = np.unique(pdf[["x", "y"]].to_numpy(np.int64), axis=0)
+
+        def half(seq):
+            out = []
+            for q in seq:
+                while len(out) > 1 and ((out[-1][0] - out[-2][0]) * (q[1] - out[-2][1])
+                                        <= (out[-1][1] - out[-2][1]) * (q[0] - out[-2][0])):
+                    out.pop()
+                out.append(q)
+            return out
+        ring = list(p) if len(p) < 3 else half(p)[:-1] + half(p[::-1])[:-1]
+        return pd.DataFrame({"frame_id": pdf["frame_id"].iloc[0], "i": range(len(ring)),
+                             "x": [int(q[0]) for q in ring], "y": [int(q[1]) for q in ring]})
+
     ends = points.groupBy("frame_id", "x").agg(F.min("y").alias("lo"), F.max("y").alias("hi")) \
         .select("frame_id", "x", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("y"))
-    return ends.groupBy("frame_id").applyInPandas(_chain, "frame_id bigint, i int, x int, y int")
+    return ends.groupBy("frame_id").applyInPandas(chain, "frame_id bigint, i int, x int, y int")
 
 
 def polygon_spans(hulls: DataFrame) -> DataFrame:
@@ -247,7 +246,7 @@ def polygon_spans(hulls: DataFrame) -> DataFrame:
     Every edge gives the columns it covers on each line; a flat edge covers those nearer to
     this line than to the next. The span runs from the least to the greatest of them.
     """
-    n = F.count("*").over(FRAME)
+    n = F.count("*").over(by_frame())
     # two copies per corner: as the start of its edge and as the end of the one before
     c = hulls.select("frame_id", "i", "x", "y", n.cast("int").alias("n"))
     ends = c.select("frame_id", F.explode(F.array(
