@@ -358,12 +358,12 @@ BLOB = W.replace("WITH ", "WITH RECURSIVE ") + BIN + """,
  top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY area DESC, label) AS r FROM fact) WHERE r = 1)"""
 
 
-@query("a10_largest_blob", BLOB + " SELECT frame_id, label, area, bx, "by", bw, bh FROM top")
+@query("a10_largest_blob", BLOB + ' SELECT frame_id, label, area, bx, "by", bw, bh FROM top')
 def _(spark, sf):
     return big(S.largest_blob(S.binarize(frames8(spark, sf)))).select("frame_id", "label", "area", "bx", "by", "bw", "bh")
 
 
-@query("a11_blob_facts", BLOB + " SELECT frame_id, label, area, round(area / 64.0::DOUBLE, 6) AS share, bx, "by", bw, bh FROM fact")
+@query("a11_blob_facts", BLOB + ' SELECT frame_id, label, area, round(area / 64.0::DOUBLE, 6) AS share, bx, "by", bw, bh FROM fact')
 def _(spark, sf):
     d = rounded(big(S.blob_facts(S.blobs(S.binarize(frames8(spark, sf))))), "share")
     return d.select("frame_id", "label", "area", "share", "bx", "by", "bw", "bh")
