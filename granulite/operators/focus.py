@@ -11,7 +11,7 @@ from granulite.operators import segment as S
 from granulite.operators.ordered import (INDEX_CHUNK, group_totals, index_chunk, own_rows, running,
                                          with_halo)
 from granulite.operators.planes import crop
-from granulite.operators.stencils import gaussian, laplacian
+from granulite.operators.stencils import LAPLACIAN, blur, filtered
 
 KEY = ["scan_id"]
 
@@ -200,7 +200,7 @@ def laplacian_score(lines: DataFrame, pre_blur: int = 5) -> DataFrame:
     """Mean absolute Laplacian of the blurred inscribed square of the greatest blob, else 0."""
     spans = S.largest_blob_spans(S.binarize(lines, pre_blur))
     sq = crop(lines, S.inscribed_square(spans))
-    lap = laplacian(gaussian(sq, 5)).select("frame_id", F.explode("vals").alias("v"))
+    lap = filtered(sq, blur(5), LAPLACIAN).select("frame_id", F.explode("vals").alias("v"))
     got = lap.groupBy("frame_id").agg(F.avg(F.abs("v")).alias("lap"))
     return lines.groupBy("frame_id").agg(F.lit(1).alias("_")).drop("_").join(got, "frame_id", "left") \
         .withColumn("lap", F.coalesce("lap", F.lit(0.0)))

@@ -7,11 +7,13 @@ windows below hold the distinct values of one frame.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granulite.operators.planes import line_histogram
-from granulite.operators.stencils import gaussian, sobel
+from granulite.operators.planes import line_histogram, plane_histogram, unroll
+from granulite.operators.stencils import SOBEL, blur, filtered, planes, sobel
 
 def by_frame():
     return Window.partitionBy("frame_id")
@@ -73,9 +75,8 @@ def _mad(d: DataFrame, v: str, med: str) -> DataFrame:
 
 def robust_std(lines: DataFrame, sigma: float = 12.0, clip=(0.05, 0.95)) -> DataFrame:
     """A4: robust spread of the plane minus its wide blur, clipped to two percentiles."""
-    low = gaussian(lines, 0, sigma, round_u8=False)
-    hp = lines.join(low.withColumnRenamed("vals", "low").drop("height"), ["frame_id", "y"]) \
-        .select("frame_id", F.zip_with("vals", "low", lambda a, b: a - b).alias("vals"))
+    low = planes(lines, low=[blur(0, sigma, False)])
+    hp = low.select("frame_id", F.zip_with("vals", "low", lambda a, b: a - b).alias("vals"))
     d = line_histogram(hp) \
         .withColumns({"_lo": pct("v", clip[0]).over(by_frame()), "_hi": pct("v", clip[1]).over(by_frame())}) \
         .withColumn("v", F.least(F.greatest("v", "_lo"), F.col("_hi")))
@@ -92,19 +93,21 @@ def edge_activity(lines: DataFrame, act_k: float = 6.0) -> DataFrame:
         (F.sum(F.when(F.col("v") > thr, F.col("n")).otherwise(0)) / F.sum("n")).alias("edge_act"))
 
 
+def ring_of(y, x, h, w, bins: int):
+    """Ring number of a pixel by its radius over that of the far corner; ``bins`` for the rim itself."""
+    cy, cx = h / 2.0, w / 2.0
+    r = F.sqrt((y - cy) * (y - cy) + (x - cx) * (x - cx)) / (F.sqrt(cy * cy + cx * cx) + 1e-9)
+    return F.least(F.floor(r * bins), F.lit(bins).cast("bigint"))
+
+
 def radial_profile(lines: DataFrame, bins: int = 24) -> DataFrame:
     """Mean gray value per ring ``(frame_id, ring, mean)``, all rings present.
 
     Rings are half-open in normalised radius, an empty one takes the frame mean. Sums are
-    taken per line first, so at most ``bins`` partial rows leave a line.
+    combined map-side, so at most ``bins + 1`` partial rows per frame leave a task.
     """
-    w, h = F.size("vals"), F.col("height")
-    cy, cx = h / 2.0, w / 2.0
-    far = F.sqrt(cy * cy + cx * cx) + 1e-9
-    ring = F.least(F.floor(F.sqrt((F.col("y") - F.col("cy")) ** 2 + (F.col("x") - F.col("cx")) ** 2)
-                           / F.col("far") * bins), F.lit(bins))
-    px = lines.select("frame_id", "y", cy.alias("cy"), cx.alias("cx"), far.alias("far"),
-                      F.posexplode("vals").alias("x", "v")).select("frame_id", "v", ring.alias("ring"))
+    px = lines.select("frame_id", "y", "height", F.size("vals").alias("width"), F.posexplode("vals").alias("x", "v")) \
+        .select("frame_id", "v", ring_of(F.col("y"), F.col("x"), F.col("height"), F.col("width"), bins).alias("ring"))
     part = px.groupBy("frame_id", "ring").agg(F.sum("v").alias("s"), F.count("*").alias("n"))
     # at most bins + 1 entries per frame
     whole = part.groupBy("frame_id").agg(
@@ -149,7 +152,7 @@ def topk_gradient(lines: DataFrame, k: int = 500) -> DataFrame:
 
     Equal gradients are counted first; the rank of a count row is the running count.
     """
-    h = line_histogram(sobel(gaussian(lines, 5)))
+    h = line_histogram(filtered(lines, blur(5), SOBEL))
     run = F.sum("n").over(by_frame().orderBy(F.col("v").desc())
                           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     take = F.greatest(F.least(F.col("n"), F.lit(max(1, k)) - (F.col("run") - F.col("n"))), F.lit(0))
@@ -169,3 +172,61 @@ def ring_strength(lines: DataFrame, rw: int = 5) -> DataFrame:
     got = line_histogram(med).groupBy("frame_id").agg(pct("v", 0.5).alias("edge_strength"))
     return lines.groupBy("frame_id").agg(F.lit(1).alias("_")).drop("_").join(got, "frame_id", "left") \
         .withColumn("edge_strength", F.coalesce("edge_strength", F.lit(0.0)))
+
+
+def pattern_metrics(lines: DataFrame, hp_sigma: float = 12.0, clip=(0.05, 0.95), act_k: float = 6.0,
+                    vignette_blur: int = 31, bins: int = 24) -> DataFrame:
+    """A3 to A7 of already shrunk and blurred frames in one pass, one row per frame.
+
+    One band shuffle filters all planes; their values are counted together per ``(frame, plane, value)``;
+    one shuffle by frame then ranks the counts. Clipping does not move a median, so the
+    high-pass median needs no second ranking.
+    """
+    p = planes(lines, low=[blur(0, hp_sigma, False)], mag=[SOBEL], vb=[blur(vignette_blur)])
+    rings = F.transform("vb", lambda v, x: F.struct(
+        ring_of(F.col("y"), x, F.col("height"), F.size("vb"), bins).cast("double").alias("v"), v.alias("s")))
+
+    def plain(arr):
+        return F.transform(arr, lambda v: F.struct(v.alias("v"), F.lit(0.0).alias("s")))
+    tall = unroll(p, {"g": plain("vals"), "h": plain(F.zip_with("vals", "low", lambda a, b: a - b)),
+                      "m": plain("mag"), "r": rings})
+    c = plane_histogram(tall).repartition("frame_id")
+    w = Window.partitionBy("frame_id", "plane")
+    qs = (clip[0], 0.1, 0.5, 0.9, clip[1])
+    c = c.withColumn("_q", F.percentile("v", F.array(*[F.lit(x) for x in qs]), F.col("n")).over(w))
+    v = F.when(F.col("plane") == "h", F.least(F.greatest("v", F.col("_q")[0]), F.col("_q")[4])).otherwise(F.col("v"))
+    c = c.withColumn("_dev", F.abs(v - F.col("_q")[2]))
+    c = c.withColumn("_mad", F.percentile("_dev", F.lit(0.5), F.col("n")).over(w))
+
+    def of(plane, x):
+        return F.when(F.col("plane") == plane, x)
+    hot = F.col("v") > F.col("_q")[2] + act_k * (1.4826 * F.col("_mad") + 1e-6)
+    ring_rows = F.map_from_entries(F.collect_list(of("r", F.struct(F.col("v").cast("int").alias("k"), (F.col("s") / F.col("n")).alias("m")))))
+    a = c.groupBy("frame_id").agg(
+        F.max(of("g", F.col("_q")[1])).alias("p10"), F.max(of("g", F.col("_q")[3])).alias("p90"),
+        (F.lit(1.4826) * F.max(of("h", F.col("_mad")))).alias("hp_rstd"),
+        F.max(of("m", F.col("_q")[3])).alias("sobel_p90"),
+        (F.sum(F.when((F.col("plane") == "m") & hot, F.col("n")).otherwise(0)) / F.sum(of("m", F.col("n")))).alias("edge_act"),
+        ring_rows.alias("_m"), (F.sum(of("r", F.col("s"))) / F.sum(of("r", F.col("n")))).alias("_mean"))
+    means = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda k: F.coalesce(F.try_element_at("_m", k), F.col("_mean")))
+    prof = a.withColumn("_p", means)
+    steps = F.zip_with(F.slice("_p", 2, bins - 1), F.slice("_p", 1, bins - 1), lambda y, x: y - x)
+
+    def share(cond):
+        return F.size(F.filter("_d", cond)) / (bins - 1.0)
+    prof = prof.withColumn("_d", steps)
+    rad = [k / (bins - 1.0) for k in range(bins)]
+    rbar = sum(rad) / bins
+    sr = math.sqrt(sum((x - rbar) ** 2 for x in rad) / bins)
+    mbar = F.aggregate("_p", F.lit(0.0), lambda acc, x: acc + x) / bins
+    prof = prof.withColumn("_mb", mbar)
+    cov = F.aggregate(F.zip_with("_p", F.array(*[F.lit(x - rbar) for x in rad]), lambda m, r: (m - F.col("_mb")) * r),
+                      F.lit(0.0), lambda acc, x: acc + x) / bins
+    sm = F.sqrt(F.aggregate("_p", F.lit(0.0), lambda acc, m: acc + (m - F.col("_mb")) * (m - F.col("_mb"))) / bins)
+    edge = (F.col("_p")[bins - 2] + F.col("_p")[bins - 1]) / 2
+    prof = prof.withColumns({"span": F.col("p90") - F.col("p10"), "center": F.col("_p")[0], "edge": edge,
+                             "_cov": cov, "_sm": sm})
+    return prof.select("frame_id", "p10", "p90", "span", "hp_rstd", "sobel_p90", "edge_act", "center", "edge",
+                       (F.col("edge") - F.col("center")).alias("dEC"), F.abs(F.col("edge") - F.col("center")).alias("dAbs"),
+                       F.greatest(share(lambda x: x > 0), share(lambda x: x < 0)).alias("mono"),
+                       F.when(F.col("_sm") > 1e-9, F.try_divide(F.col("_cov"), F.col("_sm") * sr)).alias("corr"))

@@ -82,6 +82,18 @@ def line_histogram(lines: DataFrame) -> DataFrame:
         .groupBy("frame_id", "v").agg(F.count("*").alias("n"))
 
 
+def unroll(lines: DataFrame, planes: dict) -> DataFrame:
+    """Several planes of a line as rows ``(frame_id, plane, v, s)``; entries are ``struct(v, s)`` arrays."""
+    one = F.array(*[F.struct(F.lit(n).alias("plane"), a.alias("a")) for n, a in planes.items()])
+    p = lines.select("frame_id", F.explode(one).alias("p"))
+    return p.select("frame_id", "p.plane", F.explode("p.a").alias("e")).select("frame_id", "plane", "e.v", "e.s")
+
+
+def plane_histogram(tall: DataFrame) -> DataFrame:
+    """Counts ``n`` and sums ``s`` per ``(frame_id, plane, v)``, combined map-side."""
+    return tall.groupBy("frame_id", "plane", "v").agg(F.count("*").alias("n"), F.sum("s").alias("s"))
+
+
 def frame_sizes(lines: DataFrame) -> DataFrame:
     return lines.groupBy("frame_id").agg(F.max("height").alias("height"),
                                          F.max(F.size("vals")).alias("width"))

@@ -7,12 +7,13 @@ import tempfile
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granulite.operators.metrics import by_frame
-from granulite.operators.planes import frame_sizes, let, line_histogram, pad_box
-from granulite.operators.stencils import gaussian
+from granulite.operators.planes import pad_box
+from granulite.operators.stencils import BAND, blur, planes
 
 _dirs = itertools.count()
 
@@ -53,53 +54,73 @@ def binarize(lines: DataFrame, pre_blur: int = 0) -> DataFrame:
     """``bits`` is 1 for the brighter class.
 
     The threshold comes from the blurred frame when ``pre_blur`` is set, the class means from
-    the raw one. A class without pixels has mean 0.
+    the raw one; both follow from counts and raw sums per level, at most 256 rows per frame. A
+    class without pixels has mean 0.
     """
-    if pre_blur > 0:
-        b = gaussian(lines, pre_blur).select("frame_id", "y", F.col("vals").alias("seg"))
-        both = lines.join(b, ["frame_id", "y"])
-    else:
-        both = lines.withColumn("seg", F.col("vals"))
-    thr = otsu(line_histogram(both.select("frame_id", F.col("seg").alias("vals"))))
-    j = both.join(thr, "frame_id")
-    px = j.select("frame_id", "thr", F.explode(F.arrays_zip("seg", "vals")).alias("p"))
-    hi = F.col("p.seg") > F.col("thr")
-    cls = px.groupBy("frame_id").agg(
-        F.coalesce(F.avg(F.when(hi, F.col("p.vals"))), F.lit(0.0)).alias("fg_mean"),
-        F.coalesce(F.avg(F.when(~hi, F.col("p.vals"))), F.lit(0.0)).alias("bg_mean"))
-    rule = thr.join(cls, "frame_id").withColumn("inverted", F.col("fg_mean") < F.col("bg_mean"))
+    both = planes(lines, seg=[blur(pre_blur)]) if pre_blur > 0 else lines.withColumn("seg", F.col("vals"))
+    level = both.select("frame_id", F.explode(F.arrays_zip("seg", "vals")).alias("p")) \
+        .groupBy("frame_id", F.col("p.seg").alias("v")) \
+        .agg(F.count("*").alias("n"), F.sum("p.vals").alias("s"))
+    j = level.join(otsu(level.select("frame_id", "v", "n")), "frame_id")
+    hi = F.col("v") > F.col("thr")
+
+    def mean(cond):
+        return F.coalesce(F.try_divide(F.sum(F.when(cond, F.col("s"))), F.sum(F.when(cond, F.col("n")))), F.lit(0.0))
+    rule = j.groupBy("frame_id").agg(F.max("thr").alias("thr"), mean(hi).alias("fg_mean"), mean(~hi).alias("bg_mean")) \
+        .withColumn("inverted", F.col("fg_mean") < F.col("bg_mean"))
+
+    @F.arrow_udf("array<int>")
+    def bit_line(seg: pa.Array, thr: pa.Array, inv: pa.Array) -> pa.Array:
+        off = seg.offsets.to_numpy()
+        n = np.diff(off)
+        v = seg.values.to_numpy(zero_copy_only=False)[off[0]:off[-1]]
+        t = np.repeat(thr.to_numpy(zero_copy_only=False), n)
+        flip = np.repeat(inv.to_numpy(zero_copy_only=False).astype(bool), n)
+        return pa.ListArray.from_arrays(pa.array(off - off[0]), pa.array(((v > t) != flip).astype(np.int32)))
     return both.join(rule, "frame_id").select(
         "frame_id", "height", "y", "thr", "fg_mean", "bg_mean", "inverted",
-        F.transform("seg", lambda v: ((v > F.col("thr")) != F.col("inverted")).cast("int")).alias("bits"))
+        bit_line("seg", "thr", "inverted").alias("bits"))
 
 
 # ---- blobs ---------------------------------------------------------------
 
 def line_runs(binary: DataFrame) -> DataFrame:
-    """Maximal runs of set pixels ``(frame_id, y, x0, x1)``, ends included, found per line."""
-    b = F.col("bits")
-    i = F.sequence(F.lit(0), F.size(b) - 1)
-    starts = F.filter(i, lambda x: (F.get(b, x) == 1) & (F.coalesce(F.get(b, x - 1), F.lit(0)) == 0))
-    ends = F.filter(i, lambda x: (F.get(b, x) == 1) & (F.coalesce(F.get(b, x + 1), F.lit(0)) == 0))
-    return binary.select("frame_id", "height", F.size(b).alias("width"), "y",
-                         F.explode(F.arrays_zip(starts.alias("x0"), ends.alias("x1"))).alias("r")) \
-        .select("frame_id", "height", "width", "y", "r.x0", "r.x1")
-
+    """Maximal runs of set pixels ``(frame_id, y, x0, x1)``, ends included, found per line.
 
-def connected(nodes: DataFrame, edges: DataFrame, jumps: int = 3) -> DataFrame:
-    """Least reachable ``rid`` per node: ``nodes(frame_id, rid)``, ``edges(frame_id, a, b)``.
+    ``rid`` numbers runs by their first pixel in scan order.
+    """
+    @F.arrow_udf("array<struct<x0: int, x1: int>>")
+    def runs(bits: pa.Array) -> pa.Array:
+        off = bits.offsets.to_numpy()
+        v = bits.values.to_numpy(zero_copy_only=False)[off[0]:off[-1]] == 1
+        off = off - off[0]
+        first, last = np.zeros(len(v) + 1, bool), np.zeros(len(v) + 1, bool)
+        first[off], last[off] = True, True
+        start = np.flatnonzero(v & (first[:-1] | ~np.concatenate(([False], v[:-1]))))
+        end = np.flatnonzero(v & (last[1:] | ~np.concatenate((v[1:], [False]))))
+        line = np.searchsorted(off, start, side="right") - 1
+        spans = pa.StructArray.from_arrays([pa.array((start - off[line]).astype(np.int32)),
+                                            pa.array((end - off[line]).astype(np.int32))], ["x0", "x1"])
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(line, np.arange(len(off))).astype(np.int32)), spans)
+    r = binary.select("frame_id", "height", F.size("bits").alias("width"), "y", F.explode(runs("bits")).alias("r"))
+    return r.select("frame_id", "height", "width", "y", "r.x0", "r.x1",
+                    (F.col("y").cast("bigint") * F.col("width") + F.col("r.x0")).alias("rid"))
+
+
+def connected(edges: DataFrame, jumps: int = 3) -> DataFrame | None:
+    """Least reachable id of every id that meets another: ``edges(frame_id, a, b)`` to ``(frame_id, rid, label)``.
 
     Every round hooks each component onto its least neighbour, shortens the hook chains by
     doubling, and contracts the edges, so components shrink geometrically; all frames go
     together and keys are spread by ``(frame_id, label)``. Hooks and edges are cut by a reliable
-    checkpoint each round, so a lost executor repeats one round at most; labels are one
-    join per round on those tables.
+    checkpoint each round, so a lost executor repeats one round at most. None without edges.
     """
-    spark = nodes.sparkSession
-    ensure_checkpoint_dir(spark)
-    lab = nodes.select("frame_id", "rid", F.col("rid").alias("label"))
+    ensure_checkpoint_dir(edges.sparkSession)
     ce = edges.select("frame_id", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")) \
         .filter("a <> b").distinct().checkpoint()
+    if ce.isEmpty():
+        return None
+    lab = ce.select("frame_id", F.explode(F.array("a", "b")).alias("rid")).distinct().withColumn("label", F.col("rid"))
     while not ce.isEmpty():
         hook = ce.groupBy("frame_id", F.col("a").alias("label")).agg(F.min("b").alias("to"))
         for _ in range(jumps):
@@ -119,17 +140,62 @@ def connected(nodes: DataFrame, edges: DataFrame, jumps: int = 3) -> DataFrame:
     return lab
 
 
-def blobs(binary: DataFrame) -> DataFrame:
+def label_runs(runs: DataFrame, slack: int = 1, band: int = BAND) -> DataFrame:
+    """Runs with the least ``rid`` of their blob as ``label``; ``slack=1`` joins diagonal neighbours.
+
+    Two levels: runs of one band of lines are labelled together, then only the few labels
+    that meet at a band border go through :func:`connected`. Frames of one band need no round.
+    """
+    def local(t):
+        c = {n: t[n].to_numpy() for n in ("frame_id", "y", "x0", "x1", "rid")}
+        o = np.lexsort((c["x0"], c["y"], c["frame_id"]))
+        f, y, x0, x1, rid = (c[n][o].astype(np.int64) for n in ("frame_id", "y", "x0", "x1", "rid"))
+        # one key per line, two apart so that a line never meets the next frame's
+        new = np.concatenate(([True], (f[1:] != f[:-1]) | (y[1:] != y[:-1])))
+        step = np.where(new, 2, 0)
+        step[1:][(f[1:] == f[:-1]) & (y[1:] - y[:-1] == 1)] = 1
+        wide = int(x1.max()) + 4
+        key = np.cumsum(step) * wide
+        lo = np.searchsorted(key + x1, key + wide + x0 - slack, side="left")
+        hi = np.searchsorted(key + x0, key + wide + x1 + slack, side="right")
+        n = np.maximum(hi - lo, 0)
+        a = np.repeat(np.arange(len(f)), n)
+        b = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+        lab = np.arange(len(f))
+        while True:
+            m = lab.copy()
+            np.minimum.at(m, lab[a], lab[b])
+            np.minimum.at(m, lab[b], lab[a])
+            m = m[m]
+            m = np.minimum(m, m[lab])
+            if (m == lab).all():
+                break
+            lab = m
+        back = np.empty_like(o)
+        back[o] = np.arange(len(o))
+        return t.append_column("local", pa.array(rid[lab][back]))
+    schema = "frame_id bigint, height int, width int, y int, x0 int, x1 int, rid bigint, _pack bigint, _band bigint, local bigint"
+    pack = F.floor(F.col("frame_id") / F.greatest(F.floor(F.lit(band) / F.col("height")), F.lit(1)))
+    cut = runs.select("frame_id", "height", "width", "y", "x0", "x1", "rid", pack.alias("_pack"),
+                      F.floor(F.col("y") / F.lit(band)).alias("_band"))
+    ensure_checkpoint_dir(runs.sparkSession)
+    loc = cut.groupBy("_pack", "_band").applyInArrow(local, schema).drop("_pack", "_band").checkpoint()
+    side = [F.col("x0"), F.col("x1"), F.col("local")]
+    up = loc.filter((F.col("y") + 1) % band == 0).select("frame_id", "y", *[c.alias(n) for c, n in zip(side, ("a0", "a1", "a"))])
+    dn = loc.filter((F.col("y") % band == 0) & (F.col("y") > 0)) \
+        .select("frame_id", (F.col("y") - 1).alias("y"), *[c.alias(n) for c, n in zip(side, ("b0", "b1", "b"))])
+    edges = up.join(dn, ["frame_id", "y"]) \
+        .filter((F.col("a0") <= F.col("b1") + slack) & (F.col("b0") <= F.col("a1") + slack)).select("frame_id", "a", "b")
+    final = connected(edges)
+    if final is None:
+        return loc.withColumnRenamed("local", "label")
+    return loc.join(final.withColumnRenamed("rid", "local"), ["frame_id", "local"], "left") \
+        .withColumn("label", F.coalesce("label", "local")).drop("local")
+
+
+def blobs(binary: DataFrame, band: int = BAND) -> DataFrame:
     """Line runs with their blob label (8-neighbour connectivity)."""
-    runs = line_runs(binary).withColumn(
-        "rid", F.col("y").cast("bigint") * F.col("width") + F.col("x0"))
-    ensure_checkpoint_dir(binary.sparkSession)
-    runs = runs.checkpoint()
-    a = runs.select("frame_id", "y", F.col("x0").alias("a0"), F.col("x1").alias("a1"), F.col("rid").alias("a"))
-    b = runs.select("frame_id", (F.col("y") - 1).alias("y"), F.col("x0").alias("b0"),
-                    F.col("x1").alias("b1"), F.col("rid").alias("b"))
-    edges = a.join(b, ["frame_id", "y"]).filter("a0 <= b1 + 1 AND b0 <= a1 + 1").select("frame_id", "a", "b")
-    return runs.join(connected(runs, edges), ["frame_id", "rid"])
+    return label_runs(line_runs(binary), 1, band)
 
 
 def blob_facts(labelled: DataFrame) -> DataFrame:
@@ -163,18 +229,10 @@ def largest_blob_spans(binary: DataFrame, filled: bool = True) -> DataFrame:
     return fill_holes(spans) if filled else spans
 
 
-def fill_holes(spans: DataFrame) -> DataFrame:
+def fill_holes(spans: DataFrame, band: int = BAND) -> DataFrame:
     """Add the clear regions that no 4-neighbour path joins to the frame border."""
     bits = _mask_bits(spans)
-    clear = line_runs(bits.withColumn("bits", F.transform("bits", lambda b: 1 - b))) \
-        .withColumn("rid", F.col("y").cast("bigint") * F.col("width") + F.col("x0"))
-    ensure_checkpoint_dir(spans.sparkSession)
-    clear = clear.checkpoint()
-    a = clear.select("frame_id", "y", F.col("x0").alias("a0"), F.col("x1").alias("a1"), F.col("rid").alias("a"))
-    b = clear.select("frame_id", (F.col("y") - 1).alias("y"), F.col("x0").alias("b0"),
-                     F.col("x1").alias("b1"), F.col("rid").alias("b"))
-    edges = a.join(b, ["frame_id", "y"]).filter("a0 <= b1 AND b0 <= a1").select("frame_id", "a", "b")
-    lab = clear.join(connected(clear, edges), ["frame_id", "rid"])
+    lab = label_runs(line_runs(bits.withColumn("bits", F.transform("bits", lambda b: 1 - b))), 0, band)
     border = (F.col("y") == 0) | (F.col("y") == F.col("height") - 1) | (F.col("x0") == 0) \
         | (F.col("x1") == F.col("width") - 1)
     inner = lab.groupBy("frame_id", "label").agg(F.bool_or(border).alias("open")).filter("NOT open")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granulite.operators import metrics as M
 from granulite.operators.planes import (GRAY_CHANNELS, center_box, downscale, full_box,
-                                        line_histogram)
-from granulite.operators.stencils import gaussian
+                                        line_histogram, plane_histogram, unroll)
+from granulite.operators.stencils import blur, gaussian, planes
 from granulite.thresholds import CHECK_ONLY, Thresholds
 
 
@@ -34,12 +34,7 @@ def is_uniform(stats: DataFrame, thr: float = 10.0) -> DataFrame:
 
 def pattern_metrics(lines: DataFrame, thr: Thresholds = CHECK_ONLY) -> DataFrame:
     """A3 to A7 of already shrunk and blurred frames, one row per frame."""
-    span = M.percentile_span(line_histogram(lines))
-    tex = M.robust_std(lines, thr.hp_sigma, thr.hp_clip)
-    act = M.edge_activity(lines, thr.act_k)
-    vig = M.vignette(M.radial_profile(gaussian(lines, thr.vignette_blur), thr.vignette_bins),
-                     thr.vignette_bins)
-    return span.join(tex, "frame_id").join(act, "frame_id").join(vig, "frame_id")
+    return M.pattern_metrics(lines, thr.hp_sigma, thr.hp_clip, thr.act_k, thr.vignette_blur, thr.vignette_bins)
 
 
 def decide_pattern(metrics: DataFrame, thr: Thresholds = CHECK_ONLY) -> DataFrame:
@@ -69,13 +64,32 @@ def prepare_pattern(lines: DataFrame, thr: Thresholds = CHECK_ONLY) -> DataFrame
 
 
 def gate_metrics(lines: DataFrame, thr: Thresholds = CHECK_ONLY) -> DataFrame:
-    """Exposure from raw gray values; spread from the raw or the blurred frame by profile."""
-    raw = line_histogram(lines)
+    """Exposure from raw gray values; spread from the raw or the blurred frame by profile.
+
+    Both planes are counted together, so a frame costs one band shuffle at most and one
+    shuffle of counts.
+    """
     if thr.stats_blur <= 0:
-        m = M.histogram_metrics(raw, thr.white_thr)
+        m = M.histogram_metrics(line_histogram(lines), thr.white_thr)
     else:
-        m = M.exposure_metrics(raw, thr.white_thr).join(
-            M.gray_stats(line_histogram(gaussian(lines, thr.stats_blur))).drop("mean_gray"), "frame_id")
+        p = planes(lines, b=[blur(thr.stats_blur)])
+
+        def plain(c):
+            return F.transform(c, lambda v: F.struct(v.alias("v"), F.lit(0.0).alias("s")))
+        c = plane_histogram(unroll(p, {"g": plain("vals"), "b": plain("b")})).repartition("frame_id")
+        w = Window.partitionBy("frame_id", "plane")
+        n, v, g, b = F.col("n"), F.col("v"), F.col("plane") == "g", F.col("plane") == "b"
+        c = c.withColumn("_m", F.sum(v * n).over(w) / F.sum(n).over(w)) \
+             .withColumn("_ng", F.when(g, n).otherwise(0))
+        nb = F.sum(F.when(b, n))
+        q = F.percentile("v", F.array(F.lit(0.01), F.lit(0.95), F.lit(0.99)), F.col("_ng"))
+        m = c.groupBy("frame_id").agg(
+            F.sqrt(F.sum(F.when(b, n * (v - F.col("_m")) * (v - F.col("_m")))) / nb).alias("std_gray"),
+            (F.sum(F.when(b, n * F.abs(v - F.col("_m")))) / nb).alias("mean_abs_diff"),
+            F.min(F.when(b, v)).alias("min_gray"), F.max(F.when(b, v)).alias("max_gray"), q.alias("_p"),
+            (F.sum(F.when(g & (v >= thr.white_thr), n).otherwise(0)) / F.sum(F.when(g, n))).alias("white")) \
+            .select("frame_id", "std_gray", "mean_abs_diff", "min_gray", "max_gray",
+                    F.col("_p")[1].alias("p95"), (F.col("_p")[2] - F.col("_p")[0]).alias("dr"), "white")
     return is_uniform(exposure_gate(m, thr), thr.uniform_std_thr)
 
 

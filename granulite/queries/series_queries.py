@@ -18,10 +18,10 @@ def _(spark, sf):
     return series(spark, sf).select("scan_id", "i", FO.near_zero(F.col("lap") - 50, 5.0).alias("nz"))
 
 
-@query("w4_longest_zero_run", W + """, f AS (SELECT *, lap <= 30 AS z, row_number() OVER (PARTITION BY scan_id ORDER BY i)
+@query("w4_longest_zero_run", W + """, f AS (SELECT scan_id, i, lap <= 30 AS iz, row_number() OVER (PARTITION BY scan_id ORDER BY i)
  - row_number() OVER (PARTITION BY scan_id, lap <= 30 ORDER BY i) AS g FROM pts),
- r AS (SELECT scan_id, z, g, count(*) AS n FROM f GROUP BY ALL)
- SELECT scan_id, coalesce(max(n) FILTER (z), 0) AS zero_run FROM r GROUP BY 1""")
+ r AS (SELECT scan_id, iz, g, count(*) AS n FROM f GROUP BY ALL)
+ SELECT scan_id, coalesce(max(n) FILTER (iz), 0) AS zero_run FROM r GROUP BY 1""")
 def _(spark, sf):
     return FO.longest_zero_run(series(spark, sf), "lap", 30.0, chunk=16)
 
