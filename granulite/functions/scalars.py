@@ -82,9 +82,21 @@ def to_number(c) -> Column:
 
 
 def fmt_position(c) -> Column:
-    """One decimal and a degree sign after rounding to three decimals, ``?`` if unknown."""
+    """One decimal and a degree sign after rounding to three decimals, ``?`` if unknown.
+
+    The shown digit is that of the exact binary value, exact halves going up in magnitude;
+    decimal formatting would round the shortest decimal text instead.
+    """
     v = normalize_number(c, 3)
-    return F.when(v.isNull(), "?").otherwise(F.concat(F.format_string("%.1f", v), F.lit("°")))
+    a = F.abs(v)
+    whole = F.floor(a)
+    f = a - whole
+    tenth = F.floor(f * 10)
+    up = ((f * 16 - (2 * tenth + 1)) + f * 4 >= 0).cast("bigint")
+    n = whole * 10 + tenth + up
+    sign = F.when(v < 0, "-").otherwise("")
+    text = F.concat(sign, F.floor(n / 10).cast("string"), F.lit("."), F.pmod(n, F.lit(10)).cast("string"), F.lit("°"))
+    return F.when(v.isNull(), "?").otherwise(text)
 
 
 def record_stamp(ts) -> tuple[Column, Column]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granulite.fixed import ARCHIVE_CODES
@@ -22,13 +22,12 @@ def valid_presets(df: DataFrame) -> DataFrame:
     for c in PRESET_NUMBERS:
         v = F.col(c)
         ok = ok & v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
-    return df.filter(ok).select(F.coalesce("camera_profile_path", F.lit("")).alias("camera_profile_path"),
-                                *PRESET_NUMBERS)
+    return df.filter(ok).withColumn("camera_profile_path", F.coalesce("camera_profile_path", F.lit("")))
 
 
 def write_presets(df: DataFrame, path: str) -> None:
     """Presets as JSON lines; rows with a non-finite number are left out."""
-    valid_presets(df).write.mode("overwrite").json(path)
+    valid_presets(df).select("camera_profile_path", *PRESET_NUMBERS).write.mode("overwrite").json(path)
 
 
 def archive_name(stage="stage", z="z", idx="idx"):
@@ -60,19 +59,19 @@ def write_error_archive(frames: DataFrame, verdicts: DataFrame, path: str, profi
     archive_summary(a).write.mode("append").partitionBy("error_code").parquet(f"{path}/summary")
 
 
-def masked_name(path="path"):
-    """Path of the masked copy of an image."""
-    return F.regexp_replace(F.col(path), r"(\.[^./\\]*)?$", "_masked$1")
+def masked_name(path) -> Column:
+    """Path of the masked copy of an image: ``_masked`` before the extension."""
+    p = F.col(path) if isinstance(path, str) else path
+    ext = F.regexp_extract(p, r"(\.[^./\\]*)$", 1)
+    return F.concat(F.substring(p, F.lit(1), F.length(p) - F.length(ext)), F.lit("_masked"), ext)
 
 
 def write_masked(lines: DataFrame, spans: DataFrame, captures: DataFrame, path: str) -> None:
     """Masked lines with the name their image gets, as Parquet. Frames without a mask are skipped."""
     have = spans.select("frame_id").distinct()
     m = mask_lines(lines.join(have, "frame_id", "left_semi"), spans)
-    names = captures.select("frame_id", F.regexp_replace("path", r"\.[^./\\]*$", "").alias("_b"),
-                            F.regexp_extract("path", r"(\.[^./\\]*)$", 1).alias("_e"))
-    m.join(names, "frame_id").select("frame_id", F.concat("_b", F.lit("_masked"), "_e").alias("path"),
-                                     "height", "y", "vals").write.mode("overwrite").parquet(path)
+    names = captures.select("frame_id", masked_name("path").alias("path"))
+    m.join(names, "frame_id").select("frame_id", "path", "height", "y", "vals").write.mode("overwrite").parquet(path)
 
 
 def write_requests(df: DataFrame, path: str) -> None:
