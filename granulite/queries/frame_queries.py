@@ -546,3 +546,23 @@ def _(spark, sf):
     spans, report = S.contour_mask(pts, size)
     area = spans.groupBy("frame_id").agg(F.sum((F.col("x_end") - F.col("x_start") + 1).cast("bigint")).alias("area"))
     return report.join(area, "frame_id", "left")
+
+
+@query("autofocus_scans")
+def _(spark, sf):
+    """Autofocus decisions of scans made of 16 consecutive frames."""
+    from granulite.plans.runs import autofocus
+    k = F.col("vec_id")
+    frames = table(spark, sf, "embeddings").select(k.alias("frame_id"), F.floor(k / 16).alias("scan_id"), ((15 - k % 16) * 2).cast("double").alias("z"))
+    thr = replace(AUTOMATIC, pattern_scale=0.5, pattern_pre_blur=3, box_pad=1)
+    return rounded(autofocus(frames8(spark, sf), frames, thr, k=10, need=3), "z_best", "score")
+
+
+@query("presence_check", VERDICT.replace("WITH ", "WITH RECURSIVE ", 1) + ", " + BLOB.split(FRAMES8)[1].lstrip(",\n ") + """,
+ tch AS (SELECT *, bx <= 2 AS l, by_ <= 2 AS t, bx + bw >= 5 AS r8, by_ + bh >= 5 AS b FROM (SELECT * RENAME ("by" AS by_) FROM top)),
+ tcn AS (SELECT *, l::BIGINT + t::BIGINT + r8::BIGINT + b::BIGINT AS touch_count FROM tch),
+ z AS (SELECT c.frame_id, coalesce(c.code, CASE WHEN touch_count IN (0, 4) OR (touch_count = 2 AND ((l AND r8) OR (t AND b))) THEN NULL ELSE 'E2004' END) AS code FROM c JOIN tcn USING (frame_id))
+ SELECT frame_id, CASE WHEN code IS NULL THEN 'OK' ELSE 'ERROR' END AS status, code FROM z""")
+def _(spark, sf):
+    from granulite.plans.runs import presence_check
+    return presence_check(frames8(spark, sf), SMALL)

@@ -633,3 +633,27 @@ def _(spark, sf):
 @query("s14_masked_name", "SELECT page_id, regexp_replace('/d/' || page_id || '_dome.jpg', '[.]jpg$', '_masked.jpg') AS path FROM pages")
 def _(spark, sf):
     return table(spark, sf, "pages").select("page_id", WR.masked_name(F.concat(F.lit("/d/"), F.col("page_id"), F.lit("_dome.jpg"))).alias("path"))
+
+
+# ---- whole reports -------------------------------------------------------
+
+@query("run_outcomes", f"""WITH r AS (SELECT o_custkey AS run_id, o_orderkey AS tablet_id, o_orderkey % 3 = 0 AS af, o_orderkey % 5 = 0 AS nolamp,
+ CASE o_orderstatus WHEN 'F' THEN 'OK' ELSE 'ERROR' END AS st, CASE WHEN o_orderstatus <> 'F' THEN ['E2000', 'E2010', 'E1111', 'E2021'][o_custkey % 4 + 1] END AS code FROM orders),
+ i AS (SELECT l_orderkey AS tablet_id, count(*) AS n FROM lineitem WHERE l_returnflag <> 'A' GROUP BY 1),
+ s AS (SELECT r.*, coalesce(i.n, 0) AS n, st = 'ERROR' AND coalesce(starts_with(r.code, 'E2'), false) AS e2 FROM r LEFT JOIN i USING (tablet_id))
+ SELECT run_id, tablet_id, CASE WHEN nolamp THEN 'refused' WHEN e2 THEN 'failed' ELSE 'completed' END AS state, CASE WHEN e2 THEN s.code END AS error_code,
+ CASE WHEN nolamp THEN 'At least one light must be selected' WHEN e2 THEN coalesce(m.message, s.code) END AS message, CASE WHEN NOT nolamp THEN CASE WHEN e2 THEN 0 ELSE n END END AS n_images
+ FROM s LEFT JOIN {MSG} ON e2 AND m.code = s.code""")
+def _(spark, sf):
+    from granulite.plans.runs import measure_run
+    k, s = F.col("o_orderkey"), F.col("o_orderstatus")
+    o = table(spark, sf, "orders")
+    ids = [F.col("o_custkey").alias("run_id"), k.alias("tablet_id")]
+    req = o.select(F.col("o_custkey").alias("run_id"), k.alias("tablet_index"), F.lit(1.0).alias("x"), F.lit(1.0).alias("y"), F.lit(1.0).alias("z"), F.lit("f").alias("measurement_folder"),
+                   F.lit("n").alias("measurement_name"), (k % 3 == 0).alias("autofocus"), (k % 5 != 0).alias("lamp_top"), F.lit(False).alias("lamp_side"),
+                   F.lit(False).alias("is_first_tablet"), F.lit(False).alias("background_subtraction"))
+    codes = F.array(*[F.lit(c) for c in ("E2000", "E2010", "E1111", "E2021")])
+    chk = o.select(*ids, F.when(s == "F", "OK").otherwise("ERROR").alias("step_status"), F.when(s != "F", F.get(codes, (F.col("o_custkey") % 4).cast("int"))).alias("code"))
+    cap = images(spark, sf).withColumn("k", F.col("run_id")).drop("run_id", "tablet_id").join(o.select(*ids), F.col("k") == F.col("tablet_id"))
+    return measure_run(req, chk, cap, O.error_messages(spark)).withColumn("n_images", F.size("images").cast("bigint")) \
+        .withColumn("n_images", F.when(F.col("n_images") >= 0, F.col("n_images"))).drop("images")

@@ -42,7 +42,7 @@ class Fold(StatefulProcessor):
     def fold(self, rows):
         before = self.value.get() if self.value.exists() else None
         state, out = before, []
-        for row in pd.concat(list(rows)).sort_values(["_us", "seq"]).itertuples(index=False):
+        for row in pd.concat(list(rows)).sort_values(["us", "seq"]).itertuples(index=False):
             state, more = self.step(state, row)
             out += more
         if state is None:
@@ -51,7 +51,7 @@ class Fold(StatefulProcessor):
             self.value.update(state)
         return before, state, out
 
-    def handleInputRows(self, key, rows, timer_values):
+    def handleInputRows(self, key, rows, timerValues):
         _, _, out = self.fold(rows)
         if out:
             yield self.emit(key, out)
@@ -70,7 +70,7 @@ class TimedFold(Fold):
     def due_ms(self, state) -> int:
         return -(-(int(state[0]) + self.wait) // 1000)
 
-    def handleInputRows(self, key, rows, timer_values):
+    def handleInputRows(self, key, rows, timerValues):
         before, state, out = self.fold(rows)
         if before is not None and (state is None or state[0] != before[0]):
             self.handle.deleteTimer(self.due_ms(before))
@@ -79,7 +79,7 @@ class TimedFold(Fold):
         if out:
             yield self.emit(key, out)
 
-    def handleExpiredTimer(self, key, timer_values, expired):
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         if self.value.exists():
             out = self.expire(self.value.get())
             self.value.clear()
@@ -90,7 +90,7 @@ def _run(stream: DataFrame, key: str, cols: list[str], processor: StatefulProces
          ts: str, late: str, mode: str = "Append", timed: bool = True) -> DataFrame:
     use_rocksdb(stream.sparkSession)
     src = stream.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", late) \
-        .select(key, "_ts", epoch_us("_ts").alias("_us"), F.col("seq").cast("bigint").alias("seq"), *cols)
+        .select(key, "_ts", epoch_us("_ts").alias("us"), F.col("seq").cast("bigint").alias("seq"), *cols)
     kind = stream.schema[key].dataType.simpleString()
     return src.groupBy(key).transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=f"{key} {kind}, {schema}", outputMode=mode,
@@ -105,9 +105,9 @@ def lamp_auto_off(stream: DataFrame, timeout_s: int = 300, key: str = "lamp", ts
     def step(on, row):
         out = []
         if on is not None:
-            auto = row._us >= on[0] + wait
-            out = [(int(on[1]), int(on[0]), int(on[0]) + wait if auto else int(row._us), bool(auto))]
-        return ((int(row._us), int(row.seq)) if row.action == "on" else None), out
+            auto = row.us >= on[0] + wait
+            out = [(int(on[1]), int(on[0]), int(on[0]) + wait if auto else int(row.us), bool(auto))]
+        return ((int(row.us), int(row.seq)) if row.action == "on" else None), out
 
     def expire(on):
         return [(int(on[1]), int(on[0]), int(on[0]) + wait, True)]
@@ -123,10 +123,10 @@ def lamp_status(stream: DataFrame, timeout_s: int = 300, key: str = "lamp", ts:
 
     def step(on, row):
         out = []
-        if on is not None and row._us >= on[0] + wait:
+        if on is not None and row.us >= on[0] + wait:
             out.append((int(on[0]) + wait, False, True))
-        out.append((int(row._us), row.action == "on", False))
-        return ((int(row._us),) if row.action == "on" else None), out
+        out.append((int(row.us), row.action == "on", False))
+        return ((int(row.us),) if row.action == "on" else None), out
 
     def expire(on):
         return [(int(on[0]) + wait, False, True)]
@@ -141,7 +141,7 @@ def device_transitions(stream: DataFrame, key: str = "device", ts: str = "ts", l
         now = bool(row.connected)
         if last is not None and bool(last[0]) == now:
             return last, []
-        return (now,), [(int(row.seq), int(row._us), "up" if now else "down", not now)]
+        return (now,), [(int(row.seq), int(row.us), "up" if now else "down", not now)]
     p = Fold("connected boolean", step, [key, "seq", "us", "transition", "homed_reset"])
     d = _run(stream, key, ["connected"], p, "seq bigint, us bigint, transition string, homed_reset boolean", ts, late, timed=False)
     return d.select(key, "seq", F.timestamp_micros("us").alias("ts"), "transition", "homed_reset")
@@ -155,10 +155,10 @@ def reconnect_budget(stream: DataFrame, cycle_s: int = 30, max_cycles: int = 3,
     def step(s, row):
         seg, start, bin_, cycle = s if s is not None else (0, None, None, 0)
         if start is None or start < 0:
-            start, bin_, cycle = int(row._us), None, 0
-        b = (int(row._us) - int(start)) // size
+            start, bin_, cycle = int(row.us), None, 0
+        b = (int(row.us) - int(start)) // size
         cycle = int(cycle) + (bin_ is None or b != bin_)
-        out = [(int(row.seq), int(seg), cycle, (int(row._us) - int(start)) / US, cycle > max_cycles)]
+        out = [(int(row.seq), int(seg), cycle, (int(row.us) - int(start)) / US, cycle > max_cycles)]
         if row.success:
             return (int(seg) + 1, -1, -1, 0), out
         return (int(seg), int(start), int(b), cycle), out
@@ -187,8 +187,8 @@ def throttle_stream(stream: DataFrame, sec: float = 5.0, key: str = "camera", ts
         if not row.is_error:
             return (int(last), 0), []
         n = int(n) + 1
-        if last < 0 or row._us - last >= gap:
-            return (int(row._us), n), [(int(row.seq), n)]
+        if last < 0 or row.us - last >= gap:
+            return (int(row.us), n), [(int(row.seq), n)]
         return (int(last), n), []
     p = Fold("last_us bigint, n bigint", step, [key, "seq", "errors_since_good"])
     return _run(stream, key, ["is_error"], p, "seq bigint, errors_since_good bigint", ts, late, timed=False)
