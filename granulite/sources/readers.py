@@ -31,7 +31,7 @@ def capture_catalog(spark: SparkSession, path: str, glob: str = "*.jpg") -> Data
 
 
 def _whole(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("wholetext", True).option("ignoreMissingFiles", True).text(path) \
+    return spark.read.option("ignoreMissingFiles", True).text(path, wholetext=True) \
         .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
