@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from granulite.operators import metrics as M
 from granulite.operators import segment as S
 from granulite.operators import verdicts as V
+from granulite.operators.lineage import settle
 from granulite.operators.planes import crop, frame_sizes
 from granulite.thresholds import Thresholds
 
@@ -99,8 +100,7 @@ def position_check(lines: DataFrame, thr: Thresholds, profile: str = "automatic"
         quiet = out.filter("is_uniform AND exp_code = 'EXP_OK'").select("frame_id")
         pat = V.decide_pattern(V.pattern_metrics(V.prepare_pattern(
             lines.join(quiet, "frame_id", "left_semi"), thr), thr), thr).select("frame_id", "pattern_code")
-        S.ensure_checkpoint_dir(lines.sparkSession)
-        out = out.join(pat, "frame_id", "left").checkpoint()  # one row per frame, read several times
+        out = settle(out.join(pat, "frame_id", "left"))  # one row per frame, read several times
         rules += [(F.col("exp_code") == "E_OVER", "E2003"), (F.col("exp_code") == "E_UNDER", "E2002"),
                   (F.col("pattern_code") == "E_EMPTY", "E2000"), (F.col("pattern_code").isNotNull(), "OK")]
         rest = out.filter("exp_code = 'EXP_OK' AND NOT is_uniform").select("frame_id")

@@ -185,15 +185,22 @@ def z_sweep(scans: DataFrame) -> DataFrame:
         .withColumn("z", F.col("z_max") - F.col("i") * F.abs("step"))
 
 
-def upper_median(c: str) -> Column:
-    """Element ``n div 2`` of the sorted values: the upper of two middle ones."""
-    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {c} DESC)")
+def repeat_median(shots: DataFrame, keys=("scan_id", "z"), width: float = 1.0) -> DataFrame:
+    """Element ``n div 2`` of the sorted scores (the upper of two middle ones), for both scores.
 
-
-def repeat_median(shots: DataFrame, keys=("scan_id", "z")) -> DataFrame:
-    """Upper median of both scores over the repeated shots at one height."""
-    return shots.groupBy(*keys).agg(upper_median("sobel").alias("sobel"), upper_median("lap").alias("lap"),
-                                    F.count("*").alias("shots"))
+    Equal scores are counted first; a running count over score ranges of ``width`` then finds the
+    element, so however many shots a height has, no task holds them all.
+    """
+    k = [*keys, "which"]
+    pair = F.array(*[F.struct(F.lit(c).alias("which"), F.col(c).cast("double").alias("v")) for c in ("sobel", "lap")])
+    tall = shots.select(*keys, F.explode(pair).alias("p")).select(*keys, "p.which", "p.v")
+    cnt = tall.groupBy(*k, "v").agg(F.count("*").alias("n")).withColumn("_chunk", F.floor(F.col("v") / width))
+    cum = running(cnt, k, ["v"], "_chunk", {"cum": ("sum", F.col("n"))})
+    cum = group_totals(cum, k, F.sum("n").alias("total"))
+    mid = F.floor(F.col("total") / 2)
+    hit = cum.filter((F.col("cum") > mid) & (F.col("cum") - F.col("n") <= mid))
+    return hit.groupBy(*keys).agg(*[F.max(F.when(F.col("which") == c, F.col("v"))).alias(c) for c in ("sobel", "lap")],
+                                  F.max("total").alias("shots"))
 
 
 def laplacian_score(lines: DataFrame, pre_blur: int = 5) -> DataFrame:

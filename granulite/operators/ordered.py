@@ -107,6 +107,8 @@ def running(df: DataFrame, keys: list[str], order: list[str], chunk: str,
                                  for n, (kind, _) in specs.items()])
     carry = sums.select(*k, *[over(kind, F.col(f"__c_{n}"), across).alias(f"__c_{n}")
                               for n, (kind, _) in specs.items()])
+    # first chunks carry nothing; for groups of one chunk no row is left to join
+    carry = carry.filter(F.coalesce(*[F.when(F.col(f"__c_{n}").isNotNull(), F.lit(True)) for n in specs], F.lit(False)))
     rows = src.withColumns({f"__h_{n}": over(kind, F.col(f"__v_{n}"), inside)
                             for n, (kind, _) in specs.items()})
     out = join_same(rows, carry, k)
@@ -126,7 +128,7 @@ def neighbour(df: DataFrame, keys: list[str], order: list[str], chunk: str,
     edge = F.max_by("__v", pos) if step < 0 else F.min_by("__v", pos)
     move = F.lag if step < 0 else F.lead
     carry = src.groupBy(*k).agg(edge.alias("__e")) \
-               .select(*k, move("__e").over(across).alias("__e"))
+               .select(*k, move("__e").over(across).alias("__e")).filter("__e IS NOT NULL")
     rows = src.withColumn("__h", move("__v").over(inside))
     return join_same(rows, carry, k) \
         .withColumn(name, F.coalesce("__h", "__e")["v"]).drop("__v", "__h", "__e")

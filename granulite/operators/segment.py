@@ -2,36 +2,17 @@
 
 from __future__ import annotations
 
-import itertools
-import tempfile
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from granulite.operators.lineage import settle
 from granulite.operators.metrics import by_frame
 from granulite.operators.planes import pad_box
 from granulite.operators.stencils import BAND, blur, planes
 
-_dirs = itertools.count()
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's checkpoint folder; only where none is named, set one for local runs."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        sc.setCheckpointDir(named)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="granulite-checkpoint-"))
-    else:
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-
-
 # ---- threshold -----------------------------------------------------------
 
 def otsu(hist: DataFrame) -> DataFrame:
@@ -115,9 +96,8 @@ def connected(edges: DataFrame, jumps: int = 3) -> DataFrame | None:
     together and keys are spread by ``(frame_id, label)``. Hooks and edges are cut by a reliable
     checkpoint each round, so a lost executor repeats one round at most. None without edges.
     """
-    ensure_checkpoint_dir(edges.sparkSession)
-    ce = edges.select("frame_id", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")) \
-        .filter("a <> b").distinct().checkpoint()
+    ce = settle(edges.select("frame_id", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+                .filter("a <> b").distinct())
     if ce.isEmpty():
         return None
     lab = ce.select("frame_id", F.explode(F.array("a", "b")).alias("rid")).distinct().withColumn("label", F.col("rid"))
@@ -127,7 +107,7 @@ def connected(edges: DataFrame, jumps: int = 3) -> DataFrame | None:
             up = hook.select("frame_id", F.col("label").alias("to"), F.col("to").alias("to2"))
             hook = hook.join(up, ["frame_id", "to"], "left") \
                 .select("frame_id", "label", F.coalesce("to2", "to").alias("to"))
-        hook = hook.checkpoint()
+        hook = settle(hook)
         lab = lab.join(hook, ["frame_id", "label"], "left") \
             .select("frame_id", "rid", F.coalesce("to", "label").alias("label"))
         for side in ("a", "b"):
@@ -135,8 +115,8 @@ def connected(edges: DataFrame, jumps: int = 3) -> DataFrame | None:
             other = "b" if side == "a" else "a"
             ce = ce.join(h, ["frame_id", side], "left") \
                 .select("frame_id", F.coalesce("to", side).alias(side), other)
-        ce = ce.select("frame_id", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")) \
-            .filter("a <> b").distinct().checkpoint()
+        ce = settle(ce.select("frame_id", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+                    .filter("a <> b").distinct())
     return lab
 
 
@@ -178,8 +158,7 @@ def label_runs(runs: DataFrame, slack: int = 1, band: int = BAND) -> DataFrame:
     pack = F.floor(F.col("frame_id") / F.greatest(F.floor(F.lit(band) / F.col("height")), F.lit(1)))
     cut = runs.select("frame_id", "height", "width", "y", "x0", "x1", "rid", pack.alias("_pack"),
                       F.floor(F.col("y") / F.lit(band)).alias("_band"))
-    ensure_checkpoint_dir(runs.sparkSession)
-    loc = cut.groupBy("_pack", "_band").applyInArrow(local, schema).drop("_pack", "_band").checkpoint()
+    loc = settle(cut.groupBy("_pack", "_band").applyInArrow(local, schema).drop("_pack", "_band"))
     side = [F.col("x0"), F.col("x1"), F.col("local")]
     up = loc.filter((F.col("y") + 1) % band == 0).select("frame_id", "y", *[c.alias(n) for c, n in zip(side, ("a0", "a1", "a"))])
     dn = loc.filter((F.col("y") % band == 0) & (F.col("y") > 0)) \

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granulite.operators import metrics as M
+from granulite.operators.lineage import settle
 from granulite.operators.planes import (GRAY_CHANNELS, center_box, downscale, full_box,
                                         line_histogram, plane_histogram, unroll)
 from granulite.operators.stencils import blur, gaussian, planes
@@ -101,10 +102,12 @@ def frame_verdict(lines: DataFrame, frames: DataFrame | None = None,
                   thr: Thresholds = CHECK_ONLY) -> DataFrame:
     """One verdict per frame, with every metric that was needed to reach it.
 
-    The pattern test is dear, so only uniform, well exposed frames are sent through it.
-    Pass ``frames`` to also judge those that have no pixels or a bad channel count.
+    The gate filters every pixel of every frame, so its result, one row per frame, is settled
+    before it is read twice. The pattern test is dear, so only uniform, well exposed frames
+    are sent through it. Pass ``frames`` to also judge those that have no pixels or a bad
+    channel count.
     """
-    gate = gate_metrics(lines, thr)
+    gate = settle(gate_metrics(lines, thr))
     survivors = gate.filter(F.col("is_uniform") & (F.col("exp_code") == "EXP_OK")).select("frame_id")
     pattern = decide_pattern(pattern_metrics(
         prepare_pattern(lines.join(survivors, "frame_id", "left_semi"), thr), thr), thr)

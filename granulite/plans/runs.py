@@ -12,6 +12,7 @@ from granulite.operators import planes as P
 from granulite.operators import planning as PL
 from granulite.operators import segment as S
 from granulite.operators import verdicts as V
+from granulite.operators.lineage import settle
 from granulite.thresholds import AUTOMATIC, CHECK_ONLY, Thresholds
 
 
@@ -20,9 +21,8 @@ def presence_check(lines: DataFrame, thr: Thresholds = CHECK_ONLY) -> DataFrame:
 
     Only frames that pass the verdict are segmented.
     """
-    S.ensure_checkpoint_dir(lines.sparkSession)
     # one small row per frame, read by several joins below
-    v = V.frame_verdict(lines, None, thr).select("frame_id", "status", "code").checkpoint()
+    v = settle(V.frame_verdict(lines, None, thr).select("frame_id", "status", "code"))
     good = v.filter("status = 'OK'").select("frame_id")
     p = C.position_check(lines.join(good, "frame_id", "left_semi"), thr, "check_only") \
         .select("frame_id", F.col("code").alias("p_code"))
@@ -59,18 +59,17 @@ def autofocus(lines: DataFrame, frames: DataFrame, thr: Thresholds = AUTOMATIC,
     head = lines.join(first.select("frame_id"), "frame_id", "left_semi")
     facts = V.frame_verdict(head, None, thr).join(first, "frame_id") \
         .join(P.frame_sizes(head), "frame_id")
-    S.ensure_checkpoint_dir(lines.sparkSession)
-    facts = facts.checkpoint()  # one row per scan
+    facts = settle(facts)  # one row per scan
     need = facts.filter("NOT is_uniform AND exp_code = 'EXP_OK'").select("frame_id")
     blob = S.blob_boxes(head.join(need, "frame_id", "left_semi"), thr.otsu_blur, thr.box_pad) \
         .withColumnRenamed("box", "blob_box")
     roi = V.choose_roi(facts.withColumnRenamed("code", "gate_code").join(blob, "frame_id", "left"), thr)
-    roi = roi.withColumn("code", F.coalesce("gate_code", "code")).select("scan_id", "is_uniform", "code", "box").checkpoint()
+    roi = settle(roi.withColumn("code", F.coalesce("gate_code", "code")).select("scan_id", "is_uniform", "code", "box"))
     open_ = roi.filter("code IS NULL")
     boxes = frames.join(open_, "scan_id").select("frame_id", "box")
     scored = frames.join(open_.select("scan_id"), "scan_id", "left_semi")
     points = FO.scan_metrics(lines.join(scored.select("frame_id"), "frame_id", "left_semi"), scored, boxes, k)
-    points = points.checkpoint()  # one row per height, read by every step of the decision
+    points = settle(points)  # one row per height, read by every step of the decision
     d = FO.focus_decision(points, open_.select("scan_id", F.col("is_uniform").alias("uniform")), **scan)
     shut = roi.filter("code IS NOT NULL").select("scan_id", F.lit("ERROR").alias("status"), "code")
     return d.unionByName(shut, allowMissingColumns=True)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +11,7 @@ from granulite.queries.plan_queries import KIND
 from granulite.queries.registry import ORACLES, big, query, rounded
 from granulite.queries.series_queries import CMD, LAMP, POSN
 from granulite.operators.events import lamp_commands
+from granulite.operators.lineage import shared_folder
 from granulite.streaming import flows as FL
 from granulite.streaming import keyed as KE
 
@@ -19,13 +19,8 @@ EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING,
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder for a replay: under the shared checkpoint folder, or a temporary one on a local session."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="granulite-replay-")
-    return f"{base}/replay-{uuid.uuid4().hex}"
+    """A new folder for a replay, inside the shared checkpoint folder."""
+    return f"{shared_folder(spark)}/replay-{uuid.uuid4().hex}"
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
