@@ -403,32 +403,57 @@ def _(spark, sf):
     return C.position_check(frames8(spark, sf), CHECK_ONLY, "check_only").select("frame_id", "status", "code")
 
 
-@query("p11_automatic")
-def _(spark, sf):
-    thr = replace(AUTOMATIC, round_margin=0, round_step=3, round_angle=20.0, round_max_sharp=4, round_min_used=4,
-                  round_downsample=1, min_edge_strength=1.0, ring_width=1)
-    lines = frames8(spark, sf)
-    return C.position_check(lines, thr, "automatic", boxes=S.blob_boxes(lines, pad=1), points=contour32(spark, sf))
-
-
-@query("p11_manual")
-def _(spark, sf):
-    thr = replace(MANUAL, pattern_scale=0.5, pattern_pre_blur=3, ring_width=1, round_margin=0, round_step=3,
-                  round_angle=20.0, round_max_sharp=4, round_min_used=4, round_downsample=1)
-    return C.position_check(frames8(spark, sf), thr, "manual", points=contour32(spark, sf))
-
-
-@query("a20_inscribed_square")
+def segment_sql(seg: str) -> str:
+    """Bits of a segmentation on ``seg`` with class means of ``px``, blobs, the greatest one."""
+    cut = BIN.replace("FROM px GROUP BY 1, 2", f"FROM {seg} GROUP BY 1, 2") \
+        .replace("avg(v) FILTER (v > thr)", "avg(p.v) FILTER (q.v > thr)").replace("avg(v) FILTER (v <= thr)", "avg(p.v) FILTER (q.v <= thr)") \
+        .replace("FROM px JOIN thr USING (frame_id) GROUP BY 1", f"FROM px p JOIN {seg} q USING (frame_id, y, x) JOIN thr USING (frame_id) GROUP BY 1") \
+        .replace("FROM px JOIN cl USING (frame_id)", f"FROM {seg} JOIN cl USING (frame_id)")
+    return cut + BLOB.split(BIN)[1]
+
+
+def lap_sql(src: str, dst: str) -> str:
+    return LAP.replace("ln AS", f"{dst} AS", 1).replace("FROM px a", f"FROM {src} a").replace("px s WHERE", f"{src} s WHERE")
+
+
+REC5 = W.replace("WITH ", "WITH RECURSIVE ") + ", " + taps_sql("t5", 5) + "," + blur_sql("px", "b5", "t5", 2)
+SQUARE = """,
+ mk AS (SELECT l.frame_id, l.y, l.x FROM lab l JOIN top t USING (frame_id, label)),
+ clr AS (SELECT px.* FROM px ANTI JOIN mk USING (frame_id, y, x)),
+ outer_px AS (SELECT frame_id, y, x FROM clr WHERE y IN (0, h - 1) OR x IN (0, w - 1) UNION
+   SELECT c.frame_id, c.y, c.x FROM outer_px o JOIN clr c ON c.frame_id = o.frame_id AND abs(c.y - o.y) + abs(c.x - o.x) = 1),
+ fil AS (SELECT px.* FROM px ANTI JOIN outer_px USING (frame_id, y, x)),
+ dst AS (SELECT f.frame_id, f.y, f.x, any_value(h) AS h, any_value(w) AS w,
+   coalesce(min((f.y - z.y) * (f.y - z.y) + (f.x - z.x) * (f.x - z.x)), any_value((h + w) * (h + w))) AS d2
+   FROM fil f LEFT JOIN outer_px z USING (frame_id) GROUP BY 1, 2, 3),
+ dp AS (SELECT *, floor(sqrt(2.0::DOUBLE) * sqrt(d2::DOUBLE))::BIGINT AS side FROM (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY d2 DESC, y, x) AS r FROM dst) WHERE r = 1),
+ s1 AS (SELECT *, x - side // 2 AS xa, y - side // 2 AS ya FROM dp WHERE side >= 2),
+ s2 AS (SELECT *, xa + side - least(xa, 0) AS xh, ya + side - least(ya, 0) AS yh FROM s1),
+ s3 AS (SELECT frame_id, greatest(greatest(xa, 0) - greatest(xh - w, 0), 0) AS x1, greatest(greatest(ya, 0) - greatest(yh - h, 0), 0) AS y1, least(xh, w) AS x2, least(yh, h) AS y2 FROM s2),
+ s4 AS (SELECT s3.frame_id, x1, y1, x2, y2, coalesce(max(CASE WHEN z.x >= x1 AND z.x < x2 AND z.y >= y1 AND z.y < y2
+   THEN least(z.x - x1, x2 - 1 - z.x, z.y - y1, y2 - 1 - z.y) + 1 END), 0) AS s FROM s3 LEFT JOIN outer_px z USING (frame_id) WHERE x2 - x1 >= 2 AND y2 - y1 >= 2 GROUP BY ALL),
+ sq AS (SELECT frame_id, x1 + s AS x1, y1 + s AS y1, x2 - s AS x2, y2 - s AS y2 FROM s4 WHERE s <= 14 AND x2 - x1 - 2 * s >= 2 AND y2 - y1 - 2 * s >= 2)"""
+LAPSCORE = REC5 + segment_sql("b5") + SQUARE + """,
+ sqpx AS (SELECT p.frame_id, p.y - y1 AS y, p.x - x1 AS x, y2 - y1 AS h, x2 - x1 AS w, v FROM px p JOIN sq USING (frame_id) WHERE p.x >= x1 AND p.x < x2 AND p.y >= y1 AND p.y < y2),""" \
+    + blur_sql("sqpx", "sb", "t5", 2) + ", " + lap_sql("sqpx", "unused_lap").replace("sqpx", "sb") + """,
+ score AS (SELECT f.frame_id, coalesce(l.lap, 0.0) AS lap FROM (SELECT DISTINCT frame_id FROM px) f LEFT JOIN (SELECT frame_id, avg(abs(v)) AS lap FROM unused_lap GROUP BY 1) l USING (frame_id))"""
+
+
+@query("a20_inscribed_square", BLOB + SQUARE + " SELECT frame_id, x1, y1, x2, y2 FROM sq")
 def _(spark, sf):
     return big(S.inscribed_square(S.largest_blob_spans(S.binarize(frames8(spark, sf)))).select("frame_id", "box.*"))
 
 
-@query("a13_laplacian_score")
+@query("a13_laplacian_score", LAPSCORE + " SELECT frame_id, round(lap, 6) AS lap FROM score")
 def _(spark, sf):
     return rounded(FO.laplacian_score(frames8(spark, sf)), "lap")
 
 
-@query("a16_scan_metrics")
+@query("a16_scan_metrics", LAPSCORE + "," + sobel_sql("b5", "sg") + """,
+ tk AS (SELECT frame_id, avg(v) AS sobel FROM (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY v DESC) AS r FROM sg) WHERE r <= 10 GROUP BY 1),
+ sh AS (SELECT frame_id // 32 AS scan_id, ((15 - frame_id % 32 // 2) * 2)::DOUBLE AS z, sobel, lap FROM tk JOIN score USING (frame_id)),
+ md AS (SELECT scan_id, z, list_sort(list(sobel)) AS a, list_sort(list(lap)) AS b, count(*) AS n FROM sh GROUP BY 1, 2)
+ SELECT scan_id, row_number() OVER (PARTITION BY scan_id ORDER BY z DESC) - 1 AS i, z, round(a[n // 2 + 1], 6) AS sobel, round(b[n // 2 + 1], 6) AS lap FROM md""")
 def _(spark, sf):
     lines = frames8(spark, sf)
     k = F.col("vec_id")
@@ -492,6 +517,59 @@ def _(spark, sf):
     return big(S.hull(contour32(spark, sf)).select("frame_id", "x", "y"))
 
 
+ROUND8 = """,
+ p8 AS (SELECT frame_id, i, x % 8 AS x, y % 8 AS y FROM pt),
+ t8 AS (SELECT c.frame_id, c.x, c.y, p.x AS px, p.y AS py, n.x AS qx, n.y AS qy FROM p8 c
+   JOIN p8 p ON p.frame_id = c.frame_id AND p.i = (c.i + 29) % 32 JOIN p8 n ON n.frame_id = c.frame_id AND n.i = (c.i + 3) % 32),
+ f8 AS (SELECT *, sqrt(((px-x)*(px-x)+(py-y)*(py-y))::DOUBLE) AS nu, sqrt(((qx-x)*(qx-x)+(qy-y)*(qy-y))::DOUBLE) AS nv,
+   ((px-x)*(qx-x)+(py-y)*(qy-y))::DOUBLE AS dt, least(x, y, px, py, qx, qy) > 0 AND greatest(x, y, px, py, qx, qy) < 7 AS free FROM t8),
+ rd AS (SELECT frame_id, count(ang) AS used, count(*) FILTER (ang < 50) AS sharp FROM (SELECT frame_id,
+   CASE WHEN free AND nu >= 1e-6 AND nv >= 1e-6 THEN degrees(acos(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, dt/(nu*nv))))) END AS ang FROM f8) GROUP BY 1),
+ rok AS (SELECT frame_id, used >= 4 AND sharp <= 3 AS round_ok FROM rd)"""
+PT = PTS.removeprefix("WITH ")
+
+
+def ring_sql(pad: int) -> str:
+    """Edge strength of the padded blob box with a ring of one pixel."""
+    return f""",
+ bx8 AS (SELECT frame_id, greatest(0, bx - {pad}) AS x1, greatest(0, "by" - {pad}) AS y1, least(8, bx + bw + {pad}) AS x2, least(8, "by" + bh + {pad}) AS y2 FROM top),
+ cp AS (SELECT p.frame_id, p.y - y1 AS y, p.x - x1 AS x, y2 - y1 AS h, x2 - x1 AS w, v FROM px p JOIN bx8 USING (frame_id) WHERE p.x >= x1 AND p.x < x2 AND p.y >= y1 AND p.y < y2),""" \
+        + sobel_sql("cp", "cs") + """,
+ es AS (SELECT b.frame_id, coalesce(e.m, 0.0) AS edge FROM bx8 b LEFT JOIN (SELECT frame_id, median(v) AS m FROM cs
+   WHERE h >= 4 AND w >= 4 AND (y < 1 OR y >= h - 1 OR x < 1 OR x >= w - 1) GROUP BY 1) e USING (frame_id))"""
+
+
+ROUNDING = dict(round_margin=0, round_step=3, round_angle=50.0, round_max_sharp=3, round_min_used=4, round_downsample=1)
+
+
+def contour8(spark, sf):
+    return contour32(spark, sf).select("frame_id", "i", (F.col("x") % 8).alias("x"), (F.col("y") % 8).alias("y"))
+
+
+@query("p11_automatic", REC5 + segment_sql("b5") + ring_sql(1) + ", " + PT + ROUND8 + """,
+ tc AS (SELECT *, bx <= 0 AS l, "by" <= 0 AS t, bx + bw >= 7 AS r8, "by" + bh >= 7 AS b FROM top),
+ nn AS (SELECT *, l::INT + t::INT + r8::INT + b::INT AS n FROM tc),
+ cc AS (SELECT nn.frame_id, CASE WHEN edge < 5 THEN 'E2012' WHEN NOT coalesce(round_ok, false) THEN 'E2015'
+   WHEN n IN (1, 3) OR (n = 2 AND NOT ((l AND r8) OR (t AND b))) THEN 'E2004' END AS code FROM nn JOIN es USING (frame_id) LEFT JOIN rok USING (frame_id))
+ SELECT frame_id, CASE WHEN code IS NULL THEN 'OK' ELSE 'ERROR' END AS status, code FROM cc""")
+def _(spark, sf):
+    thr = replace(AUTOMATIC, min_edge_strength=5.0, ring_width=1, margin_px=0, **ROUNDING)
+    lines = frames8(spark, sf)
+    d = C.position_check(lines, thr, "automatic", boxes=S.blob_boxes(lines, pad=1), points=contour8(spark, sf))
+    return d.select("frame_id", "status", "code")
+
+
+@query("p11_manual", REC5 + segment_sql("b5") + ring_sql(20) + PAT + ", " + PT + ROUND8 + f""",
+ ex AS ({EXPM}), dx AS (SELECT *, {EXP} AS exp_code, std_gray < 10 AS uni FROM ex),
+ cc AS (SELECT d.frame_id, CASE WHEN exp_code = 'E_OVER' THEN 'E2003' WHEN exp_code = 'E_UNDER' THEN 'E2002'
+   WHEN uni AND pattern_code = 'E_EMPTY' THEN 'E2000' WHEN uni THEN NULL WHEN es.edge < 10 THEN 'E2012'
+   WHEN NOT coalesce(round_ok, false) THEN 'E2015' END AS code FROM dx d JOIN pat USING (frame_id) JOIN es USING (frame_id) LEFT JOIN rok USING (frame_id))
+ SELECT frame_id, CASE WHEN code IS NULL THEN 'OK' ELSE 'ERROR' END AS status, code FROM cc""")
+def _(spark, sf):
+    thr = replace(MANUAL, pattern_scale=0.5, pattern_pre_blur=3, ring_width=1, **ROUNDING)
+    return C.position_check(frames8(spark, sf), thr, "manual", points=contour8(spark, sf)).select("frame_id", "status", "code")
+
+
 # triangles of the first three points
 SPAN = PTS + """, t AS (SELECT frame_id, i, x::DOUBLE AS x, y::DOUBLE AS y FROM pt WHERE i < 3),
  ed AS (SELECT a.frame_id, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1 FROM t a JOIN t b ON a.frame_id = b.frame_id AND b.i = (a.i + 1) % 3),
@@ -538,7 +616,12 @@ def _(spark, sf):
     return big(m.select("frame_id", "y", r6(F.aggregate("vals", F.lit(0.0), lambda a, v: a + v)).alias("kept")))
 
 
-@query("j11_contour_mask")
+HULL10 = HULL.replace("u AS (SELECT DISTINCT frame_id, x, y FROM pt)", "u AS (SELECT DISTINCT frame_id, least(1999, x * 10) AS x, least(1999, y * 10) AS y FROM pt)")
+
+
+@query("j11_contour_mask", HULL10 + """,
+ ed AS (SELECT frame_id, x::DOUBLE AS x0, y::DOUBLE AS y0, nx::DOUBLE AS x1, ny::DOUBLE AS y1 FROM e ANTI JOIN bad USING (frame_id, x, y, nx, ny)),
+ rw AS""" + SPAN.split(" rw AS")[1] + " SELECT frame_id, 'OK' AS status, NULL::VARCHAR AS code, sum(x_end - x_start + 1)::BIGINT AS area FROM spans GROUP BY 1")
 def _(spark, sf):
     """Hull masks of scaled contours on 2000 x 2000 frames: covered pixels and code per frame."""
     pts = contour32(spark, sf).withColumn("scale", F.lit(0.1))

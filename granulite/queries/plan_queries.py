@@ -192,7 +192,12 @@ def _(spark, sf):
     return big(PL.apply_selection(picked(spark, sf, "F"), ranges(spark, sf), picked(spark, sf, "P")))
 
 
-@query("u1_replay_clicks")
+@query("u1_replay_clicks", """WITH RECURSIVE c AS (SELECT user_id AS run_id, event_id * 13 % 100 + 1 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+ w AS (SELECT DISTINCT user_id AS run_id, 0::BIGINT AS rn, []::BIGINT[] AS sel, NULL::BIGINT AS anchor FROM events UNION ALL
+   SELECT w.run_id, c.rn, CASE WHEN anchor IS NULL AND list_contains(sel, t) THEN list_filter(sel, lambda x: x <> t) WHEN anchor IS NULL THEN list_append(sel, t) WHEN anchor = t THEN sel
+     ELSE list_distinct(list_concat(sel, range(least(anchor, t), greatest(anchor, t) + 1))) END,
+   CASE WHEN anchor IS NULL AND NOT list_contains(sel, t) THEN t END FROM w JOIN c ON c.run_id = w.run_id AND c.rn = w.rn + 1)
+ SELECT run_id, unnest(sel) AS tablet_id FROM (SELECT run_id, arg_max(sel, rn) AS sel FROM w GROUP BY 1)""")
 def _(spark, sf):
     c = table(spark, sf, "events").select(F.col("user_id").alias("run_id"), "ts", (F.col("event_id") * 13 % 100 + 1).cast("int").alias("tablet_id"))
     return big(PL.replay_clicks(c))
@@ -561,7 +566,9 @@ def _(spark, sf):
     return T.settings_json(d)
 
 
-@query("s7_profiles")
+@query("s7_profiles", """SELECT 'p' || p_partkey AS file, n::BIGINT AS line_no, f AS feature, CASE n WHEN 2 THEN 'Red' WHEN 4 THEN 'Blue' WHEN 5 THEN 'All' WHEN 3 THEN p_partkey::VARCHAR WHEN 6 THEN p_retailprice::VARCHAR ELSE p_size::VARCHAR END AS value,
+ CASE WHEN n < 4 THEN '{"BalanceRatioSelector":"Red"}' WHEN n = 4 THEN '{"BalanceRatioSelector":"Blue"}' ELSE '{"BalanceRatioSelector":"Blue","GainSelector":"All"}' END AS selectors
+ FROM part, (VALUES (2, 'BalanceRatioSelector'), (3, 'BalanceRatio'), (4, 'BalanceRatioSelector'), (5, 'GainSelector'), (6, 'BalanceRatio'), (7, 'Gain')) q(n, f)""")
 def _(spark, sf):
     """Profile text derived from parts: selectors in force at each line."""
     k = F.col("p_partkey")
