@@ -9,7 +9,7 @@ per pixel. ``to_pixels`` gives the long form ``pixels(frame_id, y, x, v)``.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,27 +40,36 @@ def gray(pixels: DataFrame, err: str = "E2005") -> DataFrame:
     })
 
 
-def to_lines(frames: DataFrame) -> DataFrame:
+def to_lines(frames: DataFrame, rows: int = 256) -> DataFrame:
     """Gray lines of ``frames`` (row-major bytes). Frames with a bad channel count or no
-    bytes give no lines. Lines are cut in the JVM, so Python sees one line at a time."""
-    @F.pandas_udf("array<double>")
-    def gray_line(line: pd.Series, channels: pd.Series) -> pd.Series:
-        def one(raw, c):
-            px = np.frombuffer(raw, np.uint8).reshape(-1, c).astype(np.int64)
-            if c == 1:
-                return px[:, 0].astype(float)
-            s = px[:, 0] * LUMA_B + px[:, 1] * LUMA_G + px[:, 2] * LUMA_R + (1 << (LUMA_SHIFT - 1))
-            return (s >> LUMA_SHIFT).astype(float)
-        return pd.Series([one(r, c) for r, c in zip(line, channels)])
+    bytes give no lines.
 
+    Lines are cut in the JVM and only their own bytes go on; Python turns ``rows`` lines at a
+    time into gray values, so neither side holds a batch of whole frames.
+    """
     stride = F.col("width") * F.col("n_channels")
     good = frames.filter(F.col("n_channels").isin(*GRAY_CHANNELS) & (F.col("height") > 0)
                          & (F.col("width") > 0))
-    cut = good.select("frame_id", "height", "n_channels", stride.alias("_s"), "data",
-                      F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y"))
-    raw = cut.select("frame_id", "height", "y", "n_channels",
-                     F.substring(F.col("data"), F.col("y") * F.col("_s") + 1, F.col("_s")).alias("_b"))
-    return raw.select("frame_id", "height", "y", gray_line("_b", "n_channels").alias("vals"))
+    # the bytes are bound once: every column access would copy the whole frame
+    cuts = let(F.col("data"), lambda d: F.transform(F.sequence(F.lit(0), F.col("height") - 1),
+                                                    lambda y: F.substring(d, y * stride + 1, stride)))
+    raw = good.select("frame_id", "height", "n_channels", F.posexplode(cuts).alias("y", "raw"))
+
+    def one(line, c):
+        px = np.frombuffer(line.as_buffer(), np.uint8).reshape(-1, c)
+        if c == 1:
+            return px[:, 0].astype(float)
+        s = px[:, 0] * np.int32(LUMA_B) + px[:, 1] * np.int32(LUMA_G) + px[:, 2] * np.int32(LUMA_R)
+        return ((s + (1 << (LUMA_SHIFT - 1))) >> LUMA_SHIFT).astype(float)
+
+    def gray_lines(batches):
+        for b in batches:
+            for k in range(0, b.num_rows, rows):
+                t = b.slice(k, rows)
+                vals = [one(line, c.as_py()) for line, c in zip(t["raw"], t["n_channels"])]
+                yield pa.RecordBatch.from_arrays([t["frame_id"], t["height"], t["y"], pa.array(vals, pa.list_(pa.float64()))],
+                                                 ["frame_id", "height", "y", "vals"])
+    return raw.mapInArrow(gray_lines, "frame_id bigint, height int, y int, vals array<double>")
 
 
 def to_pixels(lines: DataFrame) -> DataFrame:

@@ -53,11 +53,12 @@ def binarize(lines: DataFrame, pre_blur: int = 0) -> DataFrame:
     @F.arrow_udf("array<int>")
     def bit_line(seg: pa.Array, thr: pa.Array, inv: pa.Array) -> pa.Array:
         off = seg.offsets.to_numpy()
-        n = np.diff(off)
         v = seg.values.to_numpy(zero_copy_only=False)[off[0]:off[-1]]
-        t = np.repeat(thr.to_numpy(zero_copy_only=False), n)
-        flip = np.repeat(inv.to_numpy(zero_copy_only=False).astype(bool), n)
-        return pa.ListArray.from_arrays(pa.array(off - off[0]), pa.array(((v > t) != flip).astype(np.int32)))
+        off = off - off[0]
+        bits = np.empty(len(v), np.int32)
+        for k, (t, flip) in enumerate(zip(thr.to_pylist(), inv.to_pylist())):
+            np.not_equal(v[off[k]:off[k + 1]] > t, flip, out=bits[off[k]:off[k + 1]], casting="unsafe")
+        return pa.ListArray.from_arrays(pa.array(off), pa.array(bits))
     return both.join(rule, "frame_id").select(
         "frame_id", "height", "y", "thr", "fg_mean", "bg_mean", "inverted",
         bit_line("seg", "thr", "inverted").alias("bits"))
