@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from granulite.llm.common import read_table
+from granulite.operators.lineage import shared_folder
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -23,3 +27,26 @@ def query(name: str, sql: str | None = None):
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     from granulite.llm.embedding_dedup import embedding_dedup
     return embedding_dedup(read_table(spark, sf, "embeddings"))
+
+
+_HEX20 = "cast(concat('0x', substr(h, {0}, 5)) as integer)"
+_B32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (({_HEX20.format(1 + 5 * i)} >> {s}) & 31), 1)" for i in range(8) for s in (15, 10, 5, 0))
+
+
+@query("op1_warc", f"""
+with p as (select page_id, coalesce(html, '') as body, sha1(coalesce(html, '')) as h from pages),
+f as (select h, min(page_id) as first from p group by h)
+select page_id, cast(strlen(body) as bigint) as payload_bytes, {_B32} as payload_digest,
+  case when page_id = first then 'response' else 'revisit' end as record_type,
+  case when page_id = first then null else first end as refers_to
+from p join f using (h)""")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    from granulite.llm.warc import read_warc, write_warc
+    path = f"{shared_folder(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    write_warc(read_table(spark, sf, "pages"), path)
+    r = read_warc(spark, path)
+    number = lambda c: F.expr(f"try_cast(nullif(regexp_extract({c}, '^<urn:page:(-?[0-9]*)>$', 1), '') as bigint)")
+    revisit = F.col("type") == "revisit"
+    return r.select(number("record_id").alias("page_id"), F.when(revisit, F.col("http_length")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+                    F.when(revisit, F.regexp_replace("declared_digest", "^sha1:", "")).otherwise(F.col("payload_sha1")).alias("payload_digest"),
+                    F.col("type").alias("record_type"), F.when(revisit, number("refers_to")).alias("refers_to"))
