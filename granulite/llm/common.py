@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
 
 import numpy as np
@@ -178,3 +180,11 @@ def in_block_pairs(df: DataFrame, key: str, size: str, seed: str) -> DataFrame:
                         lambda c: F.struct(F.least(c, F.col("mine")).alias("bi"), F.greatest(c, F.col("mine")).alias("bj")))
     return (df.withColumn("mine", mine).withColumn("pair", F.explode(pairs))
             .withColumns({"bi": F.col("pair.bi"), "bj": F.col("pair.bj")}).drop("pair"))
+
+
+def per_worker(key, make):
+    """An object made once in a Python worker and kept over its tasks."""
+    kept = sys.modules.setdefault("_granulite_kept", types.ModuleType("_granulite_kept")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]

@@ -50,3 +50,10 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
     return r.select(number("record_id").alias("page_id"), F.when(revisit, F.col("http_length")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
                     F.when(revisit, F.regexp_replace("declared_digest", "^sha1:", "")).otherwise(F.col("payload_sha1")).alias("payload_digest"),
                     F.col("type").alias("record_type"), F.when(revisit, number("refers_to")).alias("refers_to"))
+
+
+@query("op5_token_counts")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+    from granulite.llm.token_counts import token_counts
+    return token_counts(read_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
