@@ -57,3 +57,10 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
     import public_tokenizers
     from granulite.llm.token_counts import token_counts
     return token_counts(read_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op9_bpe_automaton")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+    from granulite.llm.bpe_automaton import bpe_encode
+    return bpe_encode(read_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, ids=False)
