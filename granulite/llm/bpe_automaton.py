@@ -22,12 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granulite.llm.common import per_worker
+from granulite.llm.common import cuts, per_worker
 from granulite.llm.pretokens import Memo, chunks_of, piece_pattern
-from granulite.llm.token_counts import _cuts
 
 #: Bytes of a piece up to which pieces of equal length are encoded side by side.
 SHORT = 48
+#: Text encoded at a time.
+BATCH_BYTES = 2_000_000
 #: Chunks and pieces whose ids a worker keeps.
 MEMO = 300_000
 
@@ -237,7 +238,7 @@ def _coder(path: str, pattern: str, ids: bool):
     def code(batches):
         a = automaton(path, pattern)
         for batch in batches:
-            for lo, n in _cuts(batch.column(1)):
+            for lo, n in cuts(batch.column(1), BATCH_BYTES):
                 texts = [x or "" for x in batch.column(1).slice(lo, n).to_pylist()]
                 found = a.encode(texts)
                 cols = [batch.column(0).slice(lo, n), pa.array([len(x) // 4 for x in found], pa.int64()),

@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +44,19 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[off[0]:off[-1]], off - off[0]
 
 
+def cuts(column: pa.Array, size: int) -> list[tuple[int, int]]:
+    """Slices (first row, rows) of a text column with about ``size`` bytes each, one row at least."""
+    out, lo, held = [], 0, 0
+    for i, n in enumerate(pa.compute.binary_length(column).fill_null(0).to_pylist()):
+        held += n
+        if held >= size:
+            out.append((lo, i + 1 - lo))
+            lo, held = i + 1, 0
+    if lo < len(column):
+        out.append((lo, len(column) - lo))
+    return out
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer (bijective)."""
     x = x ^ (x >> np.uint64(32))
@@ -126,9 +140,12 @@ def shingles(h: np.ndarray, woff: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     at = np.repeat(woff[:-1] - out_off[:-1], count) + np.arange(out_off[-1])
     whole = np.repeat(n >= k, count)
     out[whole] = run[at[whole]]
-    for i in np.flatnonzero((n > 0) & (n < k)):
-        part = h[woff[i]:woff[i + 1]]
-        out[out_off[i]] = (part * c[:len(part)]).sum(dtype=np.uint64) + np.uint64(len(part)) * c[-1] * c[0]
+    few = np.flatnonzero((n > 0) & (n < k))
+    if len(few):
+        first = np.append(0, np.cumsum(n[few]))
+        place = np.arange(first[-1]) - np.repeat(first[:-1], n[few])
+        part = h[np.repeat(woff[few], n[few]) + place] * c[place]
+        out[out_off[few]] = np.add.reduceat(part, first[:-1]) + n[few].astype(np.uint64) * constants(1, 14)
     return mix(out), out_off
 
 
@@ -182,6 +199,31 @@ def in_block_pairs(df: DataFrame, key: str, size: str, seed: str) -> DataFrame:
             .withColumns({"bi": F.col("pair.bi"), "bj": F.col("pair.bj")}).drop("pair"))
 
 
+def blobs(column) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of a binary column."""
+    return text_bytes(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column)
+
+
+class Groups:
+    """Union-find over small integers."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def find(self, x: int) -> int:
+        up = self.up
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        """Whether x and y were apart."""
+        x, y = self.find(x), self.find(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
 def per_worker(key, make):
     """An object made once in a Python worker and kept over its tasks."""
     kept = sys.modules.setdefault("_granulite_kept", types.ModuleType("_granulite_kept")).__dict__

@@ -64,3 +64,9 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
     import public_tokenizers
     from granulite.llm.bpe_automaton import bpe_encode
     return bpe_encode(read_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, ids=False)
+
+
+@query("op4_minhash_dedup")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    from granulite.llm.minhash_dedup import minhash_dedup
+    return minhash_dedup(read_table(spark, sf, "documents"))

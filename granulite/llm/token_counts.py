@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granulite.llm.common import per_worker, stored
+from granulite.llm.common import cuts, per_worker, stored
 from granulite.llm.pretokens import Memo, chunks_of
 
 #: Characters of a document that is still encoded whole.
@@ -48,7 +48,7 @@ def _counter(path: str):
         memo = per_worker(("counts", path), lambda: Memo(MEMO))
         for batch in batches:
             out = []
-            for lo in _cuts(batch.column(1)):
+            for lo in cuts(batch.column(1), BATCH_CHARS):
                 texts = [x or "" for x in batch.column(1).slice(lo[0], lo[1]).to_pylist()]
                 whole = [i for i, t in enumerate(texts) if not local or any(a in t for a in added)]
                 n = dict(zip(whole, (len(e.ids) for e in tok.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)))) if whole else {}
@@ -60,20 +60,6 @@ def _counter(path: str):
     return count
 
 
-def _cuts(column: pa.Array) -> list[tuple[int, int]]:
-    """Slices (first row, rows) of about ``BATCH_CHARS`` bytes."""
-    out, lo, size = [], 0, 0
-    lengths = pa.compute.binary_length(column).fill_null(0).to_pylist()
-    for i, n in enumerate(lengths):
-        size += n
-        if size >= BATCH_CHARS:
-            out.append((lo, i + 1 - lo))
-            lo, size = i + 1, 0
-    if lo < len(lengths):
-        out.append((lo, len(lengths) - lo))
-    return out
-
-
 def _piecer(step: int, overlap: int):
     """Cut each huge text into overlapping pieces."""
     def cut(batches):
