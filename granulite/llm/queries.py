@@ -23,6 +23,15 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _shingle_sql(table: str, key: str) -> str:
+    words = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+')"
+    runs = "case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end"
+    return f"select distinct {key}, unnest({runs}) as sh from (select {key}, {words} as w from {table})"
+
+
 @query("op2_embedding_dedup")
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     from granulite.llm.embedding_dedup import embedding_dedup
@@ -66,7 +75,25 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
     return bpe_encode(read_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, ids=False)
 
 
-@query("op4_minhash_dedup")
+@query("op4_minhash_dedup", f"""
+with recursive s as ({_shingle_sql('documents', 'doc_id')}),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.sh = b.sh and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+l as (select x, y from p join n nx on nx.doc_id = x join n ny on ny.doc_id = y where 100 * c >= 85 * (nx.n + ny.n - c)),
+e as (select x, y from l union all select y, x from l),
+r as (select doc_id as a, doc_id as b from documents union select r.a, e.y from r join e on r.b = e.x)
+select doc_id, coalesce(n, 0) as n_shingles, component_id, doc_id = component_id as kept
+from (select a as doc_id, min(b) as component_id from r group by a) left join n using (doc_id)""")
 def op4(spark: SparkSession, sf: str) -> DataFrame:
     from granulite.llm.minhash_dedup import minhash_dedup
     return minhash_dedup(read_table(spark, sf, "documents"))
+
+
+@query("op3_decontaminate", f"""
+with d as ({_shingle_sql('documents', 'doc_id')}), b as ({_shingle_sql('benchmark', 'item_id')}),
+n as (select item_id, count(*) as n_item from b group by item_id),
+s as (select doc_id, item_id, count(*) as n_shared from d join b using (sh) group by doc_id, item_id)
+select doc_id, item_id, n_item, n_shared, n_shared / n_item as containment from s join n using (item_id) where 100 * n_shared >= 80 * n_item""")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    from granulite.llm.decontaminate import contamination
+    return contamination(read_table(spark, sf, "documents"), read_table(spark, sf, "benchmark"))
