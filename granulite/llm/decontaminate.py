@@ -46,16 +46,16 @@ def _item_sets(batches):
         n = np.diff(off)
         u = size_class(n)
         blob = pa.array([sets[a:b].tobytes() for a, b in zip(off[:-1], off[1:])], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(u), blob], ["item_id", "n_item", "u", "hashes"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n), pa.array(u), blob], ["ik", "item_id", "n_item", "u", "hashes"])
 
 
 def _item_sketches(batches):
     for batch in batches:
-        data, off = blobs(batch.column(3))
+        data, off = blobs(batch.column(2))
         low, off = _low(data.view(np.uint64)), off // 8
-        u = batch.column(2).to_numpy()
+        u = batch.column(1).to_numpy()
         keys = [_key(np.minimum.reduceat(_hash(low, i), off[:-1]), i, u) for i in range(HASHES)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.concat_arrays([batch.column(0)] * HASHES)], ["key", "item_id"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.concat_arrays([batch.column(0)] * HASHES)], ["key", "ik"])
 
 
 def _blocks(count: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -136,13 +136,14 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     leave the task. Candidates are checked on the whole set of the document. An item is looked for within windows of twice its
     class size; one whose shingles are strewn wider over a document is not searched for.
     """
-    i = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
-    sets = stored(i.mapInArrow(_item_sets, "item_id long, n_item long, u long, hashes binary").where("n_item > 0"))
+    i = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).distinct()
+    i = i.select(F.xxhash64("item_id", "text").alias("ik"), "text", "item_id")
+    sets = stored(i.mapInArrow(_item_sets, "ik long, item_id long, n_item long, u long, hashes binary").where("n_item > 0"))
     none = docs.sparkSession.createDataFrame([], "id long, tk long, item_id long, n_item long, n_shared long")
     classes = sorted(r.u for r in sets.select("u").distinct().collect())  # one for each power of two
     if not classes:
         return none
-    sketches = stored(sets.mapInArrow(_item_sketches, "key long, item_id long"))
+    sketches = stored(sets.select("ik", "u", "hashes").mapInArrow(_item_sketches, "key long, ik long"))
     spot = F.expr(f"(key & {FILTER_BITS - 1}) + 1")
     parts = sketches.groupBy(F.bitmap_bucket_number(spot).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("bits")).collect()
     bits = bytearray(FILTER_BITS // 8)  # 128 parts of 4 KB at most
@@ -150,9 +151,9 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         bits[(r.part - 1) * 4096:r.part * 4096] = r.bits
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("tk"), F.col(text_col).cast("string").alias("text"))
     hits = d.mapInArrow(_probe(classes, bytes(bits)), "id long, tk long, key long")
-    cand = stored(hits.distinct().join(sketches, "key").select("id", "tk", "item_id").distinct())
+    cand = stored(hits.distinct().join(sketches, "key").select("id", "tk", "ik").distinct())
     same = F.col("d.tk").eqNullSafe(F.col("c.tk")) & F.col("d.id").eqNullSafe(F.col("c.id"))
-    pairs = d.alias("d").join(cand.alias("c"), same).select("d.id", "d.tk", "d.text", "item_id").join(sets, "item_id").select("id", "tk", "text", "hashes", "item_id", "n_item")
+    pairs = d.alias("d").join(cand.alias("c"), same).select("d.id", "d.tk", "d.text", "ik").join(sets, "ik").select("id", "tk", "text", "hashes", "item_id", "n_item")
     found = pairs.mapInArrow(_contained, "id long, tk long, item_id long, n_item long, n_shared long")
     return found.where(F.col("n_shared") * 100 >= F.col("n_item") * percent)
 
