@@ -97,3 +97,10 @@ select doc_id, item_id, n_item, n_shared, n_shared / n_item as containment from
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     from granulite.llm.decontaminate import contamination
     return contamination(read_table(spark, sf, "documents"), read_table(spark, sf, "benchmark"))
+
+
+@query("op10_toxicity")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    from granulite.llm.toxicity import score, train
+    docs = read_table(spark, sf, "documents")
+    return score(docs, train(docs, read_table(spark, sf, "labels")))
