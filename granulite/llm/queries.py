@@ -104,3 +104,19 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     from granulite.llm.toxicity import score, train
     docs = read_table(spark, sf, "documents")
     return score(docs, train(docs, read_table(spark, sf, "labels")))
+
+
+@query("op7_secrets")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    from granulite.llm.secrets import joined, secret_spans
+    s = secret_spans(read_table(spark, sf, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda x: x.kind == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda x: x.kind != "live")
+    return s.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+@query("op8_line_dedup")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    from granulite.llm.line_dedup import line_dedup
+    d = line_dedup(read_table(spark, sf, "documents"))
+    return d.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
