@@ -120,3 +120,9 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
     from granulite.llm.line_dedup import line_dedup
     d = line_dedup(read_table(spark, sf, "documents"))
     return d.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query("op6_substring_dedup")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    from granulite.llm.substring_dedup import substring_dedup
+    return substring_dedup(read_table(spark, sf, "documents"), text=False)
