@@ -126,3 +126,9 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     from granulite.llm.substring_dedup import substring_dedup
     return substring_dedup(read_table(spark, sf, "documents"), text=False)
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    from corpus_pipeline import run
+    return run(spark, sf)
