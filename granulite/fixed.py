@@ -10,9 +10,28 @@ ERROR_MESSAGES = {
     "E2002": "Túl alacsony expozíciós idő",
     "E2003": "Túl magas expozíciós idő",
     "E2004": "Tabletta pozíció nem megfelelő",
+    "E2005": "Képelemzési hiba: E2005",
+    "E2006": "Képelemzési hiba: E2006",
+    "E2007": "Képelemzési hiba: E2007",
+    "E2008": "Képelemzési hiba: E2008",
+    "E2009": "Képelemzési hiba: E2009",
+    "E2010": "Képelemzési hiba: E2010",
+    "E2011": "Képelemzési hiba: E2011",
+    "E2012": "Képelemzési hiba: E2012",
+    "E2013": "Képelemzési hiba: E2013",
+    "E2014": "Képelemzési hiba: E2014",
+    "E2015": "Képelemzési hiba: E2015",
+    "E2200": "Képelemzési hiba: E2200",
+    "E2201": "Képelemzési hiba: E2201",
+    "E2205": "Képelemzési hiba: E2205",
+    "E2206": "Képelemzési hiba: E2206",
+    "E2207": "Képelemzési hiba: E2207",
+    "E2112": "Képelemzési hiba: E2112",
+    "E2110": "Képelemzési hiba: E2110",
+    "E2113": "Képelemzési hiba: E2113",
+    "E2114": "Képelemzési hiba: E2114",
     "GENERIC": "Váratlan hiba lépett fel",
-} | {f"E{n}": f"Képelemzési hiba: E{n}" for n in (
-    *range(2005, 2016), 2110, 2112, 2113, 2114, 2200, 2201, 2205, 2206, 2207)}
+}
 
 LAST_RESORT_MESSAGE = "An error occurred."
 

@@ -137,8 +137,8 @@ def apply_selection(selected: DataFrame, ranges: DataFrame, removed: DataFrame,
     return added.distinct().join(removed.select(by, "tablet_id"), [by, "tablet_id"], "left_anti")
 
 
-def replay_clicks(clicks: DataFrame, by: str = "run_id") -> DataFrame:
-    """The selection a sequence of clicks ``(run_id, ts, tablet_id)`` leaves behind.
+def replay_clicks(clicks: DataFrame, by: str = "run_id", tie: str | None = None) -> DataFrame:
+    """The selection a sequence of clicks ``(run_id, ts, tablet_id)`` leaves behind; ``tie`` orders clicks of one time.
 
     Without an anchor a click on a selected cell removes it, on a free one adds it and sets
     the anchor; with an anchor it adds the range (or, on the anchor itself, nothing) and clears
@@ -169,8 +169,9 @@ def replay_clicks(clicks: DataFrame, by: str = "run_id") -> DataFrame:
         if seen and cells:
             yield out()
     kind = clicks.schema[by].dataType.simpleString()
-    rows = clicks.select(by, "ts", F.col("tablet_id").cast("int").alias("tablet_id"))
-    return rows.repartition(by).sortWithinPartitions(by, "ts") \
+    order = [by, "ts", *([tie] if tie else [])]
+    rows = clicks.select(*order, F.col("tablet_id").cast("int").alias("tablet_id"))
+    return rows.repartition(by).sortWithinPartitions(*order) \
         .mapInPandas(replay, f"{by} {kind}, tablet_id int")
 
 

@@ -570,10 +570,11 @@ def _(spark, sf):
     return C.position_check(frames8(spark, sf), thr, "manual", points=contour8(spark, sf)).select("frame_id", "status", "code")
 
 
-# triangles of the first three points
-SPAN = PTS + """, t AS (SELECT frame_id, i, x::DOUBLE AS x, y::DOUBLE AS y FROM pt WHERE i < 3),
- ed AS (SELECT a.frame_id, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1 FROM t a JOIN t b ON a.frame_id = b.frame_id AND b.i = (a.i + 1) % 3),
- rw AS (SELECT *, unnest(generate_series(least(y0, y1)::BIGINT, greatest(y0, y1)::BIGINT)) AS y,
+HULL_EDGES = """,
+ ed AS (SELECT frame_id, x::DOUBLE AS x0, y::DOUBLE AS y0, nx::DOUBLE AS x1, ny::DOUBLE AS y1 FROM e ANTI JOIN bad USING (frame_id, x, y, nx, ny)),
+"""
+# spans of the hull of all contour points
+SPAN = HULL + HULL_EDGES + """ rw AS (SELECT *, unnest(generate_series(least(y0, y1)::BIGINT, greatest(y0, y1)::BIGINT)) AS y,
    CASE WHEN y1 <> y0 THEN (x1 - x0) / (y1 - y0) END AS m FROM ed),
  ab AS (SELECT *, x0 + m * (greatest(y - 0.5::DOUBLE, least(y0, y1)) - y0) AS xa, x0 + m * (least(y + 0.5::DOUBLE, greatest(y0, y1)) - y0) AS xb,
    x0 + m * (y - y0) AS xc FROM rw),
@@ -585,16 +586,15 @@ SPAN = PTS + """, t AS (SELECT frame_id, i, x::DOUBLE AS x, y::DOUBLE AS y FROM
 
 @query("j11_polygon_spans", SPAN + " SELECT frame_id, y, x_start, x_end FROM spans")
 def _(spark, sf):
-    return big(S.polygon_spans(contour32(spark, sf).filter("i < 3")))
+    return big(S.polygon_spans(S.hull(contour32(spark, sf))))
 
 
 def _mask8(spark, sf):
-    """Triangles of contour points folded onto the 8 x 8 frame."""
-    return S.polygon_spans(contour32(spark, sf).filter("i < 3").select(
-        "frame_id", "i", (F.col("x") % 8).alias("x"), (F.col("y") % 8).alias("y")))
+    """Hulls of contour points folded onto the 8 x 8 frame."""
+    return S.polygon_spans(S.hull(contour32(spark, sf).select("frame_id", "i", (F.col("x") % 8).alias("x"), (F.col("y") % 8).alias("y"))))
 
 
-SPAN8 = SPAN.replace("x::DOUBLE AS x, y::DOUBLE AS y", "(x % 8)::DOUBLE AS x, (y % 8)::DOUBLE AS y")
+SPAN8 = SPAN.replace("SELECT DISTINCT frame_id, x, y FROM pt", "SELECT DISTINCT frame_id, x % 8 AS x, y % 8 AS y FROM pt")
 
 
 @query("j11_mask_pixels", SPAN8 + ", " + FRAMES8 + """ SELECT frame_id, p.y, x, v FROM px p JOIN spans USING (frame_id, y)
@@ -619,9 +619,7 @@ def _(spark, sf):
 HULL10 = HULL.replace("u AS (SELECT DISTINCT frame_id, x, y FROM pt)", "u AS (SELECT DISTINCT frame_id, least(1999, x * 10) AS x, least(1999, y * 10) AS y FROM pt)")
 
 
-@query("j11_contour_mask", HULL10 + """,
- ed AS (SELECT frame_id, x::DOUBLE AS x0, y::DOUBLE AS y0, nx::DOUBLE AS x1, ny::DOUBLE AS y1 FROM e ANTI JOIN bad USING (frame_id, x, y, nx, ny)),
- rw AS""" + SPAN.split(" rw AS")[1] + " SELECT frame_id, 'OK' AS status, NULL::VARCHAR AS code, sum(x_end - x_start + 1)::BIGINT AS area FROM spans GROUP BY 1")
+@query("j11_contour_mask", HULL10 + HULL_EDGES + """ rw AS""" + SPAN.split(" rw AS")[1] + " SELECT frame_id, 'OK' AS status, NULL::VARCHAR AS code, sum(x_end - x_start + 1)::BIGINT AS area FROM spans GROUP BY 1")
 def _(spark, sf):
     """Hull masks of scaled contours on 2000 x 2000 frames: covered pixels and code per frame."""
     pts = contour32(spark, sf).withColumn("scale", F.lit(0.1))

@@ -164,12 +164,12 @@ def _(spark, sf):
     return big(g.join(n, g["tablet_id"] == n["c"], "left").select("position", "tablet_id", "label", F.coalesce("parts", F.lit(0).cast("bigint")).alias("parts")).orderBy("position"))
 
 
-RNG = "(SELECT o_custkey AS run_id, o_orderkey % 120 - 5 AS a, o_orderkey * 7 % 120 AS b FROM orders WHERE o_orderstatus = 'O')"
+RNG = "(SELECT o_custkey AS run_id, o_orderkey % 120 - 5 AS a, o_orderkey * 7 % 120 AS b FROM orders)"
 
 
 def ranges(spark, sf):
     k = F.col("o_orderkey")
-    return table(spark, sf, "orders").filter("o_orderstatus = 'O'").select(
+    return table(spark, sf, "orders").select(
         F.col("o_custkey").alias("run_id"), (k % 120 - 5).alias("first_id"), (k * 7 % 120).alias("last_id"))
 
 
@@ -199,8 +199,8 @@ def _(spark, sf):
    CASE WHEN anchor IS NULL AND NOT list_contains(sel, t) THEN t END FROM w JOIN c ON c.run_id = w.run_id AND c.rn = w.rn + 1)
  SELECT run_id, unnest(sel) AS tablet_id FROM (SELECT run_id, arg_max(sel, rn) AS sel FROM w GROUP BY 1)""")
 def _(spark, sf):
-    c = table(spark, sf, "events").select(F.col("user_id").alias("run_id"), "ts", (F.col("event_id") * 13 % 100 + 1).cast("int").alias("tablet_id"))
-    return big(PL.replay_clicks(c))
+    c = table(spark, sf, "events").select(F.col("user_id").alias("run_id"), "ts", "event_id", (F.col("event_id") * 13 % 100 + 1).cast("int").alias("tablet_id"))
+    return big(PL.replay_clicks(c, tie="event_id"))
 
 
 @query("u2_pending", f"SELECT DISTINCT o_custkey AS run_id, o_orderkey % 100 + 1 AS tablet_id FROM orders EXCEPT ({PICK.format('F')} UNION {PICK.format('P')})")
@@ -222,9 +222,9 @@ def _(spark, sf):
     return rounded(PL.queue(s), "progress")
 
 
-@query("t1_queue_order", "SELECT DISTINCT l_orderkey AS run_id, l_partkey % 100 + 1 AS tablet_id FROM lineitem WHERE l_returnflag = 'R'")
+@query("t1_queue_order", "SELECT DISTINCT l_orderkey AS run_id, l_partkey % 100 + 1 AS tablet_id FROM lineitem")
 def _(spark, sf):
-    s = li(spark, sf).filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("run_id"), (F.col("l_partkey") % 100 + 1).alias("tablet_id"))
+    s = li(spark, sf).select(F.col("l_orderkey").alias("run_id"), (F.col("l_partkey") % 100 + 1).alias("tablet_id"))
     return PL.queue_order(PL.selection(s))
 
 
@@ -422,12 +422,14 @@ def _(spark, sf):
     return O.result_record(d, 1).select("id", "operator", "clogged", "partially_clogged", "clean", "date", "time", "result")
 
 
-@query("a24_label_counts", """WITH l AS (SELECT conv_id, turn, role FROM conversations), c AS (SELECT conv_id, turn, length(text) AS v FROM conversations WHERE turn < 4),
+@query("a24_label_counts", """WITH l AS (SELECT conv_id, turn, role FROM conversations), c AS (SELECT conv_id, turn, length(text) AS v FROM (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations) WHERE conv_id % 2 = 0 OR turn < last),
  n AS (SELECT conv_id, count(*) AS n FROM l GROUP BY 1), m AS (SELECT conv_id, count(*) AS n FROM c GROUP BY 1)
  SELECT conv_id, c.turn AS i, CASE WHEN n.n = m.n THEN l.role ELSE 'Result ' || (c.turn + 1) END AS label, v AS value FROM c JOIN n USING (conv_id) JOIN m USING (conv_id) LEFT JOIN l USING (conv_id, turn)""")
 def _(spark, sf):
     c = table(spark, sf, "conversations").withColumnRenamed("turn", "i")
-    counts = c.filter("i < 4").select("conv_id", "i", F.length("text").cast("bigint").alias("value"))
+    # odd conversations lack the count of their last turn, so their labels do not match
+    last = c.groupBy("conv_id").agg(F.max("i").alias("last"))
+    counts = c.join(last, "conv_id").filter("conv_id % 2 = 0 OR i < last").select("conv_id", "i", F.length("text").cast("bigint").alias("value"))
     return O.label_counts(c.select("conv_id", "i", F.col("role").alias("label")), counts, "conv_id")
 
 
@@ -595,13 +597,14 @@ def _(spark, sf):
     return WR.valid_presets(s).select("s_suppkey", "camera_profile_path", "exposure_time_dome")
 
 
-@query("s10_log_records", r"""WITH l AS (SELECT doc_id, length(text) - length(replace(text, chr(10), '')) AS extra, string_split(text, chr(10))[1] AS head FROM documents WHERE NOT contains(text, chr(13)))
+@query("s10_log_records", r"""WITH d AS (SELECT doc_id, replace(text, chr(13) || chr(10), chr(10)) AS text FROM documents),
+ l AS (SELECT doc_id, length(text) - length(replace(text, chr(10), '')) AS extra, string_split(text, chr(10))[1] AS head FROM d)
  SELECT doc_id, 'WARNING' AS level, 'app.core' AS logger, extra + 1 AS lines, head FROM l""")
 def _(spark, sf):
     """Log text made of documents: one head line each, the rest continuation lines."""
-    d = table(spark, sf, "documents").filter(~F.col("text").contains("\r"))
+    d = table(spark, sf, "documents")
     txt = F.concat(F.lit("2024-03-14 09:05:00,123 [WARNING] app.core: "), F.col("text"))
-    lines = d.select(F.col("doc_id").cast("string").alias("path"), F.posexplode(F.split(txt, "\n")).alias("line_no", "line"))
+    lines = d.select(F.col("doc_id").cast("string").alias("path"), F.posexplode(F.split(txt, r"\r?\n")).alias("line_no", "line"))
     r = log_records(lines)
     return r.select(F.col("path").cast("bigint").alias("doc_id"), "level", "logger", F.size(F.split("message", "\n")).cast("bigint").alias("lines"),
                     F.substring_index("message", "\n", 1).alias("head"))
