@@ -9,11 +9,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granulite.operators.planes import line_histogram, plane_histogram, unroll
-from granulite.operators.stencils import SOBEL, blur, filtered, planes, sobel
+from granulite.operators.planes import line_histogram
+from granulite.operators.stencils import SOBEL, blur, filtered, plane_counts, planes, sobel
 
 def by_frame():
     return Window.partitionBy("frame_id")
@@ -93,22 +95,32 @@ def edge_activity(lines: DataFrame, act_k: float = 6.0) -> DataFrame:
         (F.sum(F.when(F.col("v") > thr, F.col("n")).otherwise(0)) / F.sum("n")).alias("edge_act"))
 
 
-def ring_of(y, x, h, w, bins: int):
-    """Ring number of a pixel by its radius over that of the far corner; ``bins`` for the rim itself."""
+def ring_of(y, x, h: float, w: float, bins: int):
+    """Ring number of pixels by their radius over that of the far corner; ``bins`` for the rim itself."""
     cy, cx = h / 2.0, w / 2.0
-    r = F.sqrt((y - cy) * (y - cy) + (x - cx) * (x - cx)) / (F.sqrt(cy * cy + cx * cx) + 1e-9)
-    return F.least(F.floor(r * bins), F.lit(bins).cast("bigint"))
+    r = np.sqrt((y - cy) * (y - cy) + (x - cx) * (x - cx)) / (math.sqrt(cy * cy + cx * cx) + 1e-9)
+    return np.minimum(np.floor(r * bins), bins)
 
 
 def radial_profile(lines: DataFrame, bins: int = 24) -> DataFrame:
     """Mean gray value per ring ``(frame_id, ring, mean)``, all rings present.
 
-    Rings are half-open in normalised radius, an empty one takes the frame mean. Sums are
-    combined map-side, so at most ``bins + 1`` partial rows per frame leave a task.
+    Rings are half-open in normalised radius, an empty one takes the frame mean. Rings are summed line by line
+    in the task that holds the line, so at most ``bins + 1`` rows per frame and batch leave it.
     """
-    px = lines.select("frame_id", "y", "height", F.size("vals").alias("width"), F.posexplode("vals").alias("x", "v")) \
-        .select("frame_id", "v", ring_of(F.col("y"), F.col("x"), F.col("height"), F.col("width"), bins).alias("ring"))
-    part = px.groupBy("frame_id", "ring").agg(F.sum("v").alias("s"), F.count("*").alias("n"))
+    def rings(batches):
+        for b in batches:
+            sums: dict = {}
+            for f, h, y, vals in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3)):
+                v = vals.values.to_numpy(zero_copy_only=False)
+                r = ring_of(float(y), np.arange(len(v), dtype=float), float(h), float(len(v)), bins).astype(np.int64)
+                s = sums.setdefault(f, np.zeros((2, bins + 1)))
+                s[0] += np.bincount(r, v, bins + 1)
+                s[1] += np.bincount(r, minlength=bins + 1)
+            rows = [(f, k, s[0, k], int(s[1, k])) for f, s in sums.items() for k in np.flatnonzero(s[1]).tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.int64()))], ["frame_id", "ring", "s", "n"])
+    px = lines.select(F.col("frame_id").cast("bigint").alias("frame_id"), F.col("height").cast("int").alias("height"), F.col("y").cast("int").alias("y"), F.col("vals").cast("array<double>").alias("vals"))
+    part = px.mapInArrow(rings, "frame_id bigint, ring bigint, s double, n bigint").groupBy("frame_id", "ring").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     # at most bins + 1 entries per frame
     whole = part.groupBy("frame_id").agg(
         F.map_from_entries(F.collect_list(F.struct("ring", F.col("s") / F.col("n")))).alias("m"),
@@ -182,15 +194,11 @@ def pattern_metrics(lines: DataFrame, hp_sigma: float = 12.0, clip=(0.05, 0.95),
     one shuffle by frame then ranks the counts. Clipping does not move a median, so the
     high-pass median needs no second ranking.
     """
-    p = planes(lines, low=[blur(0, hp_sigma, False)], mag=[SOBEL], vb=[blur(vignette_blur)])
-    rings = F.transform("vb", lambda v, x: F.struct(
-        ring_of(F.col("y"), x, F.col("height"), F.size("vb"), bins).cast("double").alias("v"), v.alias("s")))
-
-    def plain(arr):
-        return F.transform(arr, lambda v: F.struct(v.alias("v"), F.lit(0.0).alias("s")))
-    tall = unroll(p, {"g": plain("vals"), "h": plain(F.zip_with("vals", "low", lambda a, b: a - b)),
-                      "m": plain("mag"), "r": rings})
-    c = plane_histogram(tall).repartition("frame_id")
+    def count(a, y, height):
+        x = np.arange(a["vals"].shape[2], dtype=float)
+        rings = ring_of(y[:, None].astype(float), x[None, :], float(height), float(len(x)), bins)
+        return {"g": (a["vals"], None), "h": (a["vals"] - a["low"], None), "m": (a["mag"], None), "r": (rings[None], a["vb"])}
+    c = plane_counts(lines, count, low=[blur(0, hp_sigma, False)], mag=[SOBEL], vb=[blur(vignette_blur)]).repartition("frame_id")
     w = Window.partitionBy("frame_id", "plane")
     qs = (clip[0], 0.1, 0.5, 0.9, clip[1])
     c = c.withColumn("_q", F.percentile("v", F.array(*[F.lit(x) for x in qs]), F.col("n")).over(w))

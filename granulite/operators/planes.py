@@ -86,21 +86,19 @@ def from_pixels(pixels: DataFrame) -> DataFrame:
 
 
 def line_histogram(lines: DataFrame) -> DataFrame:
-    """Gray histogram ``(frame_id, v, n)``: at most 256 rows per 8-bit frame, combined map-side."""
-    return lines.select("frame_id", F.explode("vals").alias("v")) \
-        .groupBy("frame_id", "v").agg(F.count("*").alias("n"))
+    """Histogram ``(frame_id, v, n)``: lines are counted batch by batch, so pixels never become rows; an 8-bit frame gives
+    256 rows a batch at most."""
+    from granulite.operators.stencils import value_counts
 
-
-def unroll(lines: DataFrame, planes: dict) -> DataFrame:
-    """Several planes of a line as rows ``(frame_id, plane, v, s)``; entries are ``struct(v, s)`` arrays."""
-    one = F.array(*[F.struct(F.lit(n).alias("plane"), a.alias("a")) for n, a in planes.items()])
-    p = lines.select("frame_id", F.explode(one).alias("p"))
-    return p.select("frame_id", "p.plane", F.explode("p.a").alias("e")).select("frame_id", "plane", "e.v", "e.s")
-
-
-def plane_histogram(tall: DataFrame) -> DataFrame:
-    """Counts ``n`` and sums ``s`` per ``(frame_id, plane, v)``, combined map-side."""
-    return tall.groupBy("frame_id", "plane", "v").agg(F.count("*").alias("n"), F.sum("s").alias("s"))
+    def counted(batches):
+        for b in batches:
+            off = np.asarray(b.column(1).offsets)
+            flat = b.column(1).values.to_numpy(zero_copy_only=False)[off[0]:off[-1]]
+            if len(flat):
+                f, v, n, _ = value_counts(np.repeat(b.column(0).to_numpy(), np.diff(off)), flat)
+                yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(v), pa.array(n)], ["frame_id", "v", "n"])
+    d = lines.select(F.col("frame_id").cast("bigint").alias("frame_id"), F.col("vals").cast("array<double>").alias("vals"))
+    return d.mapInArrow(counted, "frame_id bigint, v double, n bigint").groupBy("frame_id", "v").agg(F.sum("n").alias("n"))
 
 
 def frame_sizes(lines: DataFrame) -> DataFrame:

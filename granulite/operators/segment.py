@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from granulite.operators.lineage import settle
 from granulite.operators.metrics import by_frame
-from granulite.operators.planes import pad_box
-from granulite.operators.stencils import BAND, blur, planes
+from granulite.operators.planes import line_histogram, pad_box
+from granulite.operators.stencils import BAND, blur, plane_counts, planes
 
 # ---- threshold -----------------------------------------------------------
 
@@ -39,9 +39,10 @@ def binarize(lines: DataFrame, pre_blur: int = 0) -> DataFrame:
     class without pixels has mean 0.
     """
     both = planes(lines, seg=[blur(pre_blur)]) if pre_blur > 0 else lines.withColumn("seg", F.col("vals"))
-    level = both.select("frame_id", F.explode(F.arrays_zip("seg", "vals")).alias("p")) \
-        .groupBy("frame_id", F.col("p.seg").alias("v")) \
-        .agg(F.count("*").alias("n"), F.sum("p.vals").alias("s"))
+    if pre_blur > 0:
+        level = plane_counts(lines, lambda a, y, h: {"seg": (a["seg"], a["vals"])}, seg=[blur(pre_blur)]).drop("plane")
+    else:
+        level = line_histogram(lines).withColumn("s", F.col("v") * F.col("n"))
     j = level.join(otsu(level.select("frame_id", "v", "n")), "frame_id")
     hi = F.col("v") > F.col("thr")
 

@@ -60,11 +60,42 @@ def reflect(i: Column, n: Column) -> Column:
     return F.when(n <= 1, F.lit(0)).when(m < n, m).otherwise(period - m)
 
 
-def planes(lines: DataFrame, band: int = BAND, **chains) -> DataFrame:
+def value_counts(frame: np.ndarray, v: np.ndarray, s: np.ndarray | None = None):
+    """``(frame, v, n, s)`` of parallel arrays: how often each value occurs in each frame, and the sum of ``s`` there."""
+    ids, f = np.unique(frame, return_inverse=True)
+    if len(v) and v.min() >= 0 and v.max() <= 255 and (v == np.floor(v)).all():
+        levels, k = np.arange(256.0), v.astype(np.int64)
+    else:
+        levels, k = np.unique(v, return_inverse=True)
+    cells, where, n = np.unique(f * len(levels) + k, return_inverse=True, return_counts=True) if len(levels) > 256 else (None, f * 256 + k, None)
+    if cells is None:
+        full = np.bincount(where, minlength=len(ids) * 256)
+        cells = np.flatnonzero(full)
+        n, total = full[cells], np.zeros(0) if s is None else np.bincount(where, s, len(ids) * 256)[cells]
+        width = 256
+    else:
+        total, width = np.zeros(0) if s is None else np.bincount(where, s, len(cells)), len(levels)
+    return ids[cells // width], levels[cells % width], n, np.zeros(len(n)) if s is None else total
+
+
+COUNTS = "frame_id bigint, plane string, v double, n bigint, s double"
+
+
+def plane_counts(lines: DataFrame, count, band: int = BAND, **chains) -> DataFrame:
+    """Counts ``n`` and sums ``s`` per ``(frame_id, plane, v)`` of filtered planes, taken inside the band pass.
+
+    ``count(a, y, height)`` gets the planes of a band as arrays ``[frame, line, x]`` and gives ``{plane: (values, summed or None)}``.
+    An 8-bit plane leaves a band as 256 rows a frame at most; pixels never become rows.
+    """
+    c = planes(lines, band, count, **chains)
+    return c.groupBy("frame_id", "plane", "v").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+
+
+def planes(lines: DataFrame, band: int = BAND, count=None, **chains) -> DataFrame:
     """Add filtered planes: each keyword names a list of filter steps applied in turn.
 
     The halo is the deepest total reach. Lines of one band arrive together, are filtered, and
-    the halo lines are dropped again.
+    the halo lines are dropped again. With ``count`` the planes are counted in place (see ``plane_counts``).
     """
     halo = max(sum(reach(s) for s in chain) for chain in chains.values())
     y, h = F.col("y"), F.col("height")
@@ -127,6 +158,12 @@ def planes(lines: DataFrame, band: int = BAND, **chains) -> DataFrame:
                 cols.append(c[:, own0 - lo_y:own1 - lo_y + 1])
             ids = fid[rows].reshape(a.shape[0], -1)[:, 0]
             k, m = len(ids), own1 - own0 + 1
+            if count is not None:
+                frame = np.repeat(ids, m * int(w))
+                for plane, (v, s) in count(dict(zip(["vals", *names], cols)), np.arange(own0, own1 + 1), height).items():
+                    f, v, n, s = value_counts(frame, np.broadcast_to(v, cols[0].shape).ravel().astype(float), None if s is None else s.ravel())
+                    parts.append(pa.table([pa.array(f), pa.array([plane] * len(f), pa.string()), pa.array(v), pa.array(n), pa.array(s)], names=["frame_id", "plane", "v", "n", "s"]))
+                continue
             off = pa.array(np.arange(k * m + 1, dtype=np.int32) * np.int32(w))
             lists = [pa.ListArray.from_arrays(off, pa.array(np.ascontiguousarray(c, dtype=np.float64).ravel())) for c in cols]
             parts.append(pa.table(
@@ -135,7 +172,7 @@ def planes(lines: DataFrame, band: int = BAND, **chains) -> DataFrame:
                 names=["frame_id", "height", "y", "vals", *names]))
         return pa.concat_tables(parts)
 
-    out = "frame_id bigint, height int, y int, vals array<double>" + "".join(f", `{n}` array<double>" for n in names)
+    out = COUNTS if count is not None else "frame_id bigint, height int, y int, vals array<double>" + "".join(f", `{n}` array<double>" for n in names)
     return cut.groupBy("height", "_pack", "_band").applyInArrow(work, out)
 
 

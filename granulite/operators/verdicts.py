@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from granulite.operators import metrics as M
 from granulite.operators.lineage import settle
-from granulite.operators.planes import (GRAY_CHANNELS, center_box, downscale, full_box,
-                                        line_histogram, plane_histogram, unroll)
-from granulite.operators.stencils import blur, gaussian, planes
+from granulite.operators.planes import GRAY_CHANNELS, center_box, downscale, full_box, line_histogram
+from granulite.operators.stencils import blur, gaussian, plane_counts
 from granulite.thresholds import CHECK_ONLY, Thresholds
 
 
@@ -67,17 +66,13 @@ def prepare_pattern(lines: DataFrame, thr: Thresholds = CHECK_ONLY) -> DataFrame
 def gate_metrics(lines: DataFrame, thr: Thresholds = CHECK_ONLY) -> DataFrame:
     """Exposure from raw gray values; spread from the raw or the blurred frame by profile.
 
-    Both planes are counted together, so a frame costs one band shuffle at most and one
-    shuffle of counts.
+    Both planes are counted inside the band pass, so a frame costs one band shuffle at most and one
+    shuffle of 256 counts a band and plane.
     """
     if thr.stats_blur <= 0:
         m = M.histogram_metrics(line_histogram(lines), thr.white_thr)
     else:
-        p = planes(lines, b=[blur(thr.stats_blur)])
-
-        def plain(c):
-            return F.transform(c, lambda v: F.struct(v.alias("v"), F.lit(0.0).alias("s")))
-        c = plane_histogram(unroll(p, {"g": plain("vals"), "b": plain("b")})).repartition("frame_id")
+        c = plane_counts(lines, lambda a, y, h: {"g": (a["vals"], None), "b": (a["b"], None)}, b=[blur(thr.stats_blur)]).repartition("frame_id")
         w = Window.partitionBy("frame_id", "plane")
         n, v, g, b = F.col("n"), F.col("v"), F.col("plane") == "g", F.col("plane") == "b"
         c = c.withColumn("_m", F.sum(v * n).over(w) / F.sum(n).over(w)) \
