@@ -174,13 +174,30 @@ def label_runs(runs: DataFrame, slack: int = 1, band: int = BAND) -> DataFrame:
         .withColumn("label", F.coalesce("label", "local")).drop("local")
 
 
+def hole_runs(binary: DataFrame, band: int = BAND) -> DataFrame:
+    """Runs of the clear regions that no 4-neighbour path joins to the frame border."""
+    lab = label_runs(line_runs(binary.withColumn("bits", F.transform("bits", lambda b: 1 - b))), 0, band)
+    border = (F.col("y") == 0) | (F.col("y") == F.col("height") - 1) | (F.col("x0") == 0) \
+        | (F.col("x1") == F.col("width") - 1)
+    inner = lab.groupBy("frame_id", "label").agg(F.bool_or(border).alias("open")).filter("NOT open")
+    return lab.join(inner, ["frame_id", "label"], "left_semi").drop("label")
+
+
 def blobs(binary: DataFrame, band: int = BAND) -> DataFrame:
-    """Line runs with their blob label (8-neighbour connectivity)."""
-    return label_runs(line_runs(binary), 1, band)
+    """Line runs of the outermost blobs with what they enclose, and their label (8-neighbour connectivity).
+
+    Holes are filled before labelling, so a blob holds all that its outline encloses, smaller blobs inside it too; ``hole``
+    marks the runs that were clear. A filled blob keeps its first pixel, hence its label.
+    """
+    set_, clear = line_runs(binary), hole_runs(binary, band)
+    both = set_.unionByName(clear.select(*set_.columns))
+    lab = label_runs(both, 1, band)
+    return lab.join(clear.select("frame_id", "rid", F.lit(True).alias("hole")), ["frame_id", "rid"], "left") \
+        .withColumn("hole", F.coalesce("hole", F.lit(False)))
 
 
 def blob_facts(labelled: DataFrame) -> DataFrame:
-    """Pixel area, share of the frame and bounding rectangle of every blob."""
+    """Enclosed area in pixels, share of the frame and bounding rectangle of every outermost blob."""
     return labelled.groupBy("frame_id", "label").agg(
         F.max("height").alias("height"), F.max("width").alias("width"),
         F.sum((F.col("x1") - F.col("x0") + 1).cast("bigint")).alias("area"),
@@ -205,21 +222,9 @@ def largest_blob_spans(binary: DataFrame, filled: bool = True) -> DataFrame:
     f = blob_facts(lab)
     top = f.groupBy("frame_id").agg(F.max_by("label", F.struct(
         F.col("area"), (-F.col("label")).alias("neg"))).alias("label"))
-    spans = lab.join(top, ["frame_id", "label"]) \
-        .select("frame_id", "height", "width", "y", F.col("x0").alias("x_start"), F.col("x1").alias("x_end"))
-    return fill_holes(spans) if filled else spans
-
-
-def fill_holes(spans: DataFrame, band: int = BAND) -> DataFrame:
-    """Add the clear regions that no 4-neighbour path joins to the frame border."""
-    bits = _mask_bits(spans)
-    lab = label_runs(line_runs(bits.withColumn("bits", F.transform("bits", lambda b: 1 - b))), 0, band)
-    border = (F.col("y") == 0) | (F.col("y") == F.col("height") - 1) | (F.col("x0") == 0) \
-        | (F.col("x1") == F.col("width") - 1)
-    inner = lab.groupBy("frame_id", "label").agg(F.bool_or(border).alias("open")).filter("NOT open")
-    holes = lab.join(inner, ["frame_id", "label"], "left_semi") \
-        .select("frame_id", "height", "width", "y", F.col("x0").alias("x_start"), F.col("x1").alias("x_end"))
-    return spans.unionByName(holes)
+    spans = lab.join(top, ["frame_id", "label"])
+    spans = spans if filled else spans.filter("NOT hole")
+    return spans.select("frame_id", "height", "width", "y", F.col("x0").alias("x_start"), F.col("x1").alias("x_end"))
 
 
 def blob_boxes(lines: DataFrame, pre_blur: int = 5, pad: int = 20) -> DataFrame:

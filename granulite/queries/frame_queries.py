@@ -348,7 +348,10 @@ def _(spark, sf):
 
 
 BLOB = W.replace("WITH ", "WITH RECURSIVE ") + BIN + """,
- on_px AS (SELECT frame_id, y, x, y * 8 + x AS id FROM bits WHERE bit = 1),
+ off_px AS (SELECT frame_id, y, x FROM bits WHERE bit = 0),
+ outside AS (SELECT frame_id, y, x FROM off_px WHERE y IN (0, 7) OR x IN (0, 7) UNION
+   SELECT p.frame_id, p.y, p.x FROM outside o JOIN off_px p ON p.frame_id = o.frame_id AND abs(p.y - o.y) + abs(p.x - o.x) = 1),
+ on_px AS (SELECT frame_id, y, x, y * 8 + x AS id FROM bits ANTI JOIN outside USING (frame_id, y, x)),
  reach AS (SELECT frame_id, id AS root, id, y, x FROM on_px UNION
    SELECT r.frame_id, r.root, p.id, p.y, p.x FROM reach r JOIN on_px p ON p.frame_id = r.frame_id
    AND abs(p.y - r.y) <= 1 AND abs(p.x - r.x) <= 1 AND p.id <> r.id),

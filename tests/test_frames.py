@@ -177,11 +177,24 @@ def test_largest_blob_and_holes(spark):
     m[3:6, 3:6] = False
     m[4, 4] = True
     d = S.largest_blob(bits_df(spark, [m])).first()
-    assert (d.area, d.bx, d.by, d.bw, d.bh) == (40, 1, 1, 7, 7)
+    assert (d.area, d.bx, d.by, d.bw, d.bh) == (49, 1, 1, 7, 7)  # with all that the outline encloses
     spans = S.largest_blob_spans(bits_df(spark, [m]))
     assert spans.agg(F.sum(F.col("x_end") - F.col("x_start") + 1)).first()[0] == 49
 
 
+def test_thin_ring_beats_a_smaller_solid(spark):
+    y, x = np.indices((100, 160))
+    r = np.hypot(y - 50, x - 50)
+    m = (r <= 41) & (r >= 39)
+    m[20:50, 120:142] = True  # more set pixels than the ring, far fewer than it encloses
+    d = S.largest_blob(bits_df(spark, [m])).first()
+    assert (d.bx, d.by, d.bw, d.bh) == (9, 9, 83, 83) and d.area == (r <= 41).sum()
+    ring = S.largest_blob_spans(bits_df(spark, [m]), filled=False)
+    assert ring.agg(F.sum(F.col("x_end") - F.col("x_start") + 1)).first()[0] == ((r <= 41) & (r >= 39)).sum()
+    facts = S.blob_facts(S.blobs(bits_df(spark, [m]), band=16)).collect()
+    assert sorted(f.area for f in facts) == [660, (r <= 41).sum()]
+
+
 def test_otsu_and_polarity(spark):
     bright = disc(20, 10, 10, 5)
     dark = disc(20, 10, 10, 5, on=20, off=200)
