@@ -29,8 +29,10 @@ from granulite.llm.pretokens import Memo, chunks_of, piece_pattern
 SHORT = 48
 #: Text encoded at a time.
 BATCH_BYTES = 2_000_000
-#: Chunks and pieces whose ids a worker keeps.
-MEMO = 300_000
+#: Slots for arcs that a worker keeps.
+ARCS = 1 << 20
+#: Chunks whose ids a worker keeps.
+MEMO = 500_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -74,6 +76,7 @@ class Automaton:
         if len(np.unique(made)) != len(made):
             raise ValueError("two merges make one token")
         self.size = size
+        self.lengths = np.array([len(x) for x in self.labels], np.int64)
         self.number = np.full(size, -1, np.int64)  # merge that made a token; -1 for bytes
         self.first, self.second = np.zeros(size, np.int64), np.zeros(size, np.int64)
         self.number[made], self.first[made], self.second[made] = np.arange(len(made)), left, right
@@ -83,7 +86,9 @@ class Automaton:
         tokens = [*sorted({vocab[c] for c in letters if c in vocab}), *made.tolist()]
         self._trie(tokens)
         self.memo: Memo = Memo(MEMO)
-        self.chunk_memo: Memo = Memo(MEMO)
+        # arcs met so far, one a slot, so that frequent ones need no unrolling
+        self.met = np.full(ARCS, -(1 << 62), np.int64)
+        self.met_is = np.zeros(ARCS, bool)
 
     def _trie(self, tokens: list[int]) -> None:
         step: dict[int, int] = {}
@@ -116,8 +121,18 @@ class Automaton:
     def arcs(self, t: np.ndarray, u: np.ndarray) -> np.ndarray:
         """Whether the arcs t -> u exist once all gadgets are in place; t = -1 is the start, which has all arcs."""
         out = np.ones(len(t), bool)
-        live = np.flatnonzero(t >= 0)
-        t, u = t[live].copy(), u[live].copy()
+        asked = t * self.size + u
+        slot = (asked ^ asked >> 17) & (ARCS - 1)
+        known = self.met[slot] == asked
+        out[known] = self.met_is[slot[known]]
+        todo = np.flatnonzero(~known & (t >= 0))
+        out[todo] = self._unroll(t[todo], u[todo])
+        self.met[slot[todo]], self.met_is[slot[todo]] = asked[todo], out[todo]
+        return out
+
+    def _unroll(self, t: np.ndarray, u: np.ndarray) -> np.ndarray:
+        out = np.ones(len(t), bool)
+        live = np.arange(len(t))
         before = np.full(len(live), len(self.gone), np.int64)  # only gadgets below this number count
         while len(live):
             k = t * self.size + u
@@ -137,8 +152,8 @@ class Automaton:
     def arc(self, t: int, u: int) -> bool:
         return bool(self.arcs(np.array([t]), np.array([u]))[0])
 
-    def encode_pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """Ids of each piece: the one path through the automaton that spells it."""
+    def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each piece (little-endian, 32 bits): the one path through the automaton that spells it."""
         out: list = [None] * len(pieces)
         by_length: dict[int, list[int]] = {}
         for i, p in enumerate(pieces):
@@ -165,18 +180,19 @@ class Automaton:
                     ok = has[self.arcs(last[at[has], i], token[has])]
                     last[at[ok], j + 1] = token[ok]
             # walk back from the end
-            size = np.array([len(x) for x in self.labels], np.int64)
             place, back = np.full(len(rows), n), []
             while (place > 0).any():
                 t = np.where(place > 0, last[np.arange(len(rows)), place], -1)
                 back.append(t)
-                place = place - np.where(t >= 0, size[t], 0)
+                place = place - np.where(t >= 0, self.lengths[t], 0)
             path = np.array(back[::-1]).T.reshape(len(rows), -1)
-            for r, i in enumerate(rows):
-                out[i] = path[r][path[r] >= 0].astype("<u4")
+            there = path >= 0
+            flat, end = path[there].astype("<u4").tobytes(), (4 * np.cumsum(there.sum(1))).tolist()
+            for i, x, y in zip(rows, [0, *end], end):
+                out[i] = flat[x:y]
         return out
 
-    def _encode_long(self, piece: bytes) -> np.ndarray:
+    def _encode_long(self, piece: bytes) -> bytes:
         """The same for one long piece, byte by byte, with the arcs met so far kept."""
         n, known = len(piece), {}
         last = [-1] * (n + 1)
@@ -199,7 +215,7 @@ class Automaton:
         while i:
             path.append(last[i])
             i -= len(self.labels[last[i]])
-        return np.array(path[::-1], "<u4")
+        return np.array(path[::-1], "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -216,13 +232,12 @@ class Automaton:
             parts.append(t[at:])
             plan.append(p)
         self.memo.room()
-        self.chunk_memo.room()
-        split, new = chunks_of(parts, self.chunk_memo)
+        split, new = chunks_of(parts, self.memo)
         cut = [self.piece.findall(c) for c in new]
-        fresh = list({p for c in cut for p in c if p not in self.memo})
-        self.memo.update(zip(fresh, (x.tobytes() for x in self.encode_pieces([p.encode() for p in fresh]))))
-        self.chunk_memo.update((c, b"".join(map(self.memo.__getitem__, ps))) for c, ps in zip(new, cut))
-        done = [b"".join(map(self.chunk_memo.__getitem__, s)) for s in split]
+        fresh = list({p for c in cut for p in c})
+        ids = dict(zip(fresh, self.encode_pieces([p.encode() for p in fresh])))
+        self.memo.update((c, b"".join(map(ids.__getitem__, ps))) for c, ps in zip(new, cut))
+        done = [b"".join(map(self.memo.__getitem__, s)) for s in split]
         return [b"".join(done[x] if of_text else x for of_text, x in p) for p in plan]
 
     def decode(self, ids: np.ndarray) -> str:

@@ -19,21 +19,35 @@ def piece_pattern(pattern: str) -> str:
 
 
 class Memo(dict):
-    """A dictionary that starts anew beyond a number of entries."""
+    """A dictionary of bounded size: when half is full, what was not looked for since the last turn is forgotten."""
 
     def __init__(self, most: int):
         super().__init__()
-        self.most = most
+        self.half = most // 2
+        self.older: dict = {}
 
     def room(self) -> None:
-        if len(self) > self.most:
+        if len(self) > self.half:
+            self.older = dict(self)
             self.clear()
 
+    def missing(self, keys) -> list:
+        """Those keys that are not held; held ones count as looked for."""
+        out = []
+        for k in keys:
+            if k not in self:
+                v = self.older.get(k)
+                if v is None:
+                    out.append(k)
+                else:
+                    self[k] = v
+        return out
 
-def chunks_of(texts: list[str], memo: dict) -> tuple[list[list[str]], list[str]]:
+
+def chunks_of(texts: list[str], memo: Memo) -> tuple[list[list[str]], list[str]]:
     """Chunks of each text, and the distinct ones that ``memo`` lacks."""
     split = [CHUNK.findall(t) for t in texts]
     seen = set()
     for s in split:
         seen.update(s)
-    return split, [c for c in seen if c not in memo]
+    return split, memo.missing(seen)
