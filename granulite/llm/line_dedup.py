@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granulite.llm.common import stored
+from granulite.operators.planes import let
 
 #: Lines of a gram and grams of a window: a run of GRAM + WINDOW - 1 lines holds a fingerprint, wherever it stands.
 GRAM, WINDOW = 2, 2
@@ -21,10 +22,9 @@ def _lines(text: Column) -> Column:
 
 def _fingerprints(h: Column) -> Column:
     """Positions and hashes of the window minima over grams of line hashes; the last of equal minima."""
-    grams = F.when(F.size(h) >= GRAM, F.transform(F.sequence(F.lit(0), F.size(h) - GRAM), lambda i: F.struct(
-        F.xxhash64(*[F.get(h, i + j) for j in range(GRAM)]).alias("fp"), (-i).alias("back"))))
-    windows = F.sequence(F.lit(1), F.greatest(F.size(grams) - (WINDOW - 1), F.lit(1)))
-    return F.array_distinct(F.transform(windows, lambda s: F.array_min(F.slice(grams, s, WINDOW))))
+    grams = F.transform(F.sequence(F.lit(0), F.size(h) - GRAM), lambda i: F.struct(F.xxhash64(*[F.get(h, i + j) for j in range(GRAM)]).alias("fp"), (-i).alias("back")))
+    # bound once: inside a lambda an expression would be evaluated for each element
+    return let(grams, lambda g: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(g) - (WINDOW - 1), F.lit(1))), lambda s: F.array_min(F.slice(g, s, WINDOW)))))
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -38,8 +38,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.col(text_col).cast("string")
     numbered = F.filter(F.transform(_lines(text), lambda x, i: F.struct(i.alias("at"), F.xxhash64(x).alias("h"), F.trim(F.translate(x, "\t\r\x0b\x0c", "    ")).alias("t"))), lambda s: s.t != "")
     d = docs.where(text.contains("\n")).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("tk"), numbered.alias("lines"))
-    d = d.where(F.size("lines") >= LEAST_RUN).select("id", "tk", F.col("lines.at").alias("at"), F.col("lines.h").alias("h"))
-    d = stored(d.dropDuplicates(["id", "tk"]).withColumn("key", F.xxhash64("id", "tk")))
+    d = stored(d.dropDuplicates(["id", "tk"]))
+    d = d.where(F.size("lines") >= LEAST_RUN).select("id", "tk", F.xxhash64("id", "tk").alias("key"), F.col("lines.at").alias("at"), F.col("lines.h").alias("h"))
     fps = d.select("id", "tk", "key", F.explode(_fingerprints(F.col("h"))).alias("f")).select("id", "tk", "key", F.col("f.fp").alias("fp"), (-F.col("f.back")).alias("pos"))
     place = F.struct("id", "tk", "pos", "key")
     first = fps.groupBy("fp").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -49,10 +49,13 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sooner = d.select(F.col("key").alias("from"), F.col("h").alias("ha"))
     met = met.join(later, "key").join(sooner, "from")
     same = F.transform("hb", lambda x, i: F.coalesce(x == F.get("ha", i - F.col("shift")), F.lit(False)))
-    met = met.select("key", "hb", same.alias("same"))
-    in_run = lambda i: reduce(lambda a, b: a | b, [
-        reduce(lambda a, b: a & b, [F.coalesce(F.get("same", i + (j - o)), F.lit(False)) for j in range(LEAST_RUN)]) for o in range(LEAST_RUN)])
-    runs = met.select("key", F.filter(F.sequence(F.lit(0), F.size("hb") - 1), in_run).alias("rows")).where("size(rows) > 0")
+
+    def in_runs(e: Column) -> Column:
+        """Places of ``e`` within LEAST_RUN or more true ones in a row."""
+        at = lambda i: reduce(lambda a, b: a | b, [
+            reduce(lambda a, b: a & b, [F.coalesce(F.get(e, i + (j - o)), F.lit(False)) for j in range(LEAST_RUN)]) for o in range(LEAST_RUN)])
+        return F.filter(F.sequence(F.lit(0), F.size(e) - 1), at)
+    runs = met.select("key", let(same, in_runs).alias("rows")).where("size(rows) > 0")
     gone = runs.select("key", F.explode("rows").alias("r")).groupBy("key").agg(F.collect_set("r").alias("rows"))
     return d.join(gone, "key").select("id", "tk", F.transform("rows", lambda r: F.get("at", r)).alias("gone"))
 
@@ -67,9 +70,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     gone = stored(repeated_lines(docs, id_col, text_col)).select(F.col("id").alias("__id"), F.col("tk").alias("__tk"), F.col("gone").alias("__gone"))
     text = F.col(text_col).cast("string")
     out = docs.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__tk")), "left")
-    lines = _lines(text)
-    left = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone")))
-    short = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
-    out = out.withColumns({"n_lines": F.coalesce(F.size(F.when(text.isNotNull(), lines)), F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size("__gone"), F.lit(0)).cast("long"),
-                           text_col: F.when(F.col("__gone").isNull(), text).otherwise(short)})
+    def rest(lines: Column) -> Column:
+        left = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone")))
+        return F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+    breaks = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
+    out = out.withColumns({"n_lines": F.coalesce(breaks + 1, F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size("__gone"), F.lit(0)).cast("long"),
+                           text_col: F.when(F.col("__gone").isNull(), text).otherwise(let(_lines(text), rest))})
     return out.drop("__id", "__tk", "__gone")
