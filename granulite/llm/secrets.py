@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granulite.llm.common import stored
+from granulite.operators.planes import let
 
 #: Kinds in their fixed order, and their patterns. A run of hex digits, and what follows AKIA, is taken whole by either form of
 #: the pattern, so the least length can stand in it; a short assignment must still use up its text, so its length is tested later.
@@ -21,7 +22,7 @@ def _matches(text: Column, kind: str, order: int, pattern: str) -> Column:
     p = F.lit(pattern)
     hits = F.regexp_extract_all(text, p, F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), lambda x: F.char_length(x))
-    return F.transform(hits, lambda m, i: F.struct(F.lit(kind).alias("kind"), F.lit(order).alias("o"), i.alias("i"), F.get(gaps, i).alias("gap"), m.alias("match")))
+    return let(gaps, lambda g: F.transform(hits, lambda m, i: F.struct(F.lit(kind).alias("kind"), F.lit(order).alias("o"), i.alias("i"), F.get(g, i).alias("gap"), m.alias("match"))))
 
 
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str | None = None, wide: int = WIDE) -> DataFrame:
