@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import zlib
 
 import numpy as np
 import pandas as pd
@@ -11,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granulite.llm.common import cuts, stored
+from granulite.llm.common import constants, cuts, mix, stored
 from granulite.llm.pretokens import Memo
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -28,30 +27,52 @@ EPOCHS, RATE = 100, 0.05
 MEMO, BATCH_BYTES = 300_000, 4_000_000
 
 
-def word_buckets(word: str) -> list[int]:
-    """Buckets of a word's subwords, its ends marked."""
-    x = f"<{word}>"
-    return [zlib.crc32(x[i:i + n].encode()) % BUCKETS for n in range(SHORTEST, LONGEST + 1) for i in range(len(x) - n + 1)]
+def word_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the subwords of all words, their ends marked, and the word each belongs to, in order of the words."""
+    points = np.frombuffer(("<" + "><".join(words) + ">").encode("utf-32-le"), np.uint32).astype(np.uint64)
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    owner = np.repeat(np.arange(len(words)), size)
+    left = np.repeat(np.cumsum(size), size) - np.arange(len(points))  # characters to the end of the word
+    owners, buckets = [], []
+    for n in range(SHORTEST, LONGEST + 1):
+        at = np.flatnonzero(left >= n)
+        h = np.full(len(at), n, np.uint64)
+        for k, c in enumerate(constants(n, 50 + n)):
+            h += points[at + k] * c
+        owners.append(owner[at])
+        buckets.append((mix(h) % np.uint64(BUCKETS)).astype(np.int64))
+    owners, buckets = np.concatenate(owners), np.concatenate(buckets)
+    order = np.argsort(owners, kind="stable")
+    return owners[order], buckets[order]
 
 
 def _bags(kept: np.ndarray | None):
     """The distinct buckets of each text, all of them or those in ``kept``; passes the first two columns through."""
     def bag(batches):
-        allowed = None if kept is None else set(kept.tolist())
+        allowed = np.ones(BUCKETS, bool)
+        if kept is not None:
+            allowed[:] = False
+            allowed[kept] = True
         memo = Memo(MEMO)
         for batch in batches:
             for lo, n in cuts(batch.column(2), BATCH_BYTES):
+                texts = [set(WORD.findall((text or "").lower())) for text in batch.column(2).slice(lo, n).to_pylist()]
+                memo.room()
+                new = memo.missing(set().union(*texts))
+                if new:
+                    memo.update(dict.fromkeys(new, ()))
+                    owner, bucket = word_buckets(new)
+                    hit = allowed[bucket]
+                    owner, bucket = owner[hit], bucket[hit]
+                    first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, np.int64)
+                    memo.update((new[owner[a]], bucket[a:b].tolist()) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(owner)]))
                 out = []
-                for text in batch.column(2).slice(lo, n).to_pylist():
+                for words in texts:
                     found: set[int] = set()
-                    for w in set(WORD.findall((text or "").lower())):
-                        b = memo.get(w)
-                        if b is None:
-                            b = memo[w] = tuple(x for x in word_buckets(w) if allowed is None or x in allowed)
+                    for b in map(memo.__getitem__, words):
                         if b:
                             found.update(b)
                     out.append(np.fromiter(sorted(found), np.int32, len(found)))
-                memo.room()
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), pa.array(out, pa.list_(pa.int32()))], ["id", "toxic", "bag"])
     return bag
 
