@@ -220,7 +220,8 @@ def repeated_windows(d: DataFrame) -> DataFrame:
     wide = exploded.join(repeated, "window").groupBy("gid", "ctx").agg(F.bit_or(F.expr("shiftleft(1L, cast(spot as int))")).alias("mask"))
     whole = contexts.where("n > 1").select("gid", "ctx", F.expr("shiftleft(1L, windows) - 1").alias("mask"))
     masks = deep.unionByName(wide).unionByName(whole).groupBy("gid", "ctx").agg(F.bit_or("mask").alias("mask"))
-    cover = found.select("gid", "ctx", "rk", "start").join(masks, ["gid", "ctx"])
+    # stored, so that the join below deals both sides anew and adaptive execution can split a context that a third of all texts share
+    cover = found.select("gid", "ctx", "rk", "start").join(stored(masks), ["gid", "ctx"])
     one = F.collect_list(F.struct("start", "mask"))
     return cover.groupBy("rk").agg(one.alias("c")).select("rk", F.col("c.start").alias("starts"), F.col("c.mask").alias("masks"))
 
