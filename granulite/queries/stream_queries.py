@@ -43,33 +43,46 @@ def lamps(spark, sf):
     return lamp_commands(events(spark, sf).withColumn("command", c)).filter("lamp IS NOT NULL")
 
 
-# the last lit interval of a lamp shows once the watermark, 60 s behind, has passed its end
-DONE = "(nx IS NOT NULL OR ts + INTERVAL 360 SECOND <= (SELECT max(ts) FROM events WHERE event_type <> 'click'))"
+LAMPS = "(SELECT max(ts) FROM events WHERE event_type <> 'click')"
+
+
+def passed(x: str, latest: str = "(SELECT max(ts) FROM events)") -> str:
+    """SQL: the watermark, 60 s behind the latest row, has passed the time ``x``. Later rows wait for more input."""
+    return f"(ceil(epoch_us({x}) / 1000.0) < epoch_us({latest}) // 1000 - 60000)"
+
+
+def settled(sql: str) -> str:
+    """The rows of a batch twin that the watermark has passed."""
+    return f"SELECT o.* FROM ({sql}) o JOIN events e ON e.event_id = o.seq WHERE {passed('e.ts')}"
+
+
+END = "ts + INTERVAL 300 SECOND"
 LIT = f"WITH l AS (SELECT lamp, ts, seq, action, lead(ts) OVER (PARTITION BY lamp ORDER BY ts, seq) AS nx FROM ({LAMP}) WHERE lamp IS NOT NULL)"
 
 
-@query("r1_lamp_auto_off", LIT + f""" SELECT lamp, seq, coalesce(nx >= ts + INTERVAL 300 SECOND, true) AS auto_off,
- round(CASE WHEN coalesce(nx >= ts + INTERVAL 300 SECOND, true) THEN 300.0 ELSE (epoch_us(nx) - epoch_us(ts)) / 1e6::DOUBLE END, 6) AS seconds FROM l WHERE action = 'on' AND {DONE}""")
+@query("r1_lamp_auto_off", LIT + f""" SELECT lamp, seq, coalesce(nx >= {END}, true) AS auto_off,
+ round(CASE WHEN coalesce(nx >= {END}, true) THEN 300.0 ELSE (epoch_us(nx) - epoch_us(ts)) / 1e6::DOUBLE END, 6) AS seconds FROM l
+ WHERE action = 'on' AND {passed(f"least(coalesce(nx, {END}), {END})", LAMPS)}""")
 def _(spark, sf):
     d = replay(KE.lamp_auto_off(lamps(spark, sf)))
     return rounded(d.withColumn("seconds", (F.unix_micros("off_ts") - F.unix_micros("on_ts")) / 1e6), "seconds") \
         .select("lamp", "seq", "auto_off", "seconds")
 
 
-@query("r2_lamp_status", LIT + f""" SELECT lamp, epoch_us(ts) AS us, action = 'on' AS lamp_on, false AS auto_turned_off FROM l UNION ALL
- SELECT lamp, epoch_us(ts) + 300000000, false, true FROM l WHERE action = 'on' AND coalesce(nx >= ts + INTERVAL 300 SECOND, true) AND {DONE}""")
+@query("r2_lamp_status", LIT + f""" SELECT lamp, epoch_us(ts) AS us, action = 'on' AS lamp_on, false AS auto_turned_off FROM l WHERE {passed("ts", LAMPS)} UNION ALL
+ SELECT lamp, epoch_us(ts) + 300000000, false, true FROM l WHERE action = 'on' AND coalesce(nx >= {END}, true) AND {passed(END, LAMPS)}""")
 def _(spark, sf):
     d = replay(KE.lamp_status(lamps(spark, sf)))
     return d.select("lamp", F.unix_micros("ts").alias("us"), "lamp_on", "auto_turned_off")
 
 
-@query("r3_transition_stream", ORACLES["r3_device_transitions"])
+@query("r3_transition_stream", settled(ORACLES["r3_device_transitions"]))
 def _(spark, sf):
     s = events(spark, sf).withColumns({"device": F.col("user_id"), "connected": ~F.col("event_type").isin("error", "view")})
     return replay(KE.device_transitions(s)).select("device", "seq", "transition", "homed_reset")
 
 
-@query("r4_reconnect_budget", ORACLES["w17_reconnect_cycles"])
+@query("r4_reconnect_budget", settled(ORACLES["w17_reconnect_cycles"]))
 def _(spark, sf):
     s = events(spark, sf).withColumns({"device": F.col("user_id"), "success": F.col("event_type") == "signup"})
     return rounded(replay(KE.reconnect_budget(s, cycle_s=86400)), "elapsed_s")
@@ -85,7 +98,7 @@ def _(spark, sf):
     return replay(FL.latest_stream(c), "update", ["rig", "kind"]).select("rig", "kind", "seq", "path")
 
 
-@query("r7_position_stream", ORACLES["w15_last_good"])
+@query("r7_position_stream", settled(ORACLES["w15_last_good"]))
 def _(spark, sf):
     k = F.get_json_object("props", "$.k").cast("double")
     s = events(spark, sf).withColumns({"device": F.col("user_id"), "x": F.when(F.col("event_type") != "error", F.col("value")),
@@ -100,7 +113,7 @@ def _(spark, sf):
     return replay(FL.progress_stream(s), "update", ["run_id"])
 
 
-@query("r9_throttle_stream", ORACLES["w18_throttle_errors"])
+@query("r9_throttle_stream", settled(ORACLES["w18_throttle_errors"]))
 def _(spark, sf):
     s = events(spark, sf).withColumns({"camera": F.col("user_id") % 4, "is_error": F.col("event_type") != "signup"})
     return replay(KE.throttle_stream(s, 3600.0))

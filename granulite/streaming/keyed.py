@@ -1,12 +1,15 @@
 """Keyed state over event streams: lamps, devices, reconnects, positions, throttled errors.
 
-State is a few values per key in the RocksDB store. Rows of one key inside a micro-batch are
-put in event order first; how many there can be is set by the source's trigger limits. Times
-travel as microseconds.
+State is a few values per key in the RocksDB store, and the rows of the last ``late`` span, which wait there until the
+watermark has passed them: results do not depend on how rows fall into micro-batches. What the watermark has not
+passed at the end of input is not emitted yet. Times travel as microseconds.
 """
 
 from __future__ import annotations
 
+from collections import namedtuple
+from functools import partial
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,74 +30,93 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 class Fold(StatefulProcessor):
-    """Fold rows in order: ``step(state, row)`` gives the next state and the rows to emit."""
+    """Fold the rows of a key in event order: ``step(state, row)`` gives the next state and the rows to emit.
+
+    Rows wait in list state until an event-time timer shows that the watermark has passed them; no earlier row can come after
+    that, so rows that arrive late, but within the watermark, still come in order. State is what arrived in the
+    last ``late`` span and one value. With ``wait`` the state starts with a start time, and ``expire(state)`` ends it that
+    many microseconds later unless a row did before.
+    """
 
-    def __init__(self, state: str, step, columns: list[str]):
-        self.state_schema, self.step, self.columns = state, step, columns
+    def __init__(self, state: str, step, columns: list[str], row: str, wait: int | None = None, expire=None):
+        self.state_schema, self.step, self.columns, self.row_schema = state, step, columns, row
+        self.wait, self.expire = wait, expire
 
     def init(self, handle):
         self.handle = handle
         self.value = handle.getValueState("state", self.state_schema)
+        self.held = handle.getListState("held", self.row_schema)
+        self.timer = handle.getValueState("timer", "ms bigint")
+
+    def wake(self, due: list[int]) -> None:
+        """One timer a key, at the earliest time that something is due."""
+        old = self.timer.get()[0] if self.timer.exists() else None
+        new = min(due, default=None)
+        if old == new:
+            return
+        if old is not None:
+            self.handle.deleteTimer(old)
+        if new is None:
+            self.timer.clear()
+        else:
+            self.handle.registerTimer(new)
+            self.timer.update((new,))
 
-    def emit(self, key, out):
-        return pd.DataFrame([(*key, *o) for o in out], columns=self.columns)
+    def handleInputRows(self, key, rows, timerValues):
+        due = [self.timer.get()[0]] if self.timer.exists() else []
+        for pdf in rows:
+            # one list entry a row, in the order of the schema; absent numbers are null
+            cols = [pdf[c].astype(object).where(pdf[c].notna(), None).tolist() for c in self.names()]
+            self.held.appendList(list(zip(*cols)))
+            due.append(-(-int(pdf["us"].min()) // 1000))
+        self.wake(due)
+        yield from ()
+
+    def names(self) -> list[str]:
+        return [f.split()[0] for f in self.row_schema.split(", ")]
 
-    def fold(self, rows):
-        before = self.value.get() if self.value.exists() else None
-        state, out = before, []
-        for row in pd.concat(list(rows)).sort_values(["us", "seq"]).itertuples(index=False):
-            state, more = self.step(state, row)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        passed = timerValues.getCurrentWatermarkInMs()
+        self.timer.clear()
+        row = namedtuple("row", self.names())
+        ready, rest = [], []
+        for r in self.held.get():
+            (ready if -(-int(r[0]) // 1000) < passed else rest).append(row(*r))
+        state, out = (self.value.get() if self.value.exists() else None), []
+        for r in sorted(ready, key=lambda r: (r.us, r.seq)):
+            state, more = self.step(state, r)
             out += more
+        due = [-(-int(r.us) // 1000) for r in rest]
+        if state is not None and self.wait is not None:
+            end = -(-(int(state[0]) + self.wait) // 1000)
+            if end < passed:
+                out += self.expire(state)
+                state = None
+            else:
+                due.append(end)
+        if ready:
+            self.held.put(rest) if rest else self.held.clear()
         if state is None:
             self.value.clear()
         else:
             self.value.update(state)
-        return before, state, out
-
-    def handleInputRows(self, key, rows, timerValues):
-        _, _, out = self.fold(rows)
+        self.wake(due)
         if out:
-            yield self.emit(key, out)
+            yield pd.DataFrame([(*key, *o) for o in out], columns=self.columns)
 
     def close(self):
         pass
 
 
-class TimedFold(Fold):
-    """A fold whose state starts with a start time; a timer fires ``wait`` microseconds later."""
-
-    def __init__(self, state, step, columns, wait: int, expire):
-        super().__init__(state, step, columns)
-        self.wait, self.expire = wait, expire
-
-    def due_ms(self, state) -> int:
-        return -(-(int(state[0]) + self.wait) // 1000)
-
-    def handleInputRows(self, key, rows, timerValues):
-        before, state, out = self.fold(rows)
-        if before is not None and (state is None or state[0] != before[0]):
-            self.handle.deleteTimer(self.due_ms(before))
-        if state is not None and (before is None or state[0] != before[0]):
-            self.handle.registerTimer(self.due_ms(state))
-        if out:
-            yield self.emit(key, out)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        if self.value.exists():
-            out = self.expire(self.value.get())
-            self.value.clear()
-            yield self.emit(key, out)
-
-
-def _run(stream: DataFrame, key: str, cols: list[str], processor: StatefulProcessor, schema: str,
-         ts: str, late: str, mode: str = "Append", timed: bool = True) -> DataFrame:
+def _run(stream: DataFrame, key: str, cols: list, fold, schema: str, ts: str, late: str) -> DataFrame:
+    """``fold(row_schema)`` over the stream by key; ``cols`` are the columns a step reads besides ``us`` and ``seq``."""
     use_rocksdb(stream.sparkSession)
     src = stream.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", late) \
         .select(key, "_ts", epoch_us("_ts").alias("us"), F.col("seq").cast("bigint").alias("seq"), *cols)
+    row = ", ".join(f"{n} {k}" for n, k in src.dtypes if n not in (key, "_ts"))
     kind = stream.schema[key].dataType.simpleString()
     return src.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=f"{key} {kind}, {schema}", outputMode=mode,
-        timeMode="EventTime" if timed else "None")
+        statefulProcessor=fold(row), outputStructType=f"{key} {kind}, {schema}", outputMode="Append", timeMode="EventTime")
 
 
 def lamp_auto_off(stream: DataFrame, timeout_s: int = 300, key: str = "lamp", ts: str = "ts",
@@ -111,7 +133,7 @@ def lamp_auto_off(stream: DataFrame, timeout_s: int = 300, key: str = "lamp", ts
 
     def expire(on):
         return [(int(on[1]), int(on[0]), int(on[0]) + wait, True)]
-    p = TimedFold("on_us bigint, seq bigint", step, [key, "seq", "on_us", "off_us", "auto_off"], wait, expire)
+    p = partial(Fold, "on_us bigint, seq bigint", step, [key, "seq", "on_us", "off_us", "auto_off"], wait=wait, expire=expire)
     d = _run(stream, key, ["action"], p, "seq bigint, on_us bigint, off_us bigint, auto_off boolean", ts, late)
     return d.select(key, "seq", F.timestamp_micros("on_us").alias("on_ts"), F.timestamp_micros("off_us").alias("off_ts"), "auto_off")
 
@@ -130,7 +152,7 @@ def lamp_status(stream: DataFrame, timeout_s: int = 300, key: str = "lamp", ts:
 
     def expire(on):
         return [(int(on[0]) + wait, False, True)]
-    p = TimedFold("on_us bigint", step, [key, "us", "lamp_on", "auto_turned_off"], wait, expire)
+    p = partial(Fold, "on_us bigint", step, [key, "us", "lamp_on", "auto_turned_off"], wait=wait, expire=expire)
     d = _run(stream, key, ["action"], p, "us bigint, lamp_on boolean, auto_turned_off boolean", ts, late)
     return d.select(key, F.timestamp_micros("us").alias("ts"), "lamp_on", "auto_turned_off")
 
@@ -142,8 +164,8 @@ def device_transitions(stream: DataFrame, key: str = "device", ts: str = "ts", l
         if last is not None and bool(last[0]) == now:
             return last, []
         return (now,), [(int(row.seq), int(row.us), "up" if now else "down", not now)]
-    p = Fold("connected boolean", step, [key, "seq", "us", "transition", "homed_reset"])
-    d = _run(stream, key, ["connected"], p, "seq bigint, us bigint, transition string, homed_reset boolean", ts, late, timed=False)
+    p = partial(Fold, "connected boolean", step, [key, "seq", "us", "transition", "homed_reset"])
+    d = _run(stream, key, ["connected"], p, "seq bigint, us bigint, transition string, homed_reset boolean", ts, late)
     return d.select(key, "seq", F.timestamp_micros("us").alias("ts"), "transition", "homed_reset")
 
 
@@ -162,8 +184,8 @@ def reconnect_budget(stream: DataFrame, cycle_s: int = 30, max_cycles: int = 3,
         if row.success:
             return (int(seg) + 1, -1, -1, 0), out
         return (int(seg), int(start), int(b), cycle), out
-    p = Fold("segment bigint, start_us bigint, bin bigint, cycle bigint", step, [key, "seq", "segment", "cycle", "elapsed_s", "aborted"])
-    return _run(stream, key, ["success"], p, "seq bigint, segment bigint, cycle bigint, elapsed_s double, aborted boolean", ts, late, timed=False)
+    p = partial(Fold, "segment bigint, start_us bigint, bin bigint, cycle bigint", step, [key, "seq", "segment", "cycle", "elapsed_s", "aborted"])
+    return _run(stream, key, ["success"], p, "seq bigint, segment bigint, cycle bigint, elapsed_s double, aborted boolean", ts, late)
 
 
 def position_stream(stream: DataFrame, key: str = "device", ts: str = "ts", late: str = LATE) -> DataFrame:
@@ -173,9 +195,9 @@ def position_stream(stream: DataFrame, key: str = "device", ts: str = "ts", late
         if not any(v is None or v != v for v in now):
             last = tuple(float(v) for v in now)
         return last, [(int(row.seq), *(last or (None, None, None)))]
-    p = Fold("x double, y double, z double", step, [key, "seq", "x", "y", "z"])
+    p = partial(Fold, "x double, y double, z double", step, [key, "seq", "x", "y", "z"])
     num = [F.col(a).try_cast("double").alias(a) for a in ("x", "y", "z")]
-    return _run(stream, key, num, p, "seq bigint, x double, y double, z double", ts, late, timed=False)
+    return _run(stream, key, num, p, "seq bigint, x double, y double, z double", ts, late)
 
 
 def throttle_stream(stream: DataFrame, sec: float = 5.0, key: str = "camera", ts: str = "ts", late: str = LATE) -> DataFrame:
@@ -190,5 +212,5 @@ def throttle_stream(stream: DataFrame, sec: float = 5.0, key: str = "camera", ts
         if last < 0 or row.us - last >= gap:
             return (int(row.us), n), [(int(row.seq), n)]
         return (int(last), n), []
-    p = Fold("last_us bigint, n bigint", step, [key, "seq", "errors_since_good"])
-    return _run(stream, key, ["is_error"], p, "seq bigint, errors_since_good bigint", ts, late, timed=False)
+    p = partial(Fold, "last_us bigint, n bigint", step, [key, "seq", "errors_since_good"])
+    return _run(stream, key, ["is_error"], p, "seq bigint, errors_since_good bigint", ts, late)

@@ -8,10 +8,11 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
+    shared = str(tmp_path_factory.mktemp("shared"))
     s = (SparkSession.builder.master("local[8]").appName("granulite-tests")
          .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
-         .config("spark.driver.memory", "12g").config("spark.sql.session.timeZone", "UTC").getOrCreate())
+         .config("spark.checkpoint.dir", shared).config("spark.driver.memory", "12g").config("spark.sql.session.timeZone", "UTC").getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
