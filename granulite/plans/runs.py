@@ -16,13 +16,13 @@ from granulite.operators.lineage import settle
 from granulite.thresholds import AUTOMATIC, CHECK_ONLY, Thresholds
 
 
-def presence_check(lines: DataFrame, thr: Thresholds = CHECK_ONLY) -> DataFrame:
+def presence_check(lines: DataFrame, thr: Thresholds = CHECK_ONLY, frames: DataFrame | None = None) -> DataFrame:
     """Frame verdict, then position; the first failing one gives ``(frame_id, status, code)``.
 
-    Only frames that pass the verdict are segmented.
+    Only frames that pass the verdict are segmented. Pass ``frames`` to get E2005 for those without usable pixels.
     """
     # one small row per frame, read by several joins below
-    v = settle(V.frame_verdict(lines, None, thr).select("frame_id", "status", "code"))
+    v = settle(V.frame_verdict(lines, frames, thr).select("frame_id", "status", "code"))
     good = v.filter("status = 'OK'").select("frame_id")
     p = C.position_check(lines.join(good, "frame_id", "left_semi"), thr, "check_only") \
         .select("frame_id", F.col("code").alias("p_code"))
@@ -53,12 +53,13 @@ def autofocus(lines: DataFrame, frames: DataFrame, thr: Thresholds = AUTOMATIC,
     """Focus decision per scan from recorded sweep frames ``frames(frame_id, scan_id, z)``.
 
     The first frame (greatest height) of a scan passes the exposure gate and sets the region
-    for all of them; scans that fail there get that code. ``scan`` are the thresholds of the decision.
+    for all of them; scans that fail there get that code, E2005 if that frame has no usable pixels. ``scan`` are the
+    thresholds of the decision.
     """
     first = frames.groupBy("scan_id").agg(F.max_by("frame_id", F.struct("z", (-F.col("frame_id")).alias("n"))).alias("frame_id"))
     head = lines.join(first.select("frame_id"), "frame_id", "left_semi")
-    facts = V.frame_verdict(head, None, thr).join(first, "frame_id") \
-        .join(P.frame_sizes(head), "frame_id")
+    facts = first.join(V.frame_verdict(head, None, thr), "frame_id", "left").join(P.frame_sizes(head), "frame_id", "left") \
+        .withColumn("code", F.when(F.col("status").isNull(), "E2005").otherwise(F.col("code")))
     facts = settle(facts)  # one row per scan
     need = facts.filter("NOT is_uniform AND exp_code = 'EXP_OK'").select("frame_id")
     blob = S.blob_boxes(head.join(need, "frame_id", "left_semi"), thr.otsu_blur, thr.box_pad) \

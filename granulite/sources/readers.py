@@ -14,9 +14,10 @@ from granulite.sources.text import (check_preset, explode_messages, explode_sett
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
     """Images of a folder as BGR frames, with their file path and time.
 
-    ``frame_id`` is a hash of the path, so it is the same in every run.
+    ``frame_id`` is a hash of the path, so it is the same in every run. Files that cannot be decoded stay, with
+    -1 channels and no bytes; the verdict gives them E2005.
     """
-    img = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*", "_metadata")
+    img = spark.read.format("image").load(path).select("image.*", "_metadata")
     return img.select(F.xxhash64("origin").alias("frame_id"), F.col("origin").alias("path"),
                       F.col("_metadata.file_modification_time").alias("captured_at"),
                       "height", "width", F.col("nChannels").alias("n_channels"), "data")

@@ -55,6 +55,18 @@ def test_autofocus_gates_and_decision(spark):
     assert abs(got[2].score - max(x[2] for x in p)) < 1e-6
 
 
+def test_frames_without_pixels_are_reported(spark):
+    from granulite.operators.planes import to_lines
+    imgs = [np.full((60, 60), 40, np.uint8), np.full((60, 60), 40, np.uint8)]
+    bad = spark.createDataFrame([(7, -1, -1, -1, bytearray())], "frame_id long, height int, width int, n_channels int, data binary")
+    frames = frames_df(spark, imgs).unionByName(bad)
+    got = {r.frame_id: r.code for r in presence_check(to_lines(frames), CHECK_ONLY, frames).collect()}
+    assert got[7] == "E2005" and len(got) == 3
+    scans = spark.createDataFrame([(7, 1, 30.0), (0, 1, 28.0), (1, 2, 30.0)], "frame_id long, scan_id long, z double")
+    got = {r.scan_id: r.code for r in autofocus(to_lines(frames), scans, AUTOMATIC, k=50).collect()}
+    assert got == {1: "E2005", 2: "E2000"}
+
+
 def test_presence_check(spark):
     imgs = [np.zeros((40, 40), np.uint8), disc(40, 20, 20, 10), disc(40, 20, 2, 10)]
     got = presence_check(P.to_lines(frames_df(spark, imgs)), CHECK_ONLY).orderBy("frame_id").collect()
