@@ -36,7 +36,9 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     earlier, and so does a copy that stays. First occurrences are minima, combined before the shuffle.
     """
     text = F.col(text_col).cast("string")
-    numbered = F.filter(F.transform(_lines(text), lambda x, i: F.struct(i.alias("at"), F.xxhash64(x).alias("h"), F.trim(F.translate(x, "\t\r\x0b\x0c", "    ")).alias("t"))), lambda s: s.t != "")
+    # number and hash of each line that is not blank; the lines themselves go no further
+    marked = F.transform(_lines(text), lambda x, i: F.struct(i.alias("at"), F.xxhash64(x).alias("h"), F.trim(F.translate(x, "\t\r\x0b\x0c", "    ")).eqNullSafe("").alias("blank")))
+    numbered = F.transform(F.filter(marked, lambda s: ~s.blank), lambda s: F.struct(s.at.alias("at"), s.h.alias("h")))
     d = docs.where(text.contains("\n")).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("tk"), numbered.alias("lines"))
     d = stored(d.dropDuplicates(["id", "tk"]))
     d = d.where(F.size("lines") >= LEAST_RUN).select("id", "tk", F.xxhash64("id", "tk").alias("key"), F.col("lines.at").alias("at"), F.col("lines.h").alias("h"))
