@@ -71,7 +71,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     gone = stored(repeated_lines(docs, id_col, text_col)).select(F.col("id").alias("__id"), F.col("tk").alias("__tk"), F.col("gone").alias("__gone"))
     text = F.col(text_col).cast("string")
-    out = docs.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__tk")), "left")
+    # always a merge join, so that what is shuffled grows with the input and does not jump where a broadcast would end
+    out = docs.join(gone.hint("merge"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__tk")), "left")
     def rest(lines: Column) -> Column:
         left = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone")))
         return F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
