@@ -160,7 +160,7 @@ def label_runs(runs: DataFrame, slack: int = 1, band: int = BAND) -> DataFrame:
     pack = F.floor(F.col("frame_id") / F.greatest(F.floor(F.lit(band) / F.col("height")), F.lit(1)))
     cut = runs.select("frame_id", "height", "width", "y", "x0", "x1", "rid", pack.alias("_pack"),
                       F.floor(F.col("y") / F.lit(band)).alias("_band"))
-    loc = settle(cut.groupBy("_pack", "_band").applyInArrow(local, schema).drop("_pack", "_band"))
+    loc = settle(cut.groupBy("height", "_pack", "_band").applyInArrow(local, schema).drop("_pack", "_band"))
     side = [F.col("x0"), F.col("x1"), F.col("local")]
     up = loc.filter((F.col("y") + 1) % band == 0).select("frame_id", "y", *[c.alias(n) for c, n in zip(side, ("a0", "a1", "a"))])
     dn = loc.filter((F.col("y") % band == 0) & (F.col("y") > 0)) \

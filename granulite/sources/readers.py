@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granulite.operators.ordered import index_chunk, running
@@ -102,10 +102,17 @@ def log_records(df: DataFrame, chunk: int = 65536) -> DataFrame:
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Log records. Log files are cut into lines file by file (they rotate at a fixed size)."""
-    t = _whole(spark, path)
-    lines = t.select("path", F.posexplode(F.split("text", r"\r?\n")).alias("line_no", "line")).filter("line <> ''")
-    return log_records(lines)
+    """Log records. Files are read by lines, in splits, so one of any size spreads over tasks.
+
+    ``line_no`` is a place that grows along a file: the split's first byte plus the line's number in the split,
+    which the splits after it cannot fall below.
+    """
+    raw = spark.read.option("ignoreMissingFiles", True).text(path) \
+        .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+                F.monotonically_increasing_id().alias("k"), F.regexp_replace("value", "\r$", "").alias("line"))
+    first = F.min("k").over(Window.partitionBy("path", "block"))
+    lines = raw.withColumn("line_no", F.col("block") + F.col("k") - first).filter("line <> ''")
+    return log_records(lines.select("path", "line_no", "line"), chunk=1 << 23)
 
 
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
