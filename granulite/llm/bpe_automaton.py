@@ -30,9 +30,9 @@ SHORT = 48
 #: Text encoded at a time.
 BATCH_BYTES = 2_000_000
 #: Slots for arcs that a worker keeps.
-ARCS = 1 << 20
+ARCS = 1 << 19
 #: Chunks whose ids a worker keeps.
-MEMO = 500_000
+MEMO = 200_000
 
 
 def byte_letters() -> dict[str, int]:

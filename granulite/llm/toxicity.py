@@ -24,7 +24,7 @@ Z, LEAST_ROWS, VOCABULARY = 4.0, 3, 20_000
 #: Full-batch Adam.
 EPOCHS, RATE = 100, 0.05
 #: Words whose buckets a worker keeps, and text taken at a time.
-MEMO, BATCH_BYTES = 300_000, 4_000_000
+MEMO, BATCH_BYTES = 80_000, 2_000_000
 
 
 def word_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -65,13 +65,13 @@ def _bags(kept: np.ndarray | None):
                     hit = allowed[bucket]
                     owner, bucket = owner[hit], bucket[hit]
                     first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, np.int64)
-                    memo.update((new[owner[a]], bucket[a:b].tolist()) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(owner)]))
+                    memo.update((new[owner[a]], bucket[a:b].astype(np.int32)) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(owner)]))
                 out = []
                 for words in texts:
                     found: set[int] = set()
                     for b in map(memo.__getitem__, words):
-                        if b:
-                            found.update(b)
+                        if len(b):
+                            found.update(b.tolist())
                     out.append(np.fromiter(sorted(found), np.int32, len(found)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), pa.array(out, pa.list_(pa.int32()))], ["id", "toxic", "bag"])
     return bag
