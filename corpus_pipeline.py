@@ -17,6 +17,8 @@ from granulite.llm.line_dedup import line_dedup
 from granulite.llm.minhash_dedup import minhash_dedup
 from granulite.llm.toxicity import drop_toxic, train
 
+#: Percent of shared shingles from which documents are near duplicates.
+SIMILAR = 80
 #: The toxicity stage and the encoder are not expressible in SQL.
 ORACLE_SQL = None
 
@@ -37,7 +39,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
         docs = docs.dropDuplicates(["doc_id", "text"])
     row = F.xxhash64("doc_id", "text")
-    groups = minhash_dedup(docs.select(row.alias("row"), "text"), id_col="row").select("row", F.col("component_id").alias("grp"))
+    groups = minhash_dedup(docs.select(row.alias("row"), "text"), id_col="row", percent=SIMILAR).select("row", F.col("component_id").alias("grp"))
     groups = stored(groups.join(docs.select(row.alias("row"), "doc_id"), "row"))
     stays = groups.groupBy("grp").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     drop = stored(groups.join(stays, "grp").where(F.col("row") != F.col("first.row")).select(F.col("row").alias("gone")))

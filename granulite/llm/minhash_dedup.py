@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -14,14 +16,10 @@ from granulite.llm.graph import components
 
 #: Words of a shingle.
 K = 5
-#: Symbols of 16 bits in the indexed part of a signature, chunks of it, and errors allowed in a chunk.
-INDEXED, CHUNKS, ERRORS = 32, 8, 1
-#: By the pigeonhole, two indexed parts that differ in at most ``NEAR`` symbols agree but for ``ERRORS`` in one chunk. At a similarity
-#: of 0.85 a symbol differs with chance 0.15, and more than 15 of 32 do with chance 3.5e-6.
-NEAR = CHUNKS * (ERRORS + 1) - 1
-#: Symbols of 8 bits in the rest of a signature, and differences allowed over both parts (chance to exceed at 0.85: under 1e-6).
-REST, FAR = 64, 33
-SIGNATURE = 2 * INDEXED + REST
+#: Symbols of 16 bits in a chunk of the indexed part of a signature, and symbols of 8 bits in the rest.
+WIDTH, REST = 4, 64
+#: Chances that a pair on the threshold lies beyond the distance of the indexed part, and beyond that of the whole signature.
+MISS_NEAR, MISS_FAR = 4e-6, 1e-6
 #: Documents, and shingles, of a block.
 BLOCK, BLOCK_SHINGLES = 256, 2_000_000
 #: Rows of a bucket that one block holds.
@@ -30,6 +28,40 @@ BUCKET = 2048
 BATCH_BYTES = 4_000_000
 
 
+class Plan(NamedTuple):
+    """Chunks of the indexed part and wrong symbols allowed in one; differences allowed in the indexed part and in both parts."""
+
+    chunks: int
+    errors: int
+    near: int
+    far: int
+
+    @property
+    def indexed(self) -> int:
+        return WIDTH * self.chunks
+
+
+def _beyond(n: int, p: float, k: int) -> float:
+    return sum(comb(n, i) * p**i * (1 - p)**(n - i) for i in range(k + 1, n + 1))
+
+
+def plan(percent: int) -> Plan:
+    """The smallest signature that finds pairs on the threshold but for ``MISS_NEAR``.
+
+    A symbol of such a pair differs with chance 1 - ``percent`` / 100. By the pigeonhole, two indexed parts that differ in at most
+    ``near`` symbols agree but for ``errors`` in one chunk. 85 takes 8 chunks (near 15, missed with chance 3.5e-6), 80 takes 12
+    (near 23, 3.3e-6).
+    """
+    p = 1 - min(max(percent, 1), 100) / 100
+    for errors in range(1, WIDTH):
+        for chunks in range(8, 17 if errors < WIDTH - 1 else 4096):
+            near = chunks * (errors + 1) - 1
+            if _beyond(WIDTH * chunks, p, near) <= MISS_NEAR:
+                n = WIDTH * chunks + REST
+                return Plan(chunks, errors, near, next(k for k in range(n + 1) if _beyond(n, p, k) < MISS_FAR))
+    raise ValueError(f"no signature for {percent} percent")
+
+
 def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each text (A-Z folded) and their offsets."""
     b, off = text_bytes(column)
@@ -49,31 +81,33 @@ def set_keys(sets: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return out[0].view(np.int64), out[1].view(np.int64)
 
 
-def signatures(sets: np.ndarray, off: np.ndarray) -> np.ndarray:
+def signatures(sets: np.ndarray, off: np.ndarray, indexed: int) -> np.ndarray:
     """MinHash symbols of each set as bytes; empty sets get zeros."""
     full = np.flatnonzero(np.diff(off))
-    first = np.zeros((len(off) - 1, INDEXED), np.uint16)
+    first = np.zeros((len(off) - 1, indexed), np.uint16)
     rest = np.zeros((len(off) - 1, REST), np.uint8)
     if len(full):
         low = (sets >> np.uint64(32)).astype(np.uint32) ^ sets.astype(np.uint32)
-        seeds = constants(2 * (INDEXED + REST), 21).astype(np.uint32) | np.uint32(1)
-        for i in range(INDEXED + REST):
+        seeds = constants(2 * (indexed + REST), 21).astype(np.uint32) | np.uint32(1)
+        for i in range(indexed + REST):
             least = np.minimum.reduceat((low ^ seeds[2 * i]) * seeds[2 * i + 1], off[full])
             least = (least ^ (least >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-            if i < INDEXED:
+            if i < indexed:
                 first[full, i] = least >> np.uint32(16)
             else:
-                rest[full, i - INDEXED] = least >> np.uint32(24)
+                rest[full, i - indexed] = least >> np.uint32(24)
     return np.hstack([first.view(np.uint8).reshape(len(first), -1), rest])
 
 
-def _facts(batches):
-    for batch in batches:
-        for lo, n in cuts(batch.column(1), BATCH_BYTES):
-            sets, off = shingle_sets(batch.column(1).slice(lo, n))
-            one, two = set_keys(sets, off)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(lo, n), pa.array(np.diff(off)), pa.array(one), pa.array(two), _binary(signatures(sets, off))], ["id", "n", "k1", "k2", "sig"])
+def _facts(indexed: int):
+    def facts(batches):
+        for batch in batches:
+            for lo, n in cuts(batch.column(1), BATCH_BYTES):
+                sets, off = shingle_sets(batch.column(1).slice(lo, n))
+                one, two = set_keys(sets, off)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(lo, n), pa.array(np.diff(off)), pa.array(one), pa.array(two), _binary(signatures(sets, off, indexed))], ["id", "n", "k1", "k2", "sig"])
+    return facts
 
 
 def _binary(m: np.ndarray) -> pa.Array:
@@ -81,73 +115,76 @@ def _binary(m: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(m), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(m))])
 
 
-def _symbols(column) -> tuple[np.ndarray, np.ndarray]:
-    m = blobs(column)[0].reshape(-1, SIGNATURE)
-    return np.ascontiguousarray(m[:, :2 * INDEXED]).view(np.uint16), m[:, 2 * INDEXED:]
+def _symbols(column, indexed: int) -> tuple[np.ndarray, np.ndarray]:
+    m = blobs(column)[0].reshape(-1, 2 * indexed + REST)
+    return np.ascontiguousarray(m[:, :2 * indexed]).view(np.uint16), m[:, 2 * indexed:]
 
 
-def _bucket_keys(batches):
-    """Keys of a signature: each chunk with each choice of ``ERRORS`` symbols left out, which covers all their values."""
-    width = INDEXED // CHUNKS
-    kept = list(combinations(range(width), width - ERRORS))
-    c = constants(width + 1, 22)
-    for batch in batches:
-        first, _ = _symbols(batch.column(1))
-        keys = np.empty((len(first), CHUNKS * len(kept)), np.uint64)
-        for j in range(CHUNKS):
-            for e, places in enumerate(kept):
-                h = np.full(len(first), (j * len(kept) + e + 1), np.uint64) * c[-1]
-                for p, place in enumerate(places):
-                    h = mix(h + (first[:, j * width + place].astype(np.uint64) + np.uint64(1)) * c[p])
-                keys[:, j * len(kept) + e] = h
-        ids = np.repeat(batch.column(0).to_numpy(), keys.shape[1])
-        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(ids)], ["key", "id"])
-
-
-def _near(first, rest, x, y) -> tuple[np.ndarray, np.ndarray]:
+def _bucket_keys(plan: Plan):
+    def bucket_keys(batches):
+        """Keys of a signature: each chunk with each choice of ``errors`` symbols left out, which covers all their values."""
+        kept = list(combinations(range(WIDTH), WIDTH - plan.errors))
+        c = constants(WIDTH + 1, 22)
+        for batch in batches:
+            first, _ = _symbols(batch.column(1), plan.indexed)
+            keys = np.empty((len(first), plan.chunks * len(kept)), np.uint64)
+            for j in range(plan.chunks):
+                for e, places in enumerate(kept):
+                    h = np.full(len(first), (j * len(kept) + e + 1), np.uint64) * c[-1]
+                    for p, place in enumerate(places):
+                        h = mix(h + (first[:, j * WIDTH + place].astype(np.uint64) + np.uint64(1)) * c[p])
+                    keys[:, j * len(kept) + e] = h
+            ids = np.repeat(batch.column(0).to_numpy(), keys.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(ids)], ["key", "id"])
+    return bucket_keys
+
+
+def _near(plan: Plan, first, rest, x, y) -> tuple[np.ndarray, np.ndarray]:
     """Whether pairs are under both distance thresholds, and their whole distance."""
     d = (first[x] != first[y]).sum(1)
     whole = d + (rest[x] != rest[y]).sum(1)
-    return (d <= NEAR) & (whole <= FAR), whole
-
-
-def _candidates(table: pa.Table):
-    """Pairs of a bucket under the distance thresholds; pairs that others already connect are left out."""
-    ids = table.column("id").to_numpy()
-    first, rest = _symbols(table.column("sig"))
-    bounds = run_bounds(table, ["key", "bi", "bj"])
-    run_end = np.repeat(bounds[1:], np.diff(bounds))
-    mine = table.column("mine").to_numpy()
-    cross = table.column("bi").to_numpy() != table.column("bj").to_numpy()
-    label = np.arange(len(ids))
-    at = np.arange(len(ids))
-    out = []
-    d = 0
-    while True:
-        d += 1
-        at = at[at + d < run_end[at]]
-        if not len(at):
-            break
-        x = at[(label[at] != label[at + d]) & (~cross[at] | (mine[at] != mine[at + d]))]
-        for part in np.array_split(x, len(x) // 65_536 + 1):
-            near, _ = _near(first, rest, part, part + d)
-            p = part[near]
-            if not len(p):
-                continue
-            out.append(np.stack([ids[p], ids[p + d]]))
-            while True:  # hook roots, then follow
-                lx, ly = label[p], label[p + d]
-                apart = lx != ly
-                if not apart.any():
-                    break
-                np.minimum.at(label, np.maximum(lx, ly)[apart], np.minimum(lx, ly)[apart])
-                while True:
-                    low = label[label]
-                    if (low == label).all():
+    return (d <= plan.near) & (whole <= plan.far), whole
+
+
+def _candidates(plan: Plan):
+    def candidates(table: pa.Table):
+        """Pairs of a bucket under the distance thresholds; pairs that others already connect are left out."""
+        ids = table.column("id").to_numpy()
+        first, rest = _symbols(table.column("sig"), plan.indexed)
+        bounds = run_bounds(table, ["key", "bi", "bj"])
+        run_end = np.repeat(bounds[1:], np.diff(bounds))
+        mine = table.column("mine").to_numpy()
+        cross = table.column("bi").to_numpy() != table.column("bj").to_numpy()
+        label = np.arange(len(ids))
+        at = np.arange(len(ids))
+        out = []
+        d = 0
+        while True:
+            d += 1
+            at = at[at + d < run_end[at]]
+            if not len(at):
+                break
+            x = at[(label[at] != label[at + d]) & (~cross[at] | (mine[at] != mine[at + d]))]
+            for part in np.array_split(x, len(x) // 65_536 + 1):
+                near, _ = _near(plan, first, rest, part, part + d)
+                p = part[near]
+                if not len(p):
+                    continue
+                out.append(np.stack([ids[p], ids[p + d]]))
+                while True:  # hook roots, then follow
+                    lx, ly = label[p], label[p + d]
+                    apart = lx != ly
+                    if not apart.any():
                         break
-                    label = low
-    pairs = np.concatenate(out, 1) if out else np.zeros((2, 0), np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(pairs.min(0)), pa.array(pairs.max(0))], ["a", "b"])
+                    np.minimum.at(label, np.maximum(lx, ly)[apart], np.minimum(lx, ly)[apart])
+                    while True:
+                        low = label[label]
+                        if (low == label).all():
+                            break
+                        label = low
+        pairs = np.concatenate(out, 1) if out else np.zeros((2, 0), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs.min(0)), pa.array(pairs.max(0))], ["a", "b"])
+    return lambda batches: runs_in_arrow(batches, ["key", "bi", "bj"], candidates)
 
 
 def _sets(batches):
@@ -164,11 +201,11 @@ def _sets(batches):
             yield pa.RecordBatch.from_arrays([*cols, blob], ["id", "component", "sig", "blocks", "hashes"])
 
 
-def _verifier(percent: int):
+def _verifier(percent: int, plan: Plan):
     def verify(table: pa.Table):
         """Links of a block pair on full sets, nearest signatures first, until what is near is connected or refuted."""
         ids = table.column("id").to_numpy()
-        first, rest = _symbols(table.column("sig"))
+        first, rest = _symbols(table.column("sig"), plan.indexed)
         data, off = blobs(table.column("hashes"))
         bounds = run_bounds(table, ["component", "bi", "bj"])
         mine = table.column("mine").to_numpy()
@@ -182,7 +219,7 @@ def _verifier(percent: int):
                 x, y = x[apart], y[apart]
             found = []
             for part in np.array_split(np.arange(len(x)), len(x) // 65_536 + 1):
-                near, dist = _near(first, rest, x[part], y[part])
+                near, dist = _near(plan, first, rest, x[part], y[part])
                 found.append(np.stack([dist[near], x[part][near], y[part][near]]))
             found = np.concatenate(found, 1)
             groups = Groups(hi - lo)
@@ -213,7 +250,7 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     1. Each distinct set becomes one class with a MinHash signature; a set copied a billion times goes on as one row.
     2. Multi-index Hamming join: the indexed symbols fall into chunks, and each chunk is a key once for each choice of symbols
-       that may be wrong. Every pair that differs in at most ``NEAR`` indexed symbols shares a key. Buckets are taken in pairs
+       that may be wrong. Every pair that differs in at most ``near`` indexed symbols shares a key (``plan``). Buckets are taken in pairs
        of bounded blocks; pairs under both distance thresholds connect candidate groups.
     3. In each candidate group, again in pairs of bounded blocks, near pairs that are not yet connected are confirmed on full sets,
        nearest first. No pair that is near is skipped unless its ends are connected already, so components are those of all links.
@@ -221,18 +258,19 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Documents without words have an empty set and link with nothing. Null ids take no part: ``component_id`` null, ``kept`` true.
     Repeated ids give a row each. Extra columns are dropped; an empty table gives no rows. Sets are held as 64-bit hashes.
     """
+    p = plan(percent)
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    facts = stored(d.mapInArrow(_facts, "id long, n long, k1 long, k2 long, sig binary"))
+    facts = stored(d.mapInArrow(_facts(p.indexed), "id long, n long, k1 long, k2 long, sig binary"))
     classes = stored(facts.where("n > 0 and id is not null").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.any_value("sig").alias("sig"), F.any_value("n").alias("n")))
     # one document may stand for two classes if its id repeats with other text, so classes get numbers of their own
     cid = F.xxhash64("k1", "k2")
     sigs = classes.select(cid.alias("id"), "sig")
-    keys = sigs.mapInArrow(_bucket_keys, "key long, id long")
+    keys = sigs.mapInArrow(_bucket_keys(p), "key long, id long")
     many = stored(keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key", F.ceil(F.col("m") / BUCKET).alias("blocks")))
     rows = keys.join(many, "key").join(sigs, "id")
     rows = in_block_pairs(rows, "key", "blocks", "id").select("key", "bi", "bj", "mine", "id", "sig")
     rows = rows.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-    near = rows.mapInArrow(lambda it: runs_in_arrow(it, ["key", "bi", "bj"], _candidates), "a long, b long")
+    near = rows.mapInArrow(_candidates(p), "a long, b long")
     groups = components(near)
     cand = classes.withColumn("cid", cid).join(groups.withColumnRenamed("id", "cid"), "cid")
     sizes = cand.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("s")).select(
@@ -242,7 +280,7 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sets = sets.select("id", "text", "component", "sig", "blocks", "k1", "k2").mapInArrow(_sets, "id long, component long, sig binary, blocks long, hashes binary")
     pairs = in_block_pairs(sets, "component", "blocks", "id").select("component", "bi", "bj", "mine", "id", "sig", "hashes")
     pairs = pairs.repartition("component", "bi", "bj").sortWithinPartitions("component", "bi", "bj")
-    links = components(pairs.mapInArrow(_verifier(percent), "a long, b long"))
+    links = components(pairs.mapInArrow(_verifier(percent, p), "a long, b long"))
     named = classes.select("k1", "k2", "id", cid.alias("cid")).join(links.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = named.groupBy("component").agg(F.min("id").alias("component_id"))
     named = stored(named.join(least, "component").select("k1", "k2", "component_id"))

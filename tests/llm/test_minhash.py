@@ -1,6 +1,7 @@
 import random
 
 import pandas as pd
+from pyspark.sql import functions as F
 
 from granulite.llm.minhash_dedup import minhash_dedup
 from tests.llm.brute import near_duplicates
@@ -49,6 +50,33 @@ def test_hot_group_and_blocks(spark, monkeypatch):
     assert run(spark, rows) == near_duplicates(rows)
 
 
+def test_eighty_percent(spark):
+    import corpus_pipeline as c
+    from granulite.llm.minhash_dedup import plan
+    assert plan(85) == (8, 1, 15, 33) and plan(80)[:3] == (12, 1, 23)
+    rnd = random.Random(11)
+    rows = near_copies(rnd, 40, [60, 150])
+    for g in range(300):  # pairs a little above 0.80, each with words of its own
+        base = [f"p{g}x{i}" for i in range(120)]
+        other = list(base)
+        for at in (20, 60):
+            other[at] = f"q{g}"
+        rows += [(10_000 + 2 * g, " ".join(base)), (10_001 + 2 * g, " ".join(other[:-2]))]
+    want = near_duplicates(rows, percent=80)
+    assert want != near_duplicates(rows)
+    df = spark.createDataFrame([(i, t, "x", 1, "y") for i, t in rows], SCHEMA)
+    assert sorted((tuple(r) for r in minhash_dedup(df, percent=80).collect()), key=repr) == want
+    docs = df.select(F.col("doc_id"), "text")
+    assert sorted(r.doc_id for r in c.near_duplicates(spark, docs, "").collect()) == sorted(i for i, _, _, k in want if k)
+
+
+def test_pipeline_stage_on_the_shared_table(spark):
+    import corpus_pipeline as c
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    assert sorted(r.doc_id for r in c.near_duplicates(spark, docs, "").collect()) == sorted(i for i, _, _, k in near_duplicates(rows, percent=80) if k)
+
+
 def test_empty(spark):
     assert run(spark, []) == []
 
