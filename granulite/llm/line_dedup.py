@@ -1,65 +1,48 @@
-"""Repeated runs of lines: winnowed fingerprints, joined positions, matches extended both ways. DataFrame functions only."""
+"""Repeated runs of lines: every run that is long enough is a key, joined with its first place. DataFrame functions only."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granulite.llm.common import stored
 from granulite.operators.planes import let
 
-#: Lines of a gram and grams of a window: a run of GRAM + WINDOW - 1 lines holds a fingerprint, wherever it stands.
-GRAM, WINDOW = 2, 2
 #: Lines of the shortest run that is deleted.
-LEAST_RUN = GRAM + WINDOW - 1
+LEAST_RUN = 3
 
 
 def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def _fingerprints(h: Column) -> Column:
-    """Positions and hashes of the window minima over grams of line hashes; the last of equal minima."""
-    grams = F.transform(F.sequence(F.lit(0), F.size(h) - GRAM), lambda i: F.struct(F.xxhash64(*[F.get(h, i + j) for j in range(GRAM)]).alias("fp"), (-i).alias("back")))
-    # bound once: inside a lambda an expression would be evaluated for each element
-    return let(grams, lambda g: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(g) - (WINDOW - 1), F.lit(1))), lambda s: F.array_min(F.slice(g, s, WINDOW)))))
+def _windows(s: Column) -> Column:
+    """``(pos, n, fp)`` of the runs of LEAST_RUN lines from ``pos`` on."""
+    return F.transform(F.sequence(F.lit(0), F.size(s) - LEAST_RUN), lambda i: F.struct(i.alias("pos"), F.lit(LEAST_RUN).alias("n"), F.xxhash64(*[F.get(s, i + j).h for j in range(LEAST_RUN)]).alias("fp")))
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, tk, gone)``: for each text with deleted lines their numbers from 0. ``tk`` tells rows of one id apart.
 
-    Lines that are not blank are hashed; fingerprints of a document are the minima over windows of grams. Each later
-    occurrence of a fingerprint is joined with its first one, in order of (id, position), and the match is extended both ways along its
-    diagonal; runs of ``LEAST_RUN`` equal lines or more are deleted from the later place. Every deleted line therefore stands
-    earlier, and so does a copy that stays. First occurrences are minima, combined before the shuffle.
+    Lines that are not blank are hashed. Every run of ``LEAST_RUN`` of them is a key; runs that are not the first of their key, in order of (id, position), are deleted. Longer runs are made of
+    such ones, so no repeated run is missed, whatever stood around its first place. A line that is deleted stands earlier, and its
+    first place is never deleted, so a copy stays. First places are minima, combined before the shuffle.
     """
     text = F.col(text_col).cast("string")
-    # number and hash of each line that is not blank; the lines themselves go no further
-    marked = F.transform(_lines(text), lambda x, i: F.struct(i.alias("at"), F.xxhash64(x).alias("h"), F.trim(F.translate(x, "\t\r\x0b\x0c", "    ")).eqNullSafe("").alias("blank")))
-    numbered = F.transform(F.filter(marked, lambda s: ~s.blank), lambda s: F.struct(s.at.alias("at"), s.h.alias("h")))
-    d = docs.where(text.contains("\n")).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("tk"), numbered.alias("lines"))
+    # number, hash and words of each line; the lines themselves go no further
+    marked = F.transform(_lines(text), lambda x, i: F.struct(i.alias("at"), F.xxhash64(x).alias("h"), F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")).alias("w")))
+    d = docs.where(text.contains("\n")).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("tk"), F.filter(marked, lambda s: s.w > 0).alias("lines"))
     d = stored(d.dropDuplicates(["id", "tk"]))
-    d = d.where(F.size("lines") >= LEAST_RUN).select("id", "tk", F.xxhash64("id", "tk").alias("key"), F.col("lines.at").alias("at"), F.col("lines.h").alias("h"))
-    fps = d.select("id", "tk", "key", F.explode(_fingerprints(F.col("h"))).alias("f")).select("id", "tk", "key", F.col("f.fp").alias("fp"), (-F.col("f.back")).alias("pos"))
-    place = F.struct("id", "tk", "pos", "key")
-    first = fps.groupBy("fp").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    met = fps.join(first, "fp").where(place != F.col("first")).select("key", F.col("first.key").alias("from"), (F.col("pos") - F.col("first.pos")).alias("shift"))
-    met = stored(met.distinct())
-    later = d.select("key", F.col("h").alias("hb"))
-    sooner = d.select(F.col("key").alias("from"), F.col("h").alias("ha"))
-    met = met.join(later, "key").join(sooner, "from")
-    same = F.transform("hb", lambda x, i: F.coalesce(x == F.get("ha", i - F.col("shift")), F.lit(False)))
-
-    def in_runs(e: Column) -> Column:
-        """Places of ``e`` within LEAST_RUN or more true ones in a row."""
-        at = lambda i: reduce(lambda a, b: a | b, [
-            reduce(lambda a, b: a & b, [F.coalesce(F.get(e, i + (j - o)), F.lit(False)) for j in range(LEAST_RUN)]) for o in range(LEAST_RUN)])
-        return F.filter(F.sequence(F.lit(0), F.size(e) - 1), at)
-    runs = met.select("key", let(same, in_runs).alias("rows")).where("size(rows) > 0")
-    gone = runs.select("key", F.explode("rows").alias("r")).groupBy("key").agg(F.collect_set("r").alias("rows"))
-    return d.join(gone, "key").select("id", "tk", F.transform("rows", lambda r: F.get("at", r)).alias("gone"))
+    d = d.where(F.size("lines") >= LEAST_RUN)
+    fps = d.select("id", "tk", F.explode(_windows(F.col("lines"))).alias("f")).select("id", "tk", "f.pos", "f.n", "f.fp")
+    place = F.struct("id", "tk", "pos")
+    first = fps.groupBy("fp").agg(F.min(place).alias("first"), F.count("*").alias("m")).where("m > 1").drop("m")
+    again = fps.join(first, "fp").where(place != F.col("first"))
+    again = again.groupBy(F.xxhash64("id", "tk").alias("key")).agg(F.collect_list(F.struct("pos", "n")).alias("runs"))
+    rows = F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r.pos, r.pos + r.n - 1))))
+    again = again.select("key", rows.alias("rows"))
+    numbered = d.select("id", "tk", F.xxhash64("id", "tk").alias("key"), F.col("lines.at").alias("at"))
+    return numbered.join(again, "key").select("id", "tk", F.transform("rows", lambda r: F.get("at", r)).alias("gone"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

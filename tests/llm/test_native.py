@@ -117,3 +117,31 @@ def test_lines_exact_copies_and_within_one(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup(df).collect()}
     assert got == {1: (a, 0), 2: ("", 9), 3: ("x\ny\nz", 9), 4: ("q", 18), 5: ("a1\na2\nown", 0), 6: ("own", 3)}
+
+
+def deleted(texts):
+    """What a plain loop deletes: lines of each text within a run that stands earlier."""
+    seen, out = set(), []
+    for t in texts:
+        ls = t.split("\n")
+        at = [i for i, x in enumerate(ls) if not blank(x)]
+        gone = set()
+        for k in range(len(at)):
+            for n in (1, 2, 3):
+                w = tuple(ls[i] for i in at[k:k + n])
+                if len(w) == n and (n == 3 or sum(len(x.split()) for x in w) >= 50):
+                    if w in seen:
+                        gone.update(at[k:k + n])
+                    seen.add(w)
+        out.append("\n".join(x for i, x in enumerate(ls) if i not in gone))
+    return out
+
+
+def test_runs_whose_fingerprints_first_stood_elsewhere(spark):
+    rnd = random.Random(5)
+    pool = [f"l{i}" for i in range(7)]  # few lines in all orders: pairs of lines first stand in unrelated places
+    texts = ["\n".join(rnd.choice(pool) for _ in range(rnd.randrange(1, 9))) for _ in range(300)]
+    texts[:3] = ["a\nb\nx\nb\nc", "a\nb\nc\nown one", "own two\na\nb\nc"]
+    got = line_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.text for r in got] == deleted(texts) and got[2].text == "own two"
+    assert [r.n_removed for r in got] == [len(t.split("\n")) - len(x.split("\n")) + (x == "") for t, x in zip(texts, deleted(texts))]
