@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from granulite.llm.common import stored
 from granulite.operators.planes import let
 
-#: Lines of the shortest run that is deleted.
+#: Lines of the shortest run that is deleted whatever its length in words.
 LEAST_RUN = 3
+#: Words from which a run of fewer lines is deleted.
+LEAST_WORDS = 50
 
 
 def _lines(text: Column) -> Column:
@@ -17,23 +19,29 @@ def _lines(text: Column) -> Column:
 
 
 def _windows(s: Column) -> Column:
-    """``(pos, n, fp)`` of the runs of LEAST_RUN lines from ``pos`` on."""
-    return F.transform(F.sequence(F.lit(0), F.size(s) - LEAST_RUN), lambda i: F.struct(i.alias("pos"), F.lit(LEAST_RUN).alias("n"), F.xxhash64(*[F.get(s, i + j).h for j in range(LEAST_RUN)]).alias("fp")))
+    """``(pos, n, fp)`` of the runs of n lines from ``pos`` on: all of LEAST_RUN lines, and shorter ones of LEAST_WORDS words or more."""
+    def of(n: int) -> Column:
+        at = F.sequence(F.lit(0), F.size(s) - n)
+        if n < LEAST_RUN:
+            at = F.filter(at, lambda i: sum((F.get(s, i + j).w for j in range(n)), F.lit(0)) >= LEAST_WORDS)
+        return F.transform(at, lambda i: F.struct(i.alias("pos"), F.lit(n).alias("n"), F.xxhash64(F.lit(n), *[F.get(s, i + j).h for j in range(n)]).alias("fp")))
+    none = F.array().cast("array<struct<pos:int,n:int,fp:bigint>>")
+    return F.concat(*[F.when(F.size(s) >= n, of(n)).otherwise(none) for n in range(1, LEAST_RUN + 1)])
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, tk, gone)``: for each text with deleted lines their numbers from 0. ``tk`` tells rows of one id apart.
 
-    Lines that are not blank are hashed. Every run of ``LEAST_RUN`` of them is a key; runs that are not the first of their key, in order of (id, position), are deleted. Longer runs are made of
+    Lines that are not blank are hashed. Every run of ``LEAST_RUN`` of them, and every run of fewer that holds ``LEAST_WORDS``
+    words or more, is a key; runs that are not the first of their key, in order of (id, position), are deleted. Longer runs are made of
     such ones, so no repeated run is missed, whatever stood around its first place. A line that is deleted stands earlier, and its
     first place is never deleted, so a copy stays. First places are minima, combined before the shuffle.
     """
     text = F.col(text_col).cast("string")
     # number, hash and words of each line; the lines themselves go no further
     marked = F.transform(_lines(text), lambda x, i: F.struct(i.alias("at"), F.xxhash64(x).alias("h"), F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")).alias("w")))
-    d = docs.where(text.contains("\n")).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("tk"), F.filter(marked, lambda s: s.w > 0).alias("lines"))
+    d = docs.where(text.isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("tk"), F.filter(marked, lambda s: s.w > 0).alias("lines"))
     d = stored(d.dropDuplicates(["id", "tk"]))
-    d = d.where(F.size("lines") >= LEAST_RUN)
     fps = d.select("id", "tk", F.explode(_windows(F.col("lines"))).alias("f")).select("id", "tk", "f.pos", "f.n", "f.fp")
     place = F.struct("id", "tk", "pos")
     first = fps.groupBy("fp").agg(F.min(place).alias("first"), F.count("*").alias("m")).where("m > 1").drop("m")

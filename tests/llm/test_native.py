@@ -145,3 +145,14 @@ def test_runs_whose_fingerprints_first_stood_elsewhere(spark):
     got = line_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
     assert [r.text for r in got] == deleted(texts) and got[2].text == "own two"
     assert [r.n_removed for r in got] == [len(t.split("\n")) - len(x.split("\n")) + (x == "") for t, x in zip(texts, deleted(texts))]
+
+
+def test_long_passages_of_one_or_two_lines(spark):
+    w = [" ".join(f"w{k}x{i}" for i in range(50)) for k in range(4)]
+    half = [" ".join(f"h{k}x{i}" for i in range(25)) for k in range(3)]
+    texts = [f"own a\n{w[0]}\nown b", f"own c\n{w[0]}\nown d", w[1], w[1], f"{w[1]}\n", f"own e\n{half[0]}\n \n{half[1]}\nown f",
+             f"{half[0]}\n{half[1]}\nown g", f"own h\n{half[1]}\nown i\n{half[0]}\n{half[2]}", f"{w[2]}\nown j", w[2][:-5] + "\nown k", "short", "short", "x\ny", "x\ny"]
+    got = line_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    left = [r.text for r in got]
+    assert left == deleted(texts)
+    assert left[1] == "own c\nown d" and left[3] == "" and left[6] == "own g" and left[7] == texts[7] and left[10:] == texts[10:]
