@@ -99,14 +99,16 @@ def _cut_to(kept: np.ndarray):
     return cut
 
 
-def fit(bags: list[np.ndarray], y: np.ndarray, size: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Embeddings, softmax weights and bias; bags hold numbers below ``size``."""
+def fit(bags: list[np.ndarray], y: np.ndarray, size: int, seed: int = 1, weight: tuple[float, float] = (1.0, 1.0)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Embeddings, softmax weights and bias; bags hold numbers below ``size``. A row counts by the ``weight`` of its class."""
     rng = np.random.default_rng(seed)
     e, w, b = rng.standard_normal((size, DIM)) * 0.1, rng.standard_normal((DIM, 2)) * 0.1, np.zeros(2)
     n = np.array([len(x) for x in bags])
     rows, flat = np.flatnonzero(n), np.concatenate([*bags, np.zeros(0, np.int64)]).astype(np.int64)
     first = np.append(0, np.cumsum(n))[:-1]
     share = 1 / np.maximum(n, 1)
+    part = np.asarray(weight, float)[y]
+    part /= part.sum()
     order = np.argsort(flat, kind="stable")
     holder = np.repeat(np.arange(len(bags)), n)[order]
     used, start = np.unique(flat[order], return_index=True)
@@ -119,7 +121,7 @@ def fit(bags: list[np.ndarray], y: np.ndarray, size: int, seed: int = 1) -> tupl
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         p[np.arange(len(y)), y] -= 1
-        p /= len(y)
+        p *= part[:, None]
         de = np.zeros_like(e)
         if len(used):
             de[used] = np.add.reduceat(((p @ w.T) * share[:, None])[holder], start)
@@ -130,11 +132,11 @@ def fit(bags: list[np.ndarray], y: np.ndarray, size: int, seed: int = 1) -> tupl
     return e, w, b
 
 
-def _fitter(kept: np.ndarray):
+def _fitter(kept: np.ndarray, weight: tuple[float, float]):
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["id", "toxic"], kind="stable")
         place = {int(k): i for i, k in enumerate(kept)}
-        e, w, b = fit([np.array([place[x] for x in bag], np.int64) for bag in rows["bag"]], rows["toxic"].to_numpy(np.int64), len(kept))
+        e, w, b = fit([np.array([place[x] for x in bag], np.int64) for bag in rows["bag"]], rows["toxic"].to_numpy(np.int64), len(kept), weight=weight)
         return pd.DataFrame({"bucket": [*kept.tolist(), -1, -2, -3], "vector": [*e.tolist(), w[:, 0].tolist(), w[:, 1].tolist(), b.tolist()]})
     return one
 
@@ -142,7 +144,8 @@ def _fitter(kept: np.ndarray):
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out: int = 5) -> dict:
     """A model from labelled rows whose crc32 of the id as text is not divisible by ``held_out``.
 
-    The fit takes ``FIT_TOXIC`` and ``FIT_CLEAN`` rows at most. Subwords are hashed, counted by class, and those that tell
+    The fit takes ``FIT_TOXIC`` and ``FIT_CLEAN`` rows at most; each stands for its share of all training labels of its class, so the
+    ratio of the classes, and with it the meaning of a score, does not change with the size of the table. Subwords are hashed, counted by class, and those that tell
     the classes apart get vectors; vectors and softmax are trained together. The model is small whatever the tables
     hold: at most ``VOCABULARY`` vectors. Without rows of both classes it is a constant.
     """
@@ -154,6 +157,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     share = {r.toxic: r["count"] for r in chosen.groupBy("toxic").count().collect()}
     if len(share) < 2:
         return {"constant": float(max(share, default=0))}
+    total = {r.toxic: r["count"] for r in y.groupBy("toxic").count().collect()}
+    weight = (total[0] / share[0], total[1] / share[1])
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(chosen, "id")
     kind = rows.schema["id"].dataType.simpleString()
     schema = f"id {kind}, toxic int, bag array<int>"
@@ -165,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     best = counts.withColumn("z", z).where((F.col("z") >= Z) & (F.col("n0") + F.col("n1") >= LEAST_ROWS)).orderBy(F.desc("z"), "bucket").limit(VOCABULARY)
     kept = np.array(sorted(r.bucket for r in best.select("bucket").collect()), np.int64)
     few = bags.mapInArrow(_cut_to(kept), schema)
-    got = few.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(_fitter(kept), "bucket long, vector array<double>").collect()
+    got = few.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(_fitter(kept, weight), "bucket long, vector array<double>").collect()
     model = {r.bucket: r.vector for r in got}
     w, b = np.array([model[-1], model[-2]]).T, np.array(model[-3])
     return {"kept": kept, "vectors": np.array([model[int(k)] for k in kept]).reshape(-1, DIM), "w": w, "b": b}

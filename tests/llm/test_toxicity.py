@@ -47,3 +47,21 @@ def test_no_labels(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert [tuple(r)[2:] for r in score(docs, train(docs, none)).collect()] == [(0.0, 0)]
     assert score(docs.limit(0), train(docs, none)).count() == 0 and drop_toxic(docs, train(docs, none)).count() == 1
+
+
+def test_caps_keep_the_ratio_of_the_classes(spark, monkeypatch):
+    import granulite.llm.toxicity as m
+    kind = lambda i: int(i % 9 == 0)
+    # the doubtful word stands in most toxic and in a few clean rows, yet more clean rows than toxic ones hold it
+    word = lambda i: "grobnix" if (i // 9 % 4 if kind(i) else i % 9 in (4, 5)) else "plain"
+    rows = [(i, f"{word(i)} text") for i in range(1800)] + [(9000, "grobnix text"), (9001, "plain text"), (9002, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, kind(i)) for i in range(1800)], "doc_id long, toxic int")
+
+    def scores():
+        return {r.doc_id: r.score for r in score(docs, train(docs, labels)).where("doc_id >= 9000").collect()}
+    whole = scores()
+    monkeypatch.setattr(m, "FIT_TOXIC", 100)
+    monkeypatch.setattr(m, "FIT_CLEAN", 200)
+    capped = scores()
+    assert all(whole[i] < .5 and capped[i] < .5 and abs(whole[i] - capped[i]) < .1 for i in whole), (whole, capped)
