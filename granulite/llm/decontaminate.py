@@ -11,10 +11,11 @@ from granulite.llm.common import blobs, constants, cuts, mix, shingles, stored,
 from granulite.llm.minhash_dedup import K, shingle_sets
 
 #: Hash functions of a sketch. An item of n shingles, more than half its class size u, of which 80 % lie in a window of 2u shingles
-#: has a similarity of 0.19 or more with that window, so all 48 minima differ with chance 4e-5 at most, and 2e-10 for a whole copy.
+#: has a similarity of 0.19 or more with that window, so all 48 minima differ with chance 4e-5 at most, and 1e-6 for a whole copy. Where the
+#: 80 % are strewn over a document, each minimum of the item is that of its window with chance 0.16 or more: missed with 2.3e-4 at most.
 HASHES = 48
-#: Smallest size class.
-LEAST = 4
+#: Smallest size class; 1, so that the shortest item is more than half its class as well.
+LEAST = 1
 #: Bits of the filter on sketch values that documents test before anything is shuffled: half a megabyte whatever the items.
 FILTER_BITS = 1 << 22
 #: Text hashed at a time.
@@ -134,7 +135,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     Documents are covered by windows that fit each class, whose minima are the keys they probe with, so a short item is
     compared with passages of its own size however long the document is. Keys that a filter of fixed size rejects never
     leave the task. Candidates are checked on the whole set of the document. An item is looked for within windows of twice its
-    class size; one whose shingles are strewn wider over a document is not searched for.
+    class size and missed with chance 4e-5 at most; one whose shingles are strewn wider over a document is missed with 2.3e-4 at most.
     """
     i = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).distinct()
     i = i.select(F.xxhash64("item_id", "text").alias("ik"), "text", "item_id")

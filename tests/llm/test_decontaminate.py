@@ -43,3 +43,11 @@ def test_empty(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert contaminated(docs, none).count() == 0 and decontaminate(docs, none).count() == 1
     assert contamination(docs.limit(0), spark.createDataFrame([(1, "a b c")], "item_id long, text string")).count() == 0
+
+
+def test_items_of_one_shingle(spark):
+    texts = [[f"d{i}w{j}" for j in range(12)] for i in range(5000)]  # eight shingles: one window of the fourth class, similarity 1/8
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    items = spark.createDataFrame([(i, " ".join(t[4:9])) for i, t in enumerate(texts)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.n_item, r.n_shared) for r in contamination(docs, items).collect()}
+    assert got == {(i, i, 1, 1) for i in range(len(texts))}
