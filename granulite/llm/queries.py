@@ -128,6 +128,63 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
     return substring_dedup(read_table(spark, sf, "documents"), text=False)
 
 
+@query("op12_fingerprints")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    from granulite.llm.fingerprints import document_fingerprints
+    return document_fingerprints(read_table(spark, sf, "documents"))
+
+
+def _merkle_sql(levels: int = 6, upper: int = 4) -> str:
+    """Trees of up to 16 to the power of ``levels`` leaves, with one pair of steps written out per level."""
+    ctes = ["""d as (select doc_id, source, lang, n_chars, text, list_reduce(flatten(list_transform(string_split(cast(doc_id as varchar), ''), ch -> [ascii(ch), -1, -1, -1, -1, -1, -1, -1, -1])),
+  (c, x) -> case when x >= 0 then xor(c, x) when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, 4294967295) as crc from documents)"""]
+    field = lambda c: f"coalesce(strlen(cast({c} as varchar)) || ':' || cast({c} as varchar), '-')"
+    leaf = lambda text: "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    ctes.append(f"""l as (select *, row_number() over (partition by g order by doc_id nulls first, digest) - 1 as r, count(*) over (partition by g) as n from (
+  select doc_id, coalesce('=' || source, '') as g, {leaf("text")} as digest, case when xor(crc, 4294967295) % 5 = 0 then {leaf(f"translate(text, '{_UPPER}', '{_LOWER}')")} end as seen from d))""")
+
+    def tree(name: str, leaves: str, height: int) -> None:
+        """Tables name_i (g, r, n, digest) and runs name_r_i (g, b, run) of their digests."""
+        ctes.append(f"{name}_0 as (select g, r, n, digest from {leaves})")
+        for i in range(height):
+            ctes.append(f"{name}_r_{i} as (select g, r // 16 as b, first(n) as n, list(digest order by r) as run from {name}_{i} where n > {16 ** i} group by all)")
+            ctes.append(f"{name}_{i + 1} as (select g, b as r, n, sha256(array_to_string(run, '')) as digest from {name}_r_{i})")
+        tops = " union all ".join(f"select g, digest from {name}_{i} where n <= {16 ** i} and n > {16 ** (i - 1) if i else 0}" for i in range(height + 1))
+        ctes.append(f"{name}_top as ({tops})")
+
+    def climb(start: str, name: str, tag: str, height: int) -> str:
+        """Follow proof and folded digest of the rows of ``start`` (with r, g, cur, proof) up the levels of a tree."""
+        last = start
+        for i in range(height):
+            left, right = f"array_to_string(run[1:(r // {16 ** i}) % 16], '')", f"array_to_string(run[(r // {16 ** i}) % 16 + 2:], '')"
+            ctes.append(f"""{tag}_{i} as (select p.* replace (case when run is null then cur else sha256({left} || cur || {right}) end as cur, proof || coalesce({left} || {right}, '') as proof)
+  from {last} p left join {name}_r_{i} t on p.g = t.g and r // {16 ** (i + 1)} = t.b)""")
+            last = f"{tag}_{i}"
+        return last
+
+    tree("s", "l", levels)
+    ctes.append("u as (select 0 as g, g as name, digest, row_number() over (order by g) - 1 as r, count(*) over () as n from s_top)")
+    tree("u", "u", upper)
+    ctes.append("w as (select doc_id, digest as leaf, g, r, coalesce(seen, digest) as cur, '' as proof from l)")
+    inner = climb("w", "s", "c", levels)
+    ctes.append(f"v as (select doc_id, leaf, u.digest as subroot, u.g, u.r, cur, proof from {inner} p join u on p.g = u.name)")
+    outer = climb("v", "u", "e", upper)
+    return "with " + ",\n".join(ctes) + f"""
+select doc_id, leaf, subroot, t.digest as root, sha256(proof) as proof_sha256, cur as folded_root, cur = t.digest as verified from {outer}, u_top t"""
+
+
+@query("op13_merkle_manifest", _merkle_sql())
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    from granulite.llm.merkle import FIELDS, fold, leaf_digest, merkle_manifest, merkle_proofs, proof_digest
+    docs = read_table(spark, sf, "documents")
+    later = leaf_digest(*[F.translate("text", _UPPER, _LOWER) if f == "text" else F.col(f) for f in FIELDS])
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    p = merkle_proofs(merkle_manifest(docs, carry={"seen": F.when(tampered, later)}))
+    p = p.withColumn("folded_root", fold(F.coalesce("seen", "leaf"), F.col("path")))
+    return p.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("path")).alias("proof_sha256"), "folded_root",
+                    (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     from corpus_pipeline import run
