@@ -136,8 +136,8 @@ def op12(spark: SparkSession, sf: str) -> DataFrame:
 
 def _merkle_sql(levels: int = 6, upper: int = 4) -> str:
     """Trees of up to 16 to the power of ``levels`` leaves, with one pair of steps written out per level."""
-    ctes = ["""d as (select doc_id, source, lang, n_chars, text, list_reduce(flatten(list_transform(string_split(cast(doc_id as varchar), ''), ch -> [ascii(ch), -1, -1, -1, -1, -1, -1, -1, -1])),
-  (c, x) -> case when x >= 0 then xor(c, x) when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, 4294967295) as crc from documents)"""]
+    ctes = ["""d as (select doc_id, source, lang, n_chars, text, list_reduce(flatten(list_transform(string_split(cast(doc_id as varchar), ''), lambda ch: [ascii(ch), -1, -1, -1, -1, -1, -1, -1, -1])),
+  lambda c, x: case when x >= 0 then xor(c, x) when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, 4294967295) as crc from documents)"""]
     field = lambda c: f"coalesce(strlen(cast({c} as varchar)) || ':' || cast({c} as varchar), '-')"
     leaf = lambda text: "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
     ctes.append(f"""l as (select *, row_number() over (partition by g order by doc_id nulls first, digest) - 1 as r, count(*) over (partition by g) as n from (
