@@ -72,14 +72,15 @@ def constants(n: int, seed: int) -> np.ndarray:
         return mix((np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed * 1_000_003)) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
-def word_table(b: np.ndarray, off: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words (runs of bytes other than space and tab to carriage return) of a batch of texts.
+def word_table(b: np.ndarray, off: np.ndarray, lower: bool, white: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words (runs of bytes other than space and tab to carriage return, or than those that ``white`` marks) of a batch of texts.
 
     Returns start and end byte of each word, its 64-bit hash, and the n + 1 word offsets of the texts. ``lower`` folds
     A-Z only. Work goes in slices that end at a white byte or a text's end, so memory follows the slice.
     """
     byte = np.arange(256)
-    white = (byte == 32) | ((byte >= 9) & (byte <= 13))
+    if white is None:
+        white = (byte == 32) | ((byte >= 9) & (byte <= 13))
     folded = np.where((byte >= 65) & (byte <= 90), byte + 32, byte) if lower else byte
     code = constants(256, 11)[folded]
     code[white] = 0

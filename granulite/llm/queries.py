@@ -128,6 +128,25 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
     return substring_dedup(read_table(spark, sf, "documents"), text=False)
 
 
+@query("op11_collocations", f"""
+with d as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\\x0A-\\x0D]')) as piece from documents),
+w as (select lang, regexp_extract_all(piece, '[^\\x20\\x09]+') as w from d),
+t as (select lang, cast(sum(len(w)) as bigint) as n from w group by lang),
+g as ({" union all ".join(f"select lang, {k} as k, unnest(list_transform(range(1, len(w) - {k - 2}), lambda i: array_to_string(w[i:i + {k - 1}], ' '))) as phrase from w where len(w) >= {k}" for k in range(1, 5))}),
+f as (select lang, k, phrase, string_split(phrase, ' ') as w, count(*) as f from g group by all having count(*) >= 30),
+c as (select * from f where k > 1),
+inside as (select distinct s.lang, s.phrase from c s join c o on s.lang = o.lang and o.k > s.k and contains(' ' || o.phrase || ' ', ' ' || s.phrase || ' ') and 100 * o.f >= 80 * s.f),
+cut as (select c.lang, c.phrase, c.f as a, unnest(range(1, c.k)) as i, w from c anti join inside using (lang, phrase)),
+s as (select cut.*, x.f as l, y.f as r, cast((2000000::hugeint * a) // (x.f + y.f) as bigint) as score from cut
+  join f x on x.lang = cut.lang and x.phrase = array_to_string(cut.w[1:i], ' ') join f y on y.lang = cut.lang and y.phrase = array_to_string(cut.w[i + 1:], ' ')),
+b as (select lang, phrase, a, unnest(arg_min(struct_pack(l := l, r := r, score := score), score * 10 + i)) from s group by lang, phrase, a),
+o as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from b)
+select lang, rank, phrase, a, l, r, n, score from o join t using (lang) where rank <= 2000""")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    from granulite.llm.collocations import collocations
+    return collocations(read_table(spark, sf, "documents"))
+
+
 @query("op12_fingerprints")
 def op12(spark: SparkSession, sf: str) -> DataFrame:
     from granulite.llm.fingerprints import document_fingerprints
