@@ -42,8 +42,8 @@ def _ranges(b: np.ndarray, off: np.ndarray, size: int):
                 hit = np.flatnonzero(_BREAK[b[end:min(edge, end + (1 << 16))]])
                 if len(hit):
                     edge = end + int(hit[0]) + 1
-                else:
-                    end += 1 << 16
+                    break
+                end += 1 << 16
             end = edge
         end = min(end, len(b))
         yield at, end
