@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ PERCENT = 80
 #: Phrases reported for each language.
 TOP = 2000
 #: Bytes of text that are counted together, and counts that are merged together.
-SLICE_BYTES, RANGE_COUNTS = 4 << 20, 1 << 19
+SLICE_BYTES, RANGE_COUNTS = 3 << 20, 1 << 19
 
 _BYTE = np.arange(256)
 _BREAK = np.isin(_BYTE, list(b".,;:!?")) | ((_BYTE >= 10) & (_BYTE <= 13))
@@ -51,7 +52,8 @@ def _ranges(b: np.ndarray, off: np.ndarray, size: int):
 
 
 def _slices(size: int):
-    """Token streams: numbers of the words of a slice's own vocabulary, 0 between pieces. A word of another language is another word."""
+    """Token streams: numbers of the words of a slice's own vocabulary, 0 between pieces, in two bytes each where they suffice. A word of
+    another language is another word."""
     def run(batches):
         task, k = TaskContext.get().partitionId(), 0
         for batch in batches:
@@ -71,7 +73,7 @@ def _slices(size: int):
                 piece = np.cumsum(_BREAK[part], dtype=np.int32)[start]
                 new = np.append(False, (piece[1:] != piece[:-1]) | (doc[1:] != doc[:-1]))
                 own, at, number, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-                toks = np.zeros(len(h) + int(new.sum()), np.int32)
+                toks = np.zeros(len(h) + int(new.sum()), np.uint16 if len(own) < 1 << 16 else np.uint32)
                 toks[np.arange(len(h)) + np.cumsum(new)] = number + 1
                 low = _LOWER[part].tobytes()
                 words = [low[x:y].decode("utf-8", "replace") for x, y in zip(start[at].tolist(), end[at].tolist())]
@@ -91,7 +93,14 @@ def _pair_keys(toks: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _tokens(toks: bytes, h) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(toks, np.int32), np.asarray(h.values if hasattr(h, "values") else h).view(np.uint64)
+    own = np.asarray(h.values).view(np.uint64)
+    return np.frombuffer(toks, np.uint16 if len(own) < 1 << 16 else np.uint32).astype(np.int32), own
+
+
+def _short(key: np.ndarray, bits: int) -> np.ndarray:
+    """The first ``bits + 32`` bits of keys: their range, and 32 bits within it. They only choose what is counted further, so that two pairs
+    in one short key (a chance of one in 8,000, as a range holds half a million counts at any size) cost a few rows and no exactness."""
+    return key >> np.uint64(32 - bits)
 
 
 def _pair_counts(bits: int):
@@ -101,10 +110,11 @@ def _pair_counts(bits: int):
             for i in range(batch.num_rows):
                 toks, h = _tokens(batch.column("toks")[i].as_py(), batch.column("h")[i])
                 both, key = _pair_keys(toks, h)
-                keys, n = np.unique(key[both], return_counts=True)
+                keys, n = np.unique(_short(key[both], bits), return_counts=True)
                 if not len(keys):
                     continue
-                rng = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+                rng = (keys >> np.uint64(32)).astype(np.int64)
+                keys = keys.astype(np.uint32)
                 cut = np.flatnonzero(np.append(True, rng[1:] != rng[:-1]))
                 ends = np.append(cut[1:], len(keys))
                 n = n.astype(np.uint32)
@@ -122,33 +132,37 @@ def _merge_ranges(least: int):
         for a, z in zip(bounds[:-1], bounds[1:]):
             run = t.slice(a, z - a)
             raw, off = blobs(run.column("keys"))
-            keys, n = raw.view(np.uint64), blobs(run.column("n"))[0].view(np.uint32)
+            keys, n = raw.view(np.uint32), blobs(run.column("n"))[0].view(np.uint32)
             order = np.argsort(keys, kind="stable")
             first = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1]))
             total = np.add.reduceat(n[order].astype(np.int64), first)
             keep = np.zeros(len(keys), bool)
             keep[order] = np.repeat(total >= least, np.diff(np.append(first, len(keys))))
-            off = off // 8
+            off = off // 4
+            rng = np.uint64(t.column("rng")[int(a)].as_py() << 32)
             some = [i for i in range(len(off) - 1) if keep[off[i]:off[i + 1]].any()]
             if some:
                 yield pa.RecordBatch.from_arrays([run.column("slice").combine_chunks().take(pa.array(some, pa.int64())),
-                                                  pa.array([keys[off[i]:off[i + 1]][keep[off[i]:off[i + 1]]].tobytes() for i in some], pa.binary())], ["slice", "keys"])
+                                                  pa.array([(keys[off[i]:off[i + 1]][keep[off[i]:off[i + 1]]] + rng).tobytes() for i in some], pa.binary())], ["slice", "keys"])
     return lambda batches: runs_in_arrow(batches, ["rng"], each)
 
 
 _GRAMS = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("w3", pa.int64()), ("w4", pa.int64()), ("c", pa.int64())])
 
 
-def _grams(slices: pa.Table, frequent: pa.Table) -> pa.Table:
+def _grams(bits: int, slices: pa.Table, frequent: pa.Table) -> pa.Table:
     """Phrases of two to four words of a slice whose pairs are all frequent, with their counts; words are 64-bit numbers, 0 past the end."""
     if not slices.num_rows or not frequent.num_rows:
         return _GRAMS.empty_table()
     known = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in frequent.column("keys").to_pylist()]))
     toks, h = _tokens(slices.column("toks")[0].as_py(), slices.column("h")[0])
     both, key = _pair_keys(toks, h)
-    pair = np.searchsorted(known, key)
+    pair = np.searchsorted(known, _short(key, bits))
     pair[pair == len(known)] = 0
-    at = np.flatnonzero(both & (known[pair] == key))
+    good = both & (known[pair] == _short(key, bits))
+    # pairs are numbered by their whole keys
+    pair = np.unique(key, return_inverse=True)[1]
+    at = np.flatnonzero(good)
     code, out = pair[at], []
     for n in range(2, LONGEST + 1):
         uniq, first, number, count = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
@@ -159,8 +173,8 @@ def _grams(slices: pa.Table, frequent: pa.Table) -> pa.Table:
         # the next longer phrase goes on with the pair that begins at its last but one word
         nxt = at + n - 1
         ok = nxt < len(key)
-        ok[ok] = both[nxt[ok]] & (known[pair[nxt[ok]]] == key[nxt[ok]])
-        code, at = number[ok] * len(known) + pair[nxt[ok]], at[ok]
+        ok[ok] = good[nxt[ok]]
+        code, at = number[ok] * len(pair) + pair[nxt[ok]], at[ok]
     return pa.concat_tables(out)
 
 
@@ -176,12 +190,12 @@ def count_streams(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
     slices = stored(docs.select(lang.alias("lang"), F.col(text_col).cast("string").alias("text")).mapInArrow(_slices(slice_bytes), _SLICE))
     words = slices.select(F.inline(F.arrays_zip("h", "word", "lang", "c")))
     totals = stored(words.groupBy("lang").agg(F.sum("c").alias("n")))
-    vocabulary = stored(words.groupBy("h").agg(F.min("word").alias("word"), F.min("lang").alias("lang"), F.sum("c").alias("f")).where(F.col("f") >= least))
+    vocabulary = stored(words.groupBy("lang", "word").agg(F.first("h").alias("h"), F.sum("c").alias("f")).where(F.col("f") >= least))
     size = totals.agg(F.sum("n")).first()[0] or 0
-    bits = max(0, (size // range_counts).bit_length())
+    bits = min(32, (size // range_counts).bit_length())
     streams = slices.select("slice", "toks", "h").mapInArrow(_pair_counts(bits), "rng bigint, slice bigint, keys binary, n binary")
     frequent = streams.repartition("rng").sortWithinPartitions("rng").mapInArrow(_merge_ranges(least), "slice bigint, keys binary")
-    grams = slices.select("slice", "toks", "h").groupBy("slice").cogroup(frequent.groupBy("slice")).applyInArrow(_grams, "w1 bigint, w2 bigint, w3 bigint, w4 bigint, c bigint")
+    grams = slices.select("slice", "toks", "h").groupBy("slice").cogroup(frequent.groupBy("slice")).applyInArrow(partial(_grams, bits), "w1 bigint, w2 bigint, w3 bigint, w4 bigint, c bigint")
     grams = grams.groupBy("w1", "w2", "w3", "w4").agg(F.sum("c").alias("f")).where(F.col("f") >= least)
     length = sum(((F.col(f"w{i}") != 0).cast("int") for i in range(1, LONGEST + 1)), F.lit(0))
     grams = grams.select(F.slice(F.array("w1", "w2", "w3", "w4"), F.lit(1), length).alias("gram"), "f")
