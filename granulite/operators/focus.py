@@ -3,6 +3,7 @@ in scan order, ``z`` falling. A scan of any length is cut into index chunks."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from granulite.operators import segment as S
 from granulite.operators.ordered import (INDEX_CHUNK, group_totals, index_chunk, own_rows, running,
                                          with_halo)
 from granulite.operators.planes import crop
-from granulite.operators.stencils import LAPLACIAN, blur, filtered
+from granulite.operators.stencils import LAPLACIAN, blur, plane_counts
 
 KEY = ["scan_id"]
 
@@ -207,8 +208,9 @@ def laplacian_score(lines: DataFrame, pre_blur: int = 5) -> DataFrame:
     """Mean absolute Laplacian of the blurred inscribed square of the greatest blob, else 0."""
     spans = S.largest_blob_spans(S.binarize(lines, pre_blur))
     sq = crop(lines, S.inscribed_square(spans))
-    lap = filtered(sq, blur(5), LAPLACIAN).select("frame_id", F.explode("vals").alias("v"))
-    got = lap.groupBy("frame_id").agg(F.avg(F.abs("v")).alias("lap"))
+    # one count and one sum of absolute values per frame and band
+    lap = plane_counts(sq, lambda a, y, h: {"lap": (np.zeros(1), np.abs(a["lap"]))}, lap=[blur(5), LAPLACIAN])
+    got = lap.groupBy("frame_id").agg((F.sum("s") / F.sum("n")).alias("lap"))
     return lines.groupBy("frame_id").agg(F.lit(1).alias("_")).drop("_").join(got, "frame_id", "left") \
         .withColumn("lap", F.coalesce("lap", F.lit(0.0)))
 

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from granulite.operators.depth import deepest
 from granulite.operators.lineage import settle
 from granulite.operators.metrics import by_frame
 from granulite.operators.planes import line_histogram, pad_box
@@ -357,48 +358,15 @@ def apply_mask(pixels: DataFrame, spans: DataFrame) -> DataFrame:
 
 # ---- inscribed square ----------------------------------------------------
 
-def _mask_bits(spans: DataFrame) -> DataFrame:
-    """Dense 0/1 lines from spans that carry ``height`` and ``width``; empty lines included."""
-    size = spans.groupBy("frame_id").agg(F.max("height").alias("height"), F.max("width").alias("width"))
-    lines = size.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("height") - 1)))
-    s = spans.groupBy("frame_id", "y").agg(F.collect_list(F.struct("x_start", "x_end")).alias("s"))
-    bit = F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda x: F.exists(
-        F.coalesce("s", F.array()), lambda r: (x >= r["x_start"]) & (x <= r["x_end"])).cast("int"))
-    return lines.join(s, ["frame_id", "y"], "left") \
-        .select("frame_id", "height", "width", "y", bit.alias("bits"))
-
-
-def inscribed_square(spans: DataFrame, max_shrink: int = 14) -> DataFrame:
+def inscribed_square(spans: DataFrame, max_shrink: int = 14, band: int = BAND) -> DataFrame:
     """``(frame_id, box)`` of the greatest square around the deepest mask point.
 
-    Distance to the nearest clear pixel is exact: first along columns (windows keyed by frame
-    and column), then along each line, where only offsets up to the column distance can win.
-    Frames whose square has to shrink by more than ``max_shrink`` pixels give no row.
+    The deepest point is that of ``depth.deepest``. A clear pixel inside the square asks for one more step than its distance to the
+    square's border; on a line only the pixel of each gap that lies nearest to the middle counts. Frames whose square has to shrink by
+    more than ``max_shrink`` pixels give no row.
     """
-    bits = _mask_bits(spans)
-    px = bits.select("frame_id", "height", "width", "y", F.posexplode("bits").alias("x", "b"))
-    col = Window.partitionBy("frame_id", "x").orderBy("y")
-    zero = F.when(F.col("b") == 0, F.col("y"))
-    up = F.last(zero, ignorenulls=True).over(col.rowsBetween(Window.unboundedPreceding, 0))
-    dn = F.first(zero, ignorenulls=True).over(col.rowsBetween(0, Window.unboundedFollowing))
-    far = F.col("height") + F.col("width")
-    g = F.least(F.coalesce(F.col("y") - up, far), F.coalesce(dn - F.col("y"), far))
-    line = px.withColumn("g", g).groupBy("frame_id", "y").agg(
-        F.max("height").alias("height"), F.max("width").alias("width"),
-        F.transform(F.array_sort(F.collect_list(F.struct("x", "g"))), lambda p: p["g"].cast("bigint")).alias("g"))
-
-    def near(v, x):
-        reach = F.least(F.get(v, x), F.size(v).cast("bigint")).cast("int")
-        cand = F.transform(F.sequence(F.greatest(x - reach, F.lit(0)), F.least(x + reach, F.size(v) - 1)),
-                           lambda q: F.get(v, q) * F.get(v, q) + (q - x) * (q - x))
-        return F.struct(F.array_min(cand).alias("d2"), (-x).alias("nx"))
-    deep = F.array_max(F.transform("g", lambda _, x: near(F.col("g"), x)))
-    top = line.select("frame_id", "height", "width", "y", deep.alias("p")) \
-        .groupBy("frame_id").agg(F.max("height").alias("height"), F.max("width").alias("width"),
-                                 F.max(F.struct("p.d2", (-F.col("y")).alias("ny"), "p.nx")).alias("m"))
-    side = F.floor(F.sqrt(F.lit(2.0)) * F.sqrt(F.col("m.d2").cast("double"))).cast("int")
-    sq = top.filter("m.d2 > 0").withColumn("side", side).filter("side >= 2") \
-        .withColumns({"cx": -F.col("m.nx"), "cy": -F.col("m.ny")})
+    side = F.floor(F.sqrt(F.lit(2.0)) * F.sqrt(F.col("d2").cast("double"))).cast("int")
+    sq = deepest(spans, band).filter("d2 > 0").withColumn("side", side).filter("side >= 2")
     half = F.floor(F.col("side") / 2).cast("int")
 
     def shifted(c, n):
@@ -406,22 +374,25 @@ def inscribed_square(spans: DataFrame, max_shrink: int = 14) -> DataFrame:
         hi = F.col(c) - half + F.col("side") - F.least(F.col(c) - half, F.lit(0))
         lo = F.greatest(lo - F.greatest(hi - F.col(n), F.lit(0)), F.lit(0))
         return lo, F.least(hi, F.col(n))
-    (x1, x2), (y1, y2) = shifted("cx", "width"), shifted("cy", "height")
+    (x1, x2), (y1, y2) = shifted("x", "width"), shifted("y", "height")
     sq = sq.select("frame_id", x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2")) \
         .filter("x2 - x1 >= 2 AND y2 - y1 >= 2")
-    # a clear pixel inside asks for one more step than its distance to the square's border
-    hit = bits.join(sq, "frame_id").filter("y >= y1 AND y < y2")
-
-    def need(b, x):
-        inner = F.least(x - F.col("x1"), F.col("x2") - 1 - x, F.col("y") - F.col("y1"),
-                        F.col("y2") - 1 - F.col("y")) + 1
-        return F.when((b == 0) & (x >= F.col("x1")) & (x < F.col("x2")), inner).otherwise(F.lit(0))
-    shrink = hit.groupBy("frame_id", "x1", "y1", "x2", "y2").agg(
-        F.max(F.array_max(F.transform("bits", need))).alias("s"))
+    # set spans inside the square, and one empty span per line on either side of it: what lies between two neighbours is clear
+    inner = spans.join(sq, "frame_id").filter("y >= y1 AND y < y2 AND x_end >= x1 AND x_start < x2") \
+        .select("frame_id", "x1", "y1", "x2", "y2", "y", F.struct(F.greatest("x_start", "x1").alias("a"), F.least(F.col("x_end"), F.col("x2") - 1).alias("b")).alias("s"))
+    ends = F.array(F.struct((F.col("x1") - 1).alias("a"), (F.col("x1") - 1).alias("b")), F.struct(F.col("x2").alias("a"), F.col("x2").alias("b")))
+    frame = sq.select("*", F.explode(F.sequence(F.col("y1"), F.col("y2") - 1)).alias("y")).select("*", F.explode(ends).alias("s"))
+    key = ["frame_id", "x1", "y1", "x2", "y2", "y"]
+    rows = inner.unionByName(frame).groupBy(*key).agg(F.sort_array(F.collect_list("s")).alias("s"))
+
+    def need(s, i):
+        lo, hi = F.array_max(F.transform(F.slice("s", F.lit(1), i), lambda p: p["b"])) + 1, s["a"] - 1
+        middle = F.floor((F.col("x2") - 1 - F.col("x1")) / 2)
+        across = F.least(middle, hi - F.col("x1"), F.col("x2") - 1 - lo)
+        return F.when(lo <= hi, F.least(across, F.col("y") - F.col("y1"), F.col("y2") - 1 - F.col("y")) + 1).otherwise(F.lit(0))
+    shrink = rows.groupBy("frame_id", "x1", "y1", "x2", "y2").agg(F.max(F.array_max(F.transform("s", need))).cast("int").alias("s"))
     return shrink.filter(F.col("s") <= max_shrink) \
         .filter("x2 - x1 - 2 * s >= 2 AND y2 - y1 - 2 * s >= 2") \
         .select("frame_id", F.struct((F.col("x1") + F.col("s")).alias("x1"), (F.col("y1") + F.col("s")).alias("y1"),
                                      (F.col("x2") - F.col("s")).alias("x2"),
                                      (F.col("y2") - F.col("s")).alias("y2")).alias("box"))
-
-

@@ -14,6 +14,7 @@ from granulite.operators import planes as P
 from granulite.operators import segment as S
 from granulite.operators import stencils as ST
 from granulite.operators import verdicts as V
+from granulite.operators.depth import deepest, envelope
 from granulite.thresholds import AUTOMATIC, CHECK_ONLY, MANUAL
 
 rng = np.random.default_rng(7)
@@ -303,6 +304,72 @@ def test_inscribed_square(spark):
         assert got.get(k) == square_oracle(m), k
 
 
+def mask_spans(k, m):
+    """Spans of a mask, found line by line."""
+    out = []
+    for y, line in enumerate(m):
+        d = np.diff(np.concatenate(([0], line.astype(int), [0])))
+        out += [(k, *m.shape, y, int(a), int(b) - 1) for a, b in zip(np.flatnonzero(d == 1), np.flatnonzero(d == -1))]
+    return out
+
+
+def nearest_clear(m):
+    """Squared distance to the nearest clear pixel: all column distances, then all columns of a line."""
+    h, w = m.shape
+    y = np.arange(h)
+    g = np.full((h, w), h + w)
+    for x in range(w):
+        z = np.flatnonzero(~m[:, x])
+        if len(z):
+            g[:, x] = np.abs(y[:, None] - z[None]).min(1)
+    return np.stack([(g ** 2 + (np.arange(w) - x)[None] ** 2).min(1) for x in range(w)], 1)
+
+
+def test_envelope():
+    for n, w in ((1, 1), (3, 2), (7, 30), (40, 61)):
+        g = rng.integers(0, 40, (n, w))
+        want = np.stack([(g ** 2 + (np.arange(w) - x)[None] ** 2).min(1) for x in range(w)], 1)
+        assert (envelope(g) == want).all()
+
+
+def test_deepest_by_bands(spark):
+    """Frames of many bands, empty bands, no clear pixel, equal depths; small frames with far ids share tables."""
+    hole = disc(200, 90, 70, 60) > 100
+    hole[80:84, 60:64] = False
+    masks = {1: hole, -(1 << 60): rng.random((450, 409)) < 0.999, 7: np.ones((130, 5), bool), 8: np.ones((6, 6), bool), 9: disc(64, 30, 30, 9) > 100,
+             10: np.kron(np.eye(3), np.ones((40, 40))).astype(bool), 1 << 61: np.pad(np.ones((3, 3), bool), ((100, 40), (2, 2)))}
+    df = spark.createDataFrame([r for k, m in masks.items() for r in mask_spans(k, m)], "frame_id long, height int, width int, y int, x_start int, x_end int").repartition(3)
+    for band in (16, 64, 256):
+        got = {r.frame_id: (r.d2, r.y, r.x) for r in deepest(df, band).collect()}
+        for k, m in masks.items():
+            d = nearest_clear(m)
+            y, x = np.unravel_index(d.argmax(), d.shape)
+            assert got[k] == (d[y, x], y, x), (k, band)
+
+
+def test_full_size_square(spark):
+    """A mask of full camera size, in bands."""
+    m = np.zeros((4508, 4096), bool)
+    yy, xx = np.ogrid[:4508, :4096]
+    m[(yy - 2200) ** 2 + (xx - 2000) ** 2 <= 1500 ** 2] = True
+    df = spark.createDataFrame(mask_spans(0, m), "frame_id long, height int, width int, y int, x_start int, x_end int")
+    d = deepest(df).first()
+    assert (d.y, d.x) == (2200, 2000) and 1500 ** 2 < d.d2 <= 1501 ** 2
+    b = S.inscribed_square(df).first().box
+    assert m[b.y1:b.y2, b.x1:b.x2].all() and b.x2 - b.x1 > 2100
+
+
+def test_no_row_per_pixel(spark):
+    """Depth, square and score are worked on in bands: no generator over pixels, no window over columns."""
+    img = disc(40, 20, 20, 14)
+    lines = P.to_lines(frames_df(spark, [img]))
+    spans = spark.createDataFrame(mask_spans(0, img > 100), "frame_id long, height int, width int, y int, x_start int, x_end int")
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    square = plan(S.inscribed_square(spans))
+    assert "Window" not in square and "posexplode" not in square
+    assert "explode(vals" not in plan(FO.laplacian_score(lines))
+
+
 def test_laplacian_score_of_disc(spark):
     img = disc(40, 20, 20, 14) + rng.integers(0, 9, (40, 40)).astype(np.uint8)
     lines = P.to_lines(frames_df(spark, [img]))
