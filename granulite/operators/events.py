@@ -3,11 +3,16 @@ as-of contours, device transitions. All are cut into ``(key, time chunk)`` (see
 
 from __future__ import annotations
 
-import pandas as pd
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from granulite.operators.lineage import settle
 from granulite.operators.ordered import TIME_CHUNK_S, epoch_us, neighbour, running, time_chunk
+from granulite.operators.runs import map_runs, run_starts
 
 US = 1_000_000
 
@@ -116,40 +121,103 @@ def reconnect_cycles(attempts: DataFrame, cycle_s: int = 30, max_cycles: int = 3
         .drop("_chunk", "_us", "_first", "_bin", "_prev")
 
 
+def _jumps(us: np.ndarray, gap: int) -> np.ndarray:
+    """For each error of a chunk the next one that may be reported after it; their number where that lies behind the chunk."""
+    return np.maximum(np.searchsorted(us, us + gap), np.arange(1, len(us) + 1))
+
+
+def _entries(gap: int, length: int):
+    """Errors at which a chunk can be entered, and the time of the last report before the chunk is left from there.
+
+    A chunk is entered at a burst's first error, or where the first error ``gap`` after a report in an earlier chunk stands:
+    within ``gap`` of the chunk's begin, or right behind.
+    """
+    def each(t: pa.Table) -> pa.Table:
+        start = run_starts(t, ["_k", "_chunk"])
+        all_us, new, chunk = t.column("_us").to_numpy(), t.column("_new").to_numpy(zero_copy_only=False), t.column("_chunk").to_numpy()
+        take, leave = [], []
+        for a, z in zip(start[:-1], start[1:]):
+            us = all_us[a:z]
+            n, step = len(us), _jumps(us, gap)
+            last = np.where(step < n, step, np.arange(n))
+            while True:
+                further = last[last]
+                if (further == last).all():
+                    break
+                last = further
+            first = np.searchsorted(us, chunk[a] * length + gap) + 1
+            pick = np.flatnonzero(new[a:z] | (np.arange(n) < first))
+            take.append(a + pick)
+            leave.append(us[last[pick]])
+        rows = t.select(["_k", "_i", "_us", "_new"]).take(pa.array(np.concatenate(take)))
+        return rows.append_column("_leave", pa.array(np.concatenate(leave)))
+    return each
+
+
+def _reported(gap: int):
+    """Errors of a chunk that are met by jumps from the marked ones."""
+    def each(t: pa.Table) -> pa.Table:
+        start = run_starts(t, ["_k", "_chunk"])
+        us, mark = t.column("_us").to_numpy(), t.column("_mark").to_numpy(zero_copy_only=False)
+        keep = []
+        for a, z in zip(start[:-1], start[1:]):
+            n = z - a
+            hit, jump = np.append(mark[a:z], False), np.append(_jumps(us[a:z], gap), n)
+            while (jump < n).any():
+                hit[jump[hit]] = True
+                jump = jump[jump]
+            keep.append(hit[:n])
+        return t.drop(["_k", "_chunk", "_us", "_mark"]).filter(pa.array(np.concatenate(keep)))
+    return each
+
+
+def _reachable(nodes: DataFrame, gap: int, length: int) -> DataFrame:
+    """``(_k, _i)`` of the entries that reports reach from the first errors of bursts.
+
+    An entry points at the first entry ``gap`` after the last report before its chunk was left. Pointers double: after k rounds all
+    entries up to 2 to the power of k chunks behind a burst's first error are marked. Bursts that end in their chunk need no round.
+    """
+    # first entry at or after a time: the last one before it, read backwards
+    ask = nodes.select("_k", "_i", (F.col("_leave") + gap).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast("bigint").alias("_e"))
+    have = nodes.select("_k", "_i", F.col("_us").alias("_t"), F.lit(0).alias("_side"), F.col("_i").alias("_e"))
+    u = ask.unionByName(have).withColumns({"_neg": -F.col("_t"), "_row": -F.col("_i"), "_part": -F.floor(F.col("_t") / length)})
+    hop = running(u, ["_k"], ["_neg", "_side", "_row"], "_part", {"_to": ("last", F.col("_e"))}).filter("_side = 1 AND _to IS NOT NULL").select("_k", "_i", "_to")
+    reached, hop = settle(nodes.filter("_new").select("_k", "_i")), settle(hop)
+    while True:
+        fresh = settle(reached.join(hop, ["_k", "_i"]).select("_k", F.col("_to").alias("_i")).distinct().join(reached, ["_k", "_i"], "left_anti"))
+        if fresh.isEmpty():
+            return reached
+        reached = settle(reached.unionByName(fresh))
+        on = hop.select("_k", F.col("_i").alias("_to"), F.col("_to").alias("_on"))
+        hop = settle(hop.join(on, ["_k", "_to"]).select("_k", "_i", F.col("_on").alias("_to")))
+
+
 def throttle_errors(events: DataFrame, sec: float = 5.0, key: str = "camera", order=("ts", "seq"),
                     chunk_s: int = TIME_CHUNK_S) -> DataFrame:
     """Reported errors, at most one per ``sec``, with the errors since the last good frame.
 
-    ``events(camera, ts, seq, is_error)``; rows that are no errors are good frames. The error count
-    is a running sum. An error at least ``sec`` after the one before is always reported, which
-    splits a camera into independent bursts; inside a burst rows stream by in order with one
-    remembered time, so nothing is collected.
+    ``events(camera, ts, seq, is_error)``; rows that are no errors are good frames. The error count is a running sum. An error
+    at least ``sec`` after the one before begins a burst and is always reported; from a reported error the next one
+    is the first ``sec`` later. Inside a chunk of ``chunk_s`` (or ``sec``, if that is longer) these jumps are found by binary
+    search and followed by doubling; from chunk to chunk only possible entries go, so that a burst without end spreads over tasks.
     """
-    o = list(order)
-    d = events.withColumn("_chunk", time_chunk(o[0], chunk_s)).withColumn("_us", epoch_us(o[0]))
-    err = F.col("is_error").cast("bigint")
-    d = running(d, [key], o, "_chunk", {"_good": ("sum", 1 - err)})
-    e = d.filter("is_error")
-    e = running(e, [key, "_good"], o, "_chunk", {"errors_since_good": ("sum", F.lit(1).cast("bigint"))})
-    gap = int(sec * US)
+    o, gap = list(order), int(sec * US)
+    length = max(chunk_s, int(math.ceil(sec)))
+    d = events.withColumn("_chunk", time_chunk(o[0], length)).withColumn("_us", epoch_us(o[0]))
+    d = running(d, [key], o, "_chunk", {"_e": ("sum", F.col("is_error").cast("bigint"))})
+    d = running(d, [key], o, "_chunk", {"_base": ("max", F.when(~F.col("is_error"), F.col("_e")))})
+    e = d.filter("is_error").withColumns({"errors_since_good": F.col("_e") - F.coalesce("_base", F.lit(0)), "_i": F.col("_e")})
     e = neighbour(e, [key], o, "_chunk", "_prev", F.col("_us"), -1)
-    e = e.withColumn("_new", F.coalesce(F.col("_us") - F.col("_prev") >= gap, F.lit(True)).cast("bigint"))
-    e = running(e, [key], o, "_chunk", {"_burst": ("sum", F.col("_new"))})
-    rows = e.select(key, *o, "_us", "_burst", "errors_since_good")
-
-    def pick(batches):
-        who, last = None, None
-        for pdf in batches:
-            keep = []
-            for k, b, us in zip(pdf[key], pdf["_burst"], pdf["_us"]):
-                if (k, b) != who or us - last >= gap:
-                    keep.append(True)
-                    who, last = (k, b), us
-                else:
-                    keep.append(False)
-            yield pdf[pd.Series(keep, index=pdf.index, dtype=bool)]
-    return rows.repartition(key, "_burst").sortWithinPartitions(key, "_burst", *o) \
-        .mapInPandas(pick, rows.schema).drop("_us", "_burst")
+    e = e.withColumn("_new", F.coalesce(F.col("_us") - F.col("_prev") >= gap, F.lit(True)))
+    e = e.withColumn("_k", F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")))
+    kind = dict(events.dtypes)
+    e = settle(e.select("_k", "_chunk", "_i", "_us", "_new", key, *o, "errors_since_good"))
+    nodes = settle(map_runs(e.select("_k", "_chunk", "_i", "_us", "_new"), ["_k", "_chunk"], ["_i"], _entries(gap, length * US),
+                            "_k string, _i bigint, _us bigint, _new boolean, _leave bigint"))
+    marks = _reachable(nodes, gap, length * US).withColumn("_mark", F.lit(True))
+    rows = e.join(marks, ["_k", "_i"], "left").select("_k", "_chunk", "_us", F.coalesce("_mark", F.lit(False)).alias("_mark"), key, *o, "errors_since_good", "_i")
+    cols = [f"`{c}` {kind[c]}" for c in (key, *o)]
+    return map_runs(rows, ["_k", "_chunk"], ["_i"], _reported(gap), ", ".join([*cols, "errors_since_good bigint, _i bigint"])).drop("_i")
 
 
 def asof_contour(captures: DataFrame, contours: DataFrame, key: str = "rig", ts: str = "ts",

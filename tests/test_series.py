@@ -276,3 +276,23 @@ def test_last_good_and_transitions(evs):
             want[s] = "up" if f else "down"
         prev[k] = f
     assert tr == want
+
+
+def test_endless_burst_in_chunks(spark):
+    """One camera without a quiet moment over some 20 chunks, ties, null cameras, gaps longer than a chunk: equal to the plain loop."""
+    r = random.Random(5)
+    t0, rows, t = dt.datetime(2024, 1, 1), [], 0.0
+    for s in range(1500):
+        t += r.choice([0, 0.3, 1.0, 2.5])
+        rows.append((r.choice(["a", "a", "a", None]), t0 + dt.timedelta(seconds=t), s, r.random() < 0.97))
+    rows += [("late", t0 + dt.timedelta(seconds=x), 5000 + i, True) for i, x in enumerate([0, 59, 61, 299, 301, 1000])]
+    df = spark.createDataFrame(rows, "camera string, ts timestamp, seq long, is_error boolean").repartition(7)
+    for sec, chunk in ((4.0, 60), (40.0, 60), (100.0, 60), (0.0, 600), (7.5, 86400)):
+        want, last, n = {}, {}, {}
+        for k, ts, seq, bad in sorted(rows, key=lambda x: (x[1], x[2])):
+            n[k] = n.get(k, 0) + 1 if bad else 0
+            if bad and (k not in last or (ts - last[k]).total_seconds() >= sec):
+                last[k], want[seq] = ts, n[k]
+        got = EV.throttle_errors(df, sec, chunk_s=chunk)
+        assert {x.seq: x.errors_since_good for x in got.collect()} == want, (sec, chunk)
+        assert set(got.columns) == {"camera", "ts", "seq", "errors_since_good"}
