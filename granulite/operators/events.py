@@ -63,24 +63,26 @@ def lamp_commands(df: DataFrame, command: str = "command") -> DataFrame:
 
 
 def exclusive_lamps(events: DataFrame, automatic: str = "automatic") -> DataFrame:
-    """Add the ``off`` of the other lamp for every automatic ``on``."""
+    """Add the ``off`` of the other lamp, of the same rig where the events name one, for every automatic ``on``."""
     other = F.when(F.col("lamp") == "dome", "bar").otherwise("dome")
     implied = events.filter(F.col(automatic) & (F.col("action") == "on")) \
         .withColumns({"lamp": other, "action": F.lit("off")})
     return events.unionByName(implied)
 
 
-def lamp_intervals(events: DataFrame, timeout_s: int = 300, key: str = "lamp", order=("ts", "seq"),
+def lamp_intervals(events: DataFrame, timeout_s: int = 300, key="lamp", order=("ts", "seq"),
                    chunk_s: int = TIME_CHUNK_S) -> DataFrame:
-    """From each ``on`` to the next event of the lamp, cut at the timeout.
+    """From each ``on`` to the next event of the lamp, cut at the timeout. ``key`` names what tells lamps apart: a column, or
+    several, as rig and lamp.
 
     ``auto_off`` tells that the timer ended it; the end is on + timeout, not when someone noticed.
     """
+    keys = [key] if isinstance(key, str) else list(key)
     d = events.withColumn("_chunk", time_chunk(order[0], chunk_s))
-    d = neighbour(d, [key], list(order), "_chunk", "_next", F.col(order[0]), 1).filter("action = 'on'")
+    d = neighbour(d, keys, list(order), "_chunk", "_next", F.col(order[0]), 1).filter("action = 'on'")
     end = F.col(order[0]) + F.expr(f"INTERVAL {timeout_s} SECONDS")
     late = F.coalesce(F.col("_next") >= end, F.lit(True))
-    return d.select(key, F.col(order[0]).alias("on_ts"), *[F.col(c) for c in order[1:]],
+    return d.select(*keys, F.col(order[0]).alias("on_ts"), *[F.col(c) for c in order[1:]],
                     F.when(late, end).otherwise(F.col("_next")).alias("off_ts"), late.alias("auto_off")) \
         .withColumn("seconds", (epoch_us("off_ts") - epoch_us("on_ts")) / US)
 
@@ -121,6 +123,29 @@ def reconnect_cycles(attempts: DataFrame, cycle_s: int = 30, max_cycles: int = 3
         .drop("_chunk", "_us", "_first", "_bin", "_prev")
 
 
+def reconnect_outcomes(attempts: DataFrame, cycle_s: int = 30, key: str = "device", order=("ts", "seq"),
+                       chunk_s: int = TIME_CHUNK_S) -> DataFrame:
+    """One row per reconnect cycle, ``key``, ``seq`` (of its first attempt), ``start_ts``, ``attempts``, ``seconds``, ``timed_out``.
+
+    A cycle begins with the first attempt after a success or a timeout. A success within ``cycle_s`` ends it; otherwise it timed out at that
+    time, with or without a further attempt, and the run is aborted. Begins after a success are as in ``throttle_errors``: from one the
+    next is the first attempt ``cycle_s`` later.
+    """
+    o = list(order)
+    d = attempts.withColumn("_chunk", time_chunk(o[0], chunk_s))
+    d = running(d, [key], o, "_chunk", {"_segment": ("sum", F.col("success").cast("bigint"))}, exclusive=True)
+    d = d.withColumn("_segment", F.coalesce("_segment", F.lit(0).cast("bigint")))
+    name = F.concat_ws("|", F.col("_segment").cast("string"), F.col(key).cast("string"))
+    each = d.select(name.alias("_segment_of"), *o, F.lit(True).alias("is_error"))
+    begins = throttle_errors(each, cycle_s, "_segment_of", order, chunk_s).select("_segment_of", *o, F.lit(True).alias("_begin"))
+    d = d.withColumn("_segment_of", name).join(begins, ["_segment_of", *o], "left")
+    d = running(d, ["_segment_of"], o, "_chunk", {"_of": ("last", F.when(F.col("_begin"), F.struct(*o)))})
+    cycle = d.groupBy("_segment_of", key, "_of").agg(F.count("*").alias("attempts"), F.min(F.when(F.col("success"), epoch_us(o[0]))).alias("_end"))
+    start = F.col("_of")[o[0]]
+    return cycle.select(key, *[F.col("_of")[c].alias(c) for c in o[1:]], start.alias("start_ts"), "attempts",
+                        F.coalesce((F.col("_end") - epoch_us(start)) / US, F.lit(float(cycle_s))).alias("seconds"), F.col("_end").isNull().alias("timed_out"))
+
+
 def _jumps(us: np.ndarray, gap: int) -> np.ndarray:
     """For each error of a chunk the next one that may be reported after it; their number where that lies behind the chunk."""
     return np.maximum(np.searchsorted(us, us + gap), np.arange(1, len(us) + 1))

@@ -199,6 +199,21 @@ def _(spark, sf):
     return rounded(EV.lamp_intervals(lamps(spark, sf)), "seconds").select("lamp", "seq", "auto_off", "seconds")
 
 
+#: Lamp events of eight rigs, interleaved; an automatic on puts out the other lamp of its rig.
+RIG_LAMP = f"""l AS (SELECT user_id % 8 AS rig, lamp, ts, seq, action, value > 100 AS automatic FROM ({LAMP}) WHERE lamp IS NOT NULL),
+ a AS (SELECT rig, lamp, ts, seq, action FROM l UNION ALL SELECT rig, CASE lamp WHEN 'dome' THEN 'bar' ELSE 'dome' END, ts, seq, 'off' FROM l WHERE automatic AND action = 'on'),
+ n AS (SELECT *, lead(ts) OVER (PARTITION BY rig, lamp ORDER BY ts, seq) AS nx FROM a)"""
+RIG_LIT = f"""WITH {RIG_LAMP} SELECT rig, lamp, seq, coalesce(nx >= ts + INTERVAL 300 SECOND, true) AS auto_off,
+ round(CASE WHEN coalesce(nx >= ts + INTERVAL 300 SECOND, true) THEN 300.0 ELSE (epoch_us(nx) - epoch_us(ts)) / 1e6::DOUBLE END, 6) AS seconds FROM n WHERE action = 'on'"""
+
+
+@query("w16_rig_lamps", RIG_LIT)
+def _(spark, sf):
+    c = EV.lamp_commands(commands(spark, sf)).filter("lamp IS NOT NULL")
+    c = EV.exclusive_lamps(c.select((F.col("user_id") % 8).alias("rig"), "lamp", "ts", "seq", "action", (F.col("value") > 100).alias("automatic")))
+    return rounded(EV.lamp_intervals(c, key=("rig", "lamp")), "seconds").select("rig", "lamp", "seq", "auto_off", "seconds")
+
+
 @query("r3_device_transitions", """WITH s AS (SELECT user_id AS device, ts, event_id AS seq, event_type NOT IN ('error', 'view') AS connected FROM events),
  p AS (SELECT *, lag(connected) OVER (PARTITION BY device ORDER BY ts, seq) AS prev FROM s)
  SELECT device, seq, CASE WHEN connected THEN 'up' ELSE 'down' END AS transition, NOT connected AS homed_reset FROM p
@@ -221,6 +236,21 @@ def _(spark, sf):
     return rounded(d, "elapsed_s").select("device", "seq", "segment", "cycle", "elapsed_s", "aborted")
 
 
+@query("w17_reconnect_outcomes", """WITH RECURSIVE a AS (SELECT user_id AS device, ts, event_id AS seq, event_type = 'signup' AS success FROM events),
+ s AS (SELECT *, coalesce(sum(success::INT) OVER (PARTITION BY device ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS segment FROM a),
+ n AS (SELECT *, epoch_us(ts) AS us, row_number() OVER (PARTITION BY device, segment ORDER BY ts, seq) AS rn FROM s),
+ w AS (SELECT device, segment, rn, us AS start, true AS begins FROM n WHERE rn = 1 UNION ALL
+   SELECT n.device, n.segment, n.rn, CASE WHEN n.us - w.start >= 86400000000 THEN n.us ELSE w.start END, n.us - w.start >= 86400000000
+   FROM w JOIN n ON n.device = w.device AND n.segment = w.segment AND n.rn = w.rn + 1),
+ c AS (SELECT n.*, w.start, sum(begins::INT) OVER (PARTITION BY n.device, n.segment ORDER BY n.rn) AS cycle FROM n JOIN w USING (device, segment, rn))
+ SELECT device, arg_min(seq, rn) AS seq, count(*) AS attempts, NOT bool_or(success) AS timed_out,
+  round(coalesce((min(us) FILTER (success) - min(start)) / 1e6::DOUBLE, 86400.0), 6) AS seconds FROM c GROUP BY device, segment, cycle""")
+def _(spark, sf):
+    a = ev(spark, sf).select(F.col("user_id").alias("device"), "ts", F.col("event_id").alias("seq"),
+                             (F.col("event_type") == "signup").alias("success"))
+    return rounded(EV.reconnect_outcomes(a, 86400), "seconds").select("device", "seq", "attempts", "timed_out", "seconds")
+
+
 def cameras(spark, sf):
     return ev(spark, sf).select((F.col("user_id") % 4).alias("camera"), "ts", F.col("event_id").alias("seq"),
                                 (F.col("event_type") != "signup").alias("is_error"))

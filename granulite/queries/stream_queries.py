@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from granulite.queries.plan_queries import KIND
 from granulite.queries.registry import ORACLES, big, query, rounded
-from granulite.queries.series_queries import CMD, LAMP, POSN
+from granulite.queries.series_queries import CMD, RIG_LAMP, RIG_LIT
 from granulite.operators.events import lamp_commands
 from granulite.operators.lineage import shared_folder
 from granulite.streaming import flows as FL
@@ -36,56 +36,64 @@ def replay(df: DataFrame, mode: str = "append", keys: list[str] | None = None) -
     return spark.read.schema(df.schema).option("recursiveFileLookup", True).parquet(f"{path}/out")
 
 
+def replay_keyed(stream: DataFrame, key: str, operator) -> DataFrame:
+    """Run a keyed operator over the whole of a finite stream: at its end a mark brings out what waits for the watermark."""
+    spark, path = stream.sparkSession, work_dir(stream.sparkSession)
+    # the folder of the mark must be there before the stream starts
+    spark.createDataFrame([], "mark timestamp").write.parquet(f"{path}/end")
+    df = operator(FL.with_end(stream, f"{path}/end", key))
+    FL.to_end(df, f"{path}/out", f"{path}/state", f"{path}/end")
+    return spark.read.schema(df.schema).option("recursiveFileLookup", True).parquet(f"{path}/out")
+
+
 def lamps(spark, sf):
     c = F.lit(None).cast("string")
     for k, v in CMD.items():
         c = F.when(F.col("event_type") == k, v).otherwise(c)
-    return lamp_commands(events(spark, sf).withColumn("command", c)).filter("lamp IS NOT NULL")
-
+    c = lamp_commands(events(spark, sf).withColumn("command", c)).filter("lamp IS NOT NULL")
+    return c.withColumns({"rig": F.col("user_id") % 8, "automatic": F.col("value") > 100})
 
-LAMPS = "(SELECT max(ts) FROM events WHERE event_type <> 'click')"
 
-
-def passed(x: str, latest: str = "(SELECT max(ts) FROM events)") -> str:
-    """SQL: the watermark, 60 s behind the latest row, has passed the time ``x``. Later rows wait for more input."""
-    return f"(ceil(epoch_us({x}) / 1000.0) < epoch_us({latest}) // 1000 - 60000)"
-
-
-def settled(sql: str) -> str:
-    """The rows of a batch twin that the watermark has passed."""
-    return f"SELECT o.* FROM ({sql}) o JOIN events e ON e.event_id = o.seq WHERE {passed('e.ts')}"
+@query("r1_lamp_auto_off", RIG_LIT)
+def _(spark, sf):
+    d = replay_keyed(lamps(spark, sf), "rig", KE.lamp_auto_off)
+    return rounded(d.withColumn("seconds", (F.unix_micros("off_ts") - F.unix_micros("on_ts")) / 1e6), "seconds") \
+        .select("rig", "lamp", "seq", "auto_off", "seconds")
 
 
-END = "ts + INTERVAL 300 SECOND"
-LIT = f"WITH l AS (SELECT lamp, ts, seq, action, lead(ts) OVER (PARTITION BY lamp ORDER BY ts, seq) AS nx FROM ({LAMP}) WHERE lamp IS NOT NULL)"
+@query("r2_lamp_status", f"""WITH {RIG_LAMP} SELECT rig, lamp, epoch_us(ts) AS us, action = 'on' AS lamp_on, false AS auto_turned_off FROM n UNION ALL
+ SELECT rig, lamp, epoch_us(ts) + 300000000, false, true FROM n WHERE action = 'on' AND coalesce(nx >= ts + INTERVAL 300 SECOND, true)""")
+def _(spark, sf):
+    d = replay_keyed(lamps(spark, sf), "rig", KE.lamp_status)
+    return d.select("rig", "lamp", F.unix_micros("ts").alias("us"), "lamp_on", "auto_turned_off")
 
 
-@query("r1_lamp_auto_off", LIT + f""" SELECT lamp, seq, coalesce(nx >= {END}, true) AS auto_off,
- round(CASE WHEN coalesce(nx >= {END}, true) THEN 300.0 ELSE (epoch_us(nx) - epoch_us(ts)) / 1e6::DOUBLE END, 6) AS seconds FROM l
- WHERE action = 'on' AND {passed(f"least(coalesce(nx, {END}), {END})", LAMPS)}""")
+@query("r3_transition_stream", ORACLES["r3_device_transitions"])
 def _(spark, sf):
-    d = replay(KE.lamp_auto_off(lamps(spark, sf)))
-    return rounded(d.withColumn("seconds", (F.unix_micros("off_ts") - F.unix_micros("on_ts")) / 1e6), "seconds") \
-        .select("lamp", "seq", "auto_off", "seconds")
+    s = events(spark, sf).withColumns({"device": F.col("user_id"), "connected": ~F.col("event_type").isin("error", "view")})
+    return replay_keyed(s, "device", KE.device_transitions).select("device", "seq", "transition", "homed_reset")
 
 
-@query("r2_lamp_status", LIT + f""" SELECT lamp, epoch_us(ts) AS us, action = 'on' AS lamp_on, false AS auto_turned_off FROM l WHERE {passed("ts", LAMPS)} UNION ALL
- SELECT lamp, epoch_us(ts) + 300000000, false, true FROM l WHERE action = 'on' AND coalesce(nx >= {END}, true) AND {passed(END, LAMPS)}""")
+@query("r4_reconnect_budget", ORACLES["w17_reconnect_cycles"])
 def _(spark, sf):
-    d = replay(KE.lamp_status(lamps(spark, sf)))
-    return d.select("lamp", F.unix_micros("ts").alias("us"), "lamp_on", "auto_turned_off")
+    s = events(spark, sf).withColumns({"device": F.col("user_id"), "success": F.col("event_type") == "signup"})
+    return rounded(replay_keyed(s, "device", lambda d: KE.reconnect_budget(d, cycle_s=86400)), "elapsed_s")
 
 
-@query("r3_transition_stream", settled(ORACLES["r3_device_transitions"]))
+@query("r4_reconnect_outcomes", ORACLES["w17_reconnect_outcomes"])
 def _(spark, sf):
-    s = events(spark, sf).withColumns({"device": F.col("user_id"), "connected": ~F.col("event_type").isin("error", "view")})
-    return replay(KE.device_transitions(s)).select("device", "seq", "transition", "homed_reset")
+    s = events(spark, sf).withColumns({"device": F.col("user_id"), "success": F.col("event_type") == "signup"})
+    d = replay_keyed(s, "device", lambda d: KE.reconnect_outcomes(d, cycle_s=86400))
+    return rounded(d, "seconds").select("device", "seq", "attempts", "timed_out", "seconds")
 
 
-@query("r4_reconnect_budget", settled(ORACLES["w17_reconnect_cycles"]))
+@query("r5_newest_only", """SELECT vec_id % 10 AS source, max(vec_id) AS frame_id, count(*) - 1 AS n_dropped FROM embeddings GROUP BY 1""")
 def _(spark, sf):
-    s = events(spark, sf).withColumns({"device": F.col("user_id"), "success": F.col("event_type") == "signup"})
-    return rounded(replay(KE.reconnect_budget(s, cycle_s=86400)), "elapsed_s")
+    s = spark.readStream.schema("vec_id BIGINT, embedding ARRAY<FLOAT>, label INT").option("pathGlobFilter", "embeddings.parquet").parquet(sf)
+    s = s.select((F.col("vec_id") % 10).alias("source"), F.col("vec_id").alias("frame_id"), F.col("vec_id").alias("landed"), "embedding")
+    path = work_dir(spark)
+    FL.newest_stream(s, path, f"{path}-state", lambda took: took.select("source", "frame_id", "n_dropped"), order=("landed",)).awaitTermination()
+    return spark.read.schema("source BIGINT, frame_id BIGINT, n_dropped BIGINT").option("recursiveFileLookup", True).parquet(f"{path}/verdicts")
 
 
 @query("r6_latest_stream", f"""SELECT rig, kind, seq, 'img' || seq || '.jpg' AS path FROM (SELECT user_id AS rig, event_id AS seq, {KIND} AS kind,
@@ -98,12 +106,12 @@ def _(spark, sf):
     return replay(FL.latest_stream(c), "update", ["rig", "kind"]).select("rig", "kind", "seq", "path")
 
 
-@query("r7_position_stream", settled(ORACLES["w15_last_good"]))
+@query("r7_position_stream", ORACLES["w15_last_good"])
 def _(spark, sf):
     k = F.get_json_object("props", "$.k").cast("double")
     s = events(spark, sf).withColumns({"device": F.col("user_id"), "x": F.when(F.col("event_type") != "error", F.col("value")),
                                        "y": F.when(F.col("event_type") != "view", k), "z": F.col("value") / 2})
-    return replay(KE.position_stream(s))
+    return replay_keyed(s, "device", KE.position_stream)
 
 
 @query("r8_progress_stream", """SELECT user_id AS run_id, count(*) FILTER (event_type <> 'error') AS completed, count(*) FILTER (event_type = 'error') AS failed FROM events GROUP BY 1""")
@@ -113,7 +121,7 @@ def _(spark, sf):
     return replay(FL.progress_stream(s), "update", ["run_id"])
 
 
-@query("r9_throttle_stream", settled(ORACLES["w18_throttle_errors"]))
+@query("r9_throttle_stream", ORACLES["w18_throttle_errors"])
 def _(spark, sf):
     s = events(spark, sf).withColumns({"camera": F.col("user_id") % 4, "is_error": F.col("event_type") != "signup"})
-    return replay(KE.throttle_stream(s, 3600.0))
+    return replay_keyed(s, "camera", lambda d: KE.throttle_stream(d, 3600.0))

@@ -1,12 +1,13 @@
 """Keyed state over event streams: lamps, devices, reconnects, positions, throttled errors.
 
 State is a few values per key in the RocksDB store, and the rows of the last ``late`` span, which wait there until the
-watermark has passed them: results do not depend on how rows fall into micro-batches. What the watermark has not
-passed at the end of input is not emitted yet. Times travel as microseconds.
+watermark has passed them: results do not depend on how rows fall into micro-batches. An end mark (``flows.to_end``) moves the
+watermark past the last row of a finite input, which brings out the rest. Times travel as microseconds.
 """
 
 from __future__ import annotations
 
+import json
 from collections import namedtuple
 from functools import partial
 
@@ -34,13 +35,13 @@ class Fold(StatefulProcessor):
 
     Rows wait in list state until an event-time timer shows that the watermark has passed them; no earlier row can come after
     that, so rows that arrive late, but within the watermark, still come in order. State is what arrived in the
-    last ``late`` span and one value. With ``wait`` the state starts with a start time, and ``expire(state)`` ends it that
-    many microseconds later unless a row did before.
+    last ``late`` span and one value. ``ends(state)`` names the times at which something in the state ends by itself, and
+    ``expire(state, us)`` ends what does before a time: it gives the state left, or none, and the rows to emit.
     """
 
-    def __init__(self, state: str, step, columns: list[str], row: str, wait: int | None = None, expire=None):
+    def __init__(self, state: str, step, columns: list[str], row: str, ends=None, expire=None):
         self.state_schema, self.step, self.columns, self.row_schema = state, step, columns, row
-        self.wait, self.expire = wait, expire
+        self.ends, self.expire = ends, expire
 
     def init(self, handle):
         self.handle = handle
@@ -87,13 +88,10 @@ class Fold(StatefulProcessor):
             state, more = self.step(state, r)
             out += more
         due = [-(-int(r.us) // 1000) for r in rest]
-        if state is not None and self.wait is not None:
-            end = -(-(int(state[0]) + self.wait) // 1000)
-            if end < passed:
-                out += self.expire(state)
-                state = None
-            else:
-                due.append(end)
+        if state is not None and self.ends is not None:
+            state, more = self.expire(state, (passed - 1) * 1000)
+            out += more
+            due += [] if state is None else [-(-int(e) // 1000) for e in self.ends(state)]
         if ready:
             self.held.put(rest) if rest else self.held.clear()
         if state is None:
@@ -119,42 +117,82 @@ def _run(stream: DataFrame, key: str, cols: list, fold, schema: str, ts: str, la
         statefulProcessor=fold(row), outputStructType=f"{key} {kind}, {schema}", outputMode="Append", timeMode="EventTime")
 
 
-def lamp_auto_off(stream: DataFrame, timeout_s: int = 300, key: str = "lamp", ts: str = "ts",
-                  late: str = LATE) -> DataFrame:
-    """One row per lit interval. A timer ends it ``timeout_s`` after the switch-on, whenever it fires."""
-    wait = timeout_s * US
+def _lit(state) -> dict:
+    """Lamps that are on, with the time and number of the event that lit them."""
+    return {} if state is None else json.loads(state[0])
 
-    def step(on, row):
-        out = []
-        if on is not None:
-            auto = row.us >= on[0] + wait
-            out = [(int(on[1]), int(on[0]), int(on[0]) + wait if auto else int(row.us), bool(auto))]
-        return ((int(row.us), int(row.seq)) if row.action == "on" else None), out
 
-    def expire(on):
-        return [(int(on[1]), int(on[0]), int(on[0]) + wait, True)]
-    p = partial(Fold, "on_us bigint, seq bigint", step, [key, "seq", "on_us", "off_us", "auto_off"], wait=wait, expire=expire)
-    d = _run(stream, key, ["action"], p, "seq bigint, on_us bigint, off_us bigint, auto_off boolean", ts, late)
-    return d.select(key, "seq", F.timestamp_micros("on_us").alias("on_ts"), F.timestamp_micros("off_us").alias("off_ts"), "auto_off")
+def _kept(lit: dict):
+    return (json.dumps(lit, sort_keys=True),) if lit else None
 
 
-def lamp_status(stream: DataFrame, timeout_s: int = 300, key: str = "lamp", ts: str = "ts",
-                late: str = LATE) -> DataFrame:
-    """R2: lamp on or off after every change; ``auto_turned_off`` appears exactly once per timeout."""
+def _over(lit: dict, wait: int, us: int) -> list:
+    """Take out the lamps whose time is up at ``us``: ``(lamp, on, seq)``."""
+    return [(lamp, *lit.pop(lamp)) for lamp in sorted(lit) if lit[lamp][0] + wait <= us]
+
+
+def _lamps(stream: DataFrame) -> list:
+    return ["lamp", "action", (F.coalesce("automatic", F.lit(False)) if "automatic" in stream.columns else F.lit(False)).alias("automatic")]
+
+
+def _other(lamp: str) -> str:
+    return "bar" if lamp == "dome" else "dome"
+
+
+def lamp_auto_off(stream: DataFrame, timeout_s: int = 300, key: str = "rig", ts: str = "ts",
+                  late: str = LATE) -> DataFrame:
+    """One row per lit interval of a rig's lamps, ``stream(rig, lamp, ts, seq, action, automatic)``.
+
+    The state of a rig holds its lit lamps. A timer ends one ``timeout_s`` after it was switched on, whenever it
+    fires, and an automatic ``on`` ends the other lamp in the same step.
+    """
     wait = timeout_s * US
 
-    def step(on, row):
-        out = []
-        if on is not None and row.us >= on[0] + wait:
-            out.append((int(on[0]) + wait, False, True))
-        out.append((int(row.us), row.action == "on", False))
-        return ((int(row.us),) if row.action == "on" else None), out
+    def step(state, row):
+        lit = _lit(state)
+        out = [(lamp, seq, on, on + wait, True) for lamp, on, seq in _over(lit, wait, int(row.us))]
+        for lamp in [row.lamp, *([_other(row.lamp)] if row.action == "on" and row.automatic else [])]:
+            if lamp in lit:
+                on, seq = lit.pop(lamp)
+                out.append((lamp, seq, on, int(row.us), False))
+        if row.action == "on":
+            lit[row.lamp] = [int(row.us), int(row.seq)]
+        return _kept(lit), out
+
+    def expire(state, us):
+        lit = _lit(state)
+        out = [(lamp, seq, on, on + wait, True) for lamp, on, seq in _over(lit, wait, us)]
+        return _kept(lit), out
+    p = partial(Fold, "lit string", step, [key, "lamp", "seq", "on_us", "off_us", "auto_off"], ends=lambda s: [v[0] + wait for v in _lit(s).values()], expire=expire)
+    d = _run(stream, key, _lamps(stream), p, "lamp string, seq bigint, on_us bigint, off_us bigint, auto_off boolean", ts, late)
+    return d.select(key, "lamp", "seq", F.timestamp_micros("on_us").alias("on_ts"), F.timestamp_micros("off_us").alias("off_ts"), "auto_off")
+
+
+def lamp_status(stream: DataFrame, timeout_s: int = 300, key: str = "rig", ts: str = "ts",
+                late: str = LATE) -> DataFrame:
+    """R2: lamp on or off after every event of a rig, also of the lamp that an automatic ``on`` puts out; ``auto_turned_off`` appears
+    exactly once per timeout."""
+    wait = timeout_s * US
 
-    def expire(on):
-        return [(int(on[0]) + wait, False, True)]
-    p = partial(Fold, "on_us bigint", step, [key, "us", "lamp_on", "auto_turned_off"], wait=wait, expire=expire)
-    d = _run(stream, key, ["action"], p, "us bigint, lamp_on boolean, auto_turned_off boolean", ts, late)
-    return d.select(key, F.timestamp_micros("us").alias("ts"), "lamp_on", "auto_turned_off")
+    def step(state, row):
+        lit = _lit(state)
+        out = [(lamp, on + wait, False, True) for lamp, on, _ in _over(lit, wait, int(row.us))]
+        out.append((row.lamp, int(row.us), row.action == "on", False))
+        lit.pop(row.lamp, None)
+        if row.action == "on":
+            lit[row.lamp] = [int(row.us), int(row.seq)]
+            if row.automatic:
+                lit.pop(_other(row.lamp), None)
+                out.append((_other(row.lamp), int(row.us), False, False))
+        return _kept(lit), out
+
+    def expire(state, us):
+        lit = _lit(state)
+        out = [(lamp, on + wait, False, True) for lamp, on, _ in _over(lit, wait, us)]
+        return _kept(lit), out
+    p = partial(Fold, "lit string", step, [key, "lamp", "us", "lamp_on", "auto_turned_off"], ends=lambda s: [v[0] + wait for v in _lit(s).values()], expire=expire)
+    d = _run(stream, key, _lamps(stream), p, "lamp string, us bigint, lamp_on boolean, auto_turned_off boolean", ts, late)
+    return d.select(key, "lamp", F.timestamp_micros("us").alias("ts"), "lamp_on", "auto_turned_off")
 
 
 def device_transitions(stream: DataFrame, key: str = "device", ts: str = "ts", late: str = LATE) -> DataFrame:
@@ -188,6 +226,31 @@ def reconnect_budget(stream: DataFrame, cycle_s: int = 30, max_cycles: int = 3,
     return _run(stream, key, ["success"], p, "seq bigint, segment bigint, cycle bigint, elapsed_s double, aborted boolean", ts, late)
 
 
+def reconnect_outcomes(stream: DataFrame, cycle_s: int = 30, key: str = "device", ts: str = "ts", late: str = LATE) -> DataFrame:
+    """One row per reconnect cycle. A cycle begins with the first attempt after a success or a timeout; a success ends it, and a timer
+    ``cycle_s`` after its begin, with or without a further attempt: the cycle timed out, and the run is aborted there."""
+    wait = cycle_s * US
+
+    def gone(s):
+        return int(s[1]), int(s[0]), int(s[2]), float(cycle_s), True
+
+    def step(s, row):
+        out = []
+        if s is not None and row.us >= s[0] + wait:
+            out, s = [gone(s)], None
+        s = (int(row.us), int(row.seq), 1) if s is None else (int(s[0]), int(s[1]), int(s[2]) + 1)
+        if row.success:
+            out.append((s[1], s[0], s[2], (int(row.us) - s[0]) / US, False))
+            s = None
+        return s, out
+
+    def expire(s, us):
+        return (s, []) if s[0] + wait > us else (None, [gone(s)])
+    p = partial(Fold, "start_us bigint, seq bigint, n bigint", step, [key, "seq", "start_us", "attempts", "seconds", "timed_out"], ends=lambda s: [s[0] + wait], expire=expire)
+    d = _run(stream, key, ["success"], p, "seq bigint, start_us bigint, attempts bigint, seconds double, timed_out boolean", ts, late)
+    return d.select(key, "seq", F.timestamp_micros("start_us").alias("start_ts"), "attempts", "seconds", "timed_out")
+
+
 def position_stream(stream: DataFrame, key: str = "device", ts: str = "ts", late: str = LATE) -> DataFrame:
     """Each reading, or the last fully numeric one of the device."""
     def step(last, row):
@@ -214,3 +277,42 @@ def throttle_stream(stream: DataFrame, sec: float = 5.0, key: str = "camera", ts
         return (int(last), n), []
     p = partial(Fold, "last_us bigint, n bigint", step, [key, "seq", "errors_since_good"])
     return _run(stream, key, ["is_error"], p, "seq bigint, errors_since_good bigint", ts, late)
+
+
+class Tablets(StatefulProcessor):
+    """Tablets of a run that were counted, until the run has ended, and the counts."""
+
+    def __init__(self, tablet: str):
+        self.tablet = tablet
+
+    def init(self, handle):
+        self.seen = handle.getListState("seen", f"tablet {self.tablet}")
+        self.counts = handle.getValueState("counts", "completed bigint, failed bigint, ended boolean")
+
+    def handleInputRows(self, key, rows, timerValues):
+        done, failed, ended = self.counts.get() if self.counts.exists() else (0, 0, False)
+        d = pd.concat(list(rows))
+        if not ended:
+            said = d[d["state"].isin(["completed", "failed"])].sort_values("us", kind="stable").drop_duplicates("tablet_id")
+            known = {x[0] for x in self.seen.get()}
+            new = said[~said["tablet_id"].isin(known)]
+            done, failed = int(done) + int((new["state"] == "completed").sum()), int(failed) + int((new["state"] == "failed").sum())
+            if (d["state"] == "ended").any():
+                ended = True
+                self.seen.clear()
+            elif len(new):
+                self.seen.appendList([(x,) for x in new["tablet_id"].tolist()])
+            self.counts.update((done, failed, ended))
+        yield pd.DataFrame([(*key, int(done), int(failed))], columns=["run_id", "completed", "failed"])
+
+    def close(self):
+        pass
+
+
+def run_progress(outcomes: DataFrame) -> DataFrame:
+    """Counts of completed and failed tablets per run (see ``flows.progress_stream``)."""
+    use_rocksdb(outcomes.sparkSession)
+    src = outcomes.select("run_id", "tablet_id", "state", epoch_us("ts").alias("us"))
+    kind = dict(src.dtypes)
+    return src.groupBy("run_id").transformWithStateInPandas(
+        statefulProcessor=Tablets(kind["tablet_id"]), outputStructType=f"run_id {kind['run_id']}, completed bigint, failed bigint", outputMode="Update", timeMode="None")

@@ -296,3 +296,22 @@ def test_endless_burst_in_chunks(spark):
         got = EV.throttle_errors(df, sec, chunk_s=chunk)
         assert {x.seq: x.errors_since_good for x in got.collect()} == want, (sec, chunk)
         assert set(got.columns) == {"camera", "ts", "seq", "errors_since_good"}
+
+
+@pytest.mark.parametrize("chunk", [30, 86400])
+def test_reconnect_outcomes_loop(evs, chunk):
+    d = evs.select(F.col("k").alias("device"), "ts", "seq", F.col("flag").alias("success"))
+    got = {r.seq: (r.device, r.attempts, r.seconds, r.timed_out) for r in EV.reconnect_outcomes(d, 45, chunk_s=chunk).collect()}
+    want, at = {}, {}
+    for k, t, s, ok, _ in EVS:
+        if k in at and (t - at[k][0]).total_seconds() >= 45:
+            want[at[k][1]] = (k, at[k][2], 45.0, True)
+            del at[k]
+        t0, s0, n = at.pop(k, (t, s, 0))
+        if ok:
+            want[s0] = (k, n + 1, (t - t0).total_seconds(), False)
+        else:
+            at[k] = (t0, s0, n + 1)
+    for k, (t0, s0, n) in at.items():
+        want[s0] = (k, n, 45.0, True)
+    assert got == want

@@ -1,6 +1,7 @@
 """Streams over several micro-batches equal their batch twins."""
 
 import datetime as dt
+import os
 import random
 import time
 
@@ -53,18 +54,82 @@ def rows(df, *cols):
     return sorted((tuple(r) for r in df.select(*cols).collect()), key=str)
 
 
+def lamp_rows(d):
+    return d.withColumns({"rig": F.col("k"), "lamp": F.when(F.col("seq") % 3 == 0, "dome").otherwise("bar"),
+                          "action": F.when(F.col("flag"), "on").otherwise("off"), "automatic": F.col("v") == 1.0})
+
+
 def test_lamp_stream(spark, data, tmp_path):
+    """Two rigs whose events interleave; an automatic on puts out the other lamp of its rig only."""
     path, df = data
-    add = lambda d: d.withColumn("lamp", F.col("k")).withColumn("action", F.when(F.col("flag"), "on").otherwise("off"))
-    got = rows(run(KE.lamp_auto_off(add(stream(spark, path))), tmp_path), "lamp", "seq", "off_ts", "auto_off")
-    assert got == rows(EV.lamp_intervals(add(df)).filter("seq < 240"), "lamp", "seq", "off_ts", "auto_off")
+    cols = ("rig", "lamp", "seq", "off_ts", "auto_off")
+    got = rows(run(KE.lamp_auto_off(lamp_rows(stream(spark, path))), tmp_path), *cols)
+    want = EV.lamp_intervals(EV.exclusive_lamps(lamp_rows(df)), key=("rig", "lamp")).filter("seq < 240")
+    assert got == rows(want, *cols) and len({r[:2] for r in got}) == 4
 
 
 def test_lamp_status_flag_once(spark, data, tmp_path):
     path, df = data
-    add = lambda d: d.withColumn("lamp", F.col("k")).withColumn("action", F.when(F.col("flag"), "on").otherwise("off"))
-    got = run(KE.lamp_status(add(stream(spark, path))), tmp_path)
-    assert got.filter("auto_turned_off").count() == EV.lamp_intervals(add(df)).filter("auto_off").count()
+    got = run(KE.lamp_status(lamp_rows(stream(spark, path))), tmp_path)
+    want = EV.lamp_intervals(EV.exclusive_lamps(lamp_rows(df)), key=("rig", "lamp")).filter("seq < 240")
+    assert got.filter("auto_turned_off").count() == want.filter("auto_off").count()
+
+
+def test_end_mark_brings_out_the_rest(spark, data, tmp_path):
+    """Without a far later event, an end mark gives what the batch twin gives, the last rows and open timers included."""
+    path, df = data
+    df = df.filter("seq < 240")
+    src, end = str(tmp_path / "in"), str(tmp_path / "end")
+    df.coalesce(1).write.parquet(src)
+    spark.createDataFrame([], "mark timestamp").write.parquet(end)
+    marked = FL.with_end(lamp_rows(stream(spark, src)), end, "rig")
+    FL.to_end(KE.lamp_auto_off(marked), str(tmp_path / "o"), str(tmp_path / "s"), end)
+    got = spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path / "o"))
+    cols = ("rig", "lamp", "seq", "off_ts", "auto_off")
+    assert rows(got, *cols) == rows(EV.lamp_intervals(EV.exclusive_lamps(lamp_rows(df)), key=("rig", "lamp")), *cols)
+
+
+def test_reconnect_outcomes_stream(spark, data, tmp_path):
+    path, df = data
+    add = lambda d: d.withColumns({"device": F.col("k"), "success": F.col("flag")})
+    cols = ("device", "seq", "attempts", "seconds", "timed_out")
+    got = rows(run(KE.reconnect_outcomes(add(stream(spark, path)), cycle_s=90), tmp_path), *cols)
+    assert got == rows(EV.reconnect_outcomes(add(df), 90).filter("seq < 240"), *cols) and {r[4] for r in got} == {True, False}
+
+
+def test_newest_only(spark, tmp_path):
+    """A hundred files that wait give one verdict and a count of 99; a file that lands late with an older time gives none."""
+    src = tmp_path / "in"
+    src.mkdir()
+    for i in range(100):
+        png(src / f"{i:03d}.png", np.full((8, 8, 3), 255 if i == 41 else 0, np.uint8))
+        os.utime(src / f"{i:03d}.png", (1_700_000_000 + (i * 7) % 100, 1_700_000_000 + (i * 7) % 100))
+    FL.newest_frame_stream(spark, str(src), str(tmp_path / "o"), str(tmp_path / "s")).awaitTermination()
+    seen = lambda: spark.read.option("basePath", str(tmp_path / "o/verdicts")).parquet(str(tmp_path / "o/verdicts")).collect()
+    first = seen()
+    latest = max(range(100), key=lambda i: (i * 7) % 100)
+    assert [(r.n_dropped, r.path.endswith(f"/{latest:03d}.png")) for r in first] == [(99, True)]
+    png(src / "old.png", np.zeros((8, 8, 3), np.uint8))
+    os.utime(src / "old.png", (1_699_990_000, 1_699_990_000))
+    FL.newest_frame_stream(spark, str(src), str(tmp_path / "o"), str(tmp_path / "s")).awaitTermination()
+    assert len(seen()) == 1
+    told = spark.read.option("basePath", str(tmp_path / "o/admitted")).parquet(str(tmp_path / "o/admitted")).orderBy("batch").collect()
+    assert [r.n_dropped for r in told] == [99, 1]
+
+
+def test_progress_without_horizon(spark, tmp_path):
+    """A tablet reported again hours later counts once; after the end of a run nothing counts."""
+    t = dt.datetime(2024, 1, 1)
+    batches = [[("r", 1, "completed", t), ("r", 2, "failed", t), ("q", 1, "failed", t)],
+               [("r", 1, "failed", t + dt.timedelta(hours=2)), ("r", 3, "completed", t + dt.timedelta(hours=2)), ("q", 9, "ended", t + dt.timedelta(hours=2))],
+               [("r", 2, "completed", t + dt.timedelta(days=3)), ("q", 5, "completed", t + dt.timedelta(days=3))]]
+    schema = "run_id string, tablet_id long, state string, ts timestamp"
+    for b in batches:
+        spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = run(FL.progress_stream(s), tmp_path, "update", ["run_id"])
+    assert rows(got, "run_id", "completed", "failed") == [("q", 0, 1), ("r", 2, 1)]
 
 
 def test_device_stream(spark, data, tmp_path):
@@ -103,7 +168,7 @@ def test_latest_and_progress(spark, data, tmp_path):
     assert rows(got, "rig", "kind", "seq") == rows(want, "rig", "kind", "seq")
     # every tablet is reported twice
     out = lambda d: d.select("ts", F.col("k").alias("run_id"), F.floor(F.col("seq") / 2).alias("tablet_id"), F.when(F.floor(F.col("seq") / 2) % 2 == 0, "completed").otherwise("failed").alias("state"))
-    got = run(FL.progress_stream(out(stream(spark, path)), late="100 days"), tmp_path / "p", "update", ["run_id"])
+    got = run(FL.progress_stream(out(stream(spark, path))), tmp_path / "p", "update", ["run_id"])
     want = out(df).dropDuplicates(["run_id", "tablet_id"]).groupBy("run_id").agg(F.count_if(F.col("state") == "completed").alias("completed"), F.count_if(F.col("state") == "failed").alias("failed"))
     assert rows(got, "run_id", "completed", "failed") == rows(want, "run_id", "completed", "failed")
 
