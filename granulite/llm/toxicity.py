@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections import deque
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +24,7 @@ Z, LEAST_ROWS, VOCABULARY = 4.0, 3, 20_000
 #: Full-batch Adam.
 EPOCHS, RATE = 100, 0.05
 #: Words whose buckets a worker keeps, and text taken at a time.
-MEMO, BATCH_BYTES = 80_000, 2_000_000
+MEMO, BATCH_BYTES = 80_000, 500_000
 
 
 def word_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -133,11 +133,12 @@ def fit(bags: list[np.ndarray], y: np.ndarray, size: int, seed: int = 1, weight:
 
 
 def _fitter(kept: np.ndarray, weight: tuple[float, float]):
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["id", "toxic"], kind="stable")
-        place = {int(k): i for i, k in enumerate(kept)}
-        e, w, b = fit([np.array([place[x] for x in bag], np.int64) for bag in rows["bag"]], rows["toxic"].to_numpy(np.int64), len(kept), weight=weight)
-        return pd.DataFrame({"bucket": [*kept.tolist(), -1, -2, -3], "vector": [*e.tolist(), w[:, 0].tolist(), w[:, 1].tolist(), b.tolist()]})
+    def one(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("id", "ascending"), ("toxic", "ascending")])
+        bags = [np.searchsorted(kept, x) for x in rows["bag"].combine_chunks().to_numpy(zero_copy_only=False)]
+        e, w, b = fit(bags, rows["toxic"].to_numpy().astype(np.int64), len(kept), weight=weight)
+        vectors = [*e.tolist(), w[:, 0].tolist(), w[:, 1].tolist(), b.tolist()]
+        return pa.table([pa.array([*kept.tolist(), -1, -2, -3], pa.int64()), pa.array(vectors, pa.list_(pa.float64()))], names=["bucket", "vector"])
     return one
 
 
@@ -170,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     best = counts.withColumn("z", z).where((F.col("z") >= Z) & (F.col("n0") + F.col("n1") >= LEAST_ROWS)).orderBy(F.desc("z"), "bucket").limit(VOCABULARY)
     kept = np.array(sorted(r.bucket for r in best.select("bucket").collect()), np.int64)
     few = bags.mapInArrow(_cut_to(kept), schema)
-    got = few.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(_fitter(kept, weight), "bucket long, vector array<double>").collect()
+    got = few.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(_fitter(kept, weight), "bucket long, vector array<double>").collect()
     model = {r.bucket: r.vector for r in got}
     w, b = np.array([model[-1], model[-2]]).T, np.array(model[-3])
     return {"kept": kept, "vectors": np.array([model[int(k)] for k in kept]).reshape(-1, DIM), "w": w, "b": b}
@@ -215,13 +216,20 @@ def drop_toxic(docs: DataFrame, model: dict, text_col: str = "text") -> DataFram
 
 
 def _keeper(model: dict, place: int):
+    """Rows that are not toxic, a slice of text at a time, so that a task holds its input batch and little else."""
     scorer = _scorer(model)
 
     def keep(batches):
-        for batch in batches:
-            n = batch.num_rows
-            text = batch.column(place).cast(pa.string())
-            rows = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(np.zeros(n, bool)), text], ["id", "held_out", "text"])
-            p = np.concatenate([b.column(2).to_numpy() for b in scorer([rows])]) if n else np.zeros(0)
-            yield batch.filter(pa.array(p < 0.5))
+        held = deque()
+
+        def feed():
+            for batch in batches:
+                text = batch.column(place).cast(pa.string())
+                for lo, n in cuts(text, BATCH_BYTES):
+                    held.append(batch.slice(lo, n))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(np.zeros(n, bool)), text.slice(lo, n)], ["id", "held_out", "text"])
+        # a slice is one slice to the scorer too
+        for scored in scorer(feed()):
+            yield held.popleft().filter(pa.array(scored.column(2).to_numpy() < 0.5))
+            pa.default_memory_pool().release_unused()
     return keep
