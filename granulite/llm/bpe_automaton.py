@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granulite.llm.common import cuts, per_worker
+from granulite.llm.common import cuts, give_back, per_worker
 from granulite.llm.pretokens import Memo, chunks_of, piece_pattern
 
 #: Bytes of a piece up to which pieces of equal length are encoded side by side.
@@ -264,6 +264,7 @@ def _coder(path: str, pattern: str, ids: bool):
                     cols.append(pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in found], pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names)
+            give_back()
     return code
 
 

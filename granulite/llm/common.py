@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 import uuid
@@ -225,6 +226,14 @@ class Groups:
         return x != y
 
 
+def give_back() -> None:
+    """Hand the freed memory of this worker back to the system; workers live on for later tasks, and so would their peaks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def per_worker(key, make):
     """An object made once in a Python worker and kept over its tasks."""
     kept = sys.modules.setdefault("_granulite_kept", types.ModuleType("_granulite_kept")).__dict__

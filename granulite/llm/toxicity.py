@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granulite.llm.common import constants, cuts, mix, stored
+from granulite.llm.common import constants, cuts, give_back, mix, stored
 from granulite.llm.pretokens import Memo
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -74,6 +74,7 @@ def _bags(kept: np.ndarray | None):
                             found.update(b.tolist())
                     out.append(np.fromiter(sorted(found), np.int32, len(found)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), pa.array(out, pa.list_(pa.int32()))], ["id", "toxic", "bag"])
+            give_back()
     return bag
 
 
@@ -231,5 +232,4 @@ def _keeper(model: dict, place: int):
         # a slice is one slice to the scorer too
         for scored in scorer(feed()):
             yield held.popleft().filter(pa.array(scored.column(2).to_numpy() < 0.5))
-            pa.default_memory_pool().release_unused()
     return keep
