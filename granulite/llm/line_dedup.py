@@ -1,16 +1,22 @@
-"""Repeated runs of lines: every run that is long enough is a key, joined with its first place. DataFrame functions only."""
+"""Repeated runs of lines by winnowing: window minima of line hashes as fingerprints, matched places extended both ways, later runs deleted.
+
+DataFrame functions only.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granulite.llm.common import stored
 from granulite.operators.planes import let
 
-#: Lines of the shortest run that is deleted whatever its length in words.
+#: Lines of the shortest run that is deleted whatever its length in words, and of the winnowing window.
 LEAST_RUN = 3
-#: Words from which a run of fewer lines is deleted.
+#: Words from which a run of fewer lines is deleted; such runs are windows of their own.
 LEAST_WORDS = 50
 
 
@@ -18,39 +24,54 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def _windows(s: Column) -> Column:
-    """``(pos, n, fp)`` of the runs of n lines from ``pos`` on: all of LEAST_RUN lines, and shorter ones of LEAST_WORDS words or more."""
-    def of(n: int) -> Column:
-        at = F.sequence(F.lit(0), F.size(s) - n)
-        if n < LEAST_RUN:
-            at = F.filter(at, lambda i: sum((F.get(s, i + j).w for j in range(n)), F.lit(0)) >= LEAST_WORDS)
-        return F.transform(at, lambda i: F.struct(i.alias("pos"), F.lit(n).alias("n"), F.xxhash64(F.lit(n), *[F.get(s, i + j).h for j in range(n)]).alias("fp")))
-    none = F.array().cast("array<struct<pos:int,n:int,fp:bigint>>")
-    return F.concat(*[F.when(F.size(s) >= n, of(n)).otherwise(none) for n in range(1, LEAST_RUN + 1)])
+def _fingerprints(s: Column) -> Column:
+    """``(fp, runs)`` of the lines that are the leftmost minimum of a window, with the windows they are that of.
+
+    A window is a run of LEAST_RUN lines, or of fewer that hold LEAST_WORDS words. Whether a line is the minimum of a window follows
+    from the window's lines alone, so equal windows have the same fingerprint at the same distance. ``runs`` are the extensions of the
+    fingerprint to both sides that make up these windows: ``(pos, key, at)``, first line, hash of the lines, their numbers in the text.
+    """
+    def line(i: Column) -> Column:
+        def extend(n: int, left: int) -> Column:
+            places = [i + (j - left) for j in range(n)]
+            # beyond the text's ends lines are null, and so is the comparison
+            least = [F.get(s, p).h > F.get(s, i).h if j < left else F.get(s, p).h >= F.get(s, i).h for j, p in enumerate(places) if j != left]
+            if n < LEAST_RUN:
+                least.append(sum((F.get(s, p).w for p in places), F.lit(0)) >= LEAST_WORDS)
+            run = F.struct((i - left).alias("pos"), F.xxhash64(F.lit(n), *[F.get(s, p).h for p in places]).alias("key"), F.array(*[F.get(s, p).at for p in places]).alias("at"))
+            return F.when(reduce(and_, least), run)
+        runs = F.filter(F.array(*[extend(n, left) for n in range(1, LEAST_RUN + 1) for left in range(n)]), lambda r: r.isNotNull())
+        return F.struct(F.get(s, i).h.alias("fp"), runs.alias("runs"))
+    return F.filter(F.transform(F.sequence(F.lit(0), F.size(s) - 1), line), lambda x: F.size(x.runs) > 0)
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, tk, gone)``: for each text with deleted lines their numbers from 0. ``tk`` tells rows of one id apart.
 
-    Lines that are not blank are hashed. Every run of ``LEAST_RUN`` of them, and every run of fewer that holds ``LEAST_WORDS``
-    words or more, is a key; runs that are not the first of their key, in order of (id, position), are deleted. Longer runs are made of
-    such ones, so no repeated run is missed, whatever stood around its first place. A line that is deleted stands earlier, and its
-    first place is never deleted, so a copy stays. First places are minima, combined before the shuffle.
+    1. Lines that are not blank are hashed, and the minimum of every window of them is a fingerprint: any run of a window's length that
+       two places share has a fingerprint there at the same distance. The lines themselves go no further.
+    2. Places are joined by fingerprint; those whose fingerprint stands nowhere else are done.
+    3. What is left is extended both ways to the windows that the fingerprint is the minimum of. Of the places that agree along the
+       extension, all but the first in order of (id, position) are later ones, whatever stands around the first; a longer run is
+       matched at each of its fingerprints, and the matches on it overlap or touch until its ends.
+    4. The lines of later places are deleted. Each stands earlier, and a first place is never deleted for its own run, so a copy stays.
+
+    No places are paired: agreement is an equal key and first places are minima, combined before the shuffle. A fingerprint or run that
+    a third of all places share is dealt anew by adaptive execution, as both sides of the joins are written tables.
     """
     text = F.col(text_col).cast("string")
-    # number, hash and words of each line; the lines themselves go no further
+    # number, hash and words of each line
     marked = F.transform(_lines(text), lambda x, i: F.struct(i.alias("at"), F.xxhash64(x).alias("h"), F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")).alias("w")))
     d = docs.where(text.isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("tk"), F.filter(marked, lambda s: s.w > 0).alias("lines"))
-    d = stored(d.dropDuplicates(["id", "tk"]))
-    fps = d.select("id", "tk", F.explode(_windows(F.col("lines"))).alias("f")).select("id", "tk", "f.pos", "f.n", "f.fp")
+    d = stored(d.where(F.size("lines") > 0))
+    seeds = stored(d.select("id", "tk", F.inline(_fingerprints(F.col("lines")))))
+    shared = stored(seeds.groupBy("fp").agg(F.count("*").alias("m")).where("m > 1").select("fp"))
+    runs = stored(seeds.join(shared, "fp").select("id", "tk", F.inline("runs")))
     place = F.struct("id", "tk", "pos")
-    first = fps.groupBy("fp").agg(F.min(place).alias("first"), F.count("*").alias("m")).where("m > 1").drop("m")
-    again = fps.join(first, "fp").where(place != F.col("first"))
-    again = again.groupBy(F.xxhash64("id", "tk").alias("key")).agg(F.collect_list(F.struct("pos", "n")).alias("runs"))
-    rows = F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r.pos, r.pos + r.n - 1))))
-    again = again.select("key", rows.alias("rows"))
-    numbered = d.select("id", "tk", F.xxhash64("id", "tk").alias("key"), F.col("lines.at").alias("at"))
-    return numbered.join(again, "key").select("id", "tk", F.transform("rows", lambda r: F.get("at", r)).alias("gone"))
+    first = stored(runs.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").drop("last"))
+    later = runs.join(first, "key").where(place != F.col("first"))
+    # a set, so that rows that repeat an id and text add nothing
+    return later.groupBy("id", "tk").agg(F.array_distinct(F.flatten(F.collect_set("at"))).alias("gone"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

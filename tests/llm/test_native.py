@@ -156,3 +156,35 @@ def test_long_passages_of_one_or_two_lines(spark):
     left = [r.text for r in got]
     assert left == deleted(texts)
     assert left[1] == "own c\nown d" and left[3] == "" and left[6] == "own g" and left[7] == texts[7] and left[10:] == texts[10:]
+
+
+def test_fingerprints_are_window_minima(spark):
+    from pyspark.sql import functions as F
+
+    from granulite.llm.line_dedup import _fingerprints
+
+    rnd = random.Random(9)
+    docs = [[rnd.randrange(6) for _ in range(rnd.randrange(1, 14))] for _ in range(60)]
+    df = spark.createDataFrame([(i, [(k, h, 1) for k, h in enumerate(x)]) for i, x in enumerate(docs)], "id long, lines array<struct<at:int,h:bigint,w:int>>")
+    got = {r.id: r.f for r in df.select("id", _fingerprints(F.col("lines")).alias("f")).collect()}
+    for i, x in enumerate(docs):
+        want = {}
+        for p in range(len(x) - LEAST_RUN + 1):
+            w = x[p:p + LEAST_RUN]
+            want.setdefault(p + w.index(min(w)), []).append(p)
+        assert [(f.fp, sorted(r.pos for r in f.runs)) for f in got[i]] == [(x[m], want[m]) for m in sorted(want)]
+        assert all(r.at == list(range(r.pos, r.pos + LEAST_RUN)) for f in got[i] for r in f.runs)
+
+
+def test_rows_repeated_many_times_are_one_document(spark):
+    a = "\n".join(f"a{i}" for i in range(5))
+    df = spark.createDataFrame([(2, a + "\nown")] * 300 + [(1, a)] * 300 + [(None, "\n \n")], "doc_id long, text string").repartition(5)
+    got = {(r.doc_id, r.text, r.n_lines, r.n_removed) for r in line_dedup(df).collect()}
+    assert got == {(1, a, 5, 0), (2, "own", 6, 5), (None, "\n \n", 3, 0)} and line_dedup(df).count() == 601
+
+
+def test_a_line_in_most_places_with_other_neighbours(spark):
+    rnd = random.Random(12)
+    texts = ["\n".join(x for k in range(rnd.randrange(1, 6)) for x in (f"u{rnd.randrange(25)}", "the common line", f"v{rnd.randrange(25)}")) for _ in range(200)]
+    got = line_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.text for r in got] == deleted(texts)
