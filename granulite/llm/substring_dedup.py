@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granulite.llm.common import constants, cuts, mix, runs_in_arrow, stored, text_bytes, word_table
+from granulite.llm.common import constants, cuts, mix, released, runs_in_arrow, stored, text_bytes, word_table
 
 #: Words of a window, and of the shortest prefix that splits suffixes.
 WINDOW, PREFIX = 35, 6
@@ -21,6 +21,10 @@ HALF = (WINDOW + PREFIX) // 2
 GROUP = 4096
 #: Text taken at a time.
 BATCH_BYTES = 4_000_000
+#: Contexts that a task remembers to have handed on with their words.
+SEEN = 200_000
+#: Bytes of the shortest text with a window.
+LEAST_BYTES = 2 * WINDOW - 1
 
 
 def _rolling(h: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -77,12 +81,16 @@ def _halves(batches):
 
 
 def _contexts(batches):
-    """The words around each surviving place, as one row: prefix, hash of the context, first window start, windows, words."""
+    """The words around each surviving place: prefix, hash of the context, text, first window start, windows, copies of the text.
+
+    The words themselves go with the first row of a context in the task only.
+    """
+    seen: set[int] = set()
     for batch in batches:
         t = pa.table(batch)
         for lo, n in cuts(batch.column(1), BATCH_BYTES):
             b, off = text_bytes(batch.column(1).slice(lo, n))
-            _, _, h, woff = word_table(b, off, lower=False)
+            st, en, h, woff = word_table(b, off, lower=False)
             doc, a, s0, s1 = _places(h, woff)
             lists = t.column("places").combine_chunks().slice(lo, n)
             held = lists.flatten().to_numpy().astype(np.int64)
@@ -107,11 +115,17 @@ def _contexts(batches):
             words = h[np.repeat(s0 - np.append(0, ends[:-1]), size) + np.arange(ends[-1])]
             c = constants(2 * WINDOW, 43)
             spot = np.arange(ends[-1]) - np.repeat(np.append(0, ends[:-1]), size)
-            ctx = mix(np.add.reduceat(words * c[spot], np.append(0, ends[:-1])) + (a - s0).astype(np.uint64) * c[-1] + size.astype(np.uint64))
-            blob = pa.Array.from_buffers(pa.binary(), len(keep), [None, pa.py_buffer((8 * np.append(0, ends)).astype(np.int32)), pa.py_buffer(words)])
+            ctx = mix(np.add.reduceat(words * c[spot], np.append(0, ends[:-1])) + (a - s0).astype(np.uint64) * c[-1] + size.astype(np.uint64)).view(np.int64)
+            raw, said = b.tobytes(), []
+            for x, p, q in zip(ctx.tolist(), st[s0].tolist(), en[s1 + WINDOW - 1].tolist()):
+                said.append(None if x in seen else raw[p:q])
+                seen.add(x)
+            if len(seen) > SEEN:
+                seen.clear()
             gid = _rolling(h, PREFIX, 41)[a]
-            yield pa.RecordBatch.from_arrays([pa.array(gid.view(np.int64)), pa.array(ctx.view(np.int64)), t.column("rk").combine_chunks().slice(lo, n).take(pa.array(doc)),
-                                              pa.array((s0 - woff[doc]).astype(np.int32)), pa.array((s1 - s0 + 1).astype(np.int32)), blob], ["gid", "ctx", "rk", "start", "windows", "words"])
+            row = pa.array(doc)
+            yield pa.RecordBatch.from_arrays([pa.array(gid.view(np.int64)), pa.array(ctx), t.column("rk").combine_chunks().slice(lo, n).take(row), t.column("copies").combine_chunks().slice(lo, n).take(row),
+                                              pa.array((s0 - woff[doc]).astype(np.int32)), pa.array((s1 - s0 + 1).astype(np.int32)), pa.array(said, pa.binary())], ["gid", "ctx", "rk", "copies", "start", "windows", "words"])
 
 
 def _deep_nodes(table: pa.Table):
@@ -120,8 +134,7 @@ def _deep_nodes(table: pa.Table):
     The nodes of the suffix tree are found depth by depth, as suffix arrays are by prefix doubling: suffixes that agree in 2d words
     are those that agree in d words and again d words on. Nodes of depth ``WINDOW`` with two suffixes or more are the deep ones.
     """
-    data, off = text_bytes(table.column("words").combine_chunks())
-    words, off = data.view(np.uint64), off // 8
+    _, _, words, off = word_table(*text_bytes(table.column("words").combine_chunks()), lower=False)
     gid = table.column("gid").to_numpy()
     size = np.diff(off)
     owner = np.repeat(np.arange(len(size)), size)
@@ -153,8 +166,7 @@ def _deep_nodes(table: pa.Table):
 def _window_hashes(batches):
     """Each window of a context of an oversize group, under its longest prefix."""
     for batch in batches:
-        data, off = text_bytes(batch.column(2))
-        words, off = data.view(np.uint64), off // 8
+        _, _, words, off = word_table(*text_bytes(batch.column(2)), lower=False)
         r = _rolling(words, WINDOW, 44)
         n = np.diff(off) - WINDOW + 1
         owner = np.repeat(np.arange(len(n)), n)
@@ -199,31 +211,40 @@ def _remover(text_out: bool):
 def repeated_windows(d: DataFrame) -> DataFrame:
     """``(rk, starts, masks)`` of the texts ``(rk, text)`` with repeated windows: bit j of a mask stands for the window at start + j.
 
+    ``rk`` tells texts apart; rows with equal text are one text with a number of copies.
+
     1. Every window goes with the prefix of least hash in it. Of its two halves around that prefix it holds one whole; only
        places whose half occurs twice in the corpus go on.
-    2. The words around these places, a suffix for each window, are split by prefix. Equal contexts are one row with a count.
+    2. The words around these places, a suffix for each window, are split by prefix. Equal contexts are one row with a count; their
+       words go from each task once.
     3. Groups that fit memory get a suffix tree; nodes of window depth with two suffixes mark repeated windows. Groups beyond
        ``GROUP`` contexts are split further by the longest prefix, the window itself, where counts suffice, combined before the shuffle.
+       A context alone in its group shares its prefix with its own copies only and goes into no tree.
     """
-    halves = d.select("rk", "text").mapInArrow(_halves, "half long, rk long, place int")
+    d = d.where(F.octet_length("text") >= LEAST_BYTES).select("rk", "text")
+    halves = d.mapInArrow(_halves, "half long, rk long, place int")
     twice = stored(halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half"))
     places = halves.join(twice, "half").select("rk", "place").groupBy("rk").agg(F.collect_set("place").alias("places"))
-    found = d.join(places, "rk").select("rk", "text", "places").mapInArrow(_contexts, "gid long, ctx long, rk long, start int, windows int, words binary")
+    # grouped by the key of the join, so texts are shuffled once
+    texts = d.groupBy("rk").agg(F.any_value("text").alias("text"), F.count("*").alias("copies"))
+    found = texts.join(places, "rk").select("rk", "text", "places", "copies").mapInArrow(_contexts, "gid long, ctx long, rk long, copies long, start int, windows int, words binary")
     found = stored(found)
-    contexts = stored(found.groupBy("gid", "ctx").agg(F.count("*").alias("n"), F.any_value("windows").alias("windows"), F.any_value("words").alias("words")))
-    sizes = contexts.groupBy("gid").agg(F.count("*").alias("m")).where("m > 1")
-    several = contexts.join(sizes, "gid")
+    contexts = stored(found.groupBy("gid", "ctx").agg(F.sum("copies").alias("n"), F.any_value("windows").alias("windows"), F.any_value("words", True).alias("words")))
+    sizes = stored(contexts.groupBy("gid").agg(F.count("*").alias("m")).where("m > 1"))
+    several = contexts.select("gid", "ctx", "words").join(sizes, "gid")
     small = several.where(F.col("m") <= GROUP).select("gid", "ctx", "words").repartition("gid").sortWithinPartitions("gid")
     deep = small.mapInArrow(lambda it: runs_in_arrow(it, ["gid"], _deep_nodes), "gid long, ctx long, mask long")
     exploded = several.where(F.col("m") > GROUP).select("gid", "ctx", "words").mapInArrow(_window_hashes, "gid long, ctx long, spot long, window long")
     repeated = exploded.groupBy("window").agg(F.count("*").alias("k")).where("k > 1")
     wide = exploded.join(repeated, "window").groupBy("gid", "ctx").agg(F.bit_or(F.expr("shiftleft(1L, cast(spot as int))")).alias("mask"))
     whole = contexts.where("n > 1").select("gid", "ctx", F.expr("shiftleft(1L, windows) - 1").alias("mask"))
-    masks = deep.unionByName(wide).unionByName(whole).groupBy("gid", "ctx").agg(F.bit_or("mask").alias("mask"))
     # stored, so that the join below deals both sides anew and adaptive execution can split a context that a third of all texts share
-    cover = found.select("gid", "ctx", "rk", "start").join(stored(masks), ["gid", "ctx"])
+    masks = stored(deep.unionByName(wide).unionByName(whole).groupBy("gid", "ctx").agg(F.bit_or("mask").alias("mask")))
+    cover = found.select("gid", "ctx", "rk", "start").join(masks, ["gid", "ctx"])
     one = F.collect_list(F.struct("start", "mask"))
-    return cover.groupBy("rk").agg(one.alias("c")).select("rk", F.col("c.start").alias("starts"), F.col("c.mask").alias("masks"))
+    cover = stored(cover.groupBy("rk").agg(one.alias("c")).select("rk", F.col("c.start").alias("starts"), F.col("c.mask").alias("masks")))
+    released(twice, found, contexts, sizes, masks)
+    return cover
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", text: bool = True) -> DataFrame:
@@ -235,8 +256,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Extra columns are dropped; an empty table gives no rows. Words are compared as 64-bit hashes.
     """
     t = F.col(text_col).cast("string")
-    d = docs.select(F.col(id_col).alias("id"), t.alias("text"), F.xxhash64(F.col(id_col), t).alias("rk"))
-    cover = stored(repeated_windows(d))
+    d = docs.select(F.col(id_col).alias("id"), t.alias("text"), F.xxhash64(t).alias("rk"))
+    cover = repeated_windows(d)
     rows = d.join(cover, "rk", "left").select("id", "text", "starts", "masks")
     schema = f"id {d.schema['id'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string" + (", kept string" if text else "")
     return rows.mapInArrow(_remover(text), schema).withColumnRenamed("id", id_col)

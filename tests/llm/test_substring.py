@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 import granulite.llm.substring_dedup as m
@@ -62,3 +63,29 @@ def test_shared_table(spark):
     d = pd.read_parquet("/root/testdata/sf0.01/documents.parquet")
     got = sorted((tuple(r) for r in QUERIES["op6_substring_dedup"](spark, "/root/testdata/sf0.01").collect()), key=repr)
     assert got == plain(list(zip(d.doc_id.tolist(), d.text.tolist())))
+
+
+def test_copies_are_one_text_with_a_count(spark):
+    own = lambda k: " ".join(f"{k}x{i}" for i in range(60))
+    near = own("a").replace("ax5 ", "zz ")
+    rows = [(i % 3, own("a")) for i in range(200)] + [(9, near), (10, own("b")), (11, own("c") + "\n" + own("c")), (None, own("d")), (None, own("d")), (12, "x " * 34)]
+    got = run(spark, rows)
+    assert got == plain(rows)
+
+
+@pytest.mark.parametrize("seen", [0, 200_000])
+def test_words_go_with_the_first_row_of_a_context(monkeypatch, seen):
+    monkeypatch.setattr(m, "SEEN", seen)
+    texts = [" ".join(f"w{i}" for i in range(50))] * 3 + ["short"]
+    places = pa.array([list(range(200))] * 4, pa.list_(pa.int32()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4)), pa.array(texts), places, pa.array([1, 2, 1, 1])], ["rk", "text", "places", "copies"])
+    got = pa.Table.from_batches(list(m._contexts([batch, batch]))).to_pylist()
+    assert sum(r["copies"] for r in got) == 4 * len(got) / 3 and {r["rk"] for r in got} == {0, 1, 2}
+    first = {}
+    for r in got:
+        first.setdefault(r["ctx"], []).append(r["words"])
+        if r["words"] is not None:
+            assert r["words"].decode().split() == texts[0].split()[r["start"]:r["start"] + r["windows"] + m.WINDOW - 1]
+    for words in first.values():
+        # forgotten contexts are told again, at most once a slice
+        assert words[0] is not None and sum(w is not None for w in words) == (1 if seen else 2)
