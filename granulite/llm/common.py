@@ -17,6 +17,8 @@ from granulite.operators.lineage import shared_folder
 
 #: Bytes hashed at a time; texts of any length pass in slices that end between words.
 SLICE = 1 << 20
+#: Setting that bounds the bytes of an Arrow batch, and the bound set where there is none.
+BATCH_LIMIT, BATCH_MOST = "spark.sql.execution.arrow.maxBytesPerBatch", 4_000_000
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -38,6 +40,13 @@ def released(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches of this session by bytes, unless it was given a bound: ten thousand long texts are too much for a batch, on
+    either side of a Python worker. Rows of any length still pass, one a batch if need be."""
+    if BATCH_LIMIT not in spark.conf.getAll:
+        spark.conf.set(BATCH_LIMIT, str(BATCH_MOST))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

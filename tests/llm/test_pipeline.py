@@ -3,6 +3,8 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as c
@@ -64,3 +66,22 @@ def test_stages_on_odd_rows(spark):
     for _, stage in c.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0
         stage(spark, docs, SF).collect()
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    from granulite.llm.common import BATCH_LIMIT, BATCH_MOST, small_batches
+
+    def count(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([sum(len(x) for x in b.column(0).to_pylist())])], ["n", "size"])
+    df = spark.range(0, 300, numPartitions=1).select(F.repeat(F.lit("x"), F.when(F.col("id") == 7, 9_000_000).otherwise(50_000).cast("int")).alias("text"))
+    try:
+        small_batches(spark)
+        assert spark.conf.get(BATCH_LIMIT) == str(BATCH_MOST)
+        got = df.mapInArrow(count, "n long, size long").collect()
+        assert sum(r.n for r in got) == 300 and max(r.size for r in got) < 9_000_000 + 2 * BATCH_MOST and len(got) >= 4
+        spark.conf.set(BATCH_LIMIT, "1000000")
+        small_batches(spark)
+        assert spark.conf.get(BATCH_LIMIT) == "1000000"
+    finally:
+        spark.conf.unset(BATCH_LIMIT)
