@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granulite.llm.bpe_automaton import bpe_encode
-from granulite.llm.common import read_table, stored
+from granulite.llm.common import read_table, small_batches, stored
 from granulite.llm.decontaminate import decontaminate
 from granulite.llm.line_dedup import line_dedup
 from granulite.llm.minhash_dedup import minhash_dedup
@@ -25,6 +25,7 @@ ORACLE_SQL = None
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a model of the labelled rows does not call toxic."""
+    small_batches(spark)
     return drop_toxic(docs, train(docs, read_table(spark, sf_dir, "labels")))
 
 
@@ -38,6 +39,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each near-duplicate group; of rows that repeat an id with equal text one stays."""
+    small_batches(spark)
     if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
         docs = docs.dropDuplicates(["doc_id", "text"])
     row = F.xxhash64("doc_id", "text")
@@ -50,11 +52,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    small_batches(spark)
     return decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with digests of the ids and of the text decoded from them."""
+    small_batches(spark)
     return bpe_encode(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
