@@ -1,8 +1,8 @@
 """Frame metrics from histograms and planes.
 
 Everything that needs no neighbours comes from the gray histogram, at most 256 rows per
-frame. Metrics of filtered planes count equal values first, then rank those counts; the
-windows below hold the distinct values of one frame.
+frame. Order statistics of single filtered planes come from ``ranks`` in two passes; ``pattern_metrics``,
+which works on shrunk frames, counts equal values of all its planes and ranks those counts.
 """
 
 from __future__ import annotations
@@ -11,21 +11,17 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from granulite.operators.planes import line_histogram
+from granulite.operators.lineage import settle
+from granulite.operators.ranks import greatest_mean, quantiles, share_above
 from granulite.operators.stencils import SOBEL, blur, filtered, plane_counts, planes, sobel
 
 def by_frame():
     return Window.partitionBy("frame_id")
 
 
-def pct(v: str, p: float, n: str | None = "n") -> Column:
-    """Linear-interpolated percentile, weighted by the count column ``n``."""
-    return F.percentile(F.col(v), F.lit(p), F.col(n)) if n else F.percentile(F.col(v), F.lit(p))
-
-
 def gray_stats(hist: DataFrame) -> DataFrame:
     """A1: mean, population spread, mean absolute deviation, least and greatest gray value."""
     n, v = F.col("n"), F.col("v")
@@ -68,31 +64,28 @@ def percentile_span(hist: DataFrame) -> DataFrame:
         (F.col("_p")[1] - F.col("_p")[0]).alias("span"))
 
 
-def _mad(d: DataFrame, v: str, med: str) -> DataFrame:
-    """Weighted median of ``v`` into ``med`` and of the distance to it into ``med + '_mad'``."""
-    return d.withColumn(med, pct(v, 0.5).over(by_frame())) \
-        .withColumn("_dev", F.abs(F.col(v) - F.col(med))) \
-        .withColumn(med + "_mad", pct("_dev", 0.5).over(by_frame())).drop("_dev")
-
-
 def robust_std(lines: DataFrame, sigma: float = 12.0, clip=(0.05, 0.95)) -> DataFrame:
-    """A4: robust spread of the plane minus its wide blur, clipped to two percentiles."""
+    """A4: robust spread of the plane minus its wide blur, clipped to two percentiles.
+
+    The difference is written once and read by the passes that rank it. Clipping does not move the median.
+    """
     low = planes(lines, low=[blur(0, sigma, False)])
-    hp = low.select("frame_id", F.zip_with("vals", "low", lambda a, b: a - b).alias("vals"))
-    d = line_histogram(hp) \
-        .withColumns({"_lo": pct("v", clip[0]).over(by_frame()), "_hi": pct("v", clip[1]).over(by_frame())}) \
-        .withColumn("v", F.least(F.greatest("v", "_lo"), F.col("_hi")))
-    return _mad(d, "v", "_med").groupBy("frame_id") \
-        .agg((F.lit(1.4826) * F.max("_med_mad")).alias("hp_rstd"))
+    hp = settle(low.select("frame_id", F.zip_with("vals", "low", lambda a, b: a - b).alias("vals")))
+    mid, lo, hi = (F.col("q")[i] for i in range(3))
+    q = quantiles(hp, [0.5, *clip]).select("frame_id", F.array(F.least(F.greatest(mid, lo), hi), lo, hi).alias("_around"))
+    return quantiles(hp.join(q, "frame_id"), [0.5], "_around").select("frame_id", (F.lit(1.4826) * F.col("q")[0]).alias("hp_rstd"))
 
 
 def edge_activity(lines: DataFrame, act_k: float = 6.0) -> DataFrame:
-    """A5: p90 of the gradient and the share of pixels far above its median."""
-    d = _mad(line_histogram(sobel(lines)), "v", "_med")
-    thr = F.col("_med") + act_k * (1.4826 * F.col("_med_mad") + 1e-6)
-    return d.groupBy("frame_id").agg(
-        pct("v", 0.9).alias("sobel_p90"),
-        (F.sum(F.when(F.col("v") > thr, F.col("n")).otherwise(0)) / F.sum("n")).alias("edge_act"))
+    """A5: p90 of the gradient and the share of pixels far above its median. The gradient is written once."""
+    m = settle(sobel(lines).select("frame_id", "vals"))
+    q = settle(quantiles(m, [0.5, 0.9]).select("frame_id", F.col("q")[0].alias("_med"), F.col("q")[1].alias("sobel_p90")))
+    every = F.lit(float("inf"))
+    mad = quantiles(m.join(q.select("frame_id", F.array(F.col("_med"), -every, every).alias("_around")), "frame_id"), [0.5], "_around")
+    thr = q.join(mad, "frame_id").select("frame_id", "sobel_p90", (F.col("_med") + act_k * (1.4826 * F.col("q")[0] + 1e-6)).alias("_thr"))
+    thr = settle(thr)
+    act = share_above(m.join(thr.select("frame_id", "_thr"), "frame_id"), "_thr")
+    return thr.join(act, "frame_id").select("frame_id", "sobel_p90", F.col("share").alias("edge_act"))
 
 
 def ring_of(y, x, h: float, w: float, bins: int):
@@ -160,16 +153,8 @@ def vignette(profile: DataFrame, bins: int = 24) -> DataFrame:
 
 
 def topk_gradient(lines: DataFrame, k: int = 500) -> DataFrame:
-    """Mean of the ``k`` greatest gradients after a 5x5 blur.
-
-    Equal gradients are counted first; the rank of a count row is the running count.
-    """
-    h = line_histogram(filtered(lines, blur(5), SOBEL))
-    run = F.sum("n").over(by_frame().orderBy(F.col("v").desc())
-                          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    take = F.greatest(F.least(F.col("n"), F.lit(max(1, k)) - (F.col("run") - F.col("n"))), F.lit(0))
-    return h.withColumn("run", run).withColumn("take", take).filter("take > 0") \
-        .groupBy("frame_id").agg((F.sum(F.col("v") * F.col("take")) / F.sum("take")).alias("topk"))
+    """Mean of the ``k`` greatest gradients after a 5x5 blur; every batch hands on its own ``k`` greatest."""
+    return greatest_mean(filtered(lines, blur(5), SOBEL), k).withColumnRenamed("mean", "topk")
 
 
 def ring_strength(lines: DataFrame, rw: int = 5) -> DataFrame:
@@ -180,8 +165,8 @@ def ring_strength(lines: DataFrame, rw: int = 5) -> DataFrame:
     inner = (F.col("y") >= rw) & (F.col("y") < h - rw)
     ring = F.when(inner, F.concat(F.slice("vals", 1, rw), F.slice("vals", w - rw + 1, F.lit(rw)))) \
             .otherwise(F.col("vals"))
-    med = sobel(lines.filter(big)).select("frame_id", ring.alias("vals"))
-    got = line_histogram(med).groupBy("frame_id").agg(pct("v", 0.5).alias("edge_strength"))
+    rim = settle(sobel(lines.filter(big)).select("frame_id", ring.alias("vals")))
+    got = quantiles(rim, [0.5]).select("frame_id", F.col("q")[0].alias("edge_strength"))
     return lines.groupBy("frame_id").agg(F.lit(1).alias("_")).drop("_").join(got, "frame_id", "left") \
         .withColumn("edge_strength", F.coalesce("edge_strength", F.lit(0.0)))
 

@@ -11,6 +11,7 @@ from granulite.operators import contours as C
 from granulite.operators import focus as FO
 from granulite.operators import metrics as M
 from granulite.operators import planes as P
+from granulite.operators import ranks as RK
 from granulite.operators import segment as S
 from granulite.operators import stencils as ST
 from granulite.operators import verdicts as V
@@ -396,3 +397,39 @@ def test_masked_lines(spark):
     want = np.zeros((6, 6))
     want[2, 1:4], want[3] = img[2, 1:4], img[3]
     assert (got == want).all()
+
+
+@pytest.mark.parametrize("pivots", [3, 16, 1024])
+def test_order_statistics_equal_numpy(spark, monkeypatch, pivots):
+    """Few pivots enclose ranks in wide intervals, so the listing does the work; ties, one value, repeated lines and empty ones too."""
+    monkeypatch.setattr(RK, "PIVOTS", pivots)
+    made = np.random.default_rng(11)
+    frames = [made.normal(size=(40, 13)), made.integers(0, 4, (30, 9)).astype(float), np.full((5, 5), -2.5), np.array([[7.0]]),
+              -np.exp(made.normal(size=(25, 31)) * 20)]
+    rows = [(k, len(a), y, a[y].tolist()) for k, a in enumerate(frames) for y in range(len(a))] + [(0, 40, 3, frames[0][3].tolist()), (9, 1, 0, [])]
+    lines = spark.createDataFrame(rows, "frame_id long, height int, y int, vals array<double>").repartition(3, "y")
+    frames[0] = np.vstack([frames[0], frames[0][3]])
+    ps = [0.0, 0.05, 0.5, 0.9, 0.95, 1.0]
+    got = {r.frame_id: r.q for r in RK.quantiles(lines, ps).collect()}
+    assert set(got) == set(range(5))
+    around = lines.withColumn("_around", F.array(F.lit(0.25), F.lit(-1.0), F.lit(1.5)))
+    far = {r.frame_id: r.q[0] for r in RK.quantiles(around, [0.5], "_around").collect()}
+    above = {r.frame_id: r.share for r in RK.share_above(lines.withColumn("t", F.lit(0.5)), "t").collect()}
+    top = {r.frame_id: r["mean"] for r in RK.greatest_mean(lines, 7).collect()}
+    for k, a in enumerate(frames):
+        assert np.allclose(got[k], np.percentile(a, [100 * p for p in ps]), rtol=1e-12), k
+        assert np.isclose(far[k], np.median(np.abs(np.clip(a, -1.0, 1.5) - 0.25)))
+        assert np.isclose(above[k], (a > 0.5).mean()) and np.isclose(top[k], np.sort(a.ravel())[-7:].mean())
+    assert RK.quantiles(lines.limit(0), [0.5]).count() == 0
+
+
+def test_order_statistics_of_a_large_frame(spark):
+    """A frame of 1,500 x 1,024 unrounded values, all different, in many batches: few rows are listed, the result is exact."""
+    h, w = 1500, 1024
+    line = F.transform(F.sequence(F.lit(0), F.lit(w - 1)), lambda x: F.sin((F.col("y") * w + x) * F.lit(0.7071)) * F.col("y"))
+    lines = spark.range(h).select(F.lit(1).cast("bigint").alias("frame_id"), F.lit(h).alias("height"), F.col("id").cast("int").alias("y")) \
+        .withColumn("vals", line).repartition(12)
+    a = np.sin(np.arange(h * w).reshape(h, w) * 0.7071) * np.arange(h)[:, None]
+    got = RK.quantiles(lines, [0.05, 0.5, 0.95]).first().q
+    assert np.allclose(got, np.percentile(a, [5, 50, 95]), rtol=1e-9, atol=1e-9)
+    assert np.isclose(RK.greatest_mean(lines, 500).first()["mean"], np.sort(a.ravel())[-500:].mean())
