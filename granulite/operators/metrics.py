@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from granulite.operators.lineage import settle
+from granulite.operators.lineage import written
 from granulite.operators.ranks import greatest_mean, quantiles, share_above
 from granulite.operators.stencils import SOBEL, blur, filtered, plane_counts, planes, sobel
 
@@ -70,7 +70,7 @@ def robust_std(lines: DataFrame, sigma: float = 12.0, clip=(0.05, 0.95)) -> Data
     The difference is written once and read by the passes that rank it. Clipping does not move the median.
     """
     low = planes(lines, low=[blur(0, sigma, False)])
-    hp = settle(low.select("frame_id", F.zip_with("vals", "low", lambda a, b: a - b).alias("vals")))
+    hp = written(low.select("frame_id", F.zip_with("vals", "low", lambda a, b: a - b).alias("vals")))
     mid, lo, hi = (F.col("q")[i] for i in range(3))
     q = quantiles(hp, [0.5, *clip]).select("frame_id", F.array(F.least(F.greatest(mid, lo), hi), lo, hi).alias("_around"))
     return quantiles(hp.join(q, "frame_id"), [0.5], "_around").select("frame_id", (F.lit(1.4826) * F.col("q")[0]).alias("hp_rstd"))
@@ -78,12 +78,12 @@ def robust_std(lines: DataFrame, sigma: float = 12.0, clip=(0.05, 0.95)) -> Data
 
 def edge_activity(lines: DataFrame, act_k: float = 6.0) -> DataFrame:
     """A5: p90 of the gradient and the share of pixels far above its median. The gradient is written once."""
-    m = settle(sobel(lines).select("frame_id", "vals"))
-    q = settle(quantiles(m, [0.5, 0.9]).select("frame_id", F.col("q")[0].alias("_med"), F.col("q")[1].alias("sobel_p90")))
+    m = written(sobel(lines).select("frame_id", "vals"))
+    q = written(quantiles(m, [0.5, 0.9]).select("frame_id", F.col("q")[0].alias("_med"), F.col("q")[1].alias("sobel_p90")))
     every = F.lit(float("inf"))
     mad = quantiles(m.join(q.select("frame_id", F.array(F.col("_med"), -every, every).alias("_around")), "frame_id"), [0.5], "_around")
     thr = q.join(mad, "frame_id").select("frame_id", "sobel_p90", (F.col("_med") + act_k * (1.4826 * F.col("q")[0] + 1e-6)).alias("_thr"))
-    thr = settle(thr)
+    thr = written(thr)
     act = share_above(m.join(thr.select("frame_id", "_thr"), "frame_id"), "_thr")
     return thr.join(act, "frame_id").select("frame_id", "sobel_p90", F.col("share").alias("edge_act"))
 
@@ -165,7 +165,7 @@ def ring_strength(lines: DataFrame, rw: int = 5) -> DataFrame:
     inner = (F.col("y") >= rw) & (F.col("y") < h - rw)
     ring = F.when(inner, F.concat(F.slice("vals", 1, rw), F.slice("vals", w - rw + 1, F.lit(rw)))) \
             .otherwise(F.col("vals"))
-    rim = settle(sobel(lines.filter(big)).select("frame_id", ring.alias("vals")))
+    rim = written(sobel(lines.filter(big)).select("frame_id", ring.alias("vals")))
     got = quantiles(rim, [0.5]).select("frame_id", F.col("q")[0].alias("edge_strength"))
     return lines.groupBy("frame_id").agg(F.lit(1).alias("_")).drop("_").join(got, "frame_id", "left") \
         .withColumn("edge_strength", F.coalesce("edge_strength", F.lit(0.0)))

@@ -88,14 +88,16 @@ def quantiles(lines: DataFrame, ps, around: str | None = None) -> DataFrame:
     def inside(batches):
         for b in batches:
             rows = []
-            bounds = {f: (np.asarray(lo, float), np.asarray(hi, float)) for f, lo, hi in zip(*(b.column(c).to_pylist() for c in ("frame_id", "_lo", "_hi")))}
+            ids, first = np.unique(b.column("frame_id").to_numpy(), return_index=True)
+            bounds = {int(f): [b.column(c)[int(r)].as_py() for c in ("_lo", "_hi", "_total")] for f, r in zip(ids, first)}
             for f, v, a in frame_values(b, bool(around)):
                 v = distance(v, a)
-                for i, (lo, hi) in enumerate(zip(*bounds[f])):
+                *ends, total = bounds[f]
+                for i, (lo, hi) in enumerate(zip(*ends)):
                     u, n = np.unique(v[(v > lo) & (v <= hi)], return_counts=True)
-                    rows.append((np.full(len(u) + 1, f), np.full(len(u) + 1, i), np.append(-np.inf, u), np.append((v <= lo).sum(), n)))
+                    rows.append((np.full(len(u) + 1, f), np.full(len(u) + 1, i), np.append(-np.inf, u), np.append((v <= lo).sum(), n), np.full(len(u) + 1, total)))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], ["frame_id", "i", "v", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], ["frame_id", "i", "v", "n", "_total"])
 
     def pick(t):
         start = run_starts(t, ["frame_id", "i"])
@@ -113,8 +115,8 @@ def quantiles(lines: DataFrame, ps, around: str | None = None) -> DataFrame:
     few = few.groupBy("frame_id", "v").agg(F.sum("n").alias("n"), F.sum("slack").alias("slack"))
     bounds = map_runs(few, ["frame_id"], ["v"], enclose, "frame_id bigint, _lo array<double>, _hi array<double>, _total bigint")
     seen = d.join(bounds, "frame_id").select("frame_id", "vals", *([around] if around else []), "_lo", "_hi", "_total")
-    listed = seen.drop("_total").mapInArrow(inside, "frame_id bigint, i bigint, v double, n bigint").groupBy("frame_id", "i", "v").agg(F.sum("n").alias("n"))
-    listed = listed.join(bounds.select("frame_id", "_total"), "frame_id")
+    listed = seen.mapInArrow(inside, "frame_id bigint, i bigint, v double, n bigint, _total bigint") \
+        .groupBy("frame_id", "i", "v").agg(F.sum("n").alias("n"), F.max("_total").alias("_total"))
     got = map_runs(listed, ["frame_id", "i"], ["v"], pick, "frame_id bigint, i bigint, q double")
     return got.groupBy("frame_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "q"))), lambda x: x["q"]).alias("q"))
 
