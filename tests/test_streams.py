@@ -184,3 +184,21 @@ def test_frame_stream_equals_batch(spark, tmp_path):
     want = frame_verdict(to_lines(f), f)
     assert rows(got, "frame_id", "status", "code") == rows(want, "frame_id", "status", "code")
     assert {r.code for r in got.collect()} == {None, "E2002", "E2003"}
+
+
+@pytest.mark.parametrize("parts", [0, 3])
+def test_tables_of_many_files(spark, tmp_path, parts):
+    """A table may be one file or a folder of part files; replays read all of either."""
+    from granulite.queries import QUERIES
+    src = "/root/testdata/sf0.001"
+    for t in ("embeddings", "events"):
+        if parts:
+            spark.read.parquet(f"{src}/{t}.parquet").repartition(parts).write.parquet(str(tmp_path / f"{t}.parquet"))
+        else:
+            os.symlink(f"{src}/{t}.parquet", tmp_path / f"{t}.parquet")
+    got = QUERIES["r5_newest_only"](spark, str(tmp_path))
+    want = spark.read.parquet(f"{src}/embeddings.parquet").groupBy((F.col("vec_id") % 10).alias("source")) \
+        .agg(F.max("vec_id").alias("frame_id"), (F.count("*") - 1).alias("n_dropped"))
+    assert rows(got, "source", "frame_id", "n_dropped") == rows(want, "source", "frame_id", "n_dropped")
+    got = QUERIES["r8_progress_stream"](spark, str(tmp_path))
+    assert got.agg(F.sum(F.col("completed") + F.col("failed"))).first()[0] == spark.read.parquet(f"{src}/events.parquet").count()
