@@ -202,3 +202,72 @@ def test_tables_of_many_files(spark, tmp_path, parts):
     assert rows(got, "source", "frame_id", "n_dropped") == rows(want, "source", "frame_id", "n_dropped")
     got = QUERIES["r8_progress_stream"](spark, str(tmp_path))
     assert got.agg(F.sum(F.col("completed") + F.col("failed"))).first()[0] == spark.read.parquet(f"{src}/events.parquet").count()
+
+
+def test_fold_holds_a_day_at_a_time(spark):
+    """A month of one camera's rows, in no order, costs few calls to the store, and no call brings more than a day of them."""
+    import pandas as pd
+    from pyspark.sql.types import StructType
+
+    calls, most = [], [0]
+
+    class Store:
+        def __init__(self):
+            self.v = None if not isinstance(self, Map) else {}
+
+        def exists(self):
+            return self.v is not None
+
+        def get(self):
+            return self.v
+
+        def update(self, v):
+            calls.append(1)
+            self.v = v
+
+        def clear(self):
+            self.v = None
+
+    class Map(Store):
+        def updateValue(self, k, v):
+            calls.append(1)
+            self.v[k] = v
+
+        def getValue(self, k):
+            calls.append(1)
+            most[0] = max(most[0], len(self.v[k][0]))
+            return self.v[k]
+
+        def removeKey(self, k):
+            calls.append(1)
+            del self.v[k]
+
+        def keys(self):
+            return iter(list(self.v))
+
+    class Handle:
+        timers = set()
+        getValueState = lambda self, *a: Store()
+        getMapState = lambda self, *a: Map()
+        registerTimer = lambda self, ms: self.timers.add(ms)
+        deleteTimer = lambda self, ms: self.timers.remove(ms)
+
+    class Passed:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = lambda: ms
+
+    day, n = KE.SPAN, 30_000
+    step = lambda s, r: ((s or 0) + 1, [(r.seq, (s or 0) + 1)])
+    fold = KE.Fold(step, ["camera", "seq", "n"], StructType.fromDDL("camera bigint, us bigint, seq bigint"))
+    fold.init(Handle())
+    rows = [(i % 3, i * (30 * day // n), i) for i in range(n)]
+    random.shuffle(rows)
+    d = pd.DataFrame(rows, columns=["camera", "us", "seq"])
+    list(fold.handleInputRows((0,), iter([d[:10_000], d[10_000:20_000], d[20_000:]]), Passed(0)))
+    assert fold.handle.timers == {0}
+    half = 15 * day // 1000 + 43_200_000  # a watermark in the middle of a day, on a row
+    first = list(fold.handleExpiredTimer((0,), Passed(half), None))
+    assert sum(map(len, first)) == n // 60 * 31 + 1 and max(fold.handle.timers) > half
+    got = pd.concat([*first, *fold.handleExpiredTimer((0,), Passed(40 * day // 1000), None)])
+    assert got.values.tolist() == [[i % 3, i, i // 3 + 1] for i in range(n)]
+    assert len(calls) < 300 and most[0] < 1100 * 24 + 2000 and not fold.held.v
