@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granulite.fixed import AXIS_LIMITS, EPS, FIRST_X, FIRST_Y, FIRST_Z, GRID_N, RUN_MESSAGES, SPACING
@@ -117,12 +117,21 @@ def range_select(ranges: DataFrame, by: str = "run_id", n: int = GRID_N) -> Data
     """All cells between two ids, ends included, in either order.
 
     Cell ids are whole numbers from 1 to ``n * n``, so a range is a bounded sequence and needs
-    no range join.
+    no range join. The distinct ranges of a run meet in one row; cells come after the shuffle.
     """
+    return _bounds(ranges, by, n).groupBy(by).agg(F.collect_set("_r").alias("_r")) \
+        .select(by, F.explode(F.array_distinct(_cells("_r"))).alias("tablet_id"))
+
+
+def _bounds(ranges: DataFrame, by: str, n: int = GRID_N) -> DataFrame:
     lo = F.greatest(F.least("first_id", "last_id"), F.lit(1)).cast("int")
     hi = F.least(F.greatest("first_id", "last_id"), F.lit(n * n)).cast("int")
-    return ranges.withColumns({"_lo": lo, "_hi": hi}).filter("_lo <= _hi") \
-        .select(by, F.explode(F.sequence("_lo", "_hi")).alias("tablet_id")).distinct()
+    return ranges.select(by, F.struct(lo.alias("lo"), hi.alias("hi")).alias("_r")).filter("_r.lo <= _r.hi")
+
+
+def _cells(ranges: str) -> Column:
+    """All cells of a list of ranges; one without ends is an unknown cell."""
+    return F.flatten(F.transform(ranges, lambda r: F.when(r["lo"].isNull(), F.array(r["lo"])).otherwise(F.sequence(r["lo"], r["hi"]))))
 
 
 def selection(df: DataFrame, by: str = "run_id") -> DataFrame:
@@ -132,9 +141,20 @@ def selection(df: DataFrame, by: str = "run_id") -> DataFrame:
 
 def apply_selection(selected: DataFrame, ranges: DataFrame, removed: DataFrame,
                     by: str = "run_id") -> DataFrame:
-    """Selected cells with ranges added and removed clicks taken away."""
-    added = selected.select(by, "tablet_id").unionByName(range_select(ranges, by).select(by, "tablet_id"))
-    return added.distinct().join(removed.select(by, "tablet_id"), [by, "tablet_id"], "left_anti")
+    """Selected cells with ranges added and removed clicks taken away.
+
+    Ranges, cells and removed cells of a run meet as three short lists of distinct values; only what is left becomes rows.
+    """
+    kind = selected.select("tablet_id").unionByName(removed.select("tablet_id")).schema["tablet_id"].dataType.simpleString()
+    kind = "bigint" if kind == "bigint" else "int"
+    cell = F.col("tablet_id").cast(kind)
+    cells = selected.select(by, F.struct(cell.alias("lo"), cell.alias("hi")).alias("_r"))
+    wide = _bounds(ranges, by).select(by, F.col("_r").cast(f"struct<lo: {kind}, hi: {kind}>").alias("_r"))
+    # a null equals nothing that was removed
+    gone = removed.filter(F.col(by).isNotNull() & F.col("tablet_id").isNotNull()).select(by, cell.alias("_gone"))
+    met = cells.unionByName(wide).unionByName(gone, allowMissingColumns=True) \
+        .groupBy(by).agg(F.collect_set("_r").alias("_r"), F.collect_set("_gone").alias("_gone"))
+    return met.select(by, F.explode(F.array_except(_cells("_r"), "_gone")).alias("tablet_id"))
 
 
 def replay_clicks(clicks: DataFrame, by: str = "run_id", tie: str | None = None) -> DataFrame:

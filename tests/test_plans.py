@@ -96,3 +96,19 @@ def test_grid_order(spark):
     g = grid(spark).collect()
     assert (g[0].tablet_id, g[9].tablet_id, g[90].tablet_id, g[99].tablet_id) == (91, 100, 1, 10)
     assert (g[90].label, g[0].label) == ("A1", "A10") and abs(g[91].x - 21.2) < 1e-9
+
+
+def test_selections_meet_before_they_spread(spark):
+    """Cells become rows after the shuffle; odd runs and cells go as in the set operations."""
+    from granulite.operators import planning as PL
+    rng = spark.createDataFrame([(1, 5, 2), (1, 3, 7), (2, -4, 2), (2, 99, 300), (3, 200, 300), (None, 1, 2), (4, 1, 1)], "run_id long, first_id long, last_id long")
+    pick = spark.createDataFrame([(1, 50), (2, 1), (3, None), (5, 400), (None, 9)], "run_id long, tablet_id int")
+    gone = spark.createDataFrame([(1, 3), (2, 100), (3, None), (4, 1), (None, 1)], "run_id long, tablet_id int")
+    sel = lambda d: sorted((tuple(r) for r in d.select("run_id", "tablet_id").collect()), key=str)
+    cells = [(1, c) for c in range(2, 8)] + [(2, 1), (2, 2), (2, 99), (2, 100), (None, 1), (None, 2), (4, 1)]
+    assert sel(PL.range_select(rng)) == sorted(cells, key=str)
+    left = {*cells, (1, 50), (3, None), (5, 400), (None, 9)} - {(1, 3), (2, 100), (4, 1)}
+    assert sel(PL.apply_selection(pick, rng, gone)) == sorted(left, key=str)
+    for d in (PL.range_select(rng), PL.apply_selection(pick, rng, gone)):
+        plan = d._jdf.queryExecution().executedPlan().toString()
+        assert plan.index("Generate") < plan.index("Exchange") and plan.count("Generate explode") == 1
