@@ -56,18 +56,30 @@ def read_error_messages(spark: SparkSession, path: str) -> DataFrame:
     return explode_messages(_whole(spark, path))
 
 
-def profile_lines(df: DataFrame, chunk: int = 65536) -> DataFrame:
+def profile_lines(df: DataFrame, chunk: int = 65536, short: int = 64) -> DataFrame:
     """S7 on text: ``feature, value`` lines with the selectors in force.
 
     A selector line sets its own value; every later line sees the last value of each selector.
-    A line meets each selector name of its file once (the entries of its map), and values are
-    carried forward per (file, selector).
+    Lines of a file with at most ``short`` selector lines take these along and look back in them, without a shuffle. In
+    other files a line meets each selector name once (the entries of its map), and values are carried forward per (file, selector).
     """
-    lines = df.select(F.col("path").alias("file"), F.posexplode(F.split("text", r"\r?\n")).alias("_p", "line")) \
-        .filter(~F.col("line").startswith("#") & F.col("line").contains("\t"))
-    d = lines.select("file", (F.col("_p") + 1).alias("line_no"),
-                     F.substring_index("line", "\t", 1).alias("feature"),
-                     F.regexp_extract("line", r"^[^\t]*\t(.*)$", 1).alias("value"))
+    line = F.transform(F.split("text", r"\r?\n"), lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("line")))
+    line = F.filter(line, lambda x: ~x["line"].startswith("#") & x["line"].contains("\t"))
+    line = F.transform(line, lambda x: F.struct(
+        x["line_no"].alias("line_no"), F.substring_index(x["line"], "\t", 1).alias("feature"),
+        F.regexp_extract(x["line"], r"^[^\t]*\t(.*)$", 1).alias("value")))
+    files = df.select(F.col("path").alias("file"), line.alias("_lines")) \
+        .withColumn("_set", F.filter("_lines", lambda x: x["feature"].endswith("Selector")))
+    few = F.size("_set") <= short
+    near = files.filter(few).select("file", "_set", F.inline("_lines")) \
+        .withColumn("_set", F.filter("_set", lambda s: s["line_no"] <= F.col("line_no")))
+    last = F.transform(F.array_sort(F.array_distinct(F.transform("_set", lambda s: s["feature"]))),
+                       lambda f: F.struct(f.alias("sel"), F.element_at(F.filter("_set", lambda s: s["feature"] == f), -1)["value"].alias("setting")))
+    near = near.select("file", "line_no", "feature", "value", F.map_from_entries(last).alias("selectors"))
+    return near.unionByName(_far_lines(files.filter(~few).select("file", F.inline("_lines")), chunk))
+
+
+def _far_lines(d: DataFrame, chunk: int) -> DataFrame:
     names = d.filter(F.col("feature").endswith("Selector")).select("file", F.col("feature").alias("sel")).distinct()
     pairs = d.join(names, "file", "left").withColumn("_chunk", index_chunk("line_no", chunk))
     own = F.when(F.col("feature") == F.col("sel"), F.col("value"))

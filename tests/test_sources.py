@@ -186,3 +186,30 @@ def test_click_replay_loop(spark):
                     sel |= set(range(min(anchor, t), max(anchor, t) + 1))
                 anchor = None
         assert got.get(k, set()) == sel
+
+
+def test_short_profiles_need_no_shuffle(spark):
+    """Lines of files with few selector lines look back in their own row; the carried values of long files agree."""
+    from pyspark.sql import functions as F
+    from granulite.sources.readers import profile_lines
+    texts = [("a", "# head\r\nASelector\tRed\nGain\t1\nno tab\nBSelector\tx\ty\nASelector\tBlue\nGain\t2"), ("b", "Gain\t3\n#x\ty\nASelector\t"), ("c", ""), ("d", None),
+             ("e", "\n".join(f"{'SelectorBA'[i % 10]}{'Selector' if i % 3 else ''}\t{i}" for i in range(200)))]
+    d = spark.createDataFrame(texts, "path string, text string")
+
+    def want(path, text):
+        now = {}
+        for i, x in enumerate((text or "").replace("\r\n", "\n").split("\n")):
+            if not x.startswith("#") and "\t" in x:
+                f, v = x.split("\t", 1)
+                if f.endswith("Selector"):
+                    now[f] = v
+                yield path, i + 1, f, v, tuple(sorted(now.items()))
+    every = sorted(r for t in texts for r in want(*t))
+    for short in (0, 2, 64, 1000):
+        got = profile_lines(d, 7, short).select("file", "line_no", "feature", "value", "selectors").collect()
+        assert sorted((*r[:4], tuple(sorted(r[4].items()))) for r in got) == every
+    written = d.filter("path < 'c'")
+    near = profile_lines(written)
+    near.collect()
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Union") < plan.index("Generate") < plan.index("Join")
