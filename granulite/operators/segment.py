@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +11,7 @@ from granulite.operators.depth import deepest
 from granulite.operators.lineage import settle
 from granulite.operators.metrics import by_frame
 from granulite.operators.planes import line_histogram, pad_box
+from granulite.operators.runs import map_runs, run_starts
 from granulite.operators.stencils import BAND, blur, plane_counts, planes
 
 # ---- threshold -----------------------------------------------------------
@@ -260,74 +260,97 @@ def scale_contour(points: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def hull(points: DataFrame) -> DataFrame:
-    """Convex hull corners ``(frame_id, i, x, y)``.
+    """Convex hull corners ``(frame_id, i, x, y)``. Points without frame or coordinates are left out.
 
     Only the top and bottom point of each column can be a corner, so those are picked first,
-    map-side; what reaches Python is at most two points per image column.
+    map-side; what reaches Python is at most two points per image column, many frames in a call.
     """
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = np.unique(pdf[["x", "y"]].to_numpy(np.int64), axis=0)
-
-        def half(seq):
-            out = []
-            for q in seq:
-                while len(out) > 1 and ((out[-1][0] - out[-2][0]) * (q[1] - out[-2][1])
-                                        <= (out[-1][1] - out[-2][1]) * (q[0] - out[-2][0])):
-                    out.pop()
-                out.append(q)
-            return out
-        ring = list(p) if len(p) < 3 else half(p)[:-1] + half(p[::-1])[:-1]
-        return pd.DataFrame({"frame_id": pdf["frame_id"].iloc[0], "i": range(len(ring)),
-                             "x": [int(q[0]) for q in ring], "y": [int(q[1]) for q in ring]})
-
-    ends = points.groupBy("frame_id", "x").agg(F.min("y").alias("lo"), F.max("y").alias("hi")) \
-        .select("frame_id", "x", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("y"))
-    return ends.groupBy("frame_id").applyInPandas(chain, "frame_id bigint, i int, x int, y int")
-
-
-def polygon_spans(hulls: DataFrame) -> DataFrame:
+    def half(seq):
+        out = []
+        for q in seq:
+            while len(out) > 1 and ((out[-1][0] - out[-2][0]) * (q[1] - out[-2][1])
+                                    <= (out[-1][1] - out[-2][1]) * (q[0] - out[-2][0])):
+                out.pop()
+            out.append(q)
+        return out
+
+    def chains(t: pa.Table) -> pa.Table:
+        start = run_starts(t, ["frame_id"])
+        p = list(zip(t.column("x").to_pylist(), t.column("y").to_pylist()))
+        rings = [q if len(q) < 3 else half(q)[:-1] + half(q[::-1])[:-1] for q in (p[a:z] for a, z in zip(start[:-1], start[1:]))]
+        n = np.array([len(r) for r in rings])
+        x, y = (np.array([q[k] for r in rings for q in r], np.int32) for k in (0, 1))
+        return pa.table({"frame_id": np.repeat(t.column("frame_id").to_numpy()[start[:-1]], n),
+                         "i": (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32), "x": x, "y": y})
+
+    ends = points.filter("frame_id IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL") \
+        .groupBy("frame_id", "x").agg(F.min("y").alias("lo"), F.max("y").alias("hi")) \
+        .select(F.col("frame_id").cast("bigint").alias("frame_id"), F.col("x").cast("bigint").alias("x"),
+                F.explode(F.array_distinct(F.array(F.col("lo").cast("bigint"), F.col("hi").cast("bigint")))).alias("y"))
+    return map_runs(ends, ["frame_id"], ["x", "y"], chains, "frame_id bigint, i int, x int, y int")
+
+
+def polygon_spans(hulls: DataFrame, rows: int = 65536) -> DataFrame:
     """Covered columns per line of a convex polygon, ``mask_spans``, outline included.
 
     Every edge gives the columns it covers on each line; a flat edge covers those nearer to
-    this line than to the next. The span runs from the least to the greatest of them.
+    this line than to the next. The span runs from the least to the greatest of them. Corners are what is
+    shuffled and sorted; lines come out of a task in tables of about ``rows`` and are never grouped. Since each corner
+    gives hundreds of lines, tasks are as many as ``spark.sql.shuffle.partitions`` says, however few bytes the corners have.
     """
-    n = F.count("*").over(by_frame())
-    # two copies per corner: as the start of its edge and as the end of the one before
-    c = hulls.select("frame_id", "i", "x", "y", n.cast("int").alias("n"))
-    ends = c.select("frame_id", F.explode(F.array(
-        F.struct(F.col("i").alias("e"), F.lit(0).alias("side"), "x", "y"),
-        F.struct(F.pmod(F.col("i") - 1, F.col("n")).alias("e"), F.lit(1).alias("side"), "x", "y"))).alias("p"))
-    pick = [F.max(F.when(F.col("p.side") == s, F.col(f"p.{a}"))).cast("double").alias(f"{a}{s}")
-            for s in (0, 1) for a in ("x", "y")]
-    e = ends.groupBy("frame_id", "p.e").agg(*pick)
-    y0, y1 = F.least("y0", "y1"), F.greatest("y0", "y1")
-    rows = e.withColumn("y", F.explode(F.sequence(y0.cast("int"), y1.cast("int"))))
-    slope = F.try_divide(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
-    flat = F.abs(F.col("x1") - F.col("x0")) > F.abs(F.col("y1") - F.col("y0"))
-
-    def at(yy):
-        return F.col("x0") + slope * (yy - F.col("y0"))
-    above = F.greatest(F.col("y") - 0.5, y0)
-    below = F.least(F.col("y") + 0.5, y1)
-    lo = F.when(slope.isNull(), F.least("x0", "x1")) \
-        .when(flat, F.ceil(F.least(at(above), at(below)) - 1e-9)) \
-        .otherwise(F.floor(at(F.col("y")) + 0.5))
-    hi = F.when(slope.isNull(), F.greatest("x0", "x1")) \
-        .when(flat, F.floor(F.greatest(at(above), at(below)) + 1e-9)) \
-        .otherwise(F.floor(at(F.col("y")) + 0.5))
-    return rows.select("frame_id", "y", lo.alias("lo"), hi.alias("hi")) \
-        .groupBy("frame_id", "y").agg(F.min("lo").cast("int").alias("x_start"),
-                                      F.max("hi").cast("int").alias("x_end"))
+    def spans(t: pa.Table):
+        start = run_starts(t, ["frame_id"])
+        f, x, y = t.column("frame_id").to_numpy(), t.column("x").to_numpy().astype(float), t.column("y").to_numpy().astype(np.int64)
+        after = np.arange(1, len(f) + 1)
+        after[start[1:] - 1] = start[:-1]
+        top, bottom = np.minimum(y, y[after]), np.maximum(y, y[after])
+
+        def cover(i, j, first, last):
+            """Spans on lines ``first`` to ``last`` of the frames ``i`` to ``j - 1``; a closed outline meets each line it reaches over."""
+            a, z = start[i], start[j]
+            here = start[i:j] - a
+            lo_y, hi_y = np.maximum(np.minimum.reduceat(top[a:z], here), first), np.minimum(np.maximum.reduceat(bottom[a:z], here), last)
+            count = hi_y - lo_y + 1
+            base = np.cumsum(count) - count
+            t0, n = np.maximum(top[a:z], first), np.maximum(np.minimum(bottom[a:z], last) - np.maximum(top[a:z], first) + 1, 0)
+            e = np.repeat(np.arange(a, z), n)
+            line = np.arange(len(e)) - np.repeat(np.cumsum(n) - n - t0, n)
+            cell = line + np.repeat(np.repeat(base - lo_y, np.diff(start[i:j + 1])), n)
+            x0, x1, y0, y1 = x[e], x[after[e]], y[e].astype(float), y[after[e]].astype(float)
+            up = y0 == y1
+            slope = (x1 - x0) / np.where(up, 1.0, y1 - y0)
+            above = x0 + slope * (np.maximum(line - 0.5, np.minimum(y0, y1)) - y0)
+            below = x0 + slope * (np.minimum(line + 0.5, np.maximum(y0, y1)) - y0)
+            near, flat = np.floor(x0 + slope * (line - y0) + 0.5), np.abs(x1 - x0) > np.abs(y1 - y0)
+            lo = np.where(up, np.minimum(x0, x1), np.where(flat, np.ceil(np.minimum(above, below) - 1e-9), near))
+            hi = np.where(up, np.maximum(x0, x1), np.where(flat, np.floor(np.maximum(above, below) + 1e-9), near))
+            x_start, x_end = np.full(count.sum(), np.inf), np.full(count.sum(), -np.inf)
+            np.minimum.at(x_start, cell, lo)
+            np.maximum.at(x_end, cell, hi)
+            return pa.table({"frame_id": np.repeat(f[start[i:j]], count), "y": (np.arange(len(x_start)) - np.repeat(base - lo_y, count)).astype(np.int32),
+                             "x_start": x_start.astype(np.int32), "x_end": x_end.astype(np.int32)})
+        size = np.append(0, np.cumsum(np.add.reduceat(bottom - top + 1, start[:-1])))
+        i = 0
+        while i < len(start) - 1:
+            j = max(int(np.searchsorted(size, size[i] + rows, side="right")) - 1, i + 1)
+            first, last = int(top[start[i]:start[j]].min()), int(bottom[start[i]:start[j]].max())
+            step = rows if j == i + 1 else last - first + 1
+            for w in range(first, last + 1, step):
+                yield cover(i, j, w, min(w + step - 1, last))
+            i = j
+    corners = hulls.filter("frame_id IS NOT NULL").select("frame_id", "i", "x", "y")
+    return map_runs(corners, ["frame_id"], ["i"], spans, "frame_id bigint, y int, x_start int, x_end int",
+                    int(hulls.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def contour_mask(points: DataFrame, sizes: DataFrame):
     """Mask spans of contours and a ``(frame_id, status, code)`` report (E2020 to E2025)."""
     moved = scale_contour(points, sizes)
     spans = polygon_spans(hull(moved.filter("code IS NULL")))
-    have = spans.groupBy("frame_id").agg(F.count("*").alias("rows"))
-    report = moved.groupBy("frame_id").agg(F.max("code").alias("code")).join(have, "frame_id", "left") \
+    # a frame with any point has a hull, and a hull has spans
+    report = moved.groupBy("frame_id").agg(F.max("code").alias("code"), F.count_if(F.col("x").isNotNull() & F.col("y").isNotNull()).alias("n")) \
         .withColumn("code", F.when(F.col("code").isNotNull(), F.col("code"))
-                    .when(F.col("rows").isNull(), "E2024")) \
+                    .when(F.col("n") == 0, "E2024")) \
         .select("frame_id", F.when(F.col("code").isNull(), "OK").otherwise("ERROR").alias("status"), "code")
     return spans, report
 

@@ -390,6 +390,25 @@ def test_contour_mask_codes_and_cover(spark):
     assert got == {(y, 10, 30) for y in range(10, 31)}
 
 
+def test_polygon_spans_come_in_pieces_and_are_not_grouped(spark):
+    r = np.random.default_rng(11)
+    pts = [(f, i, int(x), int(y)) for f in range(40) for i, (x, y) in enumerate(r.integers(0, 400, (int(r.integers(1, 30)), 2)))]
+    pts += [(40, i, 7, 3 * i) for i in range(5)] + [(41, i, 3 * i, 7) for i in range(5)] + [(42, 0, None, 3)]
+    hull = S.hull(spark.createDataFrame(pts, "frame_id long, i int, x int, y int")).persist()
+    assert {p.frame_id for p in hull.collect()} == set(range(42))
+    whole = {(p.frame_id, p.y): (p.x_start, p.x_end) for p in S.polygon_spans(hull).collect()}
+    cut = S.polygon_spans(hull, 50)
+    got = [(p.frame_id, p.y, p.x_start, p.x_end) for p in cut.collect()]
+    assert len(got) == len(whole) and all(whole[f, y] == (a, z) for f, y, a, z in got)
+    for f in range(40):
+        x, y = np.array([p[2:] for p in pts if p[0] == f]).T
+        assert {k[1] for k in whole if k[0] == f} == set(range(y.min(), y.max() + 1))
+        assert all(whole[f, b][0] <= a <= whole[f, b][1] for a, b in zip(x, y))
+    assert all(whole[40, y] == (7, 7) for y in range(13)) and whole[41, 7] == (0, 12)
+    assert "Aggregate" not in cut._jdf.queryExecution().executedPlan().toString().split("InMemoryTableScan")[0]
+    hull.unpersist()
+
+
 def test_masked_lines(spark):
     img = rng.integers(1, 256, (6, 6), dtype=np.uint8)
     spans = spark.createDataFrame([(0, 2, 1, 3), (0, 3, 0, 5)], "frame_id long, y int, x_start int, x_end int")
