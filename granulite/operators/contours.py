@@ -81,12 +81,13 @@ def edge_strength(lines: DataFrame, boxes: DataFrame, ring_width: int) -> DataFr
 
 def position_check(lines: DataFrame, thr: Thresholds, profile: str = "automatic",
                    boxes: DataFrame | None = None, points: DataFrame | None = None,
-                   frames: DataFrame | None = None) -> DataFrame:
+                   frames: DataFrame | None = None, blob: DataFrame | None = None) -> DataFrame:
     """Final position check; the first failing rule of the profile gives the code.
 
     Profiles are ``automatic``, ``check_only`` and ``manual``. ``boxes`` feeds the optional edge test,
     ``points`` the roundness test (a frame without points fails it), ``frames`` adds frames that
-    have no pixels or a bad channel count. Facts are joined per frame, one row each.
+    have no pixels or a bad channel count. ``blob`` hands over the ``largest_blob`` of the frames at ``thr.otsu_blur``
+    where it is known already. Facts are joined per frame, one row each.
     """
     codes = {"automatic": ("E2012", "E2014", "E2013", None),
              "check_only": ("E2112", "E2114", "E2113", "E2110"),
@@ -105,9 +106,11 @@ def position_check(lines: DataFrame, thr: Thresholds, profile: str = "automatic"
                   (F.col("pattern_code") == "E_EMPTY", "E2000"), (F.col("pattern_code").isNotNull(), "OK")]
         rest = out.filter("exp_code = 'EXP_OK' AND NOT is_uniform").select("frame_id")
         lines = lines.join(rest, "frame_id", "left_semi")
-    blob = S.largest_blob(S.binarize(lines, thr.otsu_blur)) \
-        .select("frame_id", "area", "bx", "by", "bw", "bh")
-    out = out.join(blob, "frame_id", "left")
+    if blob is None:
+        blob = S.largest_blob(S.binarize(lines, thr.otsu_blur))
+    elif profile == "manual":
+        blob = blob.join(rest, "frame_id", "left_semi")
+    out = out.join(blob.select("frame_id", "area", "bx", "by", "bw", "bh"), "frame_id", "left")
     if profile == "manual":
         boxes = out.filter("area IS NOT NULL").select("frame_id", S.pad_box(thr.box_pad).alias("box"))
         rules.append((F.col("area").isNull(), "E2006"))

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granulite.operators.depth import deepest
-from granulite.operators.lineage import settle
+from granulite.operators.lineage import settle, written
 from granulite.operators.metrics import by_frame
 from granulite.operators.planes import line_histogram, pad_box
 from granulite.operators.runs import map_runs, run_starts
-from granulite.operators.stencils import BAND, blur, plane_counts, planes
+from granulite.operators.stencils import BAND, blur, pack, plane_counts, planes
 
 # ---- threshold -----------------------------------------------------------
 
@@ -68,27 +68,33 @@ def binarize(lines: DataFrame, pre_blur: int = 0) -> DataFrame:
 
 # ---- blobs ---------------------------------------------------------------
 
-def line_runs(binary: DataFrame) -> DataFrame:
-    """Maximal runs of set pixels ``(frame_id, y, x0, x1)``, ends included, found per line.
+def bit_runs(binary: DataFrame) -> DataFrame:
+    """Maximal runs of equal pixels ``(frame_id, y, x0, x1)``, ends included, found per line; ``bit`` tells the set ones.
 
     ``rid`` numbers runs by their first pixel in scan order.
     """
-    @F.arrow_udf("array<struct<x0: int, x1: int>>")
+    @F.arrow_udf("array<struct<x0: int, x1: int, bit: boolean>>")
     def runs(bits: pa.Array) -> pa.Array:
         off = bits.offsets.to_numpy()
         v = bits.values.to_numpy(zero_copy_only=False)[off[0]:off[-1]] == 1
         off = off - off[0]
         first, last = np.zeros(len(v) + 1, bool), np.zeros(len(v) + 1, bool)
         first[off], last[off] = True, True
-        start = np.flatnonzero(v & (first[:-1] | ~np.concatenate(([False], v[:-1]))))
-        end = np.flatnonzero(v & (last[1:] | ~np.concatenate((v[1:], [False]))))
+        turn = v[1:] != v[:-1]
+        start = np.flatnonzero(first[:-1] | np.concatenate(([False], turn))[:len(v)])
+        end = np.flatnonzero(last[1:] | np.concatenate((turn, [False]))[:len(v)])
         line = np.searchsorted(off, start, side="right") - 1
         spans = pa.StructArray.from_arrays([pa.array((start - off[line]).astype(np.int32)),
-                                            pa.array((end - off[line]).astype(np.int32))], ["x0", "x1"])
+                                            pa.array((end - off[line]).astype(np.int32)), pa.array(v[start])], ["x0", "x1", "bit"])
         return pa.ListArray.from_arrays(pa.array(np.searchsorted(line, np.arange(len(off))).astype(np.int32)), spans)
     r = binary.select("frame_id", "height", F.size("bits").alias("width"), "y", F.explode(runs("bits")).alias("r"))
     return r.select("frame_id", "height", "width", "y", "r.x0", "r.x1",
-                    (F.col("y").cast("bigint") * F.col("width") + F.col("r.x0")).alias("rid"))
+                    (F.col("y").cast("bigint") * F.col("width") + F.col("r.x0")).alias("rid"), "r.bit")
+
+
+def line_runs(binary: DataFrame) -> DataFrame:
+    """The runs of set pixels."""
+    return bit_runs(binary).filter("bit").drop("bit")
 
 
 def connected(edges: DataFrame, jumps: int = 3) -> DataFrame | None:
@@ -124,7 +130,7 @@ def connected(edges: DataFrame, jumps: int = 3) -> DataFrame | None:
 
 
 def label_runs(runs: DataFrame, slack: int = 1, band: int = BAND) -> DataFrame:
-    """Runs with the least ``rid`` of their blob as ``label``; ``slack=1`` joins diagonal neighbours.
+    """Runs with the least ``rid`` of their blob as ``label``; ``slack=1`` joins diagonal neighbours. Further columns stay.
 
     Two levels: runs of one band of lines are labelled together, then only the few labels
     that meet at a band border go through :func:`connected`. Frames of one band need no round.
@@ -157,9 +163,11 @@ def label_runs(runs: DataFrame, slack: int = 1, band: int = BAND) -> DataFrame:
         back = np.empty_like(o)
         back[o] = np.arange(len(o))
         return t.append_column("local", pa.array(rid[lab][back]))
-    schema = "frame_id bigint, height int, width int, y int, x0 int, x1 int, rid bigint, _pack bigint, _band bigint, local bigint"
-    pack = F.floor(F.col("frame_id") / F.greatest(F.floor(F.lit(band) / F.col("height")), F.lit(1)))
-    cut = runs.select("frame_id", "height", "width", "y", "x0", "x1", "rid", pack.alias("_pack"),
+    own = ["frame_id", "height", "width", "y", "x0", "x1", "rid"]
+    more = {c: kind for c, kind in runs.dtypes if c not in own}
+    schema = ", ".join(["frame_id bigint, height int, width int, y int, x0 int, x1 int, rid bigint", *[f"`{c}` {kind}" for c, kind in more.items()],
+                        "_pack bigint, _band bigint, local bigint"])
+    cut = runs.select(*own, *more, pack(F.col("height"), F.col("width"), band).alias("_pack"),
                       F.floor(F.col("y") / F.lit(band)).alias("_band"))
     loc = settle(cut.groupBy("height", "_pack", "_band").applyInArrow(local, schema).drop("_pack", "_band"))
     side = [F.col("x0"), F.col("x1"), F.col("local")]
@@ -175,9 +183,9 @@ def label_runs(runs: DataFrame, slack: int = 1, band: int = BAND) -> DataFrame:
         .withColumn("label", F.coalesce("label", "local")).drop("local")
 
 
-def hole_runs(binary: DataFrame, band: int = BAND) -> DataFrame:
-    """Runs of the clear regions that no 4-neighbour path joins to the frame border."""
-    lab = label_runs(line_runs(binary.withColumn("bits", F.transform("bits", lambda b: 1 - b))), 0, band)
+def hole_runs(clear: DataFrame, band: int = BAND) -> DataFrame:
+    """Those ``clear`` runs of frames whose region no 4-neighbour path joins to the frame border."""
+    lab = label_runs(clear, 0, band)
     border = (F.col("y") == 0) | (F.col("y") == F.col("height") - 1) | (F.col("x0") == 0) \
         | (F.col("x1") == F.col("width") - 1)
     inner = lab.groupBy("frame_id", "label").agg(F.bool_or(border).alias("open")).filter("NOT open")
@@ -188,13 +196,12 @@ def blobs(binary: DataFrame, band: int = BAND) -> DataFrame:
     """Line runs of the outermost blobs with what they enclose, and their label (8-neighbour connectivity).
 
     Holes are filled before labelling, so a blob holds all that its outline encloses, smaller blobs inside it too; ``hole``
-    marks the runs that were clear. A filled blob keeps its first pixel, hence its label.
+    marks the runs that were clear. A filled blob keeps its first pixel, hence its label. The frames are read once, for set and clear runs.
     """
-    set_, clear = line_runs(binary), hole_runs(binary, band)
-    both = set_.unionByName(clear.select(*set_.columns))
-    lab = label_runs(both, 1, band)
-    return lab.join(clear.select("frame_id", "rid", F.lit(True).alias("hole")), ["frame_id", "rid"], "left") \
-        .withColumn("hole", F.coalesce("hole", F.lit(False)))
+    runs = written(bit_runs(binary))
+    set_, clear = (runs.filter(F.col("bit") == on).drop("bit") for on in (True, False))
+    both = set_.withColumn("hole", F.lit(False)).unionByName(hole_runs(clear, band).withColumn("hole", F.lit(True)))
+    return label_runs(both, 1, band)
 
 
 def blob_facts(labelled: DataFrame) -> DataFrame:

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BAND = 256
+#: Pixels that small frames of one group have together at most; a grouped call costs far more than filtering a few lines.
+PACK_PIXELS = 65536
 
 # fixed values: the small binomial kernels used when no sigma is given
 BINOMIAL = {3: (0.25, 0.5, 0.25), 5: (0.0625, 0.25, 0.375, 0.25, 0.0625)}
@@ -91,6 +93,12 @@ def plane_counts(lines: DataFrame, count, band: int = BAND, **chains) -> DataFra
     return c.groupBy("frame_id", "plane", "v").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
 
 
+def pack(height: Column, width: Column, band: int) -> Column:
+    """Group number of a frame: neighbouring ids share a group while together they are within a band, or within ``PACK_PIXELS``."""
+    many = F.floor(F.lit(PACK_PIXELS) / F.greatest(height.cast("bigint") * width, F.lit(1)))
+    return F.floor(F.col("frame_id") / F.greatest(F.floor(F.lit(band) / height), many, F.lit(1)))
+
+
 def planes(lines: DataFrame, band: int = BAND, count=None, **chains) -> DataFrame:
     """Add filtered planes: each keyword names a list of filter steps applied in turn.
 
@@ -99,10 +107,9 @@ def planes(lines: DataFrame, band: int = BAND, count=None, **chains) -> DataFram
     """
     halo = max(sum(reach(s) for s in chain) for chain in chains.values())
     y, h = F.col("y"), F.col("height")
-    pack = F.floor(F.col("frame_id") / F.greatest(F.floor(F.lit(band) / h), F.lit(1)))
     lo = F.greatest(F.floor((y - halo) / F.lit(band)), F.lit(0))
     hi = F.least(F.floor((y + halo) / F.lit(band)), F.floor((h - 1) / F.lit(band)))
-    cut = lines.select("frame_id", "height", "y", "vals", pack.alias("_pack"),
+    cut = lines.select("frame_id", "height", "y", "vals", pack(h, F.size("vals"), band).alias("_pack"),
                        F.explode(F.sequence(lo, hi)).alias("_band"))
 
     def mirror(i, n):

@@ -14,6 +14,7 @@ from granulite.operators import planes as P
 from granulite.operators import segment as S
 from granulite.operators import stencils as ST
 from granulite.operators import verdicts as V
+from granulite.operators.lineage import written
 from granulite.queries.registry import big, query, r6, rounded, table
 from granulite.queries.stand_in import (FRAMES8, blur_sql, frames8, refl, sobel_sql, taps_sql)
 from granulite.fixed import ERROR_MESSAGES
@@ -558,7 +559,9 @@ def contour8(spark, sf):
 def _(spark, sf):
     thr = replace(AUTOMATIC, min_edge_strength=5.0, ring_width=1, margin_px=0, **ROUNDING)
     lines = frames8(spark, sf)
-    d = C.position_check(lines, thr, "automatic", boxes=S.blob_boxes(lines, pad=1), points=contour8(spark, sf))
+    blob = written(S.largest_blob(S.binarize(lines, thr.otsu_blur)))  # one row per frame, gives the boxes too
+    boxes = blob.select("frame_id", P.pad_box(1).alias("box"))
+    d = C.position_check(lines, thr, "automatic", boxes=boxes, points=contour8(spark, sf), blob=blob)
     return d.select("frame_id", "status", "code")
 
 

@@ -409,6 +409,27 @@ def test_polygon_spans_come_in_pieces_and_are_not_grouped(spark):
     hull.unpersist()
 
 
+def test_set_and_clear_runs_come_from_one_reading(spark):
+    lines = spark.createDataFrame([(0, 2, 0, [1, 1, 0, 1]), (0, 2, 1, [0, 0, 0, 1])], "frame_id long, height int, y int, bits array<int>")
+    got = {(r.y, r.x0, r.x1, r.rid, r.bit) for r in S.bit_runs(lines).collect()}
+    assert got == {(0, 0, 1, 0, True), (0, 2, 2, 2, False), (0, 3, 3, 3, True), (1, 0, 2, 4, False), (1, 3, 3, 7, True)}
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+    facts = S.blob_facts(S.blobs(lines.mapInArrow(look, lines.schema))).collect()
+    assert {(f.label, f.area) for f in facts} == {(0, 2), (3, 2)} and seen.value == 2
+
+
+def test_position_check_takes_a_known_blob(spark):
+    lines = P.to_lines(frames_df(spark, [disc(24, 12, 12, 7), disc(24, 3, 12, 7)]))
+    blob = S.largest_blob(S.binarize(lines, AUTOMATIC.otsu_blur))
+    want = C.position_check(lines, AUTOMATIC, "automatic").collect()
+    assert sorted(C.position_check(lines, AUTOMATIC, "automatic", blob=blob).collect()) == sorted(want)
+
+
 def test_masked_lines(spark):
     img = rng.integers(1, 256, (6, 6), dtype=np.uint8)
     spans = spark.createDataFrame([(0, 2, 1, 3), (0, 3, 0, 5)], "frame_id long, y int, x_start int, x_end int")
