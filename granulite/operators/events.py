@@ -146,9 +146,24 @@ def reconnect_outcomes(attempts: DataFrame, cycle_s: int = 30, key: str = "devic
                         F.coalesce((F.col("_end") - epoch_us(start)) / US, F.lit(float(cycle_s))).alias("seconds"), F.col("_end").isNull().alias("timed_out"))
 
 
-def _jumps(us: np.ndarray, gap: int) -> np.ndarray:
-    """For each error of a chunk the next one that may be reported after it; their number where that lies behind the chunk."""
-    return np.maximum(np.searchsorted(us, us + gap), np.arange(1, len(us) + 1))
+def _slabs(t: pa.Table, gap: int, length: int):
+    """Rows ``a`` to ``z`` of many ``(_k, _chunk)`` runs at a time, for each the end of its run, a key that ascends over all of them, and the key of its chunk's begin.
+
+    Keys of two runs are further apart than ``gap``, so that one search over the keys finds what a search in each run would.
+    """
+    start = run_starts(t, ["_k", "_chunk"])
+    us, chunk, wide = t.column("_us").to_numpy(), t.column("_chunk").to_numpy(), length + gap + 1
+    most = max(1, 2 ** 62 // wide)
+    for r in range(0, len(start) - 1, most):
+        s = start[r:r + most + 1]
+        n, a, z = np.diff(s), s[0], s[-1]
+        begin = np.repeat(np.arange(len(n)) * wide, n)
+        yield a, z, np.repeat(s[1:] - a, n), begin + us[a:z] - chunk[a:z] * length, begin
+
+
+def _jumps(key: np.ndarray, gap: int) -> np.ndarray:
+    """For each error the next one of its run that may be reported after it; the run's end where that lies behind."""
+    return np.maximum(np.searchsorted(key, key + gap), np.arange(1, len(key) + 1))
 
 
 def _entries(gap: int, length: int):
@@ -158,36 +173,32 @@ def _entries(gap: int, length: int):
     within ``gap`` of the chunk's begin, or right behind.
     """
     def each(t: pa.Table) -> pa.Table:
-        start = run_starts(t, ["_k", "_chunk"])
-        all_us, new, chunk = t.column("_us").to_numpy(), t.column("_new").to_numpy(zero_copy_only=False), t.column("_chunk").to_numpy()
+        all_us, new = t.column("_us").to_numpy(), t.column("_new").to_numpy(zero_copy_only=False)
         take, leave = [], []
-        for a, z in zip(start[:-1], start[1:]):
-            us = all_us[a:z]
-            n, step = len(us), _jumps(us, gap)
-            last = np.where(step < n, step, np.arange(n))
+        for a, z, end, key, begin in _slabs(t, gap, length):
+            at, step = np.arange(z - a), _jumps(key, gap)
+            last = np.where(step < end, step, at)
             while True:
                 further = last[last]
                 if (further == last).all():
                     break
                 last = further
-            first = np.searchsorted(us, chunk[a] * length + gap) + 1
-            pick = np.flatnonzero(new[a:z] | (np.arange(n) < first))
+            pick = np.flatnonzero(new[a:z] | (at <= np.searchsorted(key, begin + gap)))
             take.append(a + pick)
-            leave.append(us[last[pick]])
+            leave.append(all_us[a:z][last[pick]])
         rows = t.select(["_k", "_i", "_us", "_new"]).take(pa.array(np.concatenate(take)))
         return rows.append_column("_leave", pa.array(np.concatenate(leave)))
     return each
 
 
-def _reported(gap: int):
+def _reported(gap: int, length: int):
     """Errors of a chunk that are met by jumps from the marked ones."""
     def each(t: pa.Table) -> pa.Table:
-        start = run_starts(t, ["_k", "_chunk"])
-        us, mark = t.column("_us").to_numpy(), t.column("_mark").to_numpy(zero_copy_only=False)
+        mark = t.column("_mark").to_numpy(zero_copy_only=False)
         keep = []
-        for a, z in zip(start[:-1], start[1:]):
-            n = z - a
-            hit, jump = np.append(mark[a:z], False), np.append(_jumps(us[a:z], gap), n)
+        for a, z, end, key, _ in _slabs(t, gap, length):
+            n, step = z - a, _jumps(key, gap)
+            hit, jump = np.append(mark[a:z], False), np.append(np.where(step < end, step, n), n)
             while (jump < n).any():
                 hit[jump[hit]] = True
                 jump = jump[jump]
@@ -242,7 +253,7 @@ def throttle_errors(events: DataFrame, sec: float = 5.0, key: str = "camera", or
     marks = _reachable(nodes, gap, length * US).withColumn("_mark", F.lit(True))
     rows = e.join(marks, ["_k", "_i"], "left").select("_k", "_chunk", "_us", F.coalesce("_mark", F.lit(False)).alias("_mark"), key, *o, "errors_since_good", "_i")
     cols = [f"`{c}` {kind[c]}" for c in (key, *o)]
-    return map_runs(rows, ["_k", "_chunk"], ["_i"], _reported(gap), ", ".join([*cols, "errors_since_good bigint, _i bigint"])).drop("_i")
+    return map_runs(rows, ["_k", "_chunk"], ["_i"], _reported(gap, length * US), ", ".join([*cols, "errors_since_good bigint, _i bigint"])).drop("_i")
 
 
 def asof_contour(captures: DataFrame, contours: DataFrame, key: str = "rig", ts: str = "ts",

@@ -315,3 +315,29 @@ def test_reconnect_outcomes_loop(evs, chunk):
     for k, (t0, s0, n) in at.items():
         want[s0] = (k, n, 45.0, True)
     assert got == want
+
+
+@pytest.mark.parametrize("wide", [1_000, 2 ** 60])
+def test_jumps_of_many_chunks_in_one_search(wide):
+    """Entries and reports of a table of many runs equal those of its runs alone; wide chunks are taken a few at a time."""
+    import numpy as np
+    import pyarrow as pa
+
+    r, gap, rows = np.random.default_rng(5), 300, []
+    for k in range(60):
+        us = np.sort(r.integers(0, 1_000, int(r.integers(1, 12))))
+        rows += [(f"k{k // 2:02}", k % 2, i, int(u) + k % 2 * wide, bool(i == 0 and r.random() < 0.5)) for i, u in enumerate(us)]
+    t = pa.table(dict(zip(["_k", "_chunk", "_i", "_us", "_new"], map(list, zip(*rows)))))
+    m = t.drop(["_new"]).append_column("_mark", t.column("_new"))
+    cut = EV.run_starts(t, ["_k", "_chunk"])
+    for each, src in ((EV._entries(gap, wide), t), (EV._reported(gap, wide), m)):
+        assert each(src).to_pylist() == [x for a, z in zip(cut[:-1], cut[1:]) for x in each(src.slice(a, z - a)).to_pylist()]
+    assert len(list(EV._slabs(t, gap, wide))) == (1 if wide == 1_000 else 20)
+    want = []
+    for a, z in zip(cut[:-1], cut[1:]):
+        last = None
+        for u, i, new in zip(*(t.column(c).to_pylist()[a:z] for c in ("_us", "_i", "_new"))):
+            if new or (last is not None and u - last >= gap):
+                last = u
+                want.append(i)
+    assert EV._reported(gap, wide)(m).column("_i").to_pylist() == want
