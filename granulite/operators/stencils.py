@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BAND = 256
-#: Pixels that small frames of one group have together at most; a grouped call costs far more than filtering a few lines.
+#: Pixels that small frames of one group have together at most; fewer grouped calls save some time (20,000 frames of 8 x 8: 1.7 to 2.0 s, 2.1 to 2.5 s by bands alone).
 PACK_PIXELS = 65536
 
 # fixed values: the small binomial kernels used when no sigma is given
