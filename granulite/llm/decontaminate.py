@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granulite.llm.common import blobs, constants, cuts, mix, shingles, stored, text_bytes, word_table
+from granulite.llm.common import blobs, constants, cuts, give_back, let_go, mix, shingles, stored, text_bytes, word_table
 from granulite.llm.minhash_dedup import K, shingle_sets
 
 #: Hash functions of a sketch. An item of n shingles, more than half its class size u, of which 80 % lie in a window of 2u shingles
@@ -19,7 +19,7 @@ LEAST = 1
 #: Bits of the filter on sketch values that documents test before anything is shuffled: half a megabyte whatever the items.
 FILTER_BITS = 1 << 22
 #: Text hashed at a time.
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 1_000_000
 
 
 def size_class(n: np.ndarray) -> np.ndarray:
@@ -73,6 +73,7 @@ def _probe(classes: list[int], bits: bytes):
     For class u a document is covered by windows of 2u shingles, u apart, so a run of u shingles lies in one of them.
     """
     def probe(batches):
+        let_go()
         passed = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little").astype(bool)
         base = classes[0]
         for batch in batches:
@@ -108,6 +109,7 @@ def _probe(classes: list[int], bits: bytes):
                         keys.append(k[hit])
                 at = pa.array(rows[np.concatenate(docs)] + lo)
                 yield pa.RecordBatch.from_arrays([t.column(c).combine_chunks().take(at) for c in ("id", "tk")] + [pa.array(np.concatenate(keys))], ["id", "tk", "key"])
+            give_back()
     return probe
 
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granulite.llm.common import Groups, blobs, constants, cuts, in_block_pairs, mix, run_bounds, runs_in_arrow, shingles, stored, text_bytes, word_table
+from granulite.llm.common import Groups, blobs, constants, cuts, give_back, in_block_pairs, let_go, mix, run_bounds, runs_in_arrow, shingles, stored, text_bytes, word_table
 from granulite.llm.graph import components
 
 #: Words of a shingle.
@@ -25,7 +25,7 @@ BLOCK, BLOCK_SHINGLES = 256, 2_000_000
 #: Rows of a bucket that one block holds.
 BUCKET = 2048
 #: Text hashed at a time.
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 1_000_000
 
 
 class Plan(NamedTuple):
@@ -101,12 +101,14 @@ def signatures(sets: np.ndarray, off: np.ndarray, indexed: int) -> np.ndarray:
 
 def _facts(indexed: int):
     def facts(batches):
+        let_go()
         for batch in batches:
             for lo, n in cuts(batch.column(1), BATCH_BYTES):
                 sets, off = shingle_sets(batch.column(1).slice(lo, n))
                 one, two = set_keys(sets, off)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, n), pa.array(np.diff(off)), pa.array(one), pa.array(two), _binary(signatures(sets, off, indexed))], ["id", "n", "k1", "k2", "sig"])
+            give_back()
     return facts
 
 
@@ -199,6 +201,7 @@ def _sets(batches):
             blob = pa.array([sets[off[i]:off[i + 1]].tobytes() for i in keep], pa.binary())
             cols = [part.column(c).combine_chunks().take(pa.array(keep)) for c in ("id", "component", "sig", "blocks")]
             yield pa.RecordBatch.from_arrays([*cols, blob], ["id", "component", "sig", "blocks", "hashes"])
+        give_back()
 
 
 def _verifier(percent: int, plan: Plan):

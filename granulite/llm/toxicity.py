@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granulite.llm.common import constants, cuts, give_back, mix, stored
+from granulite.llm.common import constants, cuts, give_back, let_go, mix, stored
 from granulite.llm.pretokens import Memo
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -25,6 +25,8 @@ Z, LEAST_ROWS, VOCABULARY = 4.0, 3, 20_000
 EPOCHS, RATE = 100, 0.05
 #: Words whose buckets a worker keeps, and text taken at a time.
 MEMO, BATCH_BYTES = 80_000, 500_000
+#: Entries of bags that a step of the fit gathers vectors for at a time; a row's or a bucket's entries stay together.
+GATHER = 1 << 17
 
 
 def word_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -49,6 +51,7 @@ def word_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def _bags(kept: np.ndarray | None):
     """The distinct buckets of each text, all of them or those in ``kept``; passes the first two columns through."""
     def bag(batches):
+        let_go()
         allowed = np.ones(BUCKETS, bool)
         if kept is not None:
             allowed[:] = False
@@ -100,32 +103,46 @@ def _cut_to(kept: np.ndarray):
     return cut
 
 
+def _pieces(first: np.ndarray, total: int) -> list[tuple[int, int, int, int]]:
+    """Groups of entries that begin at ``first``, dealt in pieces of about ``GATHER`` entries: first and last group, first and last entry."""
+    end = np.append(first[1:], total)
+    out, lo = [], 0
+    while lo < len(first):
+        hi = max(lo + 1, int(np.searchsorted(end, first[lo] + GATHER, "right")))
+        out.append((lo, hi, int(first[lo]), int(end[hi - 1])))
+        lo = hi
+    return out
+
+
 def fit(bags: list[np.ndarray], y: np.ndarray, size: int, seed: int = 1, weight: tuple[float, float] = (1.0, 1.0)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Embeddings, softmax weights and bias; bags hold numbers below ``size``. A row counts by the ``weight`` of its class."""
     rng = np.random.default_rng(seed)
     e, w, b = rng.standard_normal((size, DIM)) * 0.1, rng.standard_normal((DIM, 2)) * 0.1, np.zeros(2)
     n = np.array([len(x) for x in bags])
-    rows, flat = np.flatnonzero(n), np.concatenate([*bags, np.zeros(0, np.int64)]).astype(np.int64)
-    first = np.append(0, np.cumsum(n))[:-1]
+    rows, flat = np.flatnonzero(n), np.concatenate([*bags, np.zeros(0, np.int32)]).astype(np.int32)
+    first = np.append(0, np.cumsum(n))[:-1][rows]
     share = 1 / np.maximum(n, 1)
     part = np.asarray(weight, float)[y]
     part /= part.sum()
     order = np.argsort(flat, kind="stable")
-    holder = np.repeat(np.arange(len(bags)), n)[order]
+    holder = np.repeat(np.arange(len(bags), dtype=np.int32), n)[order]
     used, start = np.unique(flat[order], return_index=True)
+    del order
+    by_row, by_bucket = _pieces(first, len(flat)), _pieces(start, len(flat))
     m, v = ([np.zeros_like(p) for p in (e, w, b)] for _ in range(2))
     for epoch in range(1, EPOCHS + 1):
         h = np.zeros((len(bags), DIM))
-        if len(rows):
-            h[rows] = np.add.reduceat(e[flat], first[rows]) * share[rows, None]
+        for lo, hi, a, z in by_row:
+            h[rows[lo:hi]] = np.add.reduceat(e[flat[a:z]], first[lo:hi] - a) * share[rows[lo:hi], None]
         z = h @ w + b
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         p[np.arange(len(y)), y] -= 1
         p *= part[:, None]
         de = np.zeros_like(e)
-        if len(used):
-            de[used] = np.add.reduceat(((p @ w.T) * share[:, None])[holder], start)
+        back = (p @ w.T) * share[:, None]
+        for lo, hi, a, z in by_bucket:
+            de[used[lo:hi]] = np.add.reduceat(back[holder[a:z]], start[lo:hi] - a)
         for i, (param, grad) in enumerate(((e, de + 1e-6 * e), (w, h.T @ p + 1e-4 * w), (b, p.sum(0)))):
             m[i] += 0.1 * (grad - m[i])
             v[i] += 0.01 * (grad * grad - v[i])
@@ -135,9 +152,11 @@ def fit(bags: list[np.ndarray], y: np.ndarray, size: int, seed: int = 1, weight:
 
 def _fitter(kept: np.ndarray, weight: tuple[float, float]):
     def one(rows: pa.Table) -> pa.Table:
+        let_go()
         rows = rows.sort_by([("id", "ascending"), ("toxic", "ascending")])
-        bags = [np.searchsorted(kept, x) for x in rows["bag"].combine_chunks().to_numpy(zero_copy_only=False)]
+        bags = [np.searchsorted(kept, x).astype(np.int32) for x in rows["bag"].combine_chunks().to_numpy(zero_copy_only=False)]
         e, w, b = fit(bags, rows["toxic"].to_numpy().astype(np.int64), len(kept), weight=weight)
+        give_back()
         vectors = [*e.tolist(), w[:, 0].tolist(), w[:, 1].tolist(), b.tolist()]
         return pa.table([pa.array([*kept.tolist(), -1, -2, -3], pa.int64()), pa.array(vectors, pa.list_(pa.float64()))], names=["bucket", "vector"])
     return one

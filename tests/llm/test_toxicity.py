@@ -1,7 +1,11 @@
+import sys
+import tracemalloc
 import zlib
 
+import numpy as np
 import pandas as pd
 
+from granulite.llm import common, toxicity
 from granulite.llm.queries import QUERIES
 from granulite.llm.toxicity import drop_toxic, score, train
 
@@ -65,3 +69,26 @@ def test_caps_keep_the_ratio_of_the_classes(spark, monkeypatch):
     monkeypatch.setattr(m, "FIT_CLEAN", 200)
     capped = scores()
     assert all(whole[i] < .5 and capped[i] < .5 and abs(whole[i] - capped[i]) < .1 for i in whole), (whole, capped)
+
+
+def test_fit_gathers_in_pieces(monkeypatch):
+    rng = np.random.default_rng(5)
+    bags = [np.unique(rng.integers(0, 3000, rng.integers(0, 400))) for _ in range(4000)]
+    y = rng.integers(0, 2, len(bags))
+    monkeypatch.setattr(toxicity, "EPOCHS", 2)
+    monkeypatch.setattr(toxicity, "GATHER", 1 << 40)
+    whole = toxicity.fit(bags, y, 3000, weight=(2.0, 1.0))
+    monkeypatch.setattr(toxicity, "GATHER", 1 << 12)
+    tracemalloc.start()
+    pieces = toxicity.fit(bags, y, 3000, weight=(2.0, 1.0))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all((a == b).all() for a, b in zip(whole, pieces))
+    # all vectors at once would take 64 bytes an entry
+    assert most < 45 * sum(map(len, bags))
+
+
+def test_what_other_operators_keep_is_dropped():
+    common.per_worker("test", lambda: object())
+    list(toxicity._bags(None)(iter([])))
+    assert "_granulite_kept" not in sys.modules
