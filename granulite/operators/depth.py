@@ -157,7 +157,8 @@ def deepest(spans: DataFrame, band: int = BAND) -> DataFrame:
     tall = cut.filter(F.col("height") > band)
     edges = map_runs(tall, ["frame_id", "_band"], [], _borders(band), "frame_id bigint, height int, width int, _band bigint, first array<int>, last array<int>")
     carry = edges.groupBy("frame_id").applyInArrow(_carried(band), "frame_id bigint, height int, width int, _band bigint, above array<int>, below array<int>")
-    no = F.lit(None).cast("array<int>")
+    # empty, not null: Spark sizes an Arrow batch after every row, and for lists that walks all nulls since the last list, quadratic in the batch
+    no = F.array().cast("array<int>")
     rows = cut.select("*", no.alias("above"), no.alias("below")).unionByName(carry.select(
         "frame_id", "height", "width", "_band", (F.col("_band") * band).cast("int").alias("y"), F.lit(-1).alias("x_start"), F.lit(-1).alias("x_end"), "above", "below"))
     far = map_runs(rows, ["frame_id", "_band"], ["x_start"], _deepest(band), "frame_id bigint, height int, width int, d2 bigint, y int, x int")

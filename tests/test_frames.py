@@ -16,6 +16,7 @@ from granulite.operators import segment as S
 from granulite.operators import stencils as ST
 from granulite.operators import verdicts as V
 from granulite.operators.depth import deepest, envelope
+from granulite.operators.runs import map_runs
 from granulite.thresholds import AUTOMATIC, CHECK_ONLY, MANUAL
 
 rng = np.random.default_rng(7)
@@ -348,6 +349,22 @@ def test_deepest_by_bands(spark):
             assert got[k] == (d[y, x], y, x), (k, band)
 
 
+def test_no_null_lists_go_to_python(spark, monkeypatch):
+    """Spark's size check after every row walks all nulls since the last list: a batch of nulls costs its rows squared."""
+    from granulite.operators import depth
+    seen = []
+
+    def spied(df, keys, order, each, schema, parts=None):
+        seen.append(df)
+        return map_runs(df, keys, order, each, schema, parts)
+    monkeypatch.setattr(depth, "map_runs", spied)
+    df = spark.createDataFrame([(0, 5, 5, y, 1, 3) for y in (1, 2, 3)], "frame_id long, height int, width int, y int, x_start int, x_end int")
+    r = deepest(df).first()
+    assert (r.d2, r.y, r.x) == (4, 2, 2)
+    lists = [(d, c) for d in seen for c, kind in d.dtypes if kind.startswith("array")]
+    assert lists and all(d.filter(F.col(c).isNull()).count() == 0 for d, c in lists)
+
+
 def test_full_size_square(spark):
     """A mask of full camera size, in bands."""
     m = np.zeros((4508, 4096), bool)
