@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from granulite.operators import metrics as M
 from granulite.operators import segment as S
+from granulite.operators.lineage import written
 from granulite.operators.ordered import (INDEX_CHUNK, group_totals, index_chunk, own_rows, running,
                                          with_halo)
 from granulite.operators.planes import crop
@@ -221,13 +222,13 @@ def scan_metrics(lines: DataFrame, frames: DataFrame, boxes: DataFrame, k: int =
     ``frames(frame_id, scan_id, z)`` names each frame's scan and height, ``boxes`` its region. A frame
     that cannot be scored counts as 0, 0; repeated shots are reduced by A15.
     """
-    roi = crop(lines, boxes)
+    roi = written(crop(lines, boxes))  # read for gradient, threshold, mask and score
     sob = M.topk_gradient(roi, k)
     lap = laplacian_score(roi)
     shots = frames.select("frame_id", "scan_id", "z").join(sob, "frame_id", "left") \
         .join(lap, "frame_id", "left") \
         .select("scan_id", "z", F.coalesce("topk", F.lit(0.0)).alias("sobel"), F.coalesce("lap", F.lit(0.0)).alias("lap"))
-    med = repeat_median(shots)
+    med = repeat_median(written(shots))  # one row per shot
     # a scan has one row per sweep height here
     i = F.row_number().over(Window.partitionBy("scan_id").orderBy(F.col("z").desc())) - 1
     return med.select("scan_id", i.alias("i"), "z", "sobel", "lap")

@@ -17,6 +17,8 @@ from granulite.operators.runs import map_runs, run_starts
 
 #: Values of a frame that a batch hands to the first merge.
 PIVOTS = 1024
+#: Values of a frame in a batch up to which frames are sorted together; of more, each is cut to its greatest alone.
+SMALL = 256
 _IDS, _REAL, _INT = pa.int64(), pa.float64(), pa.int64()
 
 
@@ -139,24 +141,51 @@ def greatest_mean(lines: DataFrame, k: int) -> DataFrame:
     """
     k = max(1, int(k))
 
+    def together(ids, lists, rows):
+        """``k`` greatest of many small frames, equal ones once: one sort for all of them."""
+        off = np.asarray(lists.offsets)
+        n = np.diff(off)[rows]
+        at = np.repeat(off[:-1][rows] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+        f, v = np.repeat(ids[rows], n), -lists.values.to_numpy(zero_copy_only=False)[at]
+        order = np.lexsort((v, f))
+        f, v = f[order], v[order]
+        new = np.append(True, f[1:] != f[:-1])
+        first = np.flatnonzero(new)
+        keep = np.arange(len(f)) - np.repeat(first, np.diff(np.append(first, len(f)))) < k
+        f, v = f[keep], v[keep]
+        start = np.flatnonzero(np.append(True, (f[1:] != f[:-1]) | (v[1:] != v[:-1])))
+        return f[start], v[start], np.diff(np.append(start, len(f)))
+
     def top(batches):
         for b in batches:
             rows = []
-            for f, v, _ in frame_values(b):
+            ids, lists = b.column(0).to_numpy(), b.column(1)
+            n = np.diff(np.asarray(lists.offsets))
+            _, frame = np.unique(ids, return_inverse=True)
+            few = np.bincount(frame, n, minlength=1)[frame] <= SMALL
+            # a value that is no number goes the plain way
+            few &= not np.isnan(lists.flatten().to_numpy(zero_copy_only=False)).any()
+            if n[few].sum():
+                rows.append(together(ids, lists, np.flatnonzero(few)))
+            for f, v, _ in frame_values(b.filter(pa.array(~few)) if few.any() else b):
                 u, n = np.unique(-(v if len(v) <= k else np.partition(v, len(v) - k)[-k:]), return_counts=True)
                 rows.append((np.full(len(u), f), u, n))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], ["frame_id", "v", "n"])
 
     def merge(t):
-        start = run_starts(t, ["frame_id"])
         f, v, n = (t.column(c).to_numpy() for c in ("frame_id", "v", "n"))
-        out = []
-        for x, y in zip(start[:-1], start[1:]):
-            run = np.cumsum(n[x:y])
-            take = np.clip(k - (run - n[x:y]), 0, n[x:y])
-            out.append((int(f[x]), float(-(v[x:y] * take).sum() / take.sum())))
-        return pa.table([pa.array([o[i] for o in out], kind) for i, kind in enumerate((_IDS, _REAL))], names=["frame_id", "mean"])
+        # values that several batches handed on are one again
+        one = run_starts(t, ["frame_id", "v"])[:-1]
+        f, v, n = f[one], v[one], np.add.reduceat(n, one)
+        start = np.append(np.flatnonzero(np.append(True, f[1:] != f[:-1])), len(f))
+        size, mean = np.diff(start), np.empty(len(start) - 1)
+        for m in np.unique(size):  # frames with equally many values at a time
+            same = np.flatnonzero(size == m)
+            at = start[same][:, None] + np.arange(m)
+            take = np.clip(k - (np.cumsum(n[at], 1) - n[at]), 0, n[at])
+            mean[same] = -(v[at] * take).sum(1) / take.sum(1)
+        return pa.table([pa.array(f[start[:-1]], _IDS), pa.array(mean, _REAL)], names=["frame_id", "mean"])
     d = lines.select(F.col("frame_id").cast("bigint").alias("frame_id"), F.col("vals").cast("array<double>").alias("vals"))
-    few = d.mapInArrow(top, "frame_id bigint, v double, n bigint").groupBy("frame_id", "v").agg(F.sum("n").alias("n"))
+    few = d.mapInArrow(top, "frame_id bigint, v double, n bigint")
     return map_runs(few, ["frame_id"], ["v"], merge, "frame_id bigint, mean double")

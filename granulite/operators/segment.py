@@ -16,19 +16,24 @@ from granulite.operators.stencils import BAND, blur, pack, plane_counts, planes
 
 # ---- threshold -----------------------------------------------------------
 
-def otsu(hist: DataFrame) -> DataFrame:
-    """``(frame_id, thr)``; greatest between-class variance, lowest level on ties, 0 if flat.
-
-    Works on at most 256 histogram rows per frame.
-    """
+def class_variance(hist: DataFrame) -> DataFrame:
+    """Levels ``(frame_id, v, n)`` with ``_cut``: between-class variance of a threshold at ``v`` and ``-v``, null where it is 0."""
     run = by_frame().orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     n, v = F.col("n").cast("double"), F.col("v")
     d = hist.withColumns({"n1": F.sum(n).over(run), "s1": F.sum(n * v).over(run),
                           "nt": F.sum(n).over(by_frame()), "st": F.sum(n * v).over(by_frame())})
     gap = F.col("nt") * F.col("s1") - F.col("n1") * F.col("st")
     var = F.try_divide(gap * gap, F.col("n1") * (F.col("nt") - F.col("n1")))
-    best = d.withColumn("var", var).groupBy("frame_id").agg(
-        F.max(F.when(F.col("var") > 0, F.struct("var", (-v).alias("neg")))).alias("b"))
+    cut = F.when(F.col("var") > 0, F.struct("var", (-v).alias("neg")))
+    return d.withColumn("var", var).withColumn("_cut", cut).drop("n1", "s1", "nt", "st", "var")
+
+
+def otsu(hist: DataFrame) -> DataFrame:
+    """``(frame_id, thr)``; greatest between-class variance, lowest level on ties, 0 if flat.
+
+    Works on at most 256 histogram rows per frame.
+    """
+    best = class_variance(hist).groupBy("frame_id").agg(F.max("_cut").alias("b"))
     return best.select("frame_id", F.coalesce(-F.col("b.neg"), F.lit(0.0)).alias("thr"))
 
 
@@ -36,15 +41,15 @@ def binarize(lines: DataFrame, pre_blur: int = 0) -> DataFrame:
     """``bits`` is 1 for the brighter class.
 
     The threshold comes from the blurred frame when ``pre_blur`` is set, the class means from
-    the raw one; both follow from counts and raw sums per level, at most 256 rows per frame. A
-    class without pixels has mean 0.
+    the raw one; both follow from counts and raw sums per level, at most 256 rows per frame, which
+    are counted once. A class without pixels has mean 0.
     """
-    both = planes(lines, seg=[blur(pre_blur)]) if pre_blur > 0 else lines.withColumn("seg", F.col("vals"))
+    both = planes(lines, keep=False, seg=[blur(pre_blur)]) if pre_blur > 0 else lines.withColumn("seg", F.col("vals"))
     if pre_blur > 0:
         level = plane_counts(lines, lambda a, y, h: {"seg": (a["seg"], a["vals"])}, seg=[blur(pre_blur)]).drop("plane")
     else:
         level = line_histogram(lines).withColumn("s", F.col("v") * F.col("n"))
-    j = level.join(otsu(level.select("frame_id", "v", "n")), "frame_id")
+    j = class_variance(level).withColumn("thr", F.coalesce(-F.max("_cut").over(by_frame())["neg"], F.lit(0.0)))
     hi = F.col("v") > F.col("thr")
 
     def mean(cond):
@@ -58,8 +63,12 @@ def binarize(lines: DataFrame, pre_blur: int = 0) -> DataFrame:
         v = seg.values.to_numpy(zero_copy_only=False)[off[0]:off[-1]]
         off = off - off[0]
         bits = np.empty(len(v), np.int32)
-        for k, (t, flip) in enumerate(zip(thr.to_pylist(), inv.to_pylist())):
-            np.not_equal(v[off[k]:off[k + 1]] > t, flip, out=bits[off[k]:off[k + 1]], casting="unsafe")
+        t, flip = thr.to_numpy(zero_copy_only=False), inv.to_numpy(zero_copy_only=False)
+        # many short lines at a time, or one long one
+        cuts = np.unique(np.append(np.searchsorted(off, np.arange(0, len(v), 1 << 18)), len(off) - 1))
+        for a, z in zip(cuts[:-1], cuts[1:]):
+            n, px = np.diff(off[a:z + 1]), slice(off[a], off[z])
+            np.not_equal(v[px] > np.repeat(t[a:z], n), np.repeat(flip[a:z], n), out=bits[px], casting="unsafe")
         return pa.ListArray.from_arrays(pa.array(off), pa.array(bits))
     return both.join(rule, "frame_id").select(
         "frame_id", "height", "y", "thr", "fg_mean", "bg_mean", "inverted",
@@ -411,9 +420,9 @@ def inscribed_square(spans: DataFrame, max_shrink: int = 14, band: int = BAND) -
     inner = spans.join(sq, "frame_id").filter("y >= y1 AND y < y2 AND x_end >= x1 AND x_start < x2") \
         .select("frame_id", "x1", "y1", "x2", "y2", "y", F.struct(F.greatest("x_start", "x1").alias("a"), F.least(F.col("x_end"), F.col("x2") - 1).alias("b")).alias("s"))
     ends = F.array(F.struct((F.col("x1") - 1).alias("a"), (F.col("x1") - 1).alias("b")), F.struct(F.col("x2").alias("a"), F.col("x2").alias("b")))
-    frame = sq.select("*", F.explode(F.sequence(F.col("y1"), F.col("y2") - 1)).alias("y")).select("*", F.explode(ends).alias("s"))
+    frame = sq.select("*", F.explode(F.sequence(F.col("y1"), F.col("y2") - 1)).alias("y")).withColumn("s", F.lit(None).cast(inner.schema["s"].dataType))
     key = ["frame_id", "x1", "y1", "x2", "y2", "y"]
-    rows = inner.unionByName(frame).groupBy(*key).agg(F.sort_array(F.collect_list("s")).alias("s"))
+    rows = inner.unionByName(frame).groupBy(*key).agg(F.sort_array(F.concat(ends, F.collect_list("s"))).alias("s"))
 
     def need(s, i):
         lo, hi = F.array_max(F.transform(F.slice("s", F.lit(1), i), lambda p: p["b"])) + 1, s["a"] - 1

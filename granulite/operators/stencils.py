@@ -99,8 +99,8 @@ def pack(height: Column, width: Column, band: int) -> Column:
     return F.floor(F.col("frame_id") / F.greatest(F.floor(F.lit(band) / height), many, F.lit(1)))
 
 
-def planes(lines: DataFrame, band: int = BAND, count=None, **chains) -> DataFrame:
-    """Add filtered planes: each keyword names a list of filter steps applied in turn.
+def planes(lines: DataFrame, band: int = BAND, count=None, keep: bool = True, **chains) -> DataFrame:
+    """Add filtered planes: each keyword names a list of filter steps applied in turn. Without ``keep`` the plane itself goes.
 
     The halo is the deepest total reach. Lines of one band arrive together, are filtered, and
     the halo lines are dropped again. With ``count`` the planes are counted in place (see ``plane_counts``).
@@ -141,7 +141,7 @@ def planes(lines: DataFrame, band: int = BAND, count=None, **chains) -> DataFram
             out = 2 * sep((1, 0, 1), (1, 0, 1)) - 8 * a[:, at - y0]
         return out, top, end
 
-    names = list(chains)
+    names, kept = list(chains), ["vals"] if keep else []
 
     def work(key, t):
         height, b = int(key[0].as_py()), int(key[2].as_py())
@@ -157,7 +157,7 @@ def planes(lines: DataFrame, band: int = BAND, count=None, **chains) -> DataFram
             rows = np.flatnonzero(widths == w)
             rows = rows[np.lexsort((yy[rows], fid[rows]))]
             a = flat[start[rows][:, None] + np.arange(w)].reshape(-1, y1 - y0 + 1, w)
-            cols = [a[:, own0 - y0:own1 - y0 + 1]]
+            cols = [a[:, own0 - y0:own1 - y0 + 1]] if keep else []
             for n in names:
                 c, lo_y, hi_y = a, y0, y1
                 for s in chains[n]:
@@ -176,16 +176,16 @@ def planes(lines: DataFrame, band: int = BAND, count=None, **chains) -> DataFram
             parts.append(pa.table(
                 [pa.array(np.repeat(ids, m)), pa.array(np.full(k * m, height, dtype=np.int32)),
                  pa.array(np.tile(np.arange(own0, own1 + 1, dtype=np.int32), k)), *lists],
-                names=["frame_id", "height", "y", "vals", *names]))
+                names=["frame_id", "height", "y", *kept, *names]))
         return pa.concat_tables(parts)
 
-    out = COUNTS if count is not None else "frame_id bigint, height int, y int, vals array<double>" + "".join(f", `{n}` array<double>" for n in names)
+    out = COUNTS if count is not None else "frame_id bigint, height int, y int" + "".join(f", `{n}` array<double>" for n in [*kept, *names])
     return cut.groupBy("height", "_pack", "_band").applyInArrow(work, out)
 
 
 def filtered(lines: DataFrame, *steps, band: int = BAND) -> DataFrame:
     """The plane after the given steps, as lines."""
-    return planes(lines, band, out=list(steps)).select("frame_id", "height", "y", F.col("out").alias("vals"))
+    return planes(lines, band, keep=False, out=list(steps)).select("frame_id", "height", "y", F.col("out").alias("vals"))
 
 
 def gaussian(lines: DataFrame, k: int = 5, sigma: float = 0.0, round_u8: bool = True, band: int = BAND) -> DataFrame:

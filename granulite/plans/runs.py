@@ -12,7 +12,7 @@ from granulite.operators import planes as P
 from granulite.operators import planning as PL
 from granulite.operators import segment as S
 from granulite.operators import verdicts as V
-from granulite.operators.lineage import settle
+from granulite.operators.lineage import settle, written
 from granulite.thresholds import AUTOMATIC, CHECK_ONLY, Thresholds
 
 
@@ -57,7 +57,7 @@ def autofocus(lines: DataFrame, frames: DataFrame, thr: Thresholds = AUTOMATIC,
     thresholds of the decision.
     """
     first = frames.groupBy("scan_id").agg(F.max_by("frame_id", F.struct("z", (-F.col("frame_id")).alias("n"))).alias("frame_id"))
-    head = lines.join(first.select("frame_id"), "frame_id", "left_semi")
+    head = written(lines.join(first.select("frame_id"), "frame_id", "left_semi"))  # one frame per scan, read by every check
     facts = first.join(V.frame_verdict(head, None, thr), "frame_id", "left").join(P.frame_sizes(head), "frame_id", "left") \
         .withColumn("code", F.when(F.col("status").isNull(), "E2005").otherwise(F.col("code")))
     facts = settle(facts)  # one row per scan
@@ -69,7 +69,7 @@ def autofocus(lines: DataFrame, frames: DataFrame, thr: Thresholds = AUTOMATIC,
     open_ = roi.filter("code IS NULL")
     boxes = frames.join(open_, "scan_id").select("frame_id", "box")
     scored = frames.join(open_.select("scan_id"), "scan_id", "left_semi")
-    points = FO.scan_metrics(lines.join(scored.select("frame_id"), "frame_id", "left_semi"), scored, boxes, k)
+    points = FO.scan_metrics(lines, scored, boxes, k)  # only frames with a box are cut
     points = settle(points)  # one row per height, read by every step of the decision
     d = FO.focus_decision(points, open_.select("scan_id", F.col("is_uniform").alias("uniform")), **scan)
     shut = roi.filter("code IS NOT NULL").select("scan_id", F.lit("ERROR").alias("status"), "code")

@@ -440,6 +440,52 @@ def test_set_and_clear_runs_come_from_one_reading(spark):
     assert {(f.label, f.area) for f in facts} == {(0, 2), (3, 2)} and seen.value == 2
 
 
+def test_levels_are_counted_once(spark):
+    lines = P.to_lines(frames_df(spark, [disc(40, 20, 20, 14)]))
+    plan = S.binarize(lines, 5)._jdf.queryExecution().executedPlan().toString()
+    # one pass for the blurred lines, one for their levels
+    assert plan.count("FlatMapGroupsInArrow") == 2
+
+
+def test_scan_metrics_cut_the_frames_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+    imgs = [disc(40, 20, 20, 14) + rng.integers(0, 9, (40, 40)).astype(np.uint8) for _ in range(3)]
+    lines = P.to_lines(frames_df(spark, imgs))
+    lines = lines.mapInArrow(counted, lines.schema)
+    frames = spark.createDataFrame([(k, 0, 10.0 - k) for k in range(3)], "frame_id long, scan_id long, z double")
+    boxes = spark.createDataFrame([(k, (2, 2, 38, 38)) for k in range(3)], "frame_id long, box struct<x1:int,y1:int,x2:int,y2:int>")
+    got = FO.scan_metrics(lines, frames, boxes, 50).orderBy("i").collect()
+    assert seen.value == 3 * 40
+    roi = P.crop(P.to_lines(frames_df(spark, imgs)), boxes)
+    laps = {r.frame_id: r.lap for r in FO.laplacian_score(roi).collect()}
+    for r in got:
+        m = sobel(blur(imgs[r.i].astype(float)[2:38, 2:38], ST.gaussian_taps(5)))
+        assert np.isclose(r.sobel, np.sort(m.ravel())[-50:].mean()) and np.isclose(r.lap, laps[r.i])
+
+
+@pytest.mark.parametrize("small", [0, 20, 10 ** 9])
+def test_greatest_of_small_and_large_frames(spark, monkeypatch, small):
+    """Frames of a batch sorted together give what each gives alone: equal values, zeros, values below zero, a missing value."""
+    monkeypatch.setattr(RK, "SMALL", small)
+    imgs = {k: np.floor(rng.normal(0, 9, (h, w))) for k, (h, w) in enumerate(((1, 1), (3, 2), (4, 5), (6, 9), (11, 13)))}
+    imgs[1 << 60] = np.zeros((4, 4))
+    rows = [(k, [float(x) for x in r]) for k, m in imgs.items() for r in m]
+    df = spark.createDataFrame(rows, "frame_id long, vals array<double>").repartition(3)
+    for k in (1, 4, 10 ** 6):
+        got = {r.frame_id: r["mean"] for r in RK.greatest_mean(df, k).collect()}
+        assert set(got) == set(imgs)
+        for f, m in imgs.items():
+            assert np.isclose(got[f], np.sort(m.ravel())[-k:].mean())
+    gap = df.unionByName(spark.createDataFrame([(99, [1.0, None]), (98, [])], "frame_id long, vals array<double>")).coalesce(1)
+    got = {r.frame_id: r["mean"] for r in RK.greatest_mean(gap, 4).collect()}
+    assert np.isnan(got.pop(99)) and set(got) == set(imgs) and np.isclose(got[0], imgs[0].mean())
+
+
 def test_position_check_takes_a_known_blob(spark):
     lines = P.to_lines(frames_df(spark, [disc(24, 12, 12, 7), disc(24, 3, 12, 7)]))
     blob = S.largest_blob(S.binarize(lines, AUTOMATIC.otsu_blur))
