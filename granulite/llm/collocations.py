@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granulite.llm.common import blobs, constants, mix, run_bounds, runs_in_arrow, stored, text_bytes, word_table
+from granulite.llm.common import blobs, bounded_batches, constants, give_back, mix, run_bounds, runs_in_arrow, stored, text_bytes, word_table
 
 #: Words of the longest phrase.
 LONGEST = 4
@@ -23,13 +23,20 @@ PERCENT = 80
 TOP = 2000
 #: Bytes of text that are counted together, and counts that are merged together.
 SLICE_BYTES, RANGE_COUNTS = 3 << 20, 1 << 19
+#: Rows that leave a worker at once.
+OUT = 1 << 15
+#: Parquet closes a page after 100 rows at the soonest, and compresses a page as a whole outside the heap: a row of tokens has a megabyte.
+PAGES = {"parquet.page.size.row.check.min": "1", "parquet.block.size": str(32 << 20)}
+#: Bytes of input that one file of token streams is made of, where each core still gets four: a file is three processes that an executor spawns.
+FILE_BYTES = 64 << 20
 
 _BYTE = np.arange(256)
 _BREAK = np.isin(_BYTE, list(b".,;:!?")) | ((_BYTE >= 10) & (_BYTE <= 13))
 _WHITE = _BREAK | (_BYTE == 32) | (_BYTE == 9)
 _LOWER = np.where((_BYTE >= 65) & (_BYTE <= 90), _BYTE + 32, _BYTE).astype(np.uint8)
 
-_SLICE = "slice bigint, toks binary, h array<bigint>, word array<string>, lang array<string>, c array<bigint>"
+_SLICE = "slice bigint, toks binary, own binary, h bigint, word string, lang string, c bigint"
+_SLICE_TYPE = pa.schema([("slice", pa.int64()), ("toks", pa.binary()), ("own", pa.binary()), ("h", pa.int64()), ("word", pa.string()), ("lang", pa.string()), ("c", pa.int64())])
 
 
 def _ranges(b: np.ndarray, off: np.ndarray, size: int):
@@ -51,37 +58,59 @@ def _ranges(b: np.ndarray, off: np.ndarray, size: int):
         at = end
 
 
+def _rows(schema: pa.Schema, n: int, **columns):
+    """Batches of n rows with these columns, the others null."""
+    t = pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+    return [t.slice(i, OUT) for i in range(0, n, OUT)]
+
+
 def _slices(size: int):
-    """Token streams: numbers of the words of a slice's own vocabulary, 0 between pieces, in two bytes each where they suffice. A word of
-    another language is another word."""
+    """Token streams of about ``size`` bytes of text, whatever the batches are: numbers of the words of a slice's own vocabulary, 0 between
+    pieces, in two bytes each where they suffice, in one row with the vocabulary's hashes; behind it a row for each of these words. A word
+    of another language is another word."""
+    def one(b, off, which, salt, names, number):
+        start, end, h, woff = word_table(b, off, True, _WHITE)
+        if not len(start):
+            return
+        doc = np.repeat(np.arange(len(which)), np.diff(woff))
+        h = mix(h + salt[which[doc]])
+        piece = np.cumsum(_BREAK[b], dtype=np.int32)[start]
+        new = np.append(False, (piece[1:] != piece[:-1]) | (doc[1:] != doc[:-1]))
+        own, at, place, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+        toks = np.zeros(len(h) + int(new.sum()), np.uint16 if len(own) < 1 << 16 else np.uint32)
+        toks[np.arange(len(h)) + np.cumsum(new)] = place + 1
+        yield from _rows(_SLICE_TYPE, 1, slice=[number], toks=[toks.tobytes()], own=[own.tobytes()])
+        low = _LOWER[b].tobytes()
+        for i in range(0, len(own), OUT):
+            some = at[i:i + OUT]
+            words = [low[x:y].decode("utf-8", "replace") for x, y in zip(start[some].tolist(), end[some].tolist())]
+            langs = pa.DictionaryArray.from_arrays(pa.array(which[doc[some]]), pa.array(names, pa.string())).dictionary_decode()
+            yield from _rows(_SLICE_TYPE, len(some), h=own[i:i + OUT].view(np.int64), word=words, lang=langs, c=count[i:i + OUT])
+
     def run(batches):
-        task, k = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            lang = batch.column(0).dictionary_encode()
-            names = [n or "" for n in lang.dictionary.to_pylist()]
-            which = lang.indices.to_numpy()
-            salt = np.array([int.from_bytes(hashlib.blake2b(n.encode(), digest_size=8).digest(), "little") for n in names], np.uint64)
-            b, off = text_bytes(batch.column(1))
+        task, k, names, salt = TaskContext.get().partitionId(), 0, {}, np.zeros(0, np.uint64)
+        b, off, which = np.zeros(0, np.uint8), np.zeros(1, np.int64), np.zeros(0, np.int64)
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                lang = batch.column(0).dictionary_encode()
+                known = [n or "" for n in lang.dictionary.to_pylist()]
+                fresh = [n for n in known if n not in names]
+                names.update(zip(fresh, range(len(names), len(names) + len(fresh))))
+                salt = np.append(salt, np.array([int.from_bytes(hashlib.blake2b(n.encode(), digest_size=8).digest(), "little") for n in fresh], np.uint64))
+                more, more_off = text_bytes(batch.column(1))
+                which = np.append(which, np.array([names[n] for n in known], np.int64)[lang.indices.to_numpy()])
+                b, off = np.concatenate([b, more]), np.append(off, more_off[1:] + len(b))
+            done = 0
             for lo, hi in _ranges(b, off, size):
+                if hi == len(b) and batch is not None:
+                    break
                 first, last = np.searchsorted(off, lo, "right") - 1, np.searchsorted(off, hi, "left")
-                part, cut = b[lo:hi], np.clip(off[first:last + 1] - lo, 0, hi - lo)
-                start, end, h, woff = word_table(part, cut, True, _WHITE)
-                if not len(start):
-                    continue
-                doc = np.repeat(np.arange(first, last), np.diff(woff))
-                h = mix(h + salt[which[doc]])
-                piece = np.cumsum(_BREAK[part], dtype=np.int32)[start]
-                new = np.append(False, (piece[1:] != piece[:-1]) | (doc[1:] != doc[:-1]))
-                own, at, number, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-                toks = np.zeros(len(h) + int(new.sum()), np.uint16 if len(own) < 1 << 16 else np.uint32)
-                toks[np.arange(len(h)) + np.cumsum(new)] = number + 1
-                low = _LOWER[part].tobytes()
-                words = [low[x:y].decode("utf-8", "replace") for x, y in zip(start[at].tolist(), end[at].tolist())]
-                langs = pa.DictionaryArray.from_arrays(pa.array(which[doc[at]]), pa.array(names, pa.string())).dictionary_decode()
-                one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), values)
-                yield pa.RecordBatch.from_arrays([pa.array([(task << 33) + k], pa.int64()), pa.array([toks.tobytes()], pa.binary()), one(pa.array(own.view(np.int64))),
-                                                  one(pa.array(words, pa.string())), one(langs), one(pa.array(count))], ["slice", "toks", "h", "word", "lang", "c"])
+                yield from one(b[lo:hi], np.clip(off[first:last + 1] - lo, 0, hi - lo), which[first:last], salt, list(names), (task << 33) + k)
                 k += 1
+                done = hi
+                give_back()
+            first = np.searchsorted(off, done, "right") - 1
+            b, off, which = b[done:], np.maximum(off[first:] - done, 0), which[first:]
     return run
 
 
@@ -92,9 +121,9 @@ def _pair_keys(toks: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return both, mix(h[toks[:-1] - 1] * c[0] + h[toks[1:] - 1] * c[1])
 
 
-def _tokens(toks: bytes, h) -> tuple[np.ndarray, np.ndarray]:
-    own = np.asarray(h.values).view(np.uint64)
-    return np.frombuffer(toks, np.uint16 if len(own) < 1 << 16 else np.uint32).astype(np.int32), own
+def _tokens(toks: bytes, own: bytes) -> tuple[np.ndarray, np.ndarray]:
+    h = np.frombuffer(own, np.uint64)
+    return np.frombuffer(toks, np.uint16 if len(h) < 1 << 16 else np.uint32).astype(np.int32), h
 
 
 def _short(key: np.ndarray, bits: int) -> np.ndarray:
@@ -108,7 +137,7 @@ def _pair_counts(bits: int):
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                toks, h = _tokens(batch.column("toks")[i].as_py(), batch.column("h")[i])
+                toks, h = _tokens(batch.column("toks")[i].as_py(), batch.column("own")[i].as_py())
                 both, key = _pair_keys(toks, h)
                 keys, n = np.unique(_short(key[both], bits), return_counts=True)
                 if not len(keys):
@@ -122,6 +151,7 @@ def _pair_counts(bits: int):
                     pa.array(rng[cut]), pa.array(np.full(len(cut), batch.column("slice")[i].as_py())),
                     pa.array([keys[x:y].tobytes() for x, y in zip(cut, ends)], pa.binary()), pa.array([n[x:y].tobytes() for x, y in zip(cut, ends)], pa.binary())],
                     ["rng", "slice", "keys", "n"])
+                give_back()
     return run
 
 
@@ -150,12 +180,8 @@ def _merge_ranges(least: int):
 _GRAMS = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("w3", pa.int64()), ("w4", pa.int64()), ("c", pa.int64())])
 
 
-def _grams(bits: int, slices: pa.Table, frequent: pa.Table) -> pa.Table:
+def _phrases(bits: int, toks: np.ndarray, h: np.ndarray, known: np.ndarray):
     """Phrases of two to four words of a slice whose pairs are all frequent, with their counts; words are 64-bit numbers, 0 past the end."""
-    if not slices.num_rows or not frequent.num_rows:
-        return _GRAMS.empty_table()
-    known = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in frequent.column("keys").to_pylist()]))
-    toks, h = _tokens(slices.column("toks")[0].as_py(), slices.column("h")[0])
     both, key = _pair_keys(toks, h)
     pair = np.searchsorted(known, _short(key, bits))
     pair[pair == len(known)] = 0
@@ -163,19 +189,40 @@ def _grams(bits: int, slices: pa.Table, frequent: pa.Table) -> pa.Table:
     # pairs are numbered by their whole keys
     pair = np.unique(key, return_inverse=True)[1]
     at = np.flatnonzero(good)
-    code, out = pair[at], []
+    code = pair[at]
     for n in range(2, LONGEST + 1):
-        uniq, first, number, count = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
-        words = h[toks[at[first][:, None] + np.arange(n)] - 1].view(np.int64) if len(uniq) else np.zeros((0, n), np.int64)
-        pad = np.zeros((len(uniq), LONGEST), np.int64)
-        pad[:, :n] = words
-        out.append(pa.table([*pad.T.copy(), count], schema=_GRAMS))
+        _, first, number, count = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
+        for i in range(0, len(first), OUT):
+            begin = at[first[i:i + OUT]]
+            words = [h[toks[begin + j] - 1].view(np.int64) if j < n else np.zeros(len(begin), np.int64) for j in range(LONGEST)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in [*words, count[i:i + OUT]]], schema=_GRAMS)
         # the next longer phrase goes on with the pair that begins at its last but one word
         nxt = at + n - 1
         ok = nxt < len(key)
         ok[ok] = good[nxt[ok]]
         code, at = number[ok] * len(pair) + pair[nxt[ok]], at[ok]
-    return pa.concat_tables(out)
+
+
+def _grams(bits: int):
+    """``_phrases`` of the slices; the rows of a slice stand together, its frequent pairs before its tokens."""
+    def run(batches):
+        known = []
+        for batch in batches:
+            toks, own, keys = (batch.column(c) for c in ("toks", "own", "keys"))
+            for i in range(batch.num_rows):
+                if not toks[i].is_valid:
+                    known.append(np.frombuffer(keys[i].as_py(), np.uint64))
+                elif known:
+                    yield from _phrases(bits, *_tokens(toks[i].as_py(), own[i].as_py()), np.sort(np.concatenate(known)))
+                    known = []
+                    give_back()
+    return run
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """Partitions of ``FILE_BYTES``, if there are more than that."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return docs.coalesce(min(1 << 30, max(size // FILE_BYTES, 4 * docs.sparkSession.sparkContext.defaultParallelism)))
 
 
 def count_streams(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST,
@@ -187,19 +234,23 @@ def count_streams(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
     frequent, and only phrases made of such pairs are counted further, as no phrase is more frequent than its pairs.
     """
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("und"))
-    slices = stored(docs.select(lang.alias("lang"), F.col(text_col).cast("string").alias("text")).mapInArrow(_slices(slice_bytes), _SLICE))
-    words = slices.select(F.inline(F.arrays_zip("h", "word", "lang", "c")))
-    totals = stored(words.groupBy("lang").agg(F.sum("c").alias("n")))
-    vocabulary = stored(words.groupBy("lang", "word").agg(F.first("h").alias("h"), F.sum("c").alias("f")).where(F.col("f") >= least))
-    size = totals.agg(F.sum("n")).first()[0] or 0
-    bits = min(32, (size // range_counts).bit_length())
-    streams = slices.select("slice", "toks", "h").mapInArrow(_pair_counts(bits), "rng bigint, slice bigint, keys binary, n binary")
-    frequent = streams.repartition("rng").sortWithinPartitions("rng").mapInArrow(_merge_ranges(least), "slice bigint, keys binary")
-    grams = slices.select("slice", "toks", "h").groupBy("slice").cogroup(frequent.groupBy("slice")).applyInArrow(partial(_grams, bits), "w1 bigint, w2 bigint, w3 bigint, w4 bigint, c bigint")
-    grams = grams.groupBy("w1", "w2", "w3", "w4").agg(F.sum("c").alias("f")).where(F.col("f") >= least)
-    length = sum(((F.col(f"w{i}") != 0).cast("int") for i in range(1, LONGEST + 1)), F.lit(0))
-    grams = grams.select(F.slice(F.array("w1", "w2", "w3", "w4"), F.lit(1), length).alias("gram"), "f")
-    return stored(grams.unionByName(vocabulary.select(F.array("h").alias("gram"), "f"))), vocabulary, totals
+    with bounded_batches(docs.sparkSession):
+        slices = stored(_packed(docs).select(lang.alias("lang"), F.col(text_col).cast("string").alias("text")).mapInArrow(_slices(slice_bytes), _SLICE), **PAGES)
+        words = slices.where(F.col("h").isNotNull()).select("h", "word", "lang", "c")
+        totals = stored(words.groupBy("lang").agg(F.sum("c").alias("n")))
+        # of many words few are left, they go to few files
+        vocabulary = stored(words.groupBy("lang", "word").agg(F.first("h").alias("h"), F.sum("c").alias("f")).where(F.col("f") >= least).hint("rebalance"))
+        size = totals.agg(F.sum("n")).first()[0] or 0
+        bits = min(32, (size // range_counts).bit_length())
+        tokens = slices.where(F.col("toks").isNotNull()).select("slice", "toks", "own")
+        streams = tokens.mapInArrow(_pair_counts(bits), "rng bigint, slice bigint, keys binary, n binary")
+        frequent = streams.repartition("rng").sortWithinPartitions("rng").mapInArrow(_merge_ranges(least), "slice bigint, keys binary")
+        both = tokens.unionByName(frequent, allowMissingColumns=True).repartition("slice").sortWithinPartitions("slice", F.col("toks").isNotNull())
+        grams = both.mapInArrow(_grams(bits), "w1 bigint, w2 bigint, w3 bigint, w4 bigint, c bigint")
+        grams = grams.groupBy("w1", "w2", "w3", "w4").agg(F.sum("c").alias("f")).where(F.col("f") >= least)
+        length = sum(((F.col(f"w{i}") != 0).cast("int") for i in range(1, LONGEST + 1)), F.lit(0))
+        grams = grams.select(F.slice(F.array("w1", "w2", "w3", "w4"), F.lit(1), length).alias("gram"), "f")
+        return stored(grams.unionByName(vocabulary.select(F.array("h").alias("gram"), "f")).hint("rebalance")), vocabulary, totals
 
 
 def scored(grams: DataFrame) -> DataFrame:

@@ -4,9 +4,12 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
+from granulite.llm import collocations as module
 from granulite.llm.collocations import collocations
+from granulite.llm.common import BATCH_LIMIT
 from tests.llm.brute import fold
 
 
@@ -71,3 +74,54 @@ def test_great_counts(spark):
 def test_nothing(spark):
     for rows in ([], [("en", None)], [(None, "one two three")]):
         assert rows_of(spark.createDataFrame(rows, "lang string, text string")) == []
+
+
+def test_slices_hold_their_size_whatever_the_batches(spark):
+    """Small Arrow batches bound a worker and the buffers beside the heap; they must not cut the slices small, as each slice sends its pairs."""
+    rows = [("en" if i % 3 else "de", f"word{i} common pair, common pair " * 3) for i in range(300)]
+    df = spark.createDataFrame(rows, "lang string, text string").coalesce(1)
+    total = sum(len(t) for _, t in rows)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "5")
+    try:
+        got = df.mapInArrow(module._slices(4000), module._SLICE).where("toks is not null").count()
+        assert got <= total // 4000 + 1
+        assert rows_of(df, least=3, top=40, slice_bytes=4000) == plain(rows, 3, 40)
+    finally:
+        spark.conf.set(setting, before)
+    assert BATCH_LIMIT not in spark.conf.getAll
+
+
+def test_phrases_leave_in_pieces(monkeypatch):
+    """A slice's phrases leave the worker in batches of ``OUT`` rows, and are the same ones."""
+    monkeypatch.setattr(module, "OUT", 7)
+    r = random.Random(3)
+    words = [r.choice([0, 1, 1, 2, 3, 4, 5]) for _ in range(600)]
+    toks, h = np.array(words, np.int32), np.arange(100, 105, dtype=np.uint64)
+    both, key = module._pair_keys(toks, h)
+    batches = list(module._phrases(0, toks, h, np.unique(module._short(key[both], 0))))
+    assert max(b.num_rows for b in batches) == 7
+    want = Counter()
+    for n in (2, 3, 4):
+        for i in range(len(words) - n + 1):
+            if all(words[i:i + n]):
+                want[tuple(w + 99 for w in words[i:i + n]) + (0,) * (4 - n)] += 1
+    got = [tuple(x.values()) for b in batches for x in b.to_pylist()]
+    assert {x[:4]: x[4] for x in got} == want and len(got) == len(want)
+
+
+def test_small_results_go_to_few_files(spark):
+    """Frequent words and phrases are few: they are not written to a file for each partition of all words."""
+    rows = [("en", " ".join(f"w{(i * j) % 997}" for j in range(200)) + " hot pair") for i in range(200)]
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(4)
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    sizes = {setting: "true", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    for k, v in sizes.items():
+        spark.conf.set(k, v)
+    try:
+        _, vocabulary, _ = module.count_streams(df, least=100)
+        assert len(vocabulary.inputFiles()) == 1 and vocabulary.count() > 0
+    finally:
+        for k in sizes:
+            spark.conf.unset(k)
