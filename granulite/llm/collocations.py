@@ -23,8 +23,8 @@ PERCENT = 80
 TOP = 2000
 #: Bytes of text that are counted together, and counts that are merged together.
 SLICE_BYTES, RANGE_COUNTS = 3 << 20, 1 << 19
-#: Rows that leave a worker at once.
-OUT = 1 << 15
+#: Rows that leave a worker at once, and counts of words that a task holds to add up those of several slices.
+OUT, HELD = 1 << 15, 1 << 20
 #: Parquet closes a page after 100 rows at the soonest, and compresses a page as a whole outside the heap: a row of tokens has a megabyte.
 PAGES = {"parquet.page.size.row.check.min": "1", "parquet.block.size": str(32 << 20)}
 #: Bytes of input that one file of token streams is made of, where each core still gets four: a file is three processes that an executor spawns.
@@ -64,11 +64,30 @@ def _rows(schema: pa.Schema, n: int, **columns):
     return [t.slice(i, OUT) for i in range(0, n, OUT)]
 
 
+def _added(parts: list) -> list:
+    """One part of words (hash, count, number of the language, word) from several, each word once."""
+    if len(parts) < 2:
+        return parts
+    h, c, lang, word = zip(*parts)
+    own, at, place = np.unique(np.concatenate(h), return_index=True, return_inverse=True)
+    total = np.zeros(len(own), np.int64)
+    np.add.at(total, place, np.concatenate(c))
+    return [(own, total, np.concatenate(lang)[at], pa.concat_arrays(word).take(pa.array(at)))]
+
+
+def _word_rows(parts: list, names: list):
+    """Rows of the words of a part."""
+    for h, c, lang, word in parts:
+        for i in range(0, len(h), OUT):
+            langs = pa.DictionaryArray.from_arrays(pa.array(lang[i:i + OUT]), pa.array(names, pa.string())).dictionary_decode()
+            yield from _rows(_SLICE_TYPE, len(langs), h=h[i:i + OUT].view(np.int64), word=word.slice(i, OUT), lang=langs, c=c[i:i + OUT])
+
+
 def _slices(size: int):
     """Token streams of about ``size`` bytes of text, whatever the batches are: numbers of the words of a slice's own vocabulary, 0 between
-    pieces, in two bytes each where they suffice, in one row with the vocabulary's hashes; behind it a row for each of these words. A word
-    of another language is another word."""
-    def one(b, off, which, salt, names, number):
+    pieces, in two bytes each where they suffice, in one row with the vocabulary's hashes; besides a row for each word and its count in
+    some slices. A word of another language is another word."""
+    def one(b, off, which, salt, number, parts):
         start, end, h, woff = word_table(b, off, True, _WHITE)
         if not len(start):
             return
@@ -81,15 +100,12 @@ def _slices(size: int):
         toks[np.arange(len(h)) + np.cumsum(new)] = place + 1
         yield from _rows(_SLICE_TYPE, 1, slice=[number], toks=[toks.tobytes()], own=[own.tobytes()])
         low = _LOWER[b].tobytes()
-        for i in range(0, len(own), OUT):
-            some = at[i:i + OUT]
-            words = [low[x:y].decode("utf-8", "replace") for x, y in zip(start[some].tolist(), end[some].tolist())]
-            langs = pa.DictionaryArray.from_arrays(pa.array(which[doc[some]]), pa.array(names, pa.string())).dictionary_decode()
-            yield from _rows(_SLICE_TYPE, len(some), h=own[i:i + OUT].view(np.int64), word=words, lang=langs, c=count[i:i + OUT])
+        words = [low[x:y].decode("utf-8", "replace") for x, y in zip(start[at].tolist(), end[at].tolist())]
+        parts.append((own, count, which[doc[at]], pa.array(words, pa.string())))
 
     def run(batches):
         task, k, names, salt = TaskContext.get().partitionId(), 0, {}, np.zeros(0, np.uint64)
-        b, off, which = np.zeros(0, np.uint8), np.zeros(1, np.int64), np.zeros(0, np.int64)
+        b, off, which, parts = np.zeros(0, np.uint8), np.zeros(1, np.int64), np.zeros(0, np.int64), []
         for batch in chain(batches, [None]):
             if batch is not None:
                 lang = batch.column(0).dictionary_encode()
@@ -105,12 +121,18 @@ def _slices(size: int):
                 if hi == len(b) and batch is not None:
                     break
                 first, last = np.searchsorted(off, lo, "right") - 1, np.searchsorted(off, hi, "left")
-                yield from one(b[lo:hi], np.clip(off[first:last + 1] - lo, 0, hi - lo), which[first:last], salt, list(names), (task << 33) + k)
+                yield from one(b[lo:hi], np.clip(off[first:last + 1] - lo, 0, hi - lo), which[first:last], salt, (task << 33) + k, parts)
                 k += 1
                 done = hi
+                if sum(len(x[0]) for x in parts) > HELD:
+                    parts = _added(parts)
+                    if len(parts[0][0]) > HELD // 2:
+                        yield from _word_rows(parts, list(names))
+                        parts = []
                 give_back()
             first = np.searchsorted(off, done, "right") - 1
             b, off, which = b[done:], np.maximum(off[first:] - done, 0), which[first:]
+        yield from _word_rows(_added(parts), list(names))
     return run
 
 

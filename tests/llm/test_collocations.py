@@ -93,6 +93,21 @@ def test_slices_hold_their_size_whatever_the_batches(spark):
     assert BATCH_LIMIT not in spark.conf.getAll
 
 
+@pytest.mark.parametrize("held", [1, 40, 1 << 20])
+def test_words_are_added_up_before_they_leave(spark, held, monkeypatch):
+    """A task adds up the words of its slices as far as it may hold them; the counts are the same however often they leave."""
+    rows = [("en" if i % 3 else "de", f"word{i % 30} common pair, é common pair " * 3) for i in range(300)]
+    df = spark.createDataFrame(rows, "lang string, text string").coalesce(1)
+    monkeypatch.setattr(module, "HELD", held)
+    got = df.mapInArrow(module._slices(1000), module._SLICE).where("h is not null").select("lang", "word", "c").collect()
+    want = Counter((lang, w) for lang, t in rows for w in re.findall(r"[^ ,]+", t))
+    total = Counter()
+    for x in got:
+        total[x.lang, x.word] += x.c
+    assert total == want
+    assert len(got) == len(want) if held > 1000 else len(got) > len(want)
+
+
 def test_phrases_leave_in_pieces(monkeypatch):
     """A slice's phrases leave the worker in batches of ``OUT`` rows, and are the same ones."""
     monkeypatch.setattr(module, "OUT", 7)
