@@ -27,7 +27,7 @@ SLICE_BYTES, RANGE_COUNTS = 3 << 20, 1 << 19
 OUT, HELD = 1 << 15, 1 << 20
 #: Parquet closes a page after 100 rows at the soonest, and compresses a page as a whole outside the heap: a row of tokens has a megabyte.
 PAGES = {"parquet.page.size.row.check.min": "1", "parquet.block.size": str(32 << 20)}
-#: Bytes of input that one file of token streams is made of, where each core still gets four: a file is three processes that an executor spawns.
+#: Bytes of input that one file of token streams is made of, where each core still gets eight: a file is three processes that an executor spawns.
 FILE_BYTES = 64 << 20
 
 _BYTE = np.arange(256)
@@ -244,7 +244,7 @@ def _grams(bits: int):
 def _packed(docs: DataFrame) -> DataFrame:
     """Partitions of ``FILE_BYTES``, if there are more than that."""
     size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return docs.coalesce(min(1 << 30, max(size // FILE_BYTES, 4 * docs.sparkSession.sparkContext.defaultParallelism)))
+    return docs.coalesce(min(1 << 30, max(size // FILE_BYTES, 8 * docs.sparkSession.sparkContext.defaultParallelism)))
 
 
 def count_streams(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST,
