@@ -25,10 +25,9 @@ TOP = 2000
 SLICE_BYTES, RANGE_COUNTS = 3 << 20, 1 << 19
 #: Rows that leave a worker at once, and counts of words that a task holds to add up those of several slices.
 OUT, HELD = 1 << 15, 1 << 20
-#: Parquet closes a page after 100 rows at the soonest, and compresses a page as a whole outside the heap: a row of tokens has a megabyte.
-PAGES = {"parquet.page.size.row.check.min": "1", "parquet.block.size": str(32 << 20)}
-#: Bytes of input that one file of token streams is made of, where each core still gets eight: a file is three processes that an executor spawns.
-FILE_BYTES = 64 << 20
+#: Parquet looks at the size of a page after 100 rows at the soonest, and compresses a page as a whole outside the heap: a row of tokens has
+#: a megabyte, and several of them come behind many rows of words, so each row is looked at.
+PAGES = {"parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.block.size": str(64 << 20)}
 
 _BYTE = np.arange(256)
 _BREAK = np.isin(_BYTE, list(b".,;:!?")) | ((_BYTE >= 10) & (_BYTE <= 13))
@@ -241,12 +240,6 @@ def _grams(bits: int):
     return run
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """Partitions of ``FILE_BYTES``, if there are more than that."""
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return docs.coalesce(min(1 << 30, max(size // FILE_BYTES, 8 * docs.sparkSession.sparkContext.defaultParallelism)))
-
-
 def count_streams(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST,
                   slice_bytes: int = SLICE_BYTES, range_counts: int = RANGE_COUNTS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Stored tables ``grams(gram, f)``, ``vocabulary(h, word, lang, f)``, both with f >= ``least`` only, and ``totals(lang, n)``.
@@ -257,7 +250,7 @@ def count_streams(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
     """
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("und"))
     with bounded_batches(docs.sparkSession):
-        slices = stored(_packed(docs).select(lang.alias("lang"), F.col(text_col).cast("string").alias("text")).mapInArrow(_slices(slice_bytes), _SLICE), **PAGES)
+        slices = stored(docs.select(lang.alias("lang"), F.col(text_col).cast("string").alias("text")).mapInArrow(_slices(slice_bytes), _SLICE), **PAGES)
         words = slices.where(F.col("h").isNotNull()).select("h", "word", "lang", "c")
         totals = stored(words.groupBy("lang").agg(F.sum("c").alias("n")))
         # of many words few are left, they go to few files
